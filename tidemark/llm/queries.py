@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import bpe, exact_dedup, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_query(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip_digests(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE_SQL = {
