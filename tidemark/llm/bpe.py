@@ -193,6 +193,7 @@ def round_trip_digests(
     """
     given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), *[docs[c] for c in keep])
     out = given.drop("_text")
+    names = out.columns
 
     def run(batches):
         bpe = encoder(path, pattern)
@@ -206,7 +207,7 @@ def round_trip_digests(
             same = [batch.column(c) for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*same, pa.array(columns["n_tokens"], pa.int64()), pa.array(columns["ids_sha256"], pa.string()), pa.array(columns["decoded_sha256"], pa.string())],
-                names=[*out.columns, *columns],
+                names=[*names, *columns],
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
