@@ -51,9 +51,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(blob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that are neither ASCII letters nor digits nor part of a longer character.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_spans(blob: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a blob, which must end with a separator."""
-    word = ~_SEPARATOR[blob]
+    word = ~separator[blob]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(word) and word[0]:
         edge = np.concatenate(([0], edge))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, quality
+from tidemark.llm import bpe, exact_dedup, jaccard_join, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_documents(spark, sf_dir))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -30,6 +34,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
