@@ -80,7 +80,7 @@ def exact_dedup(
     the smallest id of a group stays (``kept``).  Null texts count as empty.  A
     null id sorts after every other: a group keeps it only if it has no other
     id (``keep_id`` is then null).  If the kept id occurs in several rows of a
-    group, all those rows are ``kept``; ``keep_once`` settles such ties.  An
+    group, all of them are ``kept``; ``keep_once`` settles such ties.  An
     empty table gives an empty result.  Other columns of ``docs`` are ignored.
     """
     text = normalised(text_col)
@@ -110,6 +110,14 @@ def exact_dedup(
     )
 
 
+def keep_once(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
+    marked = docs.withColumn("_sha256", F.sha2(normalised(text_col), 256))
+    gone = exact_dedup(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone"), "text_sha256").distinct()
+    stay = marked.join(gone, marked[id_col].eqNullSafe(gone["_gone"]) & (marked["_sha256"] == gone["text_sha256"]), "left_anti")
+    return stay.dropDuplicates([id_col, "_sha256"]).drop("_sha256")
+
+
 ORACLE_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

@@ -15,12 +15,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, stored
+from tidemark.llm.common import crc_mod
 from tidemark.llm.kernel import U64, mixed, pieces, span_hashes, word_spans
 
 FEATURES = (
@@ -90,22 +89,6 @@ def text_features(blob: np.ndarray, begins: np.ndarray) -> np.ndarray:
     ).astype(np.float32)
 
 
-def with_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id`` and ``x``, the features as an array, for every row."""
-    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind = given.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            for rows, blob, begins in pieces(batch, "text"):
-                x = text_features(blob, begins)
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-                values = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], values], names=["doc_id", "x"])
-
-    return given.mapInArrow(run, f"doc_id {kind}, x array<float>")
-
-
 @dataclass
 class AdditiveModel:
     """Bin edges and lookup tables; pairs use every fourth edge."""
@@ -227,42 +210,63 @@ def fit(
     return model
 
 
-def score_quality(
+def _features_of(batch: pa.RecordBatch, text_col: str):
+    """(rows, features) of a batch, some texts at a time."""
+    for rows, blob, begins in pieces(batch, text_col):
+        yield rows, text_features(blob, begins).astype(np.float64)
+
+
+def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    trainable: Column | None = None, max_train_rows: int = 20000, threshold: float = 0.3,
-) -> DataFrame:
-    """``doc_id, score, predicted`` for every row of ``docs``; the score is the probability of label 1.
+    trainable: Column | None = None, max_train_rows: int = 20000,
+) -> AdditiveModel:
+    """A model of label 1 from at most ``max_train_rows`` labels, chosen by a hash of the id.
 
-    Only rows where ``trainable`` (a column over ``doc_id``; default all) is
-    true and the label is 0 or 1 are learned from, at most ``max_train_rows``.
-    Null texts count as empty; empty and very long texts are scored like
-    others.  Rows with a null id are scored but never learned from.  A
-    document with several labels is learned from once for each.  Without
-    labels of both classes every score is the mean label, or 0.5.  Other
-    columns of both tables are ignored.
+    Only labels 0 and 1 of non-null ids for which ``trainable`` (a column over
+    ``doc_id``; default all) is true are used.  The chosen ids, bounded as they
+    are, are broadcast; so no text is shuffled.
     """
-    features = stored(with_features(docs, id_col, text_col), "quality-features")
     known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     if trainable is not None:
         known = known.where(trainable)
-    sample = (
-        features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train_rows).select("x", "y").toPandas()
-    )
-    width = len(FEATURES)
-    x = np.stack(sample["x"].to_numpy()) if len(sample) else np.empty((0, width), np.float32)
-    model = fit(x.astype(np.float64), sample["y"].to_numpy(dtype=np.float64))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train_rows)
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches):
-        for pdf in batches:
-            score = model.score(np.stack(pdf["x"].to_numpy()).astype(np.float64)) if len(pdf) else np.empty(0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+        for batch in batches:
+            for rows, x in _features_of(batch, "text"):
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("y")[rows], values], names=["y", "x"])
+
+    sample = texts.select("text", "y").mapInArrow(run, "y int, x array<double>").toPandas()
+    x = np.stack(sample["x"].to_numpy()) if len(sample) else np.empty((0, len(FEATURES)))
+    order = np.lexsort((*x.T, sample["y"].to_numpy()))  # the order in which tasks end must not matter
+    return fit(x[order], sample["y"].to_numpy(dtype=np.float64)[order])
+
+
+def score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
+    """The columns ``keep`` of every row with ``score``, the probability of label 1, and ``predicted``.
+
+    Null texts count as empty; empty and very long texts are scored like
+    others.  Each row is scored by itself, so repeated rows, null ids and any
+    further columns pass unchanged; an empty table stays empty.
+    """
+    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
+    names = [*keep, "score", "predicted"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("_text").schema)
+
+    def run(batches):
+        for batch in batches:
+            for rows, x in _features_of(batch, "_text"):
+                p = model.score(x)
+                same = [column[rows] for column in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=names)
 
-    kind = features.schema["doc_id"].dataType.simpleString()
-    return features.mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    return given.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns: learned from the rows whose id hash mod 5 is not 0."""
     held_out = crc_mod(F.col("doc_id"), 5) == 0
-    scored = score_quality(docs, labels, trainable=~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    model = train(docs, labels, trainable=~held_out)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
