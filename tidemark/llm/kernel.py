@@ -122,13 +122,13 @@ def pieces(batch: pa.RecordBatch, column: str, target: int = 1 << 19) -> Iterato
         at = to
 
 
-CHUNK_SCHEMA = "chunk long, marks array<long>, begins binary, blob binary"
+CHUNK_SCHEMA = "chunk long, size long, marks binary, begins binary, blob binary"
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, mark=None, target: int = 384 << 10) -> DataFrame:
     """Documents packed into rows of about ``target`` bytes of text, a whole text at least.
 
-    ``marks`` has the ids; ``begins`` and ``blob`` the texts, compressed.  With
+    ``marks`` has the ids, ``size`` the bytes; ``begins`` and ``blob`` the texts, compressed.  With
     ``mark`` (a boolean column) a chunk has rows of one value only, in the added
     column ``mark``.  Null ids are held as the smallest long.
     """
@@ -146,10 +146,11 @@ def pack(docs: DataFrame, id_col: str, text_col: str, mark=None, target: int = 3
                 parts = [(batch.filter(on), True), (batch.filter(pc.invert(on)), False)]
             for part, value in parts:
                 for rows, blob, begins in pieces(part, "text", target):
-                    ids = part.column("id")[rows].fill_null(NULL_ID).to_pylist()
+                    ids = part.column("id")[rows].fill_null(NULL_ID).to_numpy(zero_copy_only=False)
                     row = {
                         "chunk": [serial],
-                        "marks": [ids],
+                        "size": [len(blob)],
+                        "marks": [ids.astype("<i8").tobytes()],
                         "begins": [begins.astype("<i8").tobytes()],
                         "blob": [squeeze.compress(blob.tobytes())],
                     }
@@ -166,14 +167,15 @@ NULL_ID = -(2**63)
 
 
 def _arrow_chunk(marked: bool) -> pa.Schema:
-    fields = [("chunk", pa.int64()), ("marks", pa.list_(pa.int64())), ("begins", pa.binary()), ("blob", pa.binary())]
+    fields = [("chunk", pa.int64()), ("size", pa.int64()), ("marks", pa.binary()), ("begins", pa.binary()), ("blob", pa.binary())]
     return pa.schema(fields + [("mark", pa.bool_())] * marked)
 
 
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Blob and starts of a chunk row."""
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blob, starts and ids of a chunk row."""
     blob = zstandard.ZstdDecompressor().decompress(row["blob"])
-    return np.frombuffer(blob, dtype=np.uint8), np.frombuffer(row["begins"], dtype="<i8")
+    ids, begins = (np.frombuffer(row[name], dtype="<i8") for name in ("marks", "begins"))
+    return np.frombuffer(blob, dtype=np.uint8), begins, ids
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

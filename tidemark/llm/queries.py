@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
+from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_pairs(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip_digests(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -42,9 +46,11 @@ QUERIES = {
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
