@@ -82,11 +82,17 @@ def sends(chunk: int, keys: np.ndarray, parts: int, width: int, places: np.ndarr
 
 
 #: (keys, row of each key, places among the keys that have values, their values) -> (places, values) to answer
-Answer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: and numbers that describe the part
+Answer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[int]]]
+
+NOTE = -1  # stands for the chunk in the row that describes a part
 
 
 def exchanged(sent: DataFrame, width: int, answer: Answer) -> DataFrame:
-    """Reduces each part by ``answer``; a row (chunk, part, places, values) goes back for each row that came."""
+    """Reduces each part by ``answer``; a row (chunk, part, places, values) goes back for each row that came.
+
+    One row more, of chunk NOTE, has the numbers that describe the part.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         data = [table.column(name).to_pylist() for name in ("keys", "places", "values")]
@@ -95,7 +101,7 @@ def exchanged(sent: DataFrame, width: int, answer: Answer) -> DataFrame:
         places = np.concatenate([np.frombuffer(p, dtype="<u4").astype(np.int64) + b for p, b in zip(data[1], begin, strict=False)])
         values = np.concatenate([np.frombuffer(v, dtype="<i8") for v in data[2]])
         rows = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(begin))
-        back, values = answer(np.concatenate(keys), rows, places, values)
+        back, values, note = answer(np.concatenate(keys), rows, places, values)
         at = np.searchsorted(back, begin)
         own = [slice(at[r], at[r + 1]) for r in range(len(keys))]
         out = {
@@ -104,14 +110,29 @@ def exchanged(sent: DataFrame, width: int, answer: Answer) -> DataFrame:
             "places": [(back[o] - b).astype("<u4").tobytes() for o, b in zip(own, begin, strict=False)],
             "values": [values[o].astype("<i8").tobytes() for o in own],
         }
-        return pa.Table.from_pydict(out, schema=_ANSWERED).filter(pa.array([o.stop > o.start for o in own]))
+        noted = {"chunk": [NOTE], "part": [out["part"][0]], "places": [b""], "values": [np.array(note, dtype="<i8").tobytes()]}
+        some = pa.Table.from_pydict(out, schema=_ANSWERED).filter(pa.array([o.stop > o.start for o in own]))
+        return pa.concat_tables([some, pa.Table.from_pydict(noted, schema=_ANSWERED)])
 
     return sent.groupBy("part").applyInArrow(run, ANSWERED)
 
 
+def notes(answered: DataFrame, n: int) -> list[int]:
+    """The sums over all parts of the n numbers that describe a part."""
+
+    def run(batches):
+        for batch in batches:
+            values = [np.frombuffer(v.as_py(), dtype="<i8") for v in batch.column("values")]
+            total = np.sum(values, axis=0) if values else np.zeros(n, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({f"n{k}": [int(total[k])] for k in range(n)})
+
+    described = answered.where(F.col("chunk") == NOTE).select("values").mapInArrow(run, ", ".join(f"n{k} long" for k in range(n)))
+    return [int(x or 0) for x in described.agg(*[F.sum(f"n{k}") for k in range(n)]).first()]
+
+
 def by_chunk(answered: DataFrame, name: str) -> DataFrame:
     """One row a chunk: its answers, as many as it has keys at most."""
-    return answered.groupBy("chunk").agg(F.collect_list(F.struct("part", "places", "values")).alias(name))
+    return answered.where(F.col("chunk") != NOTE).groupBy("chunk").agg(F.collect_list(F.struct("part", "places", "values")).alias(name))
 
 
 def received(answers: list[dict] | None, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -136,12 +136,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, mark=None, target: int = 3
     given = docs.select(*columns, mark.alias("mark")) if mark is not None else docs.select(*columns)
     schema = CHUNK_SCHEMA + (", mark boolean" if mark is not None else "")
 
+    marked = mark is not None
+
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3)
         serial = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             parts = [(batch, None)]
-            if mark is not None:
+            if marked:
                 on = batch.column("mark").fill_null(False)
                 parts = [(batch.filter(on), True), (batch.filter(pc.invert(on)), False)]
             for part, value in parts:
@@ -154,10 +156,10 @@ def pack(docs: DataFrame, id_col: str, text_col: str, mark=None, target: int = 3
                         "begins": [begins.astype("<i8").tobytes()],
                         "blob": [squeeze.compress(blob.tobytes())],
                     }
-                    if mark is not None:
+                    if marked:
                         row["mark"] = [value]
                     serial += 1
-                    yield pa.RecordBatch.from_pydict(row, schema=_arrow_chunk(mark is not None))
+                    yield pa.RecordBatch.from_pydict(row, schema=_arrow_chunk(marked))
 
     return given.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality, substring_dedup
+from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, lm_score, quality, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_documents(spark, sf_dir))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_query(_documents(spark, sf_dir))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_lm_score": op4_lm_score,
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,

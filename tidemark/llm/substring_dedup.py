@@ -89,7 +89,7 @@ def _anchor_answer(keys, rows, places, values):
     np.minimum.at(least, group[places], values)
     least[np.bincount(group, minlength=len(least)) < 2] = _NONE
     back = np.flatnonzero(least[group] != _NONE)
-    return back, least[group[back]]
+    return back, least[group[back]], []
 
 
 def _window_answer(keys, rows, places, values):
@@ -101,7 +101,7 @@ def _window_answer(keys, rows, places, values):
     out = np.empty(len(keys), dtype=np.int64)
     out[order] = np.repeat(least, np.diff(np.append(begin, len(keys))))
     back = np.flatnonzero(out < values)
-    return back, out[back]
+    return back, out[back], []
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
