@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, lm_score, quality, substring_dedup, toxicity
+from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, lm_score, quality, substring_dedup, token_counts, toxicity, warc
+from tidemark.llm.common import scratch
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +17,22 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(_documents(spark, sf_dir))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-BPE tokens of every document, end-of-document 50256."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return token_counts.count_documents(
+        _documents(spark, sf_dir), scratch(spark, "tokens"), lambda: bpe.encoder(path, pattern).encode, end=50256
+    )
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_query(_documents(spark, sf_dir))
 
@@ -50,7 +63,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_token_counts": op3_token_counts,
     "op4_lm_score": op4_lm_score,
     "op5_quality_gam": op5_quality_gam,
     "op6_exact_dedup": op6_exact_dedup,
@@ -61,6 +76,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_index": warc.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
