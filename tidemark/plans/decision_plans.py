@@ -1 +1,213 @@
-"""Queries."""
+"""Queries: multiple testing, gates, calibration against frozen references, walk-forward, resampling."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import labels, resample, statistics
+from tidemark.plans.label_plans import LABELS, r8
+from tidemark.plans.registry import query
+from tidemark.plans.statistics_plans import _PANEL, _PART, _panel, partition_of
+from tidemark.sources.market import bars, observations, table, with_sql
+
+#: One hypothesis a customer: a p value from the balance, a tenth of them missing; families are market segments.
+_TESTS = "tests AS (SELECT c_mktsegment AS family, c_custkey AS hypothesis, CASE WHEN c_custkey % 10 <> 0 THEN abs(c_acctbal) / 20000 END AS p FROM customer)"
+
+
+def _tests(spark, sf):
+    p = F.when(F.col("c_custkey") % 10 != 0, F.abs("c_acctbal") / 20000)
+    return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("family"), F.col("c_custkey").alias("hypothesis"), p.alias("p"))
+
+
+_BH = f"WITH {_TESTS}, r AS (SELECT *, count(p) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family, p IS NOT NULL ORDER BY p, hypothesis) AS rk FROM tests), q AS (SELECT family, hypothesis, p, m, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / rk) OVER (PARTITION BY family, p IS NOT NULL ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM r)"
+
+
+@query("d01_benjamini_hochberg", f"{_BH} SELECT family, hypothesis, round(q, 8) AS q FROM q")
+def d01(spark, sf):
+    return statistics.benjamini_hochberg(_tests(spark, sf), "family", "p").select("family", "hypothesis", F.round("q", 8).alias("q"))
+
+
+@query("d02_family_correction", f"{_BH} SELECT family, count(p) AS evaluable, count(*) - count(p) AS missing, round(0.05 / max(m), 10) AS bonferroni, count(*) FILTER (WHERE q <= 0.05) AS pass_fdr, count(*) FILTER (WHERE p <= 0.05 / m) AS pass_bonferroni FROM q GROUP BY family")
+def d02(spark, sf):
+    q = statistics.benjamini_hochberg(_tests(spark, sf), "family", "p")
+    return q.groupBy("family").agg(
+        F.count("p").alias("evaluable"), (F.count(F.lit(1)) - F.count("p")).alias("missing"), F.round(0.05 / F.max("m"), 10).alias("bonferroni"),
+        F.count_if(F.col("q") <= 0.05).alias("pass_fdr"), F.count_if(F.col("p") <= 0.05 / F.col("m")).alias("pass_bonferroni"),
+    )
+
+
+@query("d03_registered_family", f"WITH {_TESTS}, t AS (SELECT family, hypothesis, coalesce(p, 1.0) AS p FROM tests), r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, hypothesis) AS rk FROM t) SELECT family, hypothesis, round(least(1.0, min(p * m / rk) OVER (PARTITION BY family ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 7) AS q FROM r")
+def d03(spark, sf):
+    padded = _tests(spark, sf).withColumn("p", F.coalesce("p", F.lit(1.0)))
+    return statistics.benjamini_hochberg(padded, "family", "p").select("family", "hypothesis", F.round("q", 7).alias("q"))
+
+
+_GATE = f"""{_PANEL}, s AS (SELECT sec, {_PART} AS part, ret_20d FROM p WHERE hit), g AS (SELECT sec, count(*) FILTER (WHERE part = 'OOS') AS oos_n, count(*) FILTER (WHERE part = 'TRAIN') AS train_n,
+avg(ret_20d) FILTER (WHERE part = 'OOS') AS oos_mean, avg(ret_20d) FILTER (WHERE part = 'TRAIN') AS train_mean FROM s GROUP BY sec)"""
+
+
+def _gate(spark, sf):
+    s = _panel(spark, sf).where("hit").withColumn("part", partition_of())
+    only = lambda part: F.when(F.col("part") == part, F.col("ret_20d"))
+    return s.groupBy("sec").agg(F.count(only("OOS")).alias("oos_n"), F.count(only("TRAIN")).alias("train_n"), F.avg(only("OOS")).alias("oos_mean"), F.avg(only("TRAIN")).alias("train_mean"))
+
+
+@query("d04_oos_gate", f"{_GATE} SELECT sec, CASE WHEN oos_n = 0 THEN 'NO_OOS_DATA' WHEN oos_n < 30 THEN 'INSUFFICIENT_SAMPLE' WHEN sign(oos_mean) <> sign(train_mean) THEN 'DIRECTION_REVERSED' WHEN oos_mean <= 0 THEN 'NOT_POSITIVE' ELSE 'PASSED' END AS status FROM g")
+def d04(spark, sf):
+    status = (
+        F.when(F.col("oos_n") == 0, "NO_OOS_DATA").when(F.col("oos_n") < 30, "INSUFFICIENT_SAMPLE")
+        .when(F.signum("oos_mean") != F.signum("train_mean"), "DIRECTION_REVERSED").when(F.col("oos_mean") <= 0, "NOT_POSITIVE").otherwise("PASSED")
+    )
+    return _gate(spark, sf).select("sec", status.alias("status"))
+
+
+@query("d05_gate_checks", f"{_GATE} SELECT sec, coalesce(oos_n >= 30, false) AS check_sample, coalesce(oos_mean > 0, false) AS check_mean, coalesce(sign(oos_mean) = sign(train_mean), false) AS check_sign, coalesce(abs(oos_mean) >= abs(train_mean) * 0.5, false) AS check_effect FROM g")
+def d05(spark, sf):
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return _gate(spark, sf).select(
+        "sec", sure(F.col("oos_n") >= 30).alias("check_sample"), sure(F.col("oos_mean") > 0).alias("check_mean"),
+        sure(F.signum("oos_mean") == F.signum("train_mean")).alias("check_sign"), sure(F.abs("oos_mean") >= F.abs("train_mean") * 0.5).alias("check_effect"),
+    )
+
+
+@query("d06_research_status", f"{_GATE} SELECT CASE WHEN train_n = 0 THEN 'NO_REAL_DATA' WHEN train_n < 30 THEN 'INSUFFICIENT' WHEN train_mean <= 0 THEN 'NOT_SUPPORTED' WHEN oos_mean > 0 THEN 'SUPPORTED' ELSE 'EXPLORATORY' END AS status, count(*) AS n FROM g GROUP BY 1")
+def d06(spark, sf):
+    status = F.when(F.col("train_n") == 0, "NO_REAL_DATA").when(F.col("train_n") < 30, "INSUFFICIENT").when(F.col("train_mean") <= 0, "NOT_SUPPORTED").when(F.col("oos_mean") > 0, "SUPPORTED").otherwise("EXPLORATORY")
+    return _gate(spark, sf).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w16_frozen_percentile", f"""{with_sql('obs')}, t AS (SELECT factor_id, score, count(*) AS c FROM obs WHERE {_PART} = 'TRAIN' GROUP BY 1, 2), n AS (SELECT factor_id, sum(c) AS n FROM t GROUP BY 1),
+o AS (SELECT factor_id, score, count(*) AS rows_n FROM obs WHERE {_PART} = 'OOS' GROUP BY 1, 2)
+SELECT o.factor_id, o.score, o.rows_n, round((coalesce(sum(t.c) FILTER (WHERE t.score < o.score), 0) + 0.5 * coalesce(sum(t.c) FILTER (WHERE t.score = o.score), 0)) / max(n.n), 8) AS pct
+FROM o JOIN n ON n.factor_id = o.factor_id LEFT JOIN t ON t.factor_id = o.factor_id AND t.score <= o.score GROUP BY 1, 2, 3""")
+def w16(spark, sf):
+    """Percentile against TRAIN only: running counts over the distinct values of both parts, no range join."""
+    values = observations(spark, sf).withColumn("part", partition_of()).groupBy("factor_id", "score").agg(
+        F.count_if(F.col("part") == "TRAIN").alias("c"), F.count_if(F.col("part") == "OOS").alias("rows_n")
+    )
+    w = Window.partitionBy("factor_id")
+    upto = F.sum("c").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    out = values.withColumn("total", F.sum("c").over(w)).withColumn("pct", (upto - 0.5 * F.col("c")) / F.nullif(F.sum("c").over(w), F.lit(0)))
+    return out.where("rows_n > 0 and total > 0").select("factor_id", "score", "rows_n", F.round("pct", 8).alias("pct"))
+
+
+@query("w17_walk_forward", f"""{with_sql('obs')}, f AS (SELECT y AS fold, make_date(y, 12, 31) AS train_end FROM range(1996, 2001) t(y))
+SELECT CAST(fold AS INT) AS fold, factor_id, count(*) FILTER (WHERE d <= train_end) AS train_n, round(avg(score) FILTER (WHERE d <= train_end), 8) AS train_mean, round(avg(score) FILTER (WHERE year(d) = fold + 1), 8) AS test_mean
+FROM f, obs GROUP BY fold, factor_id""")
+def w17(spark, sf):
+    """Expanding folds from yearly partial sums: rows are read once, only years are expanded."""
+    years = observations(spark, sf).groupBy("factor_id", F.year("d").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
+    folds = years.select("*", F.explode(F.sequence(F.lit(1996), F.lit(2000))).alias("fold"))
+    train, test = F.col("y") <= F.col("fold"), F.col("y") == F.col("fold") + 1
+    part = lambda cond, c: F.sum(F.when(cond, F.col(c)))
+    return folds.groupBy("fold", "factor_id").agg(
+        F.coalesce(part(train, "n"), F.lit(0)).alias("train_n"), F.round(part(train, "s") / part(train, "n"), 8).alias("train_mean"), F.round(part(test, "s") / part(test, "n"), 8).alias("test_mean")
+    )
+
+
+@query("x09_permutation_test")
+def x09(spark, sf):
+    """Date-stratified permutation of hits within dates, 200 draws."""
+    return resample.permutation_test(_panel(spark, sf).select("d", "hit", F.col("ret_20d").alias("value")), draws=200, seed=7)
+
+
+@query("x10_block_bootstrap")
+def x10(spark, sf):
+    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d")
+    return resample.bootstrap_mean(daily.select("d", F.col("spread").alias("value")), draws=1000, seed=7, block=1)
+
+
+@query("x11_moving_block_bootstrap")
+def x11(spark, sf):
+    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d")
+    return resample.bootstrap_mean(daily.select("d", F.col("spread").alias("value")), draws=1000, seed=7, block=20)
+
+
+@query("x12_sign_flip")
+def x12(spark, sf):
+    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d")
+    return resample.sign_flip(daily.select("d", F.col("spread").alias("value")), draws=2000, seed=7)
+
+
+@query("x02_random_position_control")
+def x02(spark, sf):
+    """Mean return of as many random events as there are hits, in 50 seeded draws."""
+    p = _panel(spark, sf).select("sec", "d", "hit", "ret_20d")
+    share = p.agg(F.avg(F.col("hit").cast("double")).alias("share"))
+    drawn = p.crossJoin(F.broadcast(share)).select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("draw"))
+    uniform = F.pmod(F.xxhash64(F.lit(7), "draw", "sec", "d"), F.lit(1_000_003)) / 1_000_003.0
+    return drawn.where(uniform < F.col("share")).groupBy("draw").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("ret_20d")).alias("mean_ret"))
+
+
+@query("x13_stratified_sample")
+def x13(spark, sf):
+    """Twenty securities from each size quintile, in the order of a seeded hash."""
+    size = bars(spark, sf).groupBy("sec").agg(F.sum("amount").alias("amount")).withColumn("k", F.lit(1))
+    tiers = size.withColumn("tier", F.ntile(5).over(Window.partitionBy("k").orderBy("amount")))
+    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.xxhash64(F.lit(7), "sec")))
+    return tiers.withColumn("place", place).where("place <= 20").select("sec", "tier", "place")
+
+
+@query("a21_welch_student_p")
+def a21(spark, sf):
+    """Welch's t with Satterthwaite's degrees of freedom and the two-sided Student p."""
+    g = _panel(spark, sf).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.avg("ret_20d").alias("m"), F.var_samp("ret_20d").alias("v"))
+    pick = lambda flag, c: F.max(F.when(F.col("hit") == flag, F.col(c)))
+    row = g.agg(*[pick(f, c).alias(f"{c}{int(f)}") for f in (True, False) for c in ("n", "m", "v")])
+    a, b = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    row = row.select(((F.col("m1") - F.col("m0")) / F.sqrt(a + b)).alias("t"), ((a + b) ** 2 / (a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("df"))
+
+    @F.pandas_udf("double")
+    def student(t: pd.Series, df: pd.Series) -> pd.Series:
+        def tail(t, n):
+            # the density in the angle atan(x / sqrt n) is cos(angle) ** (n - 1)
+            angle = np.linspace(0, np.pi / 2, 4001)
+            middle = (angle[1:] + angle[:-1]) / 2
+            density = np.cos(middle) ** (n - 1)
+            return float(density[middle > np.arctan(abs(t) / np.sqrt(n))].sum() / density.sum())
+
+        return pd.Series([tail(x, n) for x, n in zip(t, df, strict=True)])
+
+    return row.select("t", "df", student("t", "df").alias("p"))
+
+
+@query("a14_controlled_coefficient")
+def a14(spark, sf):
+    """Per date, least squares of the return on log amount and the hit dummy; mean and t of the dummy's coefficient."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.ones(len(pdf)), pdf["x"], pdf["hit"].astype(float)])
+        ok = len(pdf) >= 20 and np.linalg.matrix_rank(x) == 3
+        return pd.DataFrame({"d": [pdf["d"].iat[0]], "beta": [np.linalg.lstsq(x, pdf["ret_20d"], rcond=None)[0][2] if ok else None]})
+
+    p = _panel(spark, sf).select("d", "hit", "ret_20d", F.log("amount").alias("x"))
+    return p.groupBy("d").applyInPandas(fit, "d date, beta double").agg(*statistics.t_statistic("beta"))
+
+
+@query("d10_neutralization_matrix", f"""{with_sql('bars')}, {LABELS}, l AS (SELECT l.sec, l.d, b.volume, {_PART.replace(' d ', ' l.d ')} AS part, ret_5d, ret_20d FROM labels l JOIN bars b ON b.sec = l.sec AND b.d = l.d),
+o AS (SELECT part, d, obj, hit, h, r FROM (SELECT part, d, 'busy' AS obj, volume >= 30 AS hit, 5 AS h, ret_5d AS r FROM l UNION ALL SELECT part, d, 'busy', volume >= 30, 20, ret_20d FROM l UNION ALL SELECT part, d, 'quiet', volume < 10, 5, ret_5d FROM l UNION ALL SELECT part, d, 'quiet', volume < 10, 20, ret_20d FROM l) WHERE r IS NOT NULL),
+s AS (SELECT part, obj, h, d, avg(r) FILTER (WHERE hit) - avg(r) FILTER (WHERE NOT hit) AS spread FROM o GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5 AND count(*) FILTER (WHERE hit) > 0 AND count(*) FILTER (WHERE NOT hit) > 0)
+SELECT part, obj, h AS horizon, count(*) AS n, round(avg(spread), 8) + 0.0 AS mean FROM s GROUP BY 1, 2, 3""")
+def d10(spark, sf):
+    """Objects by partition by horizon in one grouped pass over unpivoted rows."""
+    l = labels.forward_returns(bars(spark, sf), (5, 20)).withColumn("part", partition_of())
+    o = l.selectExpr("part", "d", "volume", "stack(2, 5, ret_5d, 20, ret_20d) as (horizon, r)").selectExpr("part", "d", "horizon", "r", "stack(2, 'busy', volume >= 30, 'quiet', volume < 10) as (obj, hit)")
+    hit, rest = F.avg(F.when(F.col("hit"), F.col("r"))), F.avg(F.when(~F.col("hit"), F.col("r")))
+    s = o.where("r is not null").groupBy("part", "obj", "horizon", "d").agg(F.count(F.lit(1)).alias("rows_n"), hit.alias("a"), rest.alias("b")).where("rows_n >= 5 and a is not null and b is not null")
+    return s.groupBy("part", "obj", "horizon").agg(F.count(F.lit(1)).alias("n"), r8(F.avg(F.col("a") - F.col("b"))).alias("mean"))
+
+
+@query("d14_certification", f"""{with_sql('bars')} SELECT count(*) AS rows_n, count(*) FILTER (WHERE close <= 0 OR high <= 0 OR low <= 0) AS non_positive_ohlc, count(*) FILTER (WHERE high < close OR high < low) AS high_below_component, count(*) FILTER (WHERE low > close OR low > high) AS low_above_component,
+count(*) FILTER (WHERE volume < 0) AS negative_volume, CASE WHEN count(*) FILTER (WHERE close <= 0 OR volume < 0) > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE high < close - 0.000001) > 0 THEN 'PARTIAL' ELSE 'PASS' END AS verdict FROM (SELECT sec, d, volume, round(close, 9) AS close, round(high, 9) AS high, round(low, 9) AS low FROM bars)""")
+def d14(spark, sf):
+    b = bars(spark, sf).select("volume", *[F.round(c, 9).alias(c) for c in ("close", "high", "low")])
+    bad = F.count_if((F.col("close") <= 0) | (F.col("volume") < 0))
+    verdict = F.when(bad > 0, "FAIL").when(F.count_if(F.col("high") < F.col("close") - 0.000001) > 0, "PARTIAL").otherwise("PASS")
+    return b.agg(
+        F.count(F.lit(1)).alias("rows_n"), F.count_if((F.col("close") <= 0) | (F.col("high") <= 0) | (F.col("low") <= 0)).alias("non_positive_ohlc"),
+        F.count_if((F.col("high") < F.col("close")) | (F.col("high") < F.col("low"))).alias("high_below_component"), F.count_if((F.col("low") > F.col("close")) | (F.col("low") > F.col("high"))).alias("low_above_component"),
+        F.count_if(F.col("volume") < 0).alias("negative_volume"), verdict.alias("verdict"),
+    )
