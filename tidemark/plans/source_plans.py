@@ -1 +1,219 @@
-"""Queries."""
+"""Queries: scans, normalisation, merges and sinks."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query
+from tidemark.sources import store
+from tidemark.sources.market import bars, table, trading_days, universe, with_sql
+
+
+def _latest(df, keys, *order):
+    """One row a key: the first in the order given."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+@query("s02_predicate_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_suppkey = 7 AND l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01'")
+def s02(spark, sf):
+    """Both predicates reach the Parquet scan; three columns and the two tested are read."""
+    lines = table(spark, sf, "lineitem").where((F.col("l_suppkey") == 7) & (F.col("l_shipdate") >= "1998-01-01") & (F.col("l_shipdate") < "1999-01-01"))
+    return lines.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("s03_catalog", f"{with_sql('bars')} SELECT sec, s_name AS name, min(d) AS first_d, max(d) AS last_d, count(*) AS n, coalesce(max(o.n_big), 0) > 0 AS has_big FROM bars JOIN supplier ON s_suppkey = sec LEFT JOIN (SELECT l_suppkey, count(*) AS n_big FROM lineitem WHERE l_quantity >= 50 GROUP BY 1) o ON o.l_suppkey = sec GROUP BY 1, 2")
+def s03(spark, sf):
+    big = table(spark, sf, "lineitem").where("l_quantity >= 50").groupBy(F.col("l_suppkey").alias("sec")).agg(F.count(F.lit(1)).alias("n_big"))
+    catalog = bars(spark, sf).groupBy("sec").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.count(F.lit(1)).alias("n"))
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sec"), F.col("s_name").alias("name"))
+    return catalog.join(names, "sec").join(big, "sec", "left").select("sec", "name", "first_d", "last_d", "n", (F.coalesce("n_big", F.lit(0)) > 0).alias("has_big"))
+
+
+@query("s07_source_precedence", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, CASE WHEN c_custkey % 5 <> 0 THEN -1.0 END, 0.0) AS value, CASE WHEN c_custkey % 3 <> 0 THEN 'vendor' WHEN c_custkey % 5 <> 0 THEN 'cache' ELSE 'synthetic' END AS source FROM customer")
+def s07(spark, sf):
+    """Fallback by priority: union of what each source has, first one a key."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    tiers = (
+        c.where("c_custkey % 3 <> 0").selectExpr("c_custkey", "c_acctbal as value", "'vendor' as source", "0 as priority")
+        .unionByName(c.where("c_custkey % 5 <> 0").selectExpr("c_custkey", "cast(-1 as double) as value", "'cache' as source", "1 as priority"))
+        .unionByName(c.selectExpr("c_custkey", "cast(0 as double) as value", "'synthetic' as source", "2 as priority"))
+    )
+    first = F.min_by(F.struct("value", "source"), "priority")
+    return tiers.groupBy("c_custkey").agg(first.alias("f")).select("c_custkey", "f.value", "f.source")
+
+
+@query("s10_normalize_keep_last", "SELECT user_id, CAST(ts AS DATE) AS d, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def s10(spark, sf):
+    """Rename, coerce, drop null dates, keep the last row a key by an aggregate rather than a sort."""
+    e = table(spark, sf, "events").withColumnsRenamed({"event_id": "id"}).withColumn("d", F.to_date("ts")).where("d is not null")
+    return e.groupBy("user_id", "d").agg(F.max_by("event_type", "id").alias("event_type"), F.max("id").alias("event_id"))
+
+
+@query("s11_patch_union", "WITH a AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_custkey, -c_acctbal AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) SELECT * FROM a UNION ALL SELECT * FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM a)")
+def s11(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    vendor, patch = c.where("c_custkey % 4 <> 0"), c.where("c_custkey % 2 = 0").withColumn("c_acctbal", -F.col("c_acctbal"))
+    return vendor.unionByName(patch.join(vendor, "c_custkey", "left_anti"))
+
+
+@query("s13_overlay_merge", f"{with_sql('bars')}, delta AS (SELECT sec, d, close * 2 AS close FROM bars WHERE day(d) = 15 UNION ALL SELECT sec, d + 4000, close FROM bars WHERE day(d) = 1) SELECT coalesce(x.sec, b.sec) AS sec, coalesce(x.d, b.d) AS d, round(coalesce(x.close, b.close), 8) AS close FROM bars b FULL OUTER JOIN delta x ON x.sec = b.sec AND x.d = b.d")
+def s13(spark, sf):
+    b = bars(spark, sf).select("sec", "d", "close")
+    delta = b.where("day(d) = 15").withColumn("close", F.col("close") * 2).unionByName(b.where("day(d) = 1").withColumn("d", F.date_add("d", 4000)))
+    return store.overlay(b, delta, ["sec", "d"]).select("sec", "d", F.round("close", 8).alias("close"))
+
+
+@query("s14_committed_delta", "WITH x AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderkey % 16 AS batch_seq FROM orders), b AS (SELECT unnest(range(0, 16)) AS batch_seq), c AS (SELECT x.* FROM x JOIN b USING (batch_seq) WHERE batch_seq % 3 <> 0 AND batch_seq <= 12) SELECT o_custkey, o_orderkey, o_totalprice, batch_seq FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY batch_seq DESC, o_orderkey DESC) AS rn FROM c) WHERE rn = 1")
+def s14(spark, sf):
+    x = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", (F.col("o_orderkey") % 16).alias("batch_seq"))
+    committed = spark.range(16).where("id % 3 <> 0 and id <= 12").withColumnRenamed("id", "batch_seq")
+    return _latest(x.join(F.broadcast(committed), "batch_seq"), ["o_custkey"], F.desc("batch_seq"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice", "batch_seq")
+
+
+@query("s15_import_validator", f"{with_sql('bars')} SELECT sec, count(*) AS n, count(*) - count(DISTINCT d) AS dup_dates, count(*) FILTER (WHERE close <= 0) AS non_positive, count(*) FILTER (WHERE high < low) AS crossed FROM bars GROUP BY sec")
+def s15(spark, sf):
+    by_day = bars(spark, sf).groupBy("sec", "d").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("close") <= 0).alias("np"), F.count_if(F.col("high") < F.col("low")).alias("x"))
+    return by_day.groupBy("sec").agg(F.sum("c").alias("n"), (F.sum("c") - F.count(F.lit(1))).alias("dup_dates"), F.sum("np").alias("non_positive"), F.sum("x").alias("crossed"))
+
+
+@query("s16_sorted_sink", f"{with_sql('bars')} SELECT sec, count(*) AS n, min(d) AS first_d FROM bars WHERE sec = 7 GROUP BY sec")
+def s16(spark, sf):
+    """Written in ranges of (sec, d), zstd, so that row groups prune; then read with a predicate."""
+    path = store.scratch(spark, "sorted-bars")
+    store.write_sorted(bars(spark, sf), path, ["sec", "d"])
+    return spark.read.parquet(path).where("sec = 7").groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"))
+
+
+@query("s17_versioned_shards", f"{with_sql('bars')} SELECT sec, CAST(year(d) AS INT) AS y, count(*) AS n FROM bars GROUP BY 1, 2")
+def s17(spark, sf):
+    """Shards by (sec, year) behind a manifest of row counts and digests; only registered, verified shards are read."""
+    shards = store.ShardStore(store.scratch(spark, "shards"))
+    b = bars(spark, sf).select("sec", "d", "close").withColumn("y", F.year("d"))
+    shards.publish(b, ["sec", "y"])
+    return shards.read(spark).groupBy("sec", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s19_label_upsert", "WITH o AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM o FULL OUTER JOIN n ON n.k = o.k")
+def s19(spark, sf):
+    x = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 2).alias("odd")).agg(F.max("o_orderkey").alias("v"))
+    return store.overlay(x.where("odd = 0").drop("odd"), x.where("odd = 1").drop("odd"), ["k"])
+
+
+@query("s20_shard_merge", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys_n, CAST(0 AS BIGINT) AS overlapping FROM orders")
+def s20(spark, sf):
+    """Shards merged with a check that no key is in two of them."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    merged = o.where("o_orderkey % 2 = 0").withColumn("shard", F.lit(0)).unionByName(o.where("o_orderkey % 2 = 1").withColumn("shard", F.lit(1)))
+    keys = merged.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("c"), F.min("shard").alias("lo"), F.max("shard").alias("hi"))
+    return keys.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys_n"), F.count_if(F.col("lo") != F.col("hi")).alias("overlapping"))
+
+
+@query("s06_zip_of_csv")
+def s06(spark, sf):
+    """Zipped CSV files, one member a security, to one long frame: binary files decoded by Arrow-batched Python."""
+    path = store.scratch(spark, "zips")
+
+    def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for sec, part in pdf.groupby("sec"):
+                z.writestr(f"{sec}.csv", part[["d", "close"]].to_csv(index=False))
+        return pd.DataFrame({"y": [pdf["y"].iat[0]], "content": [data.getvalue()]})
+
+    b = bars(spark, sf).where("sec < 20").select("sec", "d", "close", F.year("d").alias("y"))
+    b.groupBy("y").applyInPandas(zipped, "y int, content binary").write.parquet(path)
+
+    def members(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        yield pd.read_csv(z.open(name)).assign(sec=int(name[:-4]))[["sec", "d", "close"]]
+
+    long = spark.read.parquet(path).select("content").mapInPandas(members, "sec long, d string, close double")
+    return long.groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("d")).alias("first_d"))
+
+
+@query("s05_content_addressed_blobs")
+def s05(spark, sf):
+    """Blobs named by their SHA-256; a reader refuses those whose bytes do not match."""
+    blobs = table(spark, sf, "supplier").select("s_suppkey", F.encode("s_name", "utf-8").alias("content")).withColumn("sha", F.sha2("content", 256))
+
+    def verified(batches):
+        for pdf in batches:
+            ok = [hashlib.sha256(c).hexdigest() == s for c, s in zip(pdf["content"], pdf["sha"], strict=True)]
+            yield pdf.loc[ok, ["s_suppkey", "sha"]]
+
+    return blobs.mapInPandas(verified, "s_suppkey long, sha string")
+
+
+@query("s09_synthetic_walk")
+def s09(spark, sf):
+    """Seeded geometric random walk on weekdays, for ten securities."""
+    days = F.explode(F.sequence(F.to_date(F.lit("2000-01-03")), F.to_date(F.lit("2000-12-29")))).alias("d")
+    grid = spark.range(10).select(F.col("id").alias("sec"), days).where(F.dayofweek("d").between(2, 6))
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(k), "sec", "d"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    shock = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2)) * 0.02
+    return grid.select("sec", "d", F.exp(F.sum(shock).over(Window.partitionBy("sec").orderBy("d"))).alias("close"))
+
+
+@query("c01_calendar_merge", f"{with_sql('days')}, o AS (SELECT * FROM days WHERE d <= DATE '2000-12-31'), n AS (SELECT * FROM days WHERE d >= DATE '2000-06-01') SELECT count(*) AS n, max(d) AS last_d, (SELECT count(*) FROM n WHERE d NOT IN (SELECT d FROM o)) AS added FROM (SELECT d FROM o UNION SELECT d FROM n)")
+def c01(spark, sf):
+    days = trading_days(spark, sf)
+    sides = days.select("d", (F.col("d") <= F.to_date(F.lit("2000-12-31"))).alias("old"), (F.col("d") >= F.to_date(F.lit("2000-06-01"))).alias("new"))
+    return sides.where(F.col("old") | F.col("new")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last_d"), F.count_if(~F.col("old")).alias("added"))
+
+
+@query("c02_closure_ranges", "SELECT CAST(g AS DATE) AS d FROM (VALUES (DATE '1999-12-30', DATE '2000-01-03'), (DATE '2000-05-01', DATE '2000-05-05')) v(a, b), unnest(generate_series(a, b, INTERVAL 1 DAY)) t(g)")
+def c02(spark, sf):
+    """Text such as ``12-30..01-03 of 1999`` to days, rolling over the year."""
+    text = spark.createDataFrame([("1999:12-30..01-03",), ("2000:05-01..05-05",)], "t string")
+    part = lambda k: F.regexp_extract("t", r"(\d{4}):(\d\d-\d\d)\.\.(\d\d-\d\d)", k)
+    end_year = part(1).cast("int") + (part(3) < part(2)).cast("int")
+    start, end = F.to_date(F.concat(part(1), F.lit("-"), part(2))), F.to_date(F.concat(end_year.cast("string"), F.lit("-"), part(3)))
+    return text.select(F.explode(F.sequence(start, end)).alias("d"))
+
+
+@query("c03_published_calendar", f"{with_sql('days')}, a AS (SELECT CAST(g AS DATE) AS d FROM unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) t(g) WHERE dayofweek(g) BETWEEN 1 AND 5) SELECT count(*) AS published, count(days.d) AS observed, count(*) - count(days.d) AS mismatched FROM a LEFT JOIN days ON days.d = a.d")
+def c03(spark, sf):
+    year = spark.sql("select explode(sequence(date'1996-01-01', date'1996-12-31')) as d").where(F.dayofweek("d").between(2, 6))
+    both = year.join(trading_days(spark, sf).withColumn("seen", F.lit(1)), "d", "left")
+    return both.agg(F.count(F.lit(1)).alias("published"), F.count("seen").alias("observed"), (F.count(F.lit(1)) - F.count("seen")).alias("mismatched"))
+
+
+@query("c04_universe_build", f"{with_sql('universe')} SELECT sec, list_date, delist_date, board FROM universe")
+def c04(spark, sf):
+    return universe(spark, sf)
+
+
+@query("c05_master_repair", "SELECT coalesce(n.k, o.k) AS k, coalesce(o.v, n.v) AS v, CASE WHEN o.k IS NULL THEN 'inserted' WHEN o.v IS NULL THEN 'filled' ELSE 'kept' END AS action FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS v FROM supplier WHERE s_suppkey % 7 <> 0) o FULL OUTER JOIN (SELECT s_suppkey AS k, lower(s_name) AS v FROM supplier) n ON n.k = o.k")
+def c05(spark, sf):
+    s = table(spark, sf, "supplier")
+    old = s.where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("v0"), F.lit(True).alias("known"))
+    new = s.select(F.col("s_suppkey").alias("k"), F.lower("s_name").alias("v1"))
+    action = F.when(F.col("known").isNull(), "inserted").when(F.col("v0").isNull(), "filled").otherwise("kept")
+    return old.join(new, "k", "full_outer").select("k", F.coalesce("v0", "v1").alias("v"), action.alias("action"))
+
+
+@query("c07_recompute_audit", f"{with_sql('bars')} SELECT count(*) AS rows_n, CAST(0 AS BIGINT) AS mismatches FROM bars")
+def c07(spark, sf):
+    """Labels twice, by window and by self-join on the bar's ordinal, compared null-safely."""
+    b = bars(spark, sf).select("sec", "d", "close").withColumn("i", F.row_number().over(Window.partitionBy("sec").orderBy("d")))
+    window = b.withColumn("w", F.lead("close", 5).over(Window.partitionBy("sec").orderBy("d")) / F.col("close") - 1)
+    ahead = b.select("sec", (F.col("i") - 5).alias("i"), F.col("close").alias("later"))
+    both = window.join(ahead, ["sec", "i"], "left").withColumn("j", F.col("later") / F.col("close") - 1)
+    return both.agg(F.count(F.lit(1)).alias("rows_n"), F.count_if(~F.col("w").eqNullSafe(F.col("j"))).alias("mismatches"))
+
+
+@query("c10_session_overlap", "SELECT slot, greatest(0, least(slot * 120 + 120, 690) - greatest(slot * 120, 570)) + greatest(0, least(slot * 120 + 120, 900) - greatest(slot * 120, 780)) AS minutes FROM range(0, 12) t(slot)")
+def c10(spark, sf):
+    """Minutes of each two-hour slot inside the sessions 09:30-11:30 and 13:00-15:00."""
+    slot = F.col("id") * 120
+    inside = lambda a, b: F.greatest(F.lit(0), F.least(slot + 120, F.lit(b)) - F.greatest(slot, F.lit(a)))
+    return spark.range(12).select(F.col("id").alias("slot"), (inside(570, 690) + inside(780, 900)).alias("minutes"))
