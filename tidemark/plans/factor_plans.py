@@ -1 +1,175 @@
-"""Queries."""
+"""Queries: domain scalar functions over a calendar dimension, and entity by date scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import pillars as p
+from tidemark.plans.registry import query
+from tidemark.sources.market import table, trading_days, universe, with_sql
+
+_ANCHOR = "DATE '2000-01-01'"  # day 55 (from 1) of the sixty-cycle
+_DAYP = f"dp AS (SELECT d, CAST(((d - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 AS idx, CAST(((d - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 % 10 AS stem, CAST(((d - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 % 12 AS branch FROM days)"
+_NATAL = f"natal AS (SELECT sec, board, CAST(((list_date - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 % 10 AS nstem, CAST(((list_date - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 % 12 AS nbranch FROM universe)"
+
+
+def _days(spark, sf):
+    index = p.cycle_index(F.col("d"))
+    return trading_days(spark, sf).select("d", index.alias("idx"), (index % 10).alias("stem"), (index % 12).alias("branch"))
+
+
+def _natal(spark, sf):
+    index = p.cycle_index(F.col("list_date"))
+    return universe(spark, sf).select("sec", "board", (index % 10).alias("nstem"), (index % 12).alias("nbranch"))
+
+
+def _scan(spark, sf):
+    """Every security on every tenth trading day of 1999; days are a small dimension."""
+    few = _days(spark, sf).where((F.year("d") == 1999) & (F.dayofmonth("d") % 10 == 0))
+    return _natal(spark, sf).crossJoin(F.broadcast(few))
+
+
+_SCAN = f"{with_sql('days', 'universe')}, {_DAYP}, {_NATAL}, scan AS (SELECT * FROM natal, dp WHERE year(d) = 1999 AND day(d) % 10 = 0)"
+_STEMS, _BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
+
+
+@query("f04_day_pillar", f"{with_sql('days')}, {_DAYP} SELECT d, substr('{_STEMS}', stem + 1, 1) || substr('{_BRANCHES}', branch + 1, 1) AS pillar FROM dp")
+def f04(spark, sf):
+    return _days(spark, sf).select("d", p.pillar_name(F.col("idx")).alias("pillar"))
+
+
+_GODS = ["比肩", "劫财", "食神", "伤官", "偏财", "正财", "七杀", "正官", "偏印", "正印"]
+_TEN = lambda a, b: f"CAST(((({b}) // 2 - ({a}) // 2) % 5 + 5) % 5 * 2 + CASE WHEN ({a}) % 2 = ({b}) % 2 THEN 0 ELSE 1 END AS INT)"
+_NAMES = "[" + ", ".join(f"'{g}'" for g in _GODS) + "]"
+
+
+@query("f01_ten_god", f"SELECT a.s AS day_stem, b.s AS other_stem, list_extract({_NAMES}, {_TEN('a.s', 'b.s')} + 1) AS god FROM range(0, 10) a(s), range(0, 10) b(s)")
+def f01(spark, sf):
+    a, b = spark.range(10).withColumnRenamed("id", "day_stem"), spark.range(10).withColumnRenamed("id", "other_stem")
+    return a.crossJoin(b).select("day_stem", "other_stem", p.ten_god(F.col("day_stem"), F.col("other_stem")).alias("god"))  # 10 x 10 lookup
+
+
+@query("f02_element_relations", "SELECT e AS element, (e + 1) % 5 AS generates, (e + 2) % 5 AS overcomes FROM range(0, 5) t(e)")
+def f02(spark, sf):
+    return spark.range(5).select(F.col("id").alias("element"), p.generates(F.col("id")).alias("generates"), p.overcomes(F.col("id")).alias("overcomes"))
+
+
+_START = "[11, 6, 2, 9, 2, 9, 5, 0, 8, 3]"
+
+
+@query("f03_twelve_stage", f"SELECT s AS stem, b AS branch, CAST(((CASE WHEN s % 2 = 0 THEN b - list_extract({_START}, CAST(s + 1 AS INT)) ELSE list_extract({_START}, CAST(s + 1 AS INT)) - b END) % 12 + 12) % 12 AS INT) AS stage FROM range(0, 10) x(s), range(0, 12) y(b)")
+def f03(spark, sf):
+    grid = spark.range(10).withColumnRenamed("id", "stem").crossJoin(spark.range(12).withColumnRenamed("id", "branch"))  # 120 rows
+    return grid.select("stem", "branch", p.twelve_stage(F.col("stem"), F.col("branch")).alias("stage"))
+
+
+_CLASH, _HARM6 = "(nbranch - branch + 12) % 12 = 6", "(nbranch + branch) % 12 = 1"
+_TRIPLE = "nbranch <> branch AND (nbranch - branch + 12) % 4 = 0"
+
+
+@query("f05_branch_relations", f"{_SCAN} SELECT sec, d, {_CLASH} AS clash, {_HARM6} AS harmony, {_TRIPLE} AS triple FROM scan")
+def f05(spark, sf):
+    a, b = F.col("nbranch"), F.col("branch")
+    return _scan(spark, sf).select("sec", "d", p.clash(a, b).alias("clash"), p.harmony(a, b).alias("harmony"), p.triple(a, b).alias("triple"))
+
+
+@query("f09_relation_counts", f"{_SCAN} SELECT d, count(*) FILTER (WHERE {_CLASH}) AS clashes, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_TRIPLE}) AS triples FROM scan GROUP BY d")
+def f09(spark, sf):
+    a, b = F.col("nbranch"), F.col("branch")
+    return _scan(spark, sf).groupBy("d").agg(F.count_if(p.clash(a, b)).alias("clashes"), F.count_if(p.harmony(a, b)).alias("harmonies"), F.count_if(p.triple(a, b)).alias("triples"))
+
+
+@query("f11_ten_god_counts", f"{_SCAN} SELECT sec, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, count(*) AS n FROM scan GROUP BY 1, 2")
+def f11(spark, sf):
+    return _scan(spark, sf).groupBy("sec", p.ten_god(F.col("nstem"), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f12_classify_element", f"{_SCAN} SELECT sec, d, CASE (stem // 2 - nstem // 2 + 5) % 5 WHEN 4 THEN 1.0::DOUBLE WHEN 0 THEN 0.6 WHEN 1 THEN 0.0 WHEN 2 THEN -0.8 ELSE -1.0 END AS value FROM scan")
+def f12(spark, sf):
+    """Role values: use, like, idle, hostile, avoid; tested in the order of precedence."""
+    return _scan(spark, sf).select("sec", "d", p.role_value(F.col("nstem"), F.col("stem")).alias("value"))
+
+
+@query("f20_birth_model", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 570 MINUTE AS open_birth, CAST(CAST(o_orderdate AS DATE) - 7 AS DATE) AS approximate FROM orders WHERE o_orderkey % 10 = 0")
+def f20(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
+    open_ = F.make_timestamp_ntz(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.lit(9), F.lit(30), F.lit(0))
+    return o.select("o_orderkey", open_.alias("open_birth"), F.date_sub(F.to_date("o_orderdate"), 7).alias("approximate"))
+
+
+@query("f21_code_parse", "SELECT code, CASE WHEN suffix = 'SH' THEN 'SSE' WHEN suffix = 'SZ' THEN 'SZSE' WHEN suffix = 'BJ' THEN 'BSE' ELSE 'UNKNOWN' END AS exchange, CASE WHEN starts_with(num, '688') THEN 'STAR' WHEN starts_with(num, '300') THEN 'CHINEXT' ELSE 'MAIN' END AS board FROM (SELECT code, regexp_extract(code, '^(\\d{6})', 1) AS num, regexp_extract(code, '\\.([A-Z]{2})$', 1) AS suffix FROM (SELECT lpad(CAST((s_suppkey * 7919) % 700000 AS VARCHAR), 6, '0') || list_extract(['.SH', '.SZ', '.BJ', ''], CAST(s_suppkey % 4 + 1 AS INT)) AS code FROM supplier))")
+def f21(spark, sf):
+    suffix = F.element_at(F.array(*map(F.lit, (".SH", ".SZ", ".BJ", ""))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    code = F.concat(F.lpad(((F.col("s_suppkey") * 7919) % 700000).cast("string"), 6, "0"), suffix)
+    return table(spark, sf, "supplier").select(code.alias("code")).select("code", p.exchange_of(F.col("code")).alias("exchange"), p.board_of(F.col("code")).alias("board"))
+
+
+@query("f22_day_class", f"{with_sql('days')}, {_DAYP} SELECT d, CASE WHEN branch IN (0, 2, 3, 6, 7, 9) THEN 'good' WHEN branch IN (1, 4, 5, 8, 10) THEN 'bad' END AS class FROM dp")
+def f22(spark, sf):
+    b = F.col("branch")
+    return _days(spark, sf).select("d", F.when(b.isin(0, 2, 3, 6, 7, 9), "good").when(b.isin(1, 4, 5, 8, 10), "bad").alias("class"))
+
+
+@query("f23_research_date", f"{with_sql('days')}, a AS (SELECT CAST(g AS DATE) AS asked FROM unnest(generate_series(DATE '2001-09-01', DATE '2001-12-31', INTERVAL 1 DAY)) t(g)), r AS (SELECT asked, (SELECT min(d) FROM days WHERE d >= asked) AS resolved FROM a) SELECT asked, resolved, CASE WHEN resolved IS NULL THEN 'UNAVAILABLE' WHEN resolved = asked THEN 'EXACT' ELSE 'SHIFTED' END AS status FROM r")
+def f23(spark, sf):
+    from tidemark.operators.asof import asof_join
+
+    asked = spark.sql("select 1 as k, explode(sequence(date'2001-09-01', date'2001-12-31')) as asked")
+    found = asof_join(asked, trading_days(spark, sf).withColumn("k", F.lit(1)), by="k", left_on="asked", right_on="d", take=["k"], forward=True)
+    resolved = F.col("d_found")
+    status = F.when(resolved.isNull(), "UNAVAILABLE").when(resolved == F.col("asked"), "EXACT").otherwise("SHIFTED")
+    return found.select("asked", resolved.alias("resolved"), status.alias("status"))
+
+
+@query("f26_god_dates", f"{_SCAN}, g AS (SELECT board, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, d FROM scan) SELECT board, god, count(DISTINCT d) AS dates, min(d) AS first_d FROM g GROUP BY 1, 2")
+def f26(spark, sf):
+    god = p.ten_god(F.col("nstem"), F.col("stem"))
+    return _scan(spark, sf).groupBy("board", god.alias("god")).agg(F.countDistinct("d").alias("dates"), F.min("d").alias("first_d"))
+
+
+@query("f28_canonical_digest", "SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey::VARCHAR || ',\"c_name\":\"' || c_name || '\"}') AS digest FROM customer")
+def f28(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.sha2(F.to_json(F.struct("c_custkey", "c_name")), 256).alias("digest"))
+
+
+@query("f29_tri_state_calendar", f"{with_sql('days')}, a AS (SELECT CAST(g AS DATE) AS d FROM unnest(generate_series(DATE '2001-06-01', DATE '2002-01-31', INTERVAL 1 DAY)) t(g)), m AS (SELECT max(d) AS last_d FROM days) SELECT a.d, CASE WHEN days.d IS NOT NULL THEN true WHEN a.d <= last_d THEN false WHEN dayofweek(a.d) IN (0, 6) THEN false END AS is_open, CASE WHEN a.d <= last_d THEN 'observed_index_days' WHEN dayofweek(a.d) IN (0, 6) THEN 'weekend_rule_fallback' ELSE 'out_of_coverage' END AS source FROM a CROSS JOIN m LEFT JOIN days ON days.d = a.d")
+def f29(spark, sf):
+    days = trading_days(spark, sf)
+    asked = spark.sql("select explode(sequence(date'2001-06-01', date'2002-01-31')) as d")
+    last = days.agg(F.max("d").alias("last_d"))
+    j = asked.crossJoin(F.broadcast(last)).join(days.withColumn("seen", F.lit(True)), "d", "left")  # one row
+    covered, weekend = F.col("d") <= F.col("last_d"), F.dayofweek("d").isin(1, 7)
+    is_open = F.when(F.col("seen"), True).when(covered, False).when(weekend, False)
+    source = F.when(covered, "observed_index_days").when(weekend, "weekend_rule_fallback").otherwise("out_of_coverage")
+    return j.select("d", is_open.alias("is_open"), source.alias("source"))
+
+
+@query("j25_date_scan", f"{_SCAN}, s AS (SELECT sec, d, CAST({_HARM6} AS INT) + CAST({_TRIPLE} AS INT) - CAST({_CLASH} AS INT) AS score FROM scan) SELECT sec, d, score, round((rank() OVER (PARTITION BY d ORDER BY score) - 1 + 0.5 * count(*) OVER (PARTITION BY d, score)) / count(*) OVER (PARTITION BY d) * 100, 2) AS pct FROM s")
+def j25(spark, sf):
+    a, b = F.col("nbranch"), F.col("branch")
+    score = p.harmony(a, b).cast("int") + p.triple(a, b).cast("int") - p.clash(a, b).cast("int")
+    s = _scan(spark, sf).select("sec", "d", score.alias("score"))
+    by_day = Window.partitionBy("d")
+    less = F.rank().over(by_day.orderBy("score")) - 1
+    equal = F.count(F.lit(1)).over(Window.partitionBy("d", "score"))
+    return s.select("sec", "d", "score", F.round((less + 0.5 * equal) / F.count(F.lit(1)).over(by_day) * 100, 2).alias("pct"))
+
+
+@query("c20_date_fingerprint", f"{with_sql('days')}, {_DAYP} SELECT d, (branch + 6) % 12 AS clash_branch, (13 - branch) % 12 AS harmony_branch, (stem + 5) % 10 AS partner_stem FROM dp")
+def c20(spark, sf):
+    b = F.col("branch")
+    return _days(spark, sf).select("d", ((b + 6) % 12).alias("clash_branch"), ((13 - b) % 12).alias("harmony_branch"), ((F.col("stem") + 5) % 10).alias("partner_stem"))
+
+
+@query("c26_relation_factors", f"{_SCAN} SELECT sec, d, relation, CAST(1 AS BIGINT) AS n FROM (SELECT sec, d, unnest(list_filter([CASE WHEN {_CLASH} THEN 'clash' END, CASE WHEN {_HARM6} THEN 'harmony' END, CASE WHEN {_TRIPLE} THEN 'triple' END], lambda x: x IS NOT NULL)) AS relation FROM scan)")
+def c26(spark, sf):
+    a, b = F.col("nbranch"), F.col("branch")
+    held = F.array_compact(F.array(F.when(p.clash(a, b), "clash"), F.when(p.harmony(a, b), "harmony"), F.when(p.triple(a, b), "triple")))
+    return _scan(spark, sf).select("sec", "d", F.explode(held).alias("relation")).groupBy("sec", "d", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c19_month_windows", f"{with_sql('days')} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, min(d) AS first_d, max(d) AS last_d, count(*) AS n FROM days GROUP BY 1")
+def c19(spark, sf):
+    ym = F.year("d") * 100 + F.month("d")
+    return trading_days(spark, sf).groupBy(ym.alias("ym")).agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.count(F.lit(1)).alias("n"))

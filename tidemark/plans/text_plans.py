@@ -1 +1,59 @@
-"""Queries."""
+"""Queries: retrieval over a text corpus, and checks of narrative text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import retrieval
+from tidemark.plans.registry import query
+from tidemark.sources.market import table
+
+_WORDS = "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')) AS term FROM documents)"
+_QUERY = ("the", "idiot", "of", "license")
+
+
+@query("k01_tokenize", f"WITH {_WORDS} SELECT doc_id, count(*) AS n, count(DISTINCT term) AS distinct_n FROM w GROUP BY doc_id")
+def k01(spark, sf):
+    terms = retrieval.tokens(table(spark, sf, "documents"))
+    return terms.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("distinct_n"))
+
+
+_BM25 = f"""WITH {_WORDS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN ('the', 'idiot', 'of', 'license') GROUP BY 1),
+s AS (SELECT tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN n GROUP BY 1)"""
+
+
+@query("k02_bm25", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM s")
+def k02(spark, sf):
+    return retrieval.bm25(table(spark, sf, "documents"), list(_QUERY)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("k03_final_score", f"{_BM25} SELECT d.doc_id, round((0.4 * score + 1.5 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END) * greatest(length(source) / 10.0, 0.1), 6) AS score FROM s JOIN documents d USING (doc_id)")
+def k03(spark, sf):
+    d = table(spark, sf, "documents")
+    s = retrieval.bm25(d, list(_QUERY)).join(d.select("doc_id", "lang", "source"), "doc_id")
+    topic = F.when(F.col("lang") == "en", 1).otherwise(0)
+    return s.select("doc_id", F.round((0.4 * F.col("score") + 1.5 * topic) * F.greatest(F.length("source") / 10.0, F.lit(0.1)), 6).alias("score"))
+
+
+@query("k04_top_k_by_stance", f"{_BM25} SELECT doc_id, lang, rk FROM (SELECT s.doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY round(score, 6) DESC, s.doc_id) AS rk FROM s JOIN documents d USING (doc_id)) WHERE rk <= 5")
+def k04(spark, sf):
+    d = table(spark, sf, "documents")
+    s = retrieval.bm25(d, list(_QUERY)).join(d.select("doc_id", "lang"), "doc_id")
+    rk = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(F.round("score", 6)), "doc_id"))
+    return s.select("doc_id", "lang", rk.cast("long").alias("rk")).where("rk <= 5")
+
+
+@query("k06_corpus_stats", "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
+def k06(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("k07_narrative_guard", "SELECT doc_id, contains(lower(text), 'guarantee') OR contains(lower(text), 'idiot') AS forbidden, len(regexp_extract_all(text, '[0-9]+%')) AS percentages, contains(text, 'License') OR contains(text, 'license') AS disclaimer FROM documents WHERE text IS NOT NULL")
+def k07(spark, sf):
+    text, low = F.col("text"), F.lower("text")
+    return table(spark, sf, "documents").where(text.isNotNull()).select(
+        "doc_id", (low.contains("guarantee") | low.contains("idiot")).alias("forbidden"),
+        F.size(F.regexp_extract_all("text", F.lit("([0-9]+%)"))).cast("long").alias("percentages"), (text.contains("License") | text.contains("license")).alias("disclaimer"),
+    )
