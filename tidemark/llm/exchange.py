@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.kernel import U64
 
 #: About so many keys, of all chunks together, go to one reducer.
-KEYS_PER_PART = 1 << 22
+KEYS_PER_PART = 1 << 21
 
 SENT = "part int, chunk long, keys binary, places binary, values binary"
 _SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("values", pa.binary())])
@@ -38,46 +38,77 @@ def parts_for(chunks: DataFrame, keys_per_byte: float = 0.17) -> int:
 
 def shortened(keys: np.ndarray, parts: int, width: int) -> np.ndarray:
     """Hashes cut to what names the part and ``width`` bytes more."""
-    bits = (parts.bit_length() - 1) + 8 * width
-    return keys >> U64(64 - bits) if bits < 64 else keys
+    return keys >> U64(64 - min(64, (parts.bit_length() - 1) + 8 * width))
 
 
 def cuts(keys: np.ndarray, parts: int, width: int) -> np.ndarray:
     """Where the keys of each part begin in sorted (shortened) keys, and the end."""
-    shift = U64(min(8 * width, 64 - (parts.bit_length() - 1)))
+    shift = U64(min(8 * width, 65 - parts.bit_length()))
     return np.append(np.searchsorted(keys, np.arange(parts, dtype=U64) << shift), len(keys))
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes (4, 5 or 8) of each key; byte planes, which compress and decode fast."""
-    if width == 8:
-        return keys.astype("<u8").tobytes()
-    low = (keys & U64(0xFFFFFFFF)).astype("<u4").tobytes()
-    return low if width == 4 else low + ((keys >> U64(32)) & U64(0xFF)).astype(np.uint8).tobytes()
+    """The low ``width`` bytes of each sorted key: four together, the rest in planes, of which the highest compresses well."""
+    planes = [((keys >> U64(8 * k)) & U64(0xFF)).astype(np.uint8).tobytes() for k in range(4, width)]
+    return b"".join([(keys & U64(0xFFFFFFFF)).astype("<u4").tobytes(), *planes])
 
 
 def _unpacked(data: bytes, width: int) -> np.ndarray:
-    if width == 8:
-        return np.frombuffer(data, dtype="<u8")
     n = len(data) // width
     keys = np.frombuffer(data, dtype="<u4", count=n).astype(U64)
-    return keys if width == 4 else keys | (np.frombuffer(data, dtype=np.uint8, offset=4 * n).astype(U64) << U64(32))
+    for k in range(4, width):
+        keys |= np.frombuffer(data, dtype=np.uint8, count=n, offset=k * n).astype(U64) << U64(8 * k)
+    return keys
+
+
+def _numbers(values: np.ndarray) -> bytes:
+    """A byte that tells the width, and the numbers in the least that holds them all."""
+    if len(values) and values.min() >= 0:
+        for width in (1, 2, 4):
+            if values.max() < 1 << (8 * width):
+                return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    return b"\x08" + values.astype("<i8").tobytes()
+
+
+def _as_numbers(data: bytes) -> np.ndarray:
+    kind = "<i8" if data[0] == 8 else f"<u{data[0]}"
+    return np.frombuffer(data, dtype=kind, offset=1).astype(np.int64)
+
+
+def _places(places: np.ndarray, n: int) -> bytes:
+    """Which of n: all, as a bit each, or as a list, whichever is short."""
+    if len(places) == n:
+        return b"A"
+    if 32 * len(places) < n:
+        return b"L" + places.astype("<u4").tobytes()
+    there = np.zeros(n, bool)
+    there[places] = True
+    return b"B" + np.packbits(there).tobytes()
+
+
+def _as_places(data: bytes, n: int) -> np.ndarray:
+    if data[:1] == b"A":
+        return np.arange(n)
+    if data[:1] == b"L":
+        return np.frombuffer(data, dtype="<u4", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=1), count=n))
 
 
 def sends(chunk: int, keys: np.ndarray, parts: int, width: int, places: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows that a chunk sends: sorted distinct keys, and values at some places (all if None)."""
+    """The rows that a chunk sends: sorted distinct keys, and values at some sorted places among them."""
     at = cuts(keys, parts, width)
     rows = {name: [] for name in _SENT.names}
     inside = np.searchsorted(places, at)
     for part in range(parts):
-        if at[part] == at[part + 1]:
+        n = int(at[part + 1] - at[part])
+        if not n:
             continue
         own = slice(inside[part], inside[part + 1])
         rows["part"].append(part)
         rows["chunk"].append(chunk)
         rows["keys"].append(_packed(keys[at[part] : at[part + 1]], width))
-        rows["places"].append((places[own] - at[part]).astype("<u4").tobytes())
-        rows["values"].append(values[own].astype("<i8").tobytes())
+        rows["places"].append(_places(places[own] - at[part], n))
+        rows["values"].append(_numbers(values[own]))
     yield pa.RecordBatch.from_pydict(rows, schema=_SENT)
 
 
@@ -98,8 +129,8 @@ def exchanged(sent: DataFrame, width: int, answer: Answer) -> DataFrame:
         data = [table.column(name).to_pylist() for name in ("keys", "places", "values")]
         keys = [_unpacked(k, width) for k in data[0]]
         begin = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
-        places = np.concatenate([np.frombuffer(p, dtype="<u4").astype(np.int64) + b for p, b in zip(data[1], begin, strict=False)])
-        values = np.concatenate([np.frombuffer(v, dtype="<i8") for v in data[2]])
+        places = np.concatenate([_as_places(p, len(k)) + b for p, k, b in zip(data[1], keys, begin, strict=False)])
+        values = np.concatenate([_as_numbers(v) for v in data[2]])
         rows = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(begin))
         back, values, note = answer(np.concatenate(keys), rows, places, values)
         at = np.searchsorted(back, begin)
@@ -107,10 +138,10 @@ def exchanged(sent: DataFrame, width: int, answer: Answer) -> DataFrame:
         out = {
             "chunk": table.column("chunk").to_pylist(),
             "part": table.column("part").to_pylist(),
-            "places": [(back[o] - b).astype("<u4").tobytes() for o, b in zip(own, begin, strict=False)],
-            "values": [values[o].astype("<i8").tobytes() for o in own],
+            "places": [_places(back[o] - b, len(k)) for o, b, k in zip(own, begin, keys, strict=False)],
+            "values": [_numbers(values[o]) for o in own],
         }
-        noted = {"chunk": [NOTE], "part": [out["part"][0]], "places": [b""], "values": [np.array(note, dtype="<i8").tobytes()]}
+        noted = {"chunk": [NOTE], "part": [out["part"][0]], "places": [b""], "values": [_numbers(np.array(note, dtype=np.int64))]}
         some = pa.Table.from_pydict(out, schema=_ANSWERED).filter(pa.array([o.stop > o.start for o in own]))
         return pa.concat_tables([some, pa.Table.from_pydict(noted, schema=_ANSWERED)])
 
@@ -122,7 +153,7 @@ def notes(answered: DataFrame, n: int) -> list[int]:
 
     def run(batches):
         for batch in batches:
-            values = [np.frombuffer(v.as_py(), dtype="<i8") for v in batch.column("values")]
+            values = [_as_numbers(v.as_py()) for v in batch.column("values")]
             total = np.sum(values, axis=0) if values else np.zeros(n, dtype=np.int64)
             yield pa.RecordBatch.from_pydict({f"n{k}": [int(total[k])] for k in range(n)})
 
@@ -139,5 +170,5 @@ def received(answers: list[dict] | None, at: np.ndarray) -> tuple[np.ndarray, np
     """Places in the chunk's whole list and their values; ``at`` from ``cuts``."""
     if not answers:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    places = [np.frombuffer(a["places"], dtype="<u4").astype(np.int64) + at[a["part"]] for a in answers]
-    return np.concatenate(places), np.concatenate([np.frombuffer(a["values"], dtype="<i8") for a in answers])
+    places = [_as_places(a["places"], int(at[a["part"] + 1] - at[a["part"]])) + at[a["part"]] for a in answers]
+    return np.concatenate(places), np.concatenate([_as_numbers(a["values"]) for a in answers])

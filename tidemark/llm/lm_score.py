@@ -26,7 +26,8 @@ from tidemark.llm.common import crc_mod, stored
 from tidemark.llm.kernel import NULL_ID, U64, lowered, mixed, pack, rows_of, span_hashes, unpack, word_spans
 
 END, BEGIN = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)
-ARC_WIDTH = 5  # bytes of an arc's hash beyond its part
+WORD_WIDTH, ARC_WIDTH = 7, 5  # bytes of a word's and an arc's hash beyond its part
+CHUNK_BYTES = 3 << 19  # larger chunks repeat more of their words, and send each but once
 
 
 class Tokens:
@@ -47,7 +48,9 @@ class Tokens:
         history = np.empty_like(token)
         history[1:] = token[:-1]
         history[self.bound[:-1]] = BEGIN
-        self.words, self.word, self.word_count = np.unique(token, return_inverse=True, return_counts=True)
+        self.words, self.word, self.word_count = np.unique(
+            exchange.shortened(token, parts, WORD_WIDTH), return_inverse=True, return_counts=True
+        )
         arc = exchange.shortened(mixed(mixed(history) + token), parts, ARC_WIDTH)
         self.arcs, self.arc, self.arc_count = np.unique(arc, return_inverse=True, return_counts=True)
         self.trains = bool(row["mark"])
@@ -87,13 +90,13 @@ def lm_score(
     word is unknown and has probability 1.  Repeated rows count, and are
     scored, as often as they occur; null ids pass; other columns are ignored.
     """
-    chunks = stored(pack(docs, id_col, text_col, mark=trains if trains is not None else F.lit(True)), "lm-chunks")
+    chunks = stored(pack(docs, id_col, text_col, mark=trains if trains is not None else F.lit(True), target=CHUNK_BYTES), "lm-chunks")
     parts = exchange.parts_for(chunks)
 
     def ask(batches, arcs: bool):
         for row in rows_of(batches):
             t = Tokens(row, parts)
-            keys, count, width = (t.arcs, t.arc_count, ARC_WIDTH) if arcs else (t.words, t.word_count, 8)
+            keys, count, width = (t.arcs, t.arc_count, ARC_WIDTH) if arcs else (t.words, t.word_count, WORD_WIDTH)
             places = np.arange(len(keys)) if t.trains else np.empty(0, dtype=np.int64)
             yield from exchange.sends(row["chunk"], keys, parts, width, places, count[places])
 
@@ -101,7 +104,7 @@ def lm_score(
         texts = sum(len(row["marks"]) // 8 for row in rows_of(batches) if row["mark"])
         yield pa.RecordBatch.from_pydict({"texts": [texts]}, schema=pa.schema([("texts", pa.int64())]))
 
-    words = stored(exchange.exchanged(chunks.mapInArrow(lambda b: ask(b, False), exchange.SENT), 8, _sum_answer), "lm-words")
+    words = stored(exchange.exchanged(chunks.mapInArrow(lambda b: ask(b, False), exchange.SENT), WORD_WIDTH, _sum_answer), "lm-words")
     n_known, n_train = exchange.notes(words, 2)
     n_texts = chunks.select("marks", "mark").mapInArrow(begins_of, "texts long").agg(F.sum("texts")).first()[0] or 0
     word_counts = exchange.by_chunk(words, "word_counts")
@@ -111,7 +114,7 @@ def lm_score(
     def walk(batches):
         for row in rows_of(batches):
             t = Tokens(row, parts)
-            c = t.counts(t.word_count, row["word_counts"], parts, t.words, 8)
+            c = t.counts(t.word_count, row["word_counts"], parts, t.words, WORD_WIDTH)
             arc = t.counts(t.arc_count, row["arc_counts"], parts, t.arcs, ARC_WIDTH)[t.arc]
             p = ((c + 0.5) / (n_train + 0.5 * (n_known + 1)))[t.word]
             seen = c[t.word]
