@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod
-from tidemark.llm.kernel import NOT_ALNUM, lowered, mixed, pieces, span_hashes, word_spans
+from tidemark.llm.kernel import NOT_ALNUM, U64, lowered, mixed, pieces, span_hashes, word_spans
 
 WINDOW = 8
 FUZZY_FROM = 5  # shorter stems must match exactly
@@ -161,7 +161,7 @@ def _labelled(docs, labels, id_col, text_col, label_col, trainable, max_train_ro
 def learn_lexicon(sample: DataFrame, *, lengths: tuple[int, int] = (4, 12), support: int = 6, precision: float = 0.6, max_stems: int = 200) -> Lexicon:
     """Stems from labelled texts (text, y): word beginnings, most telling first, none of which begins with another.
 
-    Near copies, texts of one label whose smallest word hash is the same, count once.
+    Near copies, texts of one label whose smallest word hashes under two hash functions are the same, count once.
     """
 
     def sketch(batches):
@@ -170,8 +170,9 @@ def learn_lexicon(sample: DataFrame, *, lengths: tuple[int, int] = (4, 12), supp
                 blob = folded(blob)
                 starts, ends = word_spans(blob, NOT_ALNUM)
                 bound = np.searchsorted(starts, begins)
-                hashes = mixed(span_hashes(blob, starts, ends)).astype(np.int64)
-                least = [int(hashes[a:b].min()) if b > a else 0 for a, b in zip(bound[:-1], bound[1:], strict=True)]
+                first = mixed(span_hashes(blob, starts, ends))
+                second = mixed(first + U64(1))
+                least = [int((first[a:b].min() ^ mixed(second[a:b].min())).astype(np.int64)) if b > a else 0 for a, b in zip(bound[:-1], bound[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("y")[rows], pa.array(least, pa.int64()), batch.column("text")[rows]], names=["y", "sketch", "text"]
                 )
