@@ -27,6 +27,7 @@ from tidemark.plans import (  # noqa: E402, F401  they register their queries
     decision_plans,
     factor_plans,
     label_plans,
+    panel_plans,
     source_plans,
     statistics_plans,
     text_plans,
