@@ -6,7 +6,7 @@ values of candidates are compared a few at a time; a pair is dropped when the
 posterior probability that its similarity reaches the threshold falls below
 the tolerance.  What is left is verified exactly on the shingle sets.
 
-Pairs inside a large crowd (classes whose candidate of smallest number is the
+Pairs inside a large crowd (classes whose smallest candidate's candidate is the
 same) are compared block against block inside tasks and only counted there, so a
 group of thousands of near copies yields rows in proportion to its members.
 """
@@ -19,10 +19,10 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import parallelism, stored
+from tidemark.llm.common import stored
 from tidemark.llm.graph import components
 from tidemark.llm.kernel import U64, mixed, pieces, span_hashes, window_hashes, word_spans
 
@@ -222,10 +222,10 @@ _COUNTED = "a long, b long, edge boolean, links long, rows_linked long"
 def _within_crowds(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Links inside crowds: rows (a, b, edge) that span them, and (a, links, rows_linked) counts.
 
-    ``members`` has crowd, place (from 0), crowd_size, node, copies, minhash, shingles.
+    ``members`` has crowd, crowd_size, node, copies, minhash, shingles.
     """
     blocks = F.ceil(F.col("crowd_size") / BLOCK)
-    own = F.floor(F.col("place") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks)
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     task = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
@@ -339,19 +339,20 @@ def jaccard_join(
     banded = stored(_banded(classes), "near-bands")
     shared = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = stored(banded.join(shared, "bucket").select("bucket", "node", "lead"), "near-met")
-    lead = met.groupBy("node").agg(F.min("lead").alias("crowd"))
+    near = met.groupBy("node").agg(F.min("lead").alias("lead"))
+    # One hop further, or members of a large group that miss its first bucket would be in crowds of their own.
+    hop = met.select("bucket", "node").join(near, "node").groupBy("bucket").agg(F.min("lead").alias("lead"))
+    lead = met.select("bucket", "node").join(hop, "bucket").groupBy("node").agg(F.min("lead").alias("crowd"))
     sized = lead.groupBy("crowd").agg(F.count(F.lit(1)).alias("crowd_size"))
     crowds = stored(lead.join(sized, "crowd"), "near-crowds")
     buckets = met.select("bucket", "node").join(crowds.select("node", "crowd"), "node")
 
     pairs = stored(_pruned(_candidates(crowds, buckets), classes, threshold, tolerance), "near-pairs")
     large = crowds.where(f"crowd_size > {SMALL_CROWD}")
-    place = F.row_number().over(Window.partitionBy("crowd").orderBy("node")) - 1
-    seated = large.select("node", "crowd", "crowd_size", place.cast("long").alias("place"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     wanted = classes.join(needed, "node").select(F.col("set_id").alias("first"), "set_key", "node", "copies", "minhash")
     sets = stored(_shingle_sets(docs, id_col, text_col, k, wanted), "near-shingles")
-    inside = stored(_within_crowds(seated.join(sets, "node"), threshold, tolerance), "near-inside")
+    inside = stored(_within_crowds(large.join(sets, "node"), threshold, tolerance), "near-inside")
     across = stored(_verified(pairs, sets, threshold), "near-across")
 
     edges = inside.where("edge").select("a", "b").unionByName(across.select("a", "b"))
@@ -378,3 +379,30 @@ def jaccard_join(
         .select("doc_id", "class_id", "n_links", "n_copies", "set_id")
         .unionByName(wordless)
     )
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT p.a, p.b, k = ca.n AND k = cb.n AS same FROM p JOIN c ca ON ca.doc_id = p.a JOIN c cb ON cb.doc_id = p.b
+  WHERE k >= 0.8 * (ca.n + cb.n - k) - 1e-9
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id
+), g AS (
+  SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id
+), n AS (
+  SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS others, min(b) FILTER (WHERE same) AS first_b FROM l GROUP BY a
+)
+SELECT g.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(others, 0) + 1 AS n_copies,
+  least(g.doc_id, coalesce(first_b, g.doc_id)) AS set_id
+FROM g LEFT JOIN n ON n.doc_id = g.doc_id
+"""

@@ -77,6 +77,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc_index": warc.ORACLE_SQL,
+    "op2_ngram_jaccard": jaccard_join.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
