@@ -90,14 +90,17 @@ def exact_dedup(
     keys = stored(digests, "dedup-keys")
     index = build_index(keys, bucket_capacity)
 
-    # Chains: only keys that several rows share have their bytes compared.
+    # Chains: equal bytes are counted where they are read, so that a hot text reaches
+    # its owner as one row from each task; then only keys that several rows share stay.
     shared = index.where("rows > 1").select("key", "bucket")
-    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).withColumn("key", F.xxhash64("norm"))
+    texts = docs.select(text.alias("norm"), F.col(id_col).alias("doc_id")).select("doc_id", "norm", F.xxhash64("norm").alias("key"))
     chains = (
-        texts.join(shared, "key")
-        .groupBy("bucket", "key", "norm")
+        texts.groupBy("key", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
         .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        .join(shared, "key")
+        .drop("bucket")
     )
     own = F.coalesce(F.col("group_size"), F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
