@@ -108,3 +108,17 @@ def test_day_pillars_advance_by_one(spark):
     df = spark.sql("select explode(sequence(date'2000-01-01', date'2000-03-30')) as d")
     rows = df.orderBy("d").select(pillars.cycle_index(F.col("d")).alias("i"), pillars.pillar_name(pillars.cycle_index(F.col("d"))).alias("n")).collect()
     assert rows[0].n == "戊午" and all((b.i - a.i) % 60 == 1 for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_guards_fail_closed(spark):
+    from tidemark.operators import guards
+
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k int, ret_20d double")
+    with pytest.raises(ValueError):
+        guards.refuse_future_columns(df)
+    with pytest.raises(ValueError):
+        guards.require_columns(df, "k", "absent")
+    assert guards.refuse_future_columns(df.select("k")).columns == ["k"]
+    with pytest.raises(Exception, match="duplicate k"):
+        guards.refuse_duplicates(df, "k").collect()
+    assert guards.refuse_duplicates(df, "k", "ret_20d").count() == 2

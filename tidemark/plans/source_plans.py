@@ -217,3 +217,20 @@ def c10(spark, sf):
     slot = F.col("id") * 120
     inside = lambda a, b: F.greatest(F.lit(0), F.least(slot + 120, F.lit(b)) - F.greatest(slot, F.lit(a)))
     return spark.range(12).select(F.col("id").alias("slot"), (inside(570, 690) + inside(780, 900)).alias("minutes"))
+
+
+@query("s18_manifest_scan", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars WHERE sec % 2 = 0 GROUP BY 1")
+def s18(spark, sf):
+    """A shard that is on disk but not in the manifest, or differs from it, is never read."""
+    shards = store.ShardStore(store.scratch(spark, "manifest"))
+    b = bars(spark, sf).select("sec", "d", "close").withColumn("y", F.lit(0))
+    shards.publish(b.where("sec % 2 = 0"), ["sec", "y"])
+    b.where("sec % 2 = 1").write.mode("append").partitionBy("y").parquet(shards.data)
+    return shards.read(spark).groupBy("sec").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s01_source_protocol", "SELECT s_suppkey AS code, s_name AS name FROM supplier WHERE contains(lower(s_name), '00000001') ORDER BY code LIMIT 20")
+def s01(spark, sf):
+    """A source's search, one of the calls that every source answers with a DataFrame."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
+    return s.where(F.lower("name").contains("00000001")).orderBy("code").limit(20)
