@@ -57,7 +57,6 @@ class Lexicon:
             for c in stem:
                 node = node.setdefault(c, {})
             node[""] = number
-        self.longest = max(map(len, stems), default=0)
         self.heads2, self.heads3 = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         self.tails: dict[int, np.ndarray] = {}
         for stem in stems:
@@ -97,31 +96,45 @@ class Lexicon:
             out[here] = table[self._triple(pad[s], pad[s + 1], pad[s + 2])]
         return out
 
+    @staticmethod
+    def _walk(node: dict, text: str, at: int) -> int | None:
+        """The stem at which the exact path of text[at:] from a node arrives, if any; stems are leaves."""
+        while True:
+            if "" in node:
+                return node[""]
+            if at >= len(text):
+                return None
+            node = node.get(text[at])
+            if node is None:
+                return None
+            at += 1
+
     def match(self, word: bytes) -> tuple[int, int] | None:
         """(stem, edits) of the best stem within one edit of a beginning of the word: fewest edits, then longest."""
         if word in self.seen:
             return self.seen[word]
         if len(self.seen) >= _CACHE:
             self.seen.clear()
-        text = word.decode("utf-8", "replace")[: self.longest + 2]
-        best = None
-        # States of the word's automaton: row[j] edits between the path and text[:j], cut off above 1.
-        stack = [(self.trie, list(range(len(text) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    edits, stem = min(row), child
-                    if edits == 0 or edits == 1 and len(self.stems[stem]) >= FUZZY_FROM:
-                        rank = (edits, -len(self.stems[stem]), stem)
-                        best = min(best, rank) if best else rank
-                    continue
-                new = [row[0] + 1]
-                for j, t in enumerate(text):
-                    new.append(min(row[j] + (t != c), row[j + 1] + 1, new[j] + 1))
-                if min(new) <= 1:
-                    stack.append((child, new))
-        found = self.seen[word] = (best[2], best[0]) if best else None
+        text = word.decode("utf-8", "replace")
+        exact = self._walk(self.trie, text, 0)
+        if exact is not None:
+            best = (0, exact)
+        else:
+            # The automaton's states with no edit yet are one path; each may take one edit, and then walks on exactly.
+            ends, node = [], self.trie
+            for i in range(len(text) + 1):
+                ends.append(self._walk(node, text, i + 1))  # a character too many
+                for c, child in node.items():
+                    if c != "":
+                        ends.append(self._walk(child, text, i))  # one missing
+                        if i < len(text):
+                            ends.append(self._walk(child, text, i + 1))  # another in its place
+                node = node.get(text[i]) if i < len(text) else None
+                if node is None:
+                    break
+            ranks = [(-len(self.stems[e]), e) for e in ends if e is not None and len(self.stems[e]) >= FUZZY_FROM]
+            best = (1, min(ranks)[1]) if ranks else None
+        found = self.seen[word] = (best[1], best[0]) if best else None
         return found
 
     def matches(self, blob: np.ndarray, begins: np.ndarray):
