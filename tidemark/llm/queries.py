@@ -13,6 +13,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def _spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt to all of them; any larger one as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -22,23 +28,23 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(_documents(spark, sf_dir))
+    return jaccard_join.jaccard_join(_spread(_documents(spark, sf_dir)))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-BPE tokens of every document, end-of-document 50256."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return token_counts.count_documents(
-        _documents(spark, sf_dir), scratch(spark, "tokens"), lambda: bpe.encoder(path, pattern).encode, end=50256
+        _spread(_documents(spark, sf_dir)), scratch(spark, "tokens"), lambda: bpe.encoder(path, pattern).encode, end=50256
     )
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_query(_documents(spark, sf_dir))
+    return lm_score.lm_query(_spread(_documents(spark, sf_dir)))
 
 
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_query(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return quality.quality_query(_spread(_documents(spark, sf_dir)), _labels(spark, sf_dir))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,20 +52,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaked_pairs(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.leaked_pairs(_spread(_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(_documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup.substring_dedup(_spread(_documents(spark, sf_dir))).drop("kept_text")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip_digests(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(_spread(_documents(spark, sf_dir)), path, public_tokenizers.PATTERN)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_query(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return toxicity.toxicity_query(_spread(_documents(spark, sf_dir)), _labels(spark, sf_dir))
 
 
 QUERIES = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +14,16 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _is(term: str):
-    return lambda word: word == term
-
-
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """doc_id, score for documents that have any of the terms.
 
     Lengths and the terms' frequencies come from one pass over the texts; only
     documents' counts are kept, and the terms, a short list, become columns.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]{2,})"))
-    held = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0)
-    counted = held.select("doc_id", F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    low = F.lower(F.coalesce("text", F.lit("")))
+    times = lambda term: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"))
+    counted = docs.select("doc_id", F.regexp_count(low, F.lit("[a-z0-9]{2,}")).alias("dl"), *[times(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
+    counted = counted.where("dl > 0")
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(corpus))  # one row
     score = F.lit(0.0)
