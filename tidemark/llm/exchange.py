@@ -10,6 +10,7 @@ their place in the chunk's own list; the chunk computes that list again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from tidemark.llm.kernel import U64
 #: About so many keys, of all chunks together, go to one reducer.
 KEYS_PER_PART = 1 << 21
 
-SENT = "part int, chunk long, keys binary, places binary, values binary"
-_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("values", pa.binary())])
+SENT = "part int, chunk long, keys binary, checks binary, places binary, values binary"
+_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *[(name, pa.binary()) for name in ("keys", "checks", "places", "values")]])
 ANSWERED = "chunk long, part int, places binary, values binary"
 _ANSWERED = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("places", pa.binary()), ("values", pa.binary())])
 
@@ -41,10 +42,41 @@ def shortened(keys: np.ndarray, parts: int, width: int) -> np.ndarray:
     return keys >> U64(64 - min(64, (parts.bit_length() - 1) + 8 * width))
 
 
-def cuts(keys: np.ndarray, parts: int, width: int) -> np.ndarray:
-    """Where the keys of each part begin in sorted (shortened) keys, and the end."""
-    shift = U64(min(8 * width, 65 - parts.bit_length()))
-    return np.append(np.searchsorted(keys, np.arange(parts, dtype=U64) << shift), len(keys))
+@dataclass
+class Cuts:
+    """Where the keys of each part begin; of ``parts`` (or -1), the end.  Only the parts that have keys are held."""
+
+    named: np.ndarray
+    begins: np.ndarray
+    parts: int
+
+    def __getitem__(self, part: int) -> int:
+        return int(self.begins[np.searchsorted(self.named, part % (self.parts + 1))])
+
+
+def cuts(keys: np.ndarray, parts: int, width: int) -> Cuts:
+    """Cuts of sorted (shortened) keys; takes time by the keys, not by the parts, of which a large corpus has far more."""
+    part = (keys >> U64(min(8 * width, 65 - parts.bit_length()))).astype(np.int64)
+    first = np.flatnonzero(_changes(part))
+    return Cuts(part[first], np.append(first, len(keys)), parts)
+
+
+def _changes(ranked: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before them."""
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    return new
+
+
+def numbered(keys: np.ndarray, checks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct key (with its check, if there are any) one place, in order; and the number of each one's key."""
+    order = np.argsort(keys, kind="stable") if checks is None else np.lexsort((checks, keys))
+    new = _changes(keys[order])
+    if checks is not None:
+        new |= _changes(checks[order])
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
@@ -94,27 +126,32 @@ def _as_places(data: bytes, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=1), count=n))
 
 
-def sends(chunk: int, keys: np.ndarray, parts: int, width: int, places: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows that a chunk sends: sorted distinct keys, and values at some sorted places among them."""
-    at = cuts(keys, parts, width)
+def sends(
+    chunk: int, keys: np.ndarray, parts: int, width: int, places: np.ndarray, values: np.ndarray, checks: np.ndarray | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The rows that a chunk sends: sorted distinct keys, and values at some sorted places among them.
+
+    ``checks`` are 32 bits more of each key, for keys that their width alone does not tell apart surely enough.
+    """
+    cut = cuts(keys, parts, width)
+    at = cut.begins
     rows = {name: [] for name in _SENT.names}
     inside = np.searchsorted(places, at)
-    for part in range(parts):
-        n = int(at[part + 1] - at[part])
-        if not n:
-            continue
-        own = slice(inside[part], inside[part + 1])
+    for r, part in enumerate(cut.named.tolist()):
+        mine = slice(at[r], at[r + 1])
+        own = slice(inside[r], inside[r + 1])
         rows["part"].append(part)
         rows["chunk"].append(chunk)
-        rows["keys"].append(_packed(keys[at[part] : at[part + 1]], width))
-        rows["places"].append(_places(places[own] - at[part], n))
+        rows["keys"].append(_packed(keys[mine], width))
+        rows["checks"].append(None if checks is None else checks[mine].astype("<u4").tobytes())
+        rows["places"].append(_places(places[own] - at[r], int(at[r + 1] - at[r])))
         rows["values"].append(_numbers(values[own]))
     yield pa.RecordBatch.from_pydict(rows, schema=_SENT)
 
 
-#: (keys, row of each key, places among the keys that have values, their values) -> (places, values) to answer
+#: (number of each entry's key, places among the entries that have values, their values) -> (places, values) to answer
 #: and numbers that describe the part
-Answer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[int]]]
+Answer = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[int]]]
 
 NOTE = -1  # stands for the chunk in the row that describes a part
 
@@ -131,8 +168,9 @@ def exchanged(sent: DataFrame, width: int, answer: Answer) -> DataFrame:
         begin = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
         places = np.concatenate([_as_places(p, len(k)) + b for p, k, b in zip(data[1], keys, begin, strict=False)])
         values = np.concatenate([_as_numbers(v) for v in data[2]])
-        rows = np.repeat(np.arange(len(keys), dtype=np.int32), np.diff(begin))
-        back, values, note = answer(np.concatenate(keys), rows, places, values)
+        checks = table.column("checks").to_pylist()
+        checks = None if checks[0] is None else np.concatenate([np.frombuffer(c, dtype="<u4") for c in checks])
+        back, values, note = answer(numbered(np.concatenate(keys), checks)[1], places, values)
         at = np.searchsorted(back, begin)
         own = [slice(at[r], at[r + 1]) for r in range(len(keys))]
         out = {
@@ -166,9 +204,9 @@ def by_chunk(answered: DataFrame, name: str) -> DataFrame:
     return answered.where(F.col("chunk") != NOTE).groupBy("chunk").agg(F.collect_list(F.struct("part", "places", "values")).alias(name))
 
 
-def received(answers: list[dict] | None, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def received(answers: list[dict] | None, at: Cuts) -> tuple[np.ndarray, np.ndarray]:
     """Places in the chunk's whole list and their values; ``at`` from ``cuts``."""
     if not answers:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    places = [_as_places(a["places"], int(at[a["part"] + 1] - at[a["part"]])) + at[a["part"]] for a in answers]
+    places = [_as_places(a["places"], at[a["part"] + 1] - at[a["part"]]) + at[a["part"]] for a in answers]
     return np.concatenate(places), np.concatenate([_as_numbers(a["values"]) for a in answers])

@@ -63,18 +63,14 @@ class Tokens:
         return total
 
 
-def _sum_answer(keys, rows, places, values):
+def _sum_answer(number, places, values):
     """To every chunk, the sums of its keys' counts that differ from its own counts; numbers of counted keys and of all counts."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    group = np.empty(len(keys), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    own = np.zeros(len(keys), dtype=np.int64)
+    own = np.zeros(len(number), dtype=np.int64)
     own[places] = values
-    total = np.bincount(group, weights=own, minlength=int(new.sum())).astype(np.int64)
-    back = np.flatnonzero(total[group] != own)
-    return back, total[group[back]], [int((total > 0).sum()), int(total.sum())]
+    total = np.zeros(int(number.max(initial=-1)) + 1, dtype=np.int64)
+    np.add.at(total, number, own)
+    back = np.flatnonzero(total[number] != own)
+    return back, total[number[back]], [int((total > 0).sum()), int(total.sum())]
 
 
 def lm_score(

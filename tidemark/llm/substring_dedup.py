@@ -4,7 +4,7 @@ Every document is cut into non-overlapping reference blocks of ``window // 2``
 words; of any ``window`` words in a row at least one block is whole.  The
 blocks are indexed by hash, and every rolling window of that length of every
 document probes the index.  A hit is extended over the windows around it: those
-that occur in a document of smaller id, compared on 64-bit hashes of all their
+that occur in a document of smaller id, compared on 96 bits of hash of all their
 words, make up the maximal exact repeats, whose words are removed.
 
 Index, probes and window hashes travel as packed keys (see ``exchange``).
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange
 from tidemark.llm.common import stored
-from tidemark.llm.kernel import NULL_ID, pack, rows_of, sha256_hex, span_hashes, unpack, window_hashes, word_spans
+from tidemark.llm.kernel import NULL_ID, U64, mixed, pack, rows_of, sha256_hex, span_hashes, unpack, window_hashes, word_spans
 
 _NONE = np.iinfo(np.int64).max
 PROBE_WIDTH = 4  # bytes of a probe's hash beyond its part: a chance hit only costs a comparison
@@ -58,7 +58,7 @@ class Words:
         return out
 
     def windows(self, parts: int, hits: list[dict] | None):
-        """Sorted distinct hashes of the windows to compare; starts of these windows and their places among them."""
+        """Sorted distinct hashes of the windows to compare and their checks; starts of these windows and their places among them."""
         keys, at, place, block = self.anchors(parts)
         bounds = self.least(len(keys), place[block], at[block])
         first = self.least(len(keys), place, at)
@@ -74,34 +74,28 @@ class Words:
         np.add.at(change, low, 1)
         np.add.at(change, high, -1)
         starts = np.flatnonzero(np.cumsum(change) > 0)
-        keys, place = np.unique(window_hashes(self.hashes, self.window)[starts], return_inverse=True)
-        return keys, starts, place
+        hashes = window_hashes(self.hashes, self.window)[starts]
+        checks = (window_hashes(mixed(self.hashes + U64(7)), self.window)[starts] >> U64(32)).astype(np.uint32)
+        first, place = exchange.numbered(hashes, checks)
+        return hashes[first], checks[first], starts, place
 
 
-def _anchor_answer(keys, rows, places, values):
+def _anchor_answer(number, places, values):
     """To every chunk that has a block's hash, if several chunks do: the smallest id that has it as a block."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    group = np.empty(len(keys), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    least = np.full(int(new.sum()), _NONE)
-    np.minimum.at(least, group[places], values)
-    least[np.bincount(group, minlength=len(least)) < 2] = _NONE
-    back = np.flatnonzero(least[group] != _NONE)
-    return back, least[group[back]], []
-
-
-def _window_answer(keys, rows, places, values):
+    sharing = np.bincount(number)
+    least = np.full(len(sharing), _NONE)
+    np.minimum.at(least, number[places], values)
+    least[sharing < 2] = _NONE
+    back = np.flatnonzero(least[number] != _NONE)
+    return back, least[number[back]], []
+
+
+def _window_answer(number, places, values):
     """To every chunk that has a window: the smallest id that has it, where another chunk's is smaller."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    least = np.minimum.reduceat(values[order], begin)
-    out = np.empty(len(keys), dtype=np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(begin, len(keys))))
-    back = np.flatnonzero(out < values)
-    return back, out[back], []
+    least = np.full(int(number.max(initial=-1)) + 1, _NONE)
+    np.minimum.at(least, number, values)
+    back = np.flatnonzero(least[number] < values)
+    return back, least[number[back]], []
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -133,10 +127,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def compare(batches):
         for row in rows_of(batches):
             words = Words(row, window)
-            keys, starts, place = words.windows(parts, row["hits"])
+            keys, checks, starts, place = words.windows(parts, row["hits"])
             if len(keys):
                 least = words.least(len(keys), place, starts)
-                yield from exchange.sends(row["chunk"], keys, parts, 8, np.arange(len(keys)), least)
+                yield from exchange.sends(row["chunk"], keys, parts, 8, np.arange(len(keys)), least, checks)
 
     compared = exchange.exchanged(probed.mapInArrow(compare, exchange.SENT), 8, _window_answer)
     repeats = stored(exchange.by_chunk(compared, "repeats"), "substring-repeats")
@@ -144,7 +138,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def remove(batches):
         for row in rows_of(batches):
             words = Words(row, window)
-            keys, starts, place = words.windows(parts, row["hits"])
+            keys, _, starts, place = words.windows(parts, row["hits"])
             least = words.least(len(keys), place, starts)
             places, values = exchange.received(row["repeats"], exchange.cuts(keys, parts, 8))
             np.minimum.at(least, places, values)
