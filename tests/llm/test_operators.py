@@ -369,6 +369,15 @@ def test_decontamination_finds_items_in_any_place(spark, nothing):
     assert decontaminate.find_leaks(df, bench, keep=("doc_id", "text")).count() == len(rows)
 
 
+def test_decontamination_scores_do_not_depend_on_the_grouping(spark):
+    items = [(k, " ".join(words_of(k, 20 + k, 60))) for k in range(12)] + [(3, " ".join(words_of(99, 25, 60)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(k, text) for k, text in items], "doc_id long, text string")
+    got = lambda **options: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.leaked_pairs(df, bench, **options).collect())
+    assert got() == got(max_items=2, groups_per_pass=2)
+    assert {(k, k) for k, _ in items} <= {(d, i) for d, i, _ in got()}
+
+
 def test_block_max_wand_retrieves_what_full_scoring_does():
     rng = random.Random(1)
     items = [(k, " ".join(words_of(k, rng.randint(5, 40), 120))) for k in range(60)]

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
 from tidemark.llm.kernel import NOT_ALNUM, lowered, pieces, span_hashes, window_hashes, word_spans
 
 K1, B = 1.2, 0.75
@@ -52,10 +54,20 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     return words[:cut], words[cut:]
 
 
+@dataclass
+class Collection:
+    """Statistics of all benchmark items with words: their number, their mean length, and how many hold each term."""
+
+    items: int
+    mean_words: float
+    frequencies: dict[int, int]
+
+
 class Index:
     """Postings of one group of items with per-block maxima, and what verification needs of each item."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple[int, str]], share: float, collection: Collection | None = None):
+        """``collection`` describes all items of the benchmark, of which these may be a group; by default these are all."""
         kept = [(item, text, words) for item, text in items if len(words := text_words(text or ""))]
         self.items = [item for item, _, _ in kept]
         self.parts = []
@@ -64,14 +76,15 @@ class Index:
             self.parts.append((grams(question), len(question), grams(answer), len(answer)))
         self.longest = max((len(w) for _, _, w in kept), default=1)
         n = len(kept)
-        mean = sum(len(w) for _, _, w in kept) / max(n, 1)
         term = np.concatenate([np.unique(w) for _, _, w in kept]) if n else np.empty(0, np.uint64)
         tf = np.concatenate([np.unique(w, return_counts=True)[1] for _, _, w in kept]) if n else np.empty(0)
         item = np.repeat(np.arange(n), [len(np.unique(w)) for _, _, w in kept])
         size = np.array([len(w) for _, _, w in kept], dtype=float)
         self.terms, where, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[where] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(mean, 1e-9)))
+        whole = collection or Collection(n, float(size.mean()) if n else 0.0, dict(zip(self.terms.tolist(), df.tolist(), strict=True)))
+        spread = np.array([whole.frequencies[t] for t in self.terms.tolist()], dtype=float)
+        idf = np.log1p((whole.items - spread + 0.5) / (spread + 0.5))
+        weight = idf[where] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(whole.mean_words, 1e-9)))
         self_score = np.bincount(item, weight, n)
         impact = weight / (share * self_score[item])
         order = np.lexsort((item, where))
@@ -175,18 +188,39 @@ class Index:
         return [(*key, *value) for key, value in best.items()]
 
 
-def item_groups(benchmark: DataFrame, max_items: int, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in order of their ids, so many and about so large at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator()
-    group, held = [], 0
-    for item, text in rows:
+def _described(benchmark: DataFrame) -> DataFrame:
+    """(row, item_id, text, n_words, terms, frequencies): items with words; terms ascending, and how many items hold each."""
+
+    def run(batches):
+        for batch in batches:
+            words = [text_words(t) for t in batch.column("text").to_pylist()]
+            terms = [np.unique(w).view(np.int64) for w in words]
+            added = [pa.array([len(w) for w in words], pa.int64()), pa.array(terms, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=["item_id", "text", "n_words", "terms"])
+
+    given = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    read = given.mapInArrow(run, "item_id long, text string, n_words long, terms array<long>").where("n_words > 0")
+    items = stored(read.withColumn("row", F.monotonically_increasing_id()), "benchmark-items")
+    posted = items.select("row", F.explode("terms").alias("term"))
+    frequent = posted.join(posted.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term")
+    pairs = frequent.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("frequencies"))
+    return stored(items.drop("terms").join(pairs, "row"), "benchmark-described")
+
+
+def item_groups(described: DataFrame, max_items: int, max_bytes: int) -> Iterator[tuple[list[tuple[int, str]], Collection]]:
+    """The items in order of their ids, so many and about so large at a time, and statistics of all for the terms of these."""
+    whole = described.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean")).first()
+    rows = described.select("item_id", "text", "frequencies").orderBy("item_id", "text").toLocalIterator()
+    group, held, found = [], 0, {}
+    for item, text, frequencies in rows:
         if group and (len(group) >= max_items or held + len(text) > max_bytes):
-            yield group
-            group, held = [], 0
+            yield group, Collection(whole.n, whole.mean, found)
+            group, held, found = [], 0, {}
         group.append((item, text))
         held += len(text)
+        found |= {term % 2**64: n for term, n in frequencies.items()}
     if group:
-        yield group
+        yield group, Collection(whole.n, whole.mean, found)
 
 
 _LEAKS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
@@ -203,16 +237,17 @@ def find_leaks(
     the item's score against itself, and is a leak if at least ``overlap`` of
     the 5-word runs of its question and of its answer occur in that passage.
     Items go to the tasks in groups of at most ``max_items`` and about
-    ``max_bytes``; more than ``groups_per_pass`` groups take further passes
+    ``max_bytes``; scores rest on statistics of all items, so the grouping does
+    not change them.  More than ``groups_per_pass`` groups take further passes
     over the texts.  Null and empty texts leak nothing, null or wordless items
     are never found, equal items are all reported, a null item id is reported
     as null; repeated rows are judged each by itself.
     """
     spark = docs.sparkSession
-    groups = item_groups(benchmark, max_items, max_bytes)
+    groups = item_groups(_described(benchmark), max_items, max_bytes)
     names = [*keep, "_text", "leaks"]
     now = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"), F.array().cast(_LEAKS).alias("leaks"))
-    while part := [Index(g, share) for g in islice(groups, groups_per_pass)]:
+    while part := [Index(g, share, whole) for g, whole in islice(groups, groups_per_pass)]:
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
