@@ -26,7 +26,7 @@ from tidemark.llm.common import crc_mod, stored
 from tidemark.llm.kernel import NULL_ID, U64, lowered, mixed, pack, rows_of, span_hashes, unpack, word_spans
 
 END, BEGIN = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)
-WORD_WIDTH, ARC_WIDTH = 7, 5  # bytes of a word's and an arc's hash beyond its part
+WORD_WIDTH, ARC_WIDTH = 7, 6  # bytes of a word's and an arc's hash beyond its part
 CHUNK_BYTES = 3 << 19  # larger chunks repeat more of their words, and send each but once
 
 
