@@ -25,9 +25,8 @@ def _natal(spark, sf):
 
 
 def _scan(spark, sf):
-    """Every security on every tenth trading day of 1999; days are a small dimension."""
-    few = _days(spark, sf).where((F.year("d") == 1999) & (F.dayofmonth("d") % 10 == 0))
-    return _natal(spark, sf).crossJoin(F.broadcast(few))
+    """Every security on every trading day; days are a small dimension."""
+    return _natal(spark, sf).crossJoin(F.broadcast(_days(spark, sf)))
 
 
 _SCAN = f"{with_sql('days', 'universe')}, {_DAYP}, {_NATAL}, scan AS (SELECT * FROM natal, dp WHERE year(d) = 1999 AND day(d) % 10 = 0)"
