@@ -199,7 +199,7 @@ def c18(spark, sf):
 def s04(spark, sf):
     """Offline CSV snapshot with a given schema, filtered by date; another adjustment than the one asked for is refused."""
     path = store.scratch(spark, "snapshot")
-    bars(spark, sf).where("sec < 10").select("sec", "d", "close", F.lit("none").alias("adjust")).write.option("header", True).csv(path)
+    bars(spark, sf).select("sec", "d", "close", F.lit("none").alias("adjust")).write.option("header", True).csv(path)
     snapshot = spark.read.schema("sec long, d date, close double, adjust string").option("header", True).csv(path)
     sound = snapshot.where(F.when(F.col("adjust") == "none", True).otherwise(F.raise_error(F.lit("snapshot has another adjustment"))))
     return sound.where(F.col("d") >= F.to_date(F.lit("1998-01-01"))).groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last_d"))
@@ -209,7 +209,7 @@ def s04(spark, sf):
 def s08(spark, sf):
     """Cache partitions replaced one by one: dynamic partition overwrite."""
     path = store.scratch(spark, "cache")
-    b = bars(spark, sf).where("sec < 6").select("sec", "d", "close")
+    b = bars(spark, sf).select("sec", "d", "close").repartition("sec")  # a security's files come from one task
     b.where("sec < 4").limit(10).write.partitionBy("sec").parquet(path)
     b.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("sec").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("sec").cast("long").alias("sec")).agg(F.count(F.lit(1)).alias("n"))

@@ -31,7 +31,7 @@ def _outcomes(spark, sf):
 @query("p02_event_filter", f"{with_sql('obs')} SELECT sec, d, factor_id, src, line FROM obs WHERE factor_id IN ('RF', 'AF') AND sec < 50 AND d BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND direction = 1 AND score >= 25")
 def p02(spark, sf):
     kept = events.select(observations(spark, sf), factors=["RF", "AF"], start="1996-01-01", end="1999-12-31", direction=1, min_score=25)
-    return kept.where("sec < 50").select("sec", "d", "factor_id", "src", "line")
+    return kept.select("sec", "d", "factor_id", "src", "line")
 
 
 @query("p03_activation_modes", f"{with_sql('obs')} SELECT count(*) FILTER (WHERE normalized IS NOT NULL) AS any_n, count(*) FILTER (WHERE normalized <> 0) AS nonzero_n, count(*) FILTER (WHERE normalized > 0) AS positive_n, count(*) FILTER (WHERE normalized < 0) AS negative_n, count(*) FILTER (WHERE direction > 0) AS fallback_n FROM obs")
@@ -225,7 +225,7 @@ def r04(spark, sf):
 @query("t02_sorted_nulls_last", "SELECT c_custkey, bal FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS bal FROM customer) ORDER BY bal DESC NULLS LAST, c_custkey LIMIT 50")
 def t02(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("bal"))
-    return c.orderBy(F.col("bal").desc_nulls_last(), "c_custkey").limit(50)
+    return c.orderBy(F.col("bal").desc_nulls_last(), "c_custkey")
 
 
 @query("t05_page", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40")

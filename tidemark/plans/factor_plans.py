@@ -92,7 +92,7 @@ def f12(spark, sf):
 
 @query("f20_birth_model", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 570 MINUTE AS open_birth, CAST(CAST(o_orderdate AS DATE) - 7 AS DATE) AS approximate FROM orders WHERE o_orderkey % 10 = 0")
 def f20(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf, "orders")
     open_ = F.make_timestamp_ntz(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.lit(9), F.lit(30), F.lit(0))
     return o.select("o_orderkey", open_.alias("open_birth"), F.date_sub(F.to_date("o_orderdate"), 7).alias("approximate"))
 

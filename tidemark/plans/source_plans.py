@@ -116,7 +116,7 @@ def s20(spark, sf):
 
 @query("s06_zip_of_csv")
 def s06(spark, sf):
-    """Zipped CSV files, one member a security, to one long frame: binary files decoded by Arrow-batched Python."""
+    """Zipped CSV files, one member a security, at most 256 a ZIP of a year, to one long frame: binary files decoded by Arrow-batched Python."""
     path = store.scratch(spark, "zips")
 
     def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,8 +126,8 @@ def s06(spark, sf):
                 z.writestr(f"{sec}.csv", part[["d", "close"]].to_csv(index=False))
         return pd.DataFrame({"y": [pdf["y"].iat[0]], "content": [data.getvalue()]})
 
-    b = bars(spark, sf).where("sec < 20").select("sec", "d", "close", F.year("d").alias("y"))
-    b.groupBy("y").applyInPandas(zipped, "y int, content binary").write.parquet(path)
+    b = bars(spark, sf).select("sec", "d", "close", F.year("d").alias("y"))
+    b.groupBy("y", F.floor(F.col("sec") / 256)).applyInPandas(zipped, "y int, content binary").write.parquet(path)
 
     def members(batches):
         for pdf in batches:
