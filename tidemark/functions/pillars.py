@@ -61,6 +61,48 @@ def triple(a: Column, b: Column) -> Column:
     return (a != b) & (F.pmod(a - b, F.lit(4)) == 0)
 
 
+# Branches' partners of the six breaks; groups of branches that punish each other.
+BREAK_OF = (9, 4, 11, 6, 1, 8, 3, 10, 5, 0, 7, 2)
+PUNISHMENTS = ((2, 5, 8), (1, 10, 7), (0, 3))
+SELF_PUNISHED = (4, 6, 9, 11)
+# Relations of a day's pillar to one natal pillar; full triples, triple meetings and triple punishments need two natal pillars or more.
+RELATIONS = (
+    "stem_harmony", "stem_clash", "stem_generates", "stem_generated", "stem_overcomes", "stem_overcome", "stem_same_element", "harmony", "clash", "triple",
+    "punish", "self_punish", "harm", "break", "same_branch", "repeat", "reverse", "double_harmony", "double_clash",
+)
+SUPPORTIVE = ("harmony", "triple", "stem_harmony", "double_harmony", "stem_generates", "stem_same_element")
+DISTURBING = ("clash", "punish", "self_punish", "harm", "break", "stem_overcomes", "double_clash", "reverse")
+COMPOUND = ("repeat", "reverse", "double_harmony", "double_clash")
+
+
+def harm(a: Column, b: Column) -> Column:
+    return (a + b) % 12 == 7
+
+
+def breaks(a: Column, b: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, BREAK_OF)), (a + 1).cast("int")) == b
+
+
+def punish(a: Column, b: Column) -> Column:
+    """Two different branches of one group."""
+    held = [a.isin(*group) & b.isin(*group) for group in PUNISHMENTS]
+    return (a != b) & (held[0] | held[1] | held[2])
+
+
+def relations(stem: Column, branch: Column, nstem: Column, nbranch: Column) -> Column:
+    """Names of the relations of an outer pillar to a natal one, in the order of RELATIONS; triple is two of the three branches."""
+    own, other = _half(stem), _half(nstem)
+    control, opposed = overcomes(own) == other, F.abs(stem - nstem) == 6
+    joined = F.pmod(stem - nstem, F.lit(10)) == 5
+    tests = (
+        joined, opposed, generates(own) == other, generates(other) == own, control, overcomes(other) == own, own == other,
+        harmony(branch, nbranch), clash(branch, nbranch), triple(branch, nbranch), punish(branch, nbranch), (branch == nbranch) & branch.isin(*SELF_PUNISHED),
+        harm(branch, nbranch), breaks(branch, nbranch), branch == nbranch, (stem == nstem) & (branch == nbranch),
+        (control | opposed) & clash(branch, nbranch), joined & harmony(branch, nbranch), control & clash(branch, nbranch),
+    )
+    return F.array_compact(F.array(*[F.when(t, name) for name, t in zip(RELATIONS, tests, strict=True)]))
+
+
 def role_value(day_stem: Column, other: Column) -> Column:
     relation = F.pmod(_half(other) - _half(day_stem), F.lit(5))
     return F.when(relation == 4, 1.0).when(relation == 0, 0.6).when(relation == 1, 0.0).when(relation == 2, -0.8).otherwise(-1.0)

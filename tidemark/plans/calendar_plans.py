@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pillars as p
 from tidemark.operators import asof, labels
-from tidemark.plans.factor_plans import _CLASH, _DAYP, _HARM6, _NAMES, _SCAN, _TEN, _days, _natal, _scan
+from tidemark.plans.factor_plans import _CLASH, _DAYP, _HARM6, _NAMES, _SCAN, _TEN, _days, _natal, _related, _scan
 from tidemark.plans.label_plans import LABELS, r8
 from tidemark.plans.registry import query
 from tidemark.sources import store
@@ -179,7 +179,9 @@ def c15(spark, sf):
 @query("c16_entity_snapshot", f"{_SCAN} SELECT {_GOD} AS god, count(*) AS n, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_CLASH}) AS clashes FROM scan WHERE sec = 7 GROUP BY 1")
 def c16(spark, sf):
     a, b = F.col("nbranch"), F.col("branch")
-    return _gods(spark, sf).where("sec = 7").groupBy("god").agg(F.count(F.lit(1)).alias("n"), F.count_if(p.harmony(a, b)).alias("harmonies"), F.count_if(p.clash(a, b)).alias("clashes"))
+    g = _related(spark, sf).where("sec = 7").groupBy(p.ten_god(F.col("nstem"), F.col("stem")).alias("god"))
+    counts = [F.sum(c).alias(c) for c in ("supportive", "disturbing", "compound")]
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(p.harmony(a, b)).alias("harmonies"), F.count_if(p.clash(a, b)).alias("clashes"), *counts)
 
 
 @query("c17_ten_god_calendar", f"{with_sql('days')}, {_DAYP} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, list_extract({_NAMES}, {_TEN('4', 'stem')} + 1) AS god, count(*) AS n FROM dp WHERE year(d) = 1999 GROUP BY 1, 2")

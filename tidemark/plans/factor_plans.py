@@ -29,6 +29,16 @@ def _scan(spark, sf):
     return _natal(spark, sf).crossJoin(F.broadcast(_days(spark, sf)))
 
 
+def _related(spark, sf):
+    """The scan with its relations and the supportive, disturbing and compound ones' counts, from a table of all 60 x 60 pillars."""
+    own, other = F.col("id") % 60, F.floor(F.col("id") / 60)
+    pairs = spark.range(3600).select((own % 10).alias("stem"), (own % 12).alias("branch"), (other % 10).alias("nstem"), (other % 12).alias("nbranch"))
+    pairs = pairs.withColumn("relations", p.relations(F.col("stem"), F.col("branch"), F.col("nstem"), F.col("nbranch")))
+    count = lambda names: F.size(F.array_intersect("relations", F.array(*map(F.lit, names)))).cast("long")
+    pairs = pairs.withColumns({"supportive": count(p.SUPPORTIVE), "disturbing": count(p.DISTURBING), "compound": count(p.COMPOUND)})
+    return _scan(spark, sf).join(F.broadcast(pairs), ["stem", "branch", "nstem", "nbranch"])
+
+
 _SCAN = f"{with_sql('days', 'universe')}, {_DAYP}, {_NATAL}, scan AS (SELECT * FROM natal, dp WHERE year(d) = 1999 AND day(d) % 10 = 0)"
 _STEMS, _BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
 
@@ -70,13 +80,20 @@ _TRIPLE = "nbranch <> branch AND (nbranch - branch + 12) % 4 = 0"
 @query("f05_branch_relations", f"{_SCAN} SELECT sec, d, {_CLASH} AS clash, {_HARM6} AS harmony, {_TRIPLE} AS triple FROM scan")
 def f05(spark, sf):
     a, b = F.col("nbranch"), F.col("branch")
-    return _scan(spark, sf).select("sec", "d", p.clash(a, b).alias("clash"), p.harmony(a, b).alias("harmony"), p.triple(a, b).alias("triple"))
+    tests = {"clash": p.clash, "harmony": p.harmony, "triple": p.triple, "harm": p.harm, "break": p.breaks, "punish": p.punish}
+    return _scan(spark, sf).select("sec", "d", *[test(a, b).alias(name) for name, test in tests.items()])
 
 
 @query("f09_relation_counts", f"{_SCAN} SELECT d, count(*) FILTER (WHERE {_CLASH}) AS clashes, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_TRIPLE}) AS triples FROM scan GROUP BY d")
 def f09(spark, sf):
-    a, b = F.col("nbranch"), F.col("branch")
-    return _scan(spark, sf).groupBy("d").agg(F.count_if(p.clash(a, b)).alias("clashes"), F.count_if(p.harmony(a, b)).alias("harmonies"), F.count_if(p.triple(a, b)).alias("triples"))
+    """Each relation's count (n_ and its name), the three of old under their own names, the S, V and U counts, and securities by group."""
+    held = {r: F.count_if(F.array_contains("relations", r)) for r in p.RELATIONS}
+    s, v = F.col("supportive") > 0, F.col("disturbing") > 0
+    groups = {"synergy": s & ~v, "disturbed": v & ~s, "mixed": s & v, "weak": ~s & ~v}
+    return _related(spark, sf).groupBy("d").agg(
+        held["clash"].alias("clashes"), held["harmony"].alias("harmonies"), held["triple"].alias("triples"), *[c.alias(f"n_{r}") for r, c in held.items()],
+        *[F.sum(c).alias(c) for c in ("supportive", "disturbing", "compound")], *[F.count_if(c).alias(g) for g, c in groups.items()],
+    )
 
 
 @query("f11_ten_god_counts", f"{_SCAN} SELECT sec, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, count(*) AS n FROM scan GROUP BY 1, 2")
@@ -148,11 +165,12 @@ def f29(spark, sf):
 def j25(spark, sf):
     a, b = F.col("nbranch"), F.col("branch")
     score = p.harmony(a, b).cast("int") + p.triple(a, b).cast("int") - p.clash(a, b).cast("int")
-    s = _scan(spark, sf).select("sec", "d", score.alias("score"))
+    counts = ["supportive", "disturbing", "compound"]
+    s = _related(spark, sf).select("sec", "d", score.alias("score"), *counts)
     by_day = Window.partitionBy("d")
     less = F.rank().over(by_day.orderBy("score")) - 1
     equal = F.count(F.lit(1)).over(Window.partitionBy("d", "score"))
-    return s.select("sec", "d", "score", F.round((less + 0.5 * equal) / F.count(F.lit(1)).over(by_day) * 100, 2).alias("pct"))
+    return s.select("sec", "d", "score", F.round((less + 0.5 * equal) / F.count(F.lit(1)).over(by_day) * 100, 2).alias("pct"), *counts)
 
 
 @query("c20_date_fingerprint", f"{with_sql('days')}, {_DAYP} SELECT d, (branch + 6) % 12 AS clash_branch, (13 - branch) % 12 AS harmony_branch, (stem + 5) % 10 AS partner_stem FROM dp")
@@ -163,9 +181,8 @@ def c20(spark, sf):
 
 @query("c26_relation_factors", f"{_SCAN} SELECT sec, d, relation, CAST(1 AS BIGINT) AS n FROM (SELECT sec, d, unnest(list_filter([CASE WHEN {_CLASH} THEN 'clash' END, CASE WHEN {_HARM6} THEN 'harmony' END, CASE WHEN {_TRIPLE} THEN 'triple' END], lambda x: x IS NOT NULL)) AS relation FROM scan)")
 def c26(spark, sf):
-    a, b = F.col("nbranch"), F.col("branch")
-    held = F.array_compact(F.array(F.when(p.clash(a, b), "clash"), F.when(p.harmony(a, b), "harmony"), F.when(p.triple(a, b), "triple")))
-    return _scan(spark, sf).select("sec", "d", F.explode(held).alias("relation")).groupBy("sec", "d", "relation").agg(F.count(F.lit(1)).alias("n"))
+    """A relation that is not held has no row."""
+    return _related(spark, sf).select("sec", "d", F.explode("relations").alias("relation")).groupBy("sec", "d", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c19_month_windows", f"{with_sql('days')} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, min(d) AS first_d, max(d) AS last_d, count(*) AS n FROM days GROUP BY 1")
