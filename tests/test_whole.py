@@ -1,6 +1,9 @@
 """Queries do the whole job where their SQL still has a cut: the rows are those of the SQL without it."""
 
+import math
 import os
+import unicodedata
+from collections import Counter
 
 import duckdb
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.test_oracle import SF, duck, rows  # noqa: F401  duck is a fixture
 from tidemark.functions import pillars
+from tidemark.operators import retrieval
 
 SCAN_CUT = " WHERE year(d) = 1999 AND day(d) % 10 = 0"
 SCANS = sorted(k for k, sql in __spark_entry__.oracle_sql().items() if SCAN_CUT in sql)
@@ -103,3 +107,35 @@ def test_relation_queries_have_every_relation(spark):
     assert (f09[["synergy", "disturbed", "mixed", "weak"]].sum(axis=1) == 10).all()
     f05 = q["f05_branch_relations"](spark, SF).agg(*[F.count_if(F.col(r)).alias(r) for r in ("harm", "break", "punish")]).first().asDict()
     assert f05 == {r: count[r] for r in f05}
+
+
+def plain_tokens(text):
+    out, run = [], ""
+    for c in (text or "").lower() + " ":
+        cjk = "\u4e00" <= c <= "\u9fff"
+        if unicodedata.category(c)[0] in "LMN" and not cjk:
+            run += c
+            continue
+        out += [run] if len(run) > 1 else []
+        run = ""
+        out += [c] if cjk and c not in "的了是在与和而之也矣者其以为不有无乃则於于所故皆" else []
+    return out
+
+
+def test_tokens_of_every_script(spark):
+    texts = [(1, "日支六冲的月令"), (2, "L'été à Köln: niño, e\u0301te\u0301, x 7 42"), (3, "的了"), (4, "слово 冲abc冲 a"), (5, None), (6, "кот"), (7, "the 冲")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text"))
+    counted = {r.doc_id: Counter(plain_tokens(r.text)) for r in docs.collect()}
+    got = {(r.doc_id, r.term): r.tf for r in retrieval.tokens(docs).collect()}
+    assert got == {(i, t): n for i, c in counted.items() for t, n in c.items()}
+
+    terms, held = ["the", "冲", "的", "été", "slovo", "слово"], {i: c for i, c in counted.items() if c}
+    mean = sum(c.total() for c in held.values()) / len(held)
+    want = Counter()
+    for t in terms:
+        df = sum(t in c for c in held.values())
+        for i, c in held.items():
+            if t in c:
+                want[i] += math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean))
+    scores = {r.doc_id: r.score for r in retrieval.bm25(docs, terms).collect()}
+    assert {1, 2, 4, 7} <= scores.keys() == want.keys() and all(math.isclose(scores[i], want[i]) for i in want)

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_STOPWORDS = "的了是在与和而之也矣者其以为不有无乃则於于所故皆"
+_CJK = r"\u4e00-\u9fff"
+_WORD = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]"
+#: No segmenter is at hand: runs of two or more letters and digits of any script, and single CJK characters less the stop words.
+TOKEN = f"({_WORD}{{2,}}|[{_CJK}&&[^{_STOPWORDS}]])"
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf: runs of two or more of a-z and 0-9, in lower case."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]{2,})"))
+    """doc_id, term, tf: the tokens in lower case."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))
     return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -21,8 +28,13 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75) ->
     documents' counts are kept, and the terms, a short list, become columns.
     """
     low = F.lower(F.coalesce("text", F.lit("")))
-    times = lambda term: F.regexp_count(low, F.lit(f"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"))
-    counted = docs.select("doc_id", F.regexp_count(low, F.lit("[a-z0-9]{2,}")).alias("dl"), *[times(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
+
+    def times(term):
+        if re.fullmatch(f"[{_CJK}]", term):
+            return F.lit(0) if term in _STOPWORDS else F.regexp_count(low, F.lit(term))
+        return F.regexp_count(low, F.lit(f"(?<!{_WORD}){re.escape(term)}(?!{_WORD})"))
+
+    counted = docs.select("doc_id", F.regexp_count(low, F.lit(TOKEN)).alias("dl"), *[times(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
     counted = counted.where("dl > 0")
     corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(corpus))  # one row
