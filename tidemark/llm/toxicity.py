@@ -24,6 +24,7 @@ from tidemark.llm.kernel import NOT_ALNUM, U64, lowered, mixed, pieces, span_has
 WINDOW = 8
 FUZZY_FROM = 5  # shorter stems must match exactly
 _CACHE = 200_000
+SIGN = np.array([0x21 <= c < 0x7F and not chr(c).isalnum() for c in range(256)])
 
 # Words that report speech, and words that address somebody.
 REPORTING = frozenset(
@@ -62,19 +63,28 @@ class Lexicon:
         for stem in stems:
             data = stem.encode()
             fuzzy = len(stem) >= FUZZY_FROM
-            half = len(data) // 2
-            if fuzzy and half < 3 or len(data) < 3:
+            # An edit behind the head leaves the head; one in it leaves the tail, which begins where the head's last character has ended.
+            head, tail = 3, max(len(data) // 2, self._end(data, 2))
+            if fuzzy and len(data) - tail < 3 or len(data) < 3:
+                head, tail = 2, max(len(data) // 2, self._end(data, 1))
+            if head == 2:
                 self.heads2[self._pair(*data[:2])] = True
             else:
                 self.heads3[self._triple(*data[:3])] = True
             if fuzzy:
-                for at in range(max(0, half - 2), half + 3):  # an edit before moves the tail by up to two bytes
-                    self.tails.setdefault(at, np.zeros(1 << 16, bool))[self._triple(*data[half : half + 3].ljust(3, b"\0"))] = True
-                    if len(data) - half < 3:
-                        self.tails[at][:] = True
+                for at in range(max(0, tail - 4), tail + 5):  # an edit before moves the tail by up to the four bytes of a character
+                    self.tails.setdefault(at, np.zeros(1 << 16, bool))[self._triple(*data[tail : tail + 3])] = True
 
         self.seen: dict[bytes, tuple[int, int] | None] = {}
 
+    @staticmethod
+    def _end(data: bytes, at: int) -> int:
+        """Where the UTF-8 character over a byte ends."""
+        at += 1
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
     @staticmethod
     def _pair(a, b):
         return a << 8 | b
@@ -138,7 +148,10 @@ class Lexicon:
         return found
 
     def matches(self, blob: np.ndarray, begins: np.ndarray):
-        """For each match in a folded blob: (text, stem, edits, quoted)."""
+        """For each match in a folded blob: (text, stem, edits, quoted).
+
+        Two words with one ASCII sign between them, of which neither matches, are also tried as one word with the sign in it.
+        """
         starts, ends = word_spans(blob, NOT_ALNUM)
         if not self.stems or not len(starts):
             return
@@ -146,18 +159,27 @@ class Lexicon:
         quote = np.concatenate(([0], np.cumsum(blob == 0x22)))
         line_ends = np.flatnonzero(blob == 10)
         owner = None
+        held = {}  # of a match's first word: last word, match
         for w in np.flatnonzero(self.possible(blob, starts, ends)).tolist():
             found = self.match(data[starts[w] : ends[w]])
-            if found is None:
-                continue
+            if found is not None:
+                held[w] = w, found
+        masked = np.flatnonzero((starts[1:] - ends[:-1] == 1) & SIGN[blob[ends[:-1]]])
+        taken = set(held)
+        for w in masked[self.possible(blob, starts[masked], ends[masked + 1])].tolist():
+            found = self.match(data[starts[w] : ends[w + 1]]) if w not in taken and w + 1 not in taken else None
+            if found is not None:
+                held[w] = w + 1, found
+                taken |= {w, w + 1}
+        for w, (last, found) in sorted(held.items()):
             if owner is None:
                 owner = np.searchsorted(begins, starts, "right") - 1
             k = int(np.searchsorted(line_ends, starts[w]))
             line = int(line_ends[k - 1]) + 1 if k else 0
-            before, after = quote[starts[w]] - quote[line], quote[line_ends[k]] - quote[ends[w]]
-            low, high = max(0, w - WINDOW), min(len(starts), w + WINDOW + 1)
+            before, after = quote[starts[w]] - quote[line], quote[line_ends[k]] - quote[ends[last]]
+            low, high = max(0, w - WINDOW), min(len(starts), last + WINDOW + 1)
             near = [data[starts[x] : ends[x]] for x in range(low, high) if owner[x] == owner[w]]
-            close = [data[starts[x] : ends[x]] for x in range(max(0, w - 3), min(len(starts), w + 4)) if owner[x] == owner[w]]
+            close = [data[starts[x] : ends[x]] for x in range(max(0, w - 3), min(len(starts), last + 4)) if owner[x] == owner[w]]
             context = (before % 2 == 1 and after >= 1) + 0.5 * any(x in REPORTING for x in near) - 0.5 * any(x in ADDRESSING for x in close)
             yield int(owner[w]), found[0], found[1], context >= 0.75
 
