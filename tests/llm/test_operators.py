@@ -41,12 +41,16 @@ def words_of(seed, n, pool=400):
     return [f"w{rng.randrange(pool)}" for _ in range(n)]
 
 
+THUE_MORSE = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+OPPOSITE = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+FRAME = words_of(7, 49, 10**6)
 PASSAGE = " ".join(words_of(1, 70, 10**6))
 LONG = " ".join(words_of(2, 20000, 10**6))
 TEXTS = [
     (1, "a b  c"), (2, "a b c"), (2, "a b c"), (3, None), (4, ""), (5, " "), (None, "a b c"), (None, None), (6, LONG), (7, LONG + " x"),
     (8, f"Start one. {PASSAGE} End"), (9, f"other {PASSAGE}"), (10, f"{PASSAGE} {PASSAGE}"), (11, "é ü 🙂   x"), (12, "A\tB\nC a b"),
     (13, PASSAGE + " tail"), (13, "same id, other text"), (14, "\x00 nul \x01"),
+    (15, " ".join([THUE_MORSE, *FRAME])), (16, " ".join([OPPOSITE, *FRAME])),  # equal under any polynomial hash modulo a power of two
 ]
 
 
@@ -79,9 +83,9 @@ def test_packed_exchange_round_trip():
         at = exchange.cuts(short, 8, width)
         assert at[0] == 0 and at[-1] == len(short)
         part = short[at[3] : at[4]]
-        low = exchange._unpacked(exchange._packed(part, width), width)
-        mask = np.uint64(2 ** min(8 * width, 61) - 1)
-        assert (low & mask == part & mask).all()
+        low = exchange._unpacked(exchange._packed(part, width))
+        assert (low == part & np.uint64(2 ** (8 * width) - 1)).all()
+    assert exchange._unpacked(exchange._packed(keys[:1], 8)) == keys[:1]
     for places, n in (([0, 1, 2], 3), ([5], 1000), (list(range(0, 100, 2)), 100), ([], 9)):
         assert exchange._as_places(exchange._places(np.array(places, dtype=np.int64), n), n).tolist() == places
 
@@ -241,49 +245,96 @@ def test_separator_scan_across_blocks(spark, tmp_path, monkeypatch):
 # 4
 
 
-def test_lm_scores_match_brute_force(spark, docs):
-    trains = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
-    got = lm_score.lm_score(docs, trains=trains, strength=20.0).collect()
+def tokens_of(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    token = [(i, [*WORD.findall((t or "").translate(low)), None]) for i, t in TEXTS]
+    return [(i, [*WORD.findall((t or "").translate(low)), "</s>"]) for i, t in rows]
+
+
+def backoff_automaton(learned, s, t):
+    """States (histories as tuples) with arcs {word: (target, weight)} and failure arcs, from texts as token lists; plain Python."""
+    one, two, three = Counter(), Counter(), Counter()
+    for w in learned:
+        run = ["<s>", *w]
+        one.update(w)
+        two.update(zip(run, w, strict=False))
+        three.update(zip(run, w, w[1:], strict=False))
+    total, known = sum(one.values()), len(one)
+    base = lambda w: (one[w] + 0.5) / (total + 0.5 * (known + 1))
+    arcs, failure = {(): {}}, {}
+    held = {("<s>",): len(learned)} | {(w,): c for w, c in one.items() if w != "</s>"} | {p: c for p, c in two.items() if p[1] != "</s>"}
+    for h, c in held.items():
+        k = s if len(h) == 1 else t
+        arcs[h], failure[h] = {}, (h[1:] if h[1:] in held else (), math.log10(k / (c + k)))
+    p2 = lambda h, w: (two[h, w] + s * base(w)) / (held[h,] + s)
+    after = lambda h, w: (h, w) if w != "</s>" else ()
+    for w in one:
+        arcs[()][w] = ((w,) if w != "</s>" else (), math.log10(base(w)))
+    for (h, w), _ in two.items():
+        arcs[h,][w] = (after(h, w), math.log10(p2(h, w)))
+    for (g, h, w), c in three.items():
+        arcs[g, h][w] = (after(h, w), math.log10((c + t * p2(h, w)) / (two[g, h] + t)))
+    return arcs, failure, math.log10(base("")), one
+
+
+def walked(model, words):
+    arcs, failure, unknown, _ = model
+    state, total = ("<s>",) if ("<s>",) in arcs else (), 0.0
+    for w in words:
+        while state and w not in arcs[state]:
+            state, cost = failure[state]
+            total += cost
+        state, weight = arcs[state].get(w, ((), unknown))
+        total += weight
+    return total
+
+
+def test_lm_scores_match_a_walk_on_an_explicit_automaton(spark, docs):
+    trains = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
+    got = lm_score.lm_score(docs, trains=trains, strengths=(20.0, 2.0)).collect()
+    token = tokens_of(TEXTS)
     learned = [w for i, w in token if (i or 0) % 3 != 1]
-    one, two = Counter(x for w in learned for x in w), Counter(p for w in learned for p in zip(["<s>", *w], w, strict=False))
+    model = backoff_automaton(learned, 20, 2)
+    one = model[3]
     total, known = sum(one.values()), len(one)
     want = []
     for i, w in token:
-        base = score = 0.0
-        for h, x in zip(["<s>", *w], w, strict=False):
-            p = (one[x] + 0.5) / (total + 0.5 * (known + 1))
-            c = len(learned) if h == "<s>" else one[h]
-            base += math.log10(p)
-            score += math.log10((two[h, x] + 20 * p) / (c + 20))
-        want.append((i, len(w), sum(one[x] > 0 for x in w), total, round(base, 6), round(score, 6)))
+        base = sum(math.log10((one[x] + 0.5) / (total + 0.5 * (known + 1))) for x in w)
+        want.append((i, len(w), sum(one[x] > 0 for x in w), total, round(base, 6), round(walked(model, w), 6)))
     have = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got]
     assert sorted(have, key=lambda r: tuple(map(null_last, r))) == sorted(want, key=lambda r: tuple(map(null_last, r)))
 
 
+def test_lm_chunks_and_salted_reducers_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(words_of(rng.randrange(6), rng.randrange(1, 40), 12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = backoff_automaton([w for i, w in tokens_of(rows) if i % 2], 300, 3)
+    want = {i: pytest.approx(walked(model, w)) for i, w in tokens_of(rows)}
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 200)
+    for limit in (1 << 16, 3):
+        monkeypatch.setattr(exchange, "ROWS_PER_TASK", limit)
+        assert {r.doc_id: r.score for r in lm_score.lm_score(df, trains=F.col("doc_id") % 2 == 1).collect()} == want
+
+
 def test_lm_without_training_rows_or_rows(spark, docs, nothing):
     assert {r.score for r in lm_score.lm_score(docs, trains=F.lit(False)).collect()} == {0.0}
     assert lm_score.lm_score(nothing).count() == 0
 
 
 def test_lm_states_sum_to_one(spark):
-    df = spark.createDataFrame([(1, "a b a c a b"), (2, "b a")], "doc_id long, text string")
-    probe = spark.createDataFrame([(10 + k, t) for k, t in enumerate(["a", "b", "c", "zzz"])], "doc_id long, text string")
-    both = df.withColumn("t", F.lit(True)).unionByName(probe.withColumn("t", F.lit(False)))
-    scores = {r.doc_id: r.score for r in lm_score.lm_score(both, trains=F.col("t"), strength=3.0).collect() if r.doc_id >= 10}
-    # p(first word) for all words, less the end's part: first words and an end must sum to 1
-    ends = {r.doc_id: r.score for r in lm_score.lm_score(both.unionByName(spark.createDataFrame([(20, "", False)], "doc_id long, text string, t boolean")), trains=F.col("t"), strength=3.0).collect()}
-    first = {"a": (1, 4), "b": (2, 3), "c": (0, 1), "zzz": (0, 0)}
-    total = 10 ** ends[20]
-    n, v = 10, 4
-    for k, w in enumerate(first):
-        count = {"a": 4, "b": 3, "c": 1}.get(w, 0)
-        follow = {"a": 1, "b": 1}.get(w, 0)
-        p = (count + 0.5) / (n + 0.5 * (v + 1))
-        total += (follow + 3 * p) / (2 + 3)
-        assert scores[10 + k] < 0
-    assert total == pytest.approx(1.0)
+    learned = [(1, "a b a c a b"), (2, "b a"), (3, "a b c")]
+    words = ["a", "b", "c", "zzz"]  # all unknown words are one
+    both = spark.createDataFrame(learned, "doc_id long, text string").withColumn("t", F.lit(True))
+    for history in ("", "a", "b", "a b", "b a", "c zzz"):
+        texts = [f"{history} {w}" for w in words] + [history]
+        probe = spark.createDataFrame(list(enumerate(texts, 10)), "doc_id long, text string").withColumn("t", F.lit(False))
+        scores = {r.doc_id: r.score for r in lm_score.lm_score(both.unionByName(probe), trains=F.col("t"), strengths=(3.0, 1.0)).collect()}
+        model = backoff_automaton([w for _, w in tokens_of(learned)], 3, 1)
+        prefix = walked(model, history.split())
+        # what the state after the history gives to each word, less what the end gives after that word; and what it gives to the end
+        ends = [walked(model, [*history.split(), w, "</s>"]) - walked(model, [*history.split(), w]) for w in words]
+        total = sum(10 ** (scores[10 + k] - ends[k] - prefix) for k in range(len(words))) + 10 ** (scores[10 + len(words)] - prefix)
+        assert total == pytest.approx(1.0)
 
 
 # 5

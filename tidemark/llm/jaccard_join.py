@@ -55,13 +55,23 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_key(shingles: np.ndarray) -> bytes:
-    """128 bits that stand for a whole shingle set."""
+def set_key(shingles: np.ndarray, others: np.ndarray) -> bytes:
+    """128 bits that stand for a whole shingle set, given by two independent hashes of its shingles."""
     a = np.bitwise_xor.reduce(mixed(shingles + U64(11))) if len(shingles) else U64(0)
-    b = np.add.reduce(mixed(shingles ^ U64(0xABCDEF0123456789))) if len(shingles) else U64(0)
+    b = np.add.reduce(mixed(others ^ U64(0xABCDEF0123456789))) if len(others) else U64(0)
     return np.array([a, b], dtype="<u8").tobytes()
 
 
+def _sets(blob: np.ndarray, begins: np.ndarray, k: int) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """The shingle set of each text of a blob, and its key (none for a text without words)."""
+    starts, ends = word_spans(blob)
+    bound = np.searchsorted(starts, begins)
+    words, others = (span_hashes(blob, starts, ends, salt) for salt in (0, 1))
+    own = [slice(bound[d], bound[d + 1]) for d in range(len(begins) - 1)]
+    sets = [shingle_set(words[o], k) for o in own]
+    return sets, [set_key(x, shingle_set(others[o], k)) if len(x) else None for o, x in zip(own, sets, strict=True)]
+
+
 @lru_cache(maxsize=None)
 def least_agreement(threshold: float, tolerance: float) -> tuple[int, ...]:
     """For n = STEP, 2 STEP, .. compared values: the fewest agreements a pair may have to stay.
@@ -102,14 +112,11 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     def run(batches):
         for batch in batches:
             for rows, blob, begins in pieces(batch, "text"):
-                starts, ends = word_spans(blob)
-                words = span_hashes(blob, starts, ends)
-                bound = np.searchsorted(starts, begins)
-                sets = [shingle_set(words[bound[d] : bound[d + 1]], k) for d in range(len(begins) - 1)]
+                sets, keys = _sets(blob, begins, k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[rows],
-                        pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array(keys, pa.binary()),
                         pa.array([minhash(s).tobytes() for s in sets], pa.binary()),
                     ],
                     names=["doc_id", "set_key", "minhash"],
@@ -127,12 +134,9 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: D
         for batch in batches:
             for rows, blob, begins in pieces(batch, "text"):
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                starts, ends = word_spans(blob)
-                words = span_hashes(blob, starts, ends)
-                bound = np.searchsorted(starts, begins)
-                sets = [shingle_set(words[bound[d] : bound[d + 1]], k) for d in range(len(begins) - 1)]
+                sets, keys = _sets(blob, begins, k)
                 # an id may occur with several texts
-                own = pa.array([set_key(s) == key.as_py() for s, key in zip(sets, part.column("set_key"), strict=True)])
+                own = pa.array([own == key.as_py() for own, key in zip(keys, part.column("set_key"), strict=True)])
                 shingles = pa.array([s.tobytes() for s in sets], pa.binary())
                 out = [part.column(c) for c in ("node", "copies", "minhash")] + [shingles]
                 yield pa.RecordBatch.from_arrays(out, names=["node", "copies", "minhash", "shingles"]).filter(own)
@@ -327,12 +331,11 @@ def jaccard_join(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
         F.lit(1).cast("long").alias("n_copies"), F.col("doc_id").alias("set_id"),
     )
-    node = F.xxhash64("set_key").alias("node")
     keyed = rows.where("set_key is not null")
     classes = stored(
         keyed.groupBy("set_key")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("set_id"), F.max("minhash").alias("minhash"))
-        .select("set_key", node, "copies", "set_id", "minhash"),
+        .select("set_key", F.monotonically_increasing_id().alias("node"), "copies", "set_id", "minhash"),  # written once, so they stay
         "near-classes",
     )
 

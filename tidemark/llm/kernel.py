@@ -22,32 +22,18 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse mod 2**64
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64; tables for up to 2**20 are kept."""
-    have = _powers.get(base)
-    if have is not None and len(have) >= n:
-        return have[:n]
-    size = 1 << max(16, int(n - 1).bit_length())
-    made = np.full(size, U64(base), dtype=U64)
-    made[0] = 1
-    np.multiply.accumulate(made, out=made)
-    if size <= 1 << 20:
-        _powers[base] = made
-    return made[:n]
+_LONG = 512  # spans of more bytes are digested one by one
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit over all others."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
-    x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
+    with np.errstate(over="ignore"):
+        x = x ^ (x >> U64(30))
+        x = x * U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(27)
+        x *= U64(0x94D049BB133111EB)
+        x ^= x >> U64(31)
     return x
 
 
@@ -64,21 +50,63 @@ def word_spans(blob: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np
     return edge[0::2], edge[1::2]
 
 
-def span_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes."""
-    total = np.zeros(len(blob) + 1, dtype=U64)
-    np.cumsum((blob.astype(U64) + U64(1)) * powers(_BASE, len(blob)), out=total[1:])
-    return mixed((total[ends] - total[starts]) * powers(_INVERSE, len(blob) + 1)[starts])
+def span_hashes(blob: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes; another ``salt`` gives hashes that are independent of these.
+
+    Length and bytes, eight at a time, go through a bijection each, so spans of
+    up to eight bytes and equal length never collide.  Long spans are digested.
+    """
+    size = ends - starts
+    out = mixed(size.astype(U64) + U64(0x9E3779B97F4A7C15 * (salt + 1) % 2**64))
+    if len(blob) < 8:
+        blob = np.concatenate((blob, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(blob) - 7, "<u8", np.ascontiguousarray(blob).data, strides=(1,))
+
+    def lane(at, left):
+        near = np.minimum(at, len(lanes) - 1)
+        return (lanes[near] >> (8 * (at - near)).astype(U64)) & _MASK[np.minimum(left, 8)]
+
+    some = np.flatnonzero((size > 0) & (size <= _LONG))
+    some = slice(None) if len(some) == len(size) else some
+    at, left = starts[some], size[some]
+    state = mixed(out[some] ^ lane(at, left))
+    while True:
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        out[some] = state
+        some = more if isinstance(some, slice) else some[more]
+        at, left = at[more] + 8, left[more] - 8
+        state = mixed(state[more] ^ lane(at, left))
+    out[some] = state
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(blob[starts[k] : ends[k]].data, digest_size=8, salt=salt.to_bytes(8, "little"))
+        out[k] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def joined(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
+    """Hashes of runs made of the run at each place and the one ``gap`` places on."""
+    n = min(len(left), len(right) - gap)
+    return mixed(left[:n] * U64(0x9E3779B97F4A7C15) + right[gap : gap + n])
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k word hashes; empty if there are fewer."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """A 64-bit hash of each run of k word hashes; empty if there are fewer.
+
+    Runs of one, two, four .. words are joined, each time through a bijection.
+    """
+    if len(words) < k:
         return np.empty(0, dtype=U64)
-    total = np.zeros(len(words) + 1, dtype=U64)
-    np.cumsum(words * powers(_BASE, len(words)), out=total[1:])
-    return mixed((total[k:] - total[:-k]) * powers(_INVERSE, n))
+    out, done, run, size = None, 0, words, 1
+    while size <= k:
+        if k & size:
+            out = run if out is None else joined(out, run, done)
+            done += size
+        size *= 2
+        if size <= k:
+            run = joined(run, run, size // 2)
+    return out
 
 
 def lowered(blob: np.ndarray) -> np.ndarray:

@@ -1,21 +1,31 @@
 """Language-model scores from a weighted backoff automaton over words.
 
-The model is a smoothed bigram model.  Its automaton has a state for the empty
-history and one for each history h seen in training.  From state h an arc leads
-over each word w that followed h, weighing log10((c(hw) + s p(w)) / (c(h) + s));
-the failure arc to the empty history weighs log10(s / (c(h) + s)), and from there
-an arc over any word weighs log10 p(w).  p is the add-half unigram model, in
-which all unknown words share the weight of a count of zero; each state's
-weights sum to 1.  ``s``, the strength of the prior, is a parameter.
-
-The automaton grows with the corpus, so no task holds it whole.  Training
-counts are kept by ranges of a hash; a chunk of texts asks for the arcs that
-its texts can take, receives their counts, and walks its texts from left to
-right on them, carrying the state and adding the weights.
+The model is a smoothed trigram model.  Its automaton has a state for every
+history of training: the empty one, each word (and the beginning of a text), and
+each two words in a row.  From a state, an arc leads over every word that
+followed its history in training, to the state of the longest history that
+training knows after that word.  Any other word takes the state's failure arc, to
+the history without its first word, and tries again there; the empty history has
+an arc over every word.  The weights are log10 of
+
+    empty:    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), all unknown words together being one with c = 0
+    h:        p(w | h) = (c(hw) + s p(w)) / (c(h) + s), s = strengths[0]
+    gh:       p(w | gh) = (c(ghw) + t p(w | h)) / (c(gh) + t), t = strengths[1]
+
+and of the failure arcs s / (c(h) + s) and t / (c(gh) + t), so that what a state
+gives to all words, over its arcs and by failure, sums to 1.
+
+The automaton grows with the corpus, so no task holds it whole.  Training counts
+are kept by ranges of a hash.  A chunk of texts asks for the counts of the words,
+pairs and triples in it, builds the part of the automaton that its texts can
+reach, and walks each text once from left to right, carrying the state and adding
+the weights of the arcs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,15 +33,22 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exchange
 from tidemark.llm.common import crc_mod, stored
-from tidemark.llm.kernel import NULL_ID, U64, lowered, mixed, pack, rows_of, span_hashes, unpack, word_spans
+from tidemark.llm.kernel import NULL_ID, U64, joined, lowered, pack, rows_of, span_hashes, unpack, word_spans
 
 END, BEGIN = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)
-WORD_WIDTH, ARC_WIDTH = 7, 6  # bytes of a word's and an arc's hash beyond its part
-CHUNK_BYTES = 3 << 19  # larger chunks repeat more of their words, and send each but once
+WIDTHS = (8, 6, 5)  # bytes of the hash of a word, pair and triple beyond its part; a word's is whole
+CHUNK_BYTES = 3 << 20  # larger chunks repeat more of their words, and send each but once
+ROOT, BEGINNING, FIRST = 0, 1, 2  # states; from FIRST on, those of the chunk's words and then of its pairs
 
 
 class Tokens:
-    """Words and ends of a chunk's texts with their histories; distinct words and arcs."""
+    """Words and ends of a chunk's texts, and their distinct words, pairs and triples.
+
+    For n = 0, 1, 2: ``keys[n]`` are the sorted distinct hashes of n + 1 tokens,
+    ``counts[n]`` how often they occur in this chunk, ``at[n]`` the number of the
+    one that ends at each token.  A text's first word makes a pair with its
+    beginning and no triple (-1).
+    """
 
     def __init__(self, row: dict, parts: int):
         blob, self.begins, self.ids = unpack(row)
@@ -40,7 +57,6 @@ class Tokens:
         bound = np.searchsorted(starts, self.begins)
         n = len(self.ids)
         self.bound = bound + np.arange(n + 1)  # with one end for each text
-        self.owner = np.repeat(np.arange(n), np.diff(self.bound))
         token = np.full(self.bound[-1], END, dtype=U64)
         word = np.ones(len(token), bool)
         word[self.bound[1:] - 1] = False
@@ -48,33 +64,111 @@ class Tokens:
         history = np.empty_like(token)
         history[1:] = token[:-1]
         history[self.bound[:-1]] = BEGIN
-        self.words, self.word, self.word_count = np.unique(
-            exchange.shortened(token, parts, WORD_WIDTH), return_inverse=True, return_counts=True
-        )
-        arc = exchange.shortened(mixed(mixed(history) + token), parts, ARC_WIDTH)
-        self.arcs, self.arc, self.arc_count = np.unique(arc, return_inverse=True, return_counts=True)
+        pair = joined(history, token, 0)
+        triple = np.ones(len(token), bool)
+        triple[self.bound[:-1]] = False
+        longer = joined(np.concatenate((pair[:1], pair[:-1])), token, 0)[triple]
+        self.keys, self.counts, self.at, self.first = [], [], [], []
+        for level, (hashes, width) in enumerate(zip((token, pair, longer), WIDTHS, strict=True)):
+            found = np.unique(exchange.shortened(hashes, parts, width), return_index=True, return_inverse=True, return_counts=True)
+            keys, first, at, counts = found
+            if level == 2:
+                place = np.flatnonzero(triple)
+                first, at = place[first], np.full(len(token), -1, dtype=np.int64)
+                at[place] = found[2]
+            self.keys.append(keys)
+            self.first.append(first)
+            self.at.append(at)
+            self.counts.append(counts.astype(np.int64))
         self.trains = bool(row["mark"])
 
-    def counts(self, own: np.ndarray, answers: list[dict] | None, parts: int, keys: np.ndarray, width: int) -> np.ndarray:
-        """Training counts of keys: what came back, or this chunk's own count where no other chunk has the key."""
-        total = own.astype(np.int64) if self.trains else np.zeros(len(keys), dtype=np.int64)
-        places, values = exchange.received(answers, exchange.cuts(keys, parts, width))
+    def trained(self, level: int, answers: list[dict] | None, parts: int) -> np.ndarray:
+        """Training counts of the keys: what came back, or this chunk's own count where no other chunk has the key."""
+        total = self.counts[level].copy() if self.trains else np.zeros(len(self.keys[level]), dtype=np.int64)
+        places, values = exchange.received(answers, exchange.cuts(self.keys[level], parts, WIDTHS[level]))
         total[places] = values
         return total
 
 
-def _sum_answer(number, places, values):
-    """To every chunk, the sums of its keys' counts that differ from its own counts; numbers of counted keys and of all counts."""
-    own = np.zeros(len(number), dtype=np.int64)
-    own[places] = values
-    total = np.zeros(int(number.max(initial=-1)) + 1, dtype=np.int64)
-    np.add.at(total, number, own)
-    back = np.flatnonzero(total[number] != own)
-    return back, total[number[back]], [int((total > 0).sum()), int(total.sum())]
+@dataclass
+class Automaton:
+    """States are numbers; ``arcs`` finds an arc by state * width + word, ``failure`` and ``cost`` are the failure arcs."""
+
+    width: int
+    arcs: dict[int, int]
+    target: list[int]
+    weight: list[float]
+    failure: list[int]
+    cost: list[float]
+
+    def walk(self, words: list[int], state: int) -> float:
+        """The summed weight of the path over these words."""
+        arcs, target, weight, failure, cost, width = self.arcs, self.target, self.weight, self.failure, self.cost, self.width
+        total = 0.0
+        for word in words:
+            arc = arcs.get(state * width + word)
+            while arc is None:
+                total += cost[state]
+                state = failure[state]
+                arc = arcs.get(state * width + word)
+            total += weight[arc]
+            state = target[arc]
+        return total
+
+
+def automaton(t: Tokens, counts: list[np.ndarray], base: np.ndarray, texts: int, strengths: tuple[float, float]) -> Automaton:
+    """The states and arcs that a chunk's texts can reach; ``base`` has p(w) of its words, ``texts`` is how many began in training."""
+    one, two, three = counts
+    s, more = strengths
+    n_words, n_pairs = len(one), len(two)
+    word = t.at[0]
+    beginning = np.zeros(len(word), bool)
+    beginning[t.bound[:-1]] = True
+    last = np.zeros(len(word), bool)
+    last[t.bound[1:] - 1] = True
+
+    def of_word(tokens):  # the state after a word, if training knows it
+        return np.where(one[word[tokens]] > 0, FIRST + word[tokens], ROOT)
+
+    def of_pair(tokens):  # and after a pair that training knows
+        return FIRST + n_words + t.at[1][tokens]
+
+    # arcs of the empty history, of words and of pairs: source, word, target, weight
+    end = last[t.first[0]]
+    target1 = np.where(end, ROOT, of_word(t.first[0]))
+    at2 = t.first[1]
+    known = two > 0
+    start = beginning[at2]
+    source2 = np.where(start, BEGINNING, of_word(np.maximum(at2 - 1, 0)))
+    held2 = np.where(start, texts, one[word[np.maximum(at2 - 1, 0)]])
+    p2 = (two + s * base[word[at2]]) / (held2 + s)
+    target2 = np.where(last[at2], ROOT, of_pair(at2))
+    at3 = t.first[2]
+    here = (three > 0) & known[t.at[1][at3]] & known[t.at[1][at3 - 1]]
+    at3 = at3[here]
+    before, after = t.at[1][at3 - 1], t.at[1][at3]
+    p3 = (three[here] + more * p2[after]) / (two[before] + more)
+    width = n_words
+    keys = [np.arange(n_words), source2[known] * width + word[at2[known]], of_pair(at3 - 1) * width + word[at3]]
+    target = [target1, target2[known], np.where(last[at3], ROOT, of_pair(at3))]
+    weight = [np.log10(base), np.log10(p2[known]), np.log10(p3)]
+
+    failure = np.zeros(FIRST + n_words + n_pairs, dtype=np.int64)
+    failure[FIRST + n_words :] = of_word(t.first[1])
+    held = np.concatenate(([0, texts], one))
+    cost = np.concatenate((np.log10(s / (held + s)), np.log10(more / (two + more))))
+    keys = np.concatenate(keys).tolist()
+    return Automaton(
+        width, dict(zip(keys, range(len(keys)), strict=True)), np.concatenate(target).tolist(), np.concatenate(weight).tolist(), failure.tolist(), cost.tolist()
+    )
+
+
+#: To every chunk, the sums of its keys' counts that differ from its own; numbers of counted keys and of all counts.
+SUMS = exchange.Reduction(np.add, 0, lambda own, total, several: total != own, lambda totals: [int((totals > 0).sum()), int(totals.sum())])
 
 
 def lm_score(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trains: Column | None = None, strength: float = 300.0
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trains: Column | None = None, strengths: tuple[float, float] = (300.0, 3.0)
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, trains, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -83,58 +177,61 @@ def lm_score(
     with A-Z as a-z, and one end for each text; so a null or empty text is one
     token.  ``base_score`` is the text's log10 probability under the add-half
     unigram model, ``score`` under the automaton.  Without training rows every
-    word is unknown and has probability 1.  Repeated rows count, and are
-    scored, as often as they occur; null ids pass; other columns are ignored.
+    word is unknown and has probability 1.  Words are told apart by 64 bits of
+    hash, pairs by 51 or more, triples by 43 or more, and a triple counts only if both of
+    its pairs are known.  Repeated rows count, and are scored, as often as they
+    occur; null ids pass; other columns are ignored.
     """
-    chunks = stored(pack(docs, id_col, text_col, mark=trains if trains is not None else F.lit(True), target=CHUNK_BYTES), "lm-chunks")
-    parts = exchange.parts_for(chunks)
+    mark = trains if trains is not None else F.lit(True)
+    chunks = stored(pack(docs, id_col, text_col, mark=mark, target=CHUNK_BYTES), "lm-chunks")
+    parts, n_chunks = exchange.parts_for(chunks)
 
-    def ask(batches, arcs: bool):
-        for row in rows_of(batches):
-            t = Tokens(row, parts)
-            keys, count, width = (t.arcs, t.arc_count, ARC_WIDTH) if arcs else (t.words, t.word_count, WORD_WIDTH)
-            places = np.arange(len(keys)) if t.trains else np.empty(0, dtype=np.int64)
-            yield from exchange.sends(row["chunk"], keys, parts, width, places, count[places])
+    def counted(level: int) -> DataFrame:
+        def ask(batches):
+            for row in rows_of(batches):
+                t = Tokens(row, parts)
+                keys, counts = t.keys[level], t.counts[level]
+                places = np.arange(len(keys)) if t.trains else np.empty(0, dtype=np.int64)
+                if len(keys):
+                    yield from exchange.sends(row["chunk"], keys, parts, WIDTHS[level], places, counts[places])
+
+        return exchange.exchanged(chunks.mapInArrow(ask, exchange.SENT), SUMS, n_chunks)
 
     def begins_of(batches):
         texts = sum(len(row["marks"]) // 8 for row in rows_of(batches) if row["mark"])
         yield pa.RecordBatch.from_pydict({"texts": [texts]}, schema=pa.schema([("texts", pa.int64())]))
 
-    words = stored(exchange.exchanged(chunks.mapInArrow(lambda b: ask(b, False), exchange.SENT), WORD_WIDTH, _sum_answer), "lm-words")
+    words = stored(counted(0), "lm-words")
     n_known, n_train = exchange.notes(words, 2)
     n_texts = chunks.select("marks", "mark").mapInArrow(begins_of, "texts long").agg(F.sum("texts")).first()[0] or 0
-    word_counts = exchange.by_chunk(words, "word_counts")
-    arcs = exchange.exchanged(chunks.mapInArrow(lambda b: ask(b, True), exchange.SENT), ARC_WIDTH, _sum_answer)
-    arc_counts = exchange.by_chunk(arcs, "arc_counts")
+    joined_answers = chunks
+    for level, answered in enumerate((words, counted(1), counted(2))):
+        joined_answers = joined_answers.join(exchange.by_chunk(answered, f"answers{level}"), "chunk", "left")
 
-    def walk(batches):
+    def score(batches):
         for row in rows_of(batches):
             t = Tokens(row, parts)
-            c = t.counts(t.word_count, row["word_counts"], parts, t.words, WORD_WIDTH)
-            arc = t.counts(t.arc_count, row["arc_counts"], parts, t.arcs, ARC_WIDTH)[t.arc]
-            p = ((c + 0.5) / (n_train + 0.5 * (n_known + 1)))[t.word]
-            seen = c[t.word]
-            state = np.empty(len(seen), dtype=np.int64)  # training count of the history, which is the state
-            state[1:] = seen[:-1]
-            state[t.bound[:-1]] = n_texts
-            failure = strength / (state + strength)
-            weight = np.log10(np.where(arc > 0, arc / (state + strength) + failure * p, failure * p))
-            first, n = t.bound[:-1], len(t.ids)
+            counts = [t.trained(level, row[f"answers{level}"], parts) for level in range(3)]
+            p = (counts[0] + 0.5) / (n_train + 0.5 * (n_known + 1))
+            model = automaton(t, counts, p, n_texts, strengths)
+            start = BEGINNING if n_texts else ROOT
+            word, first, n = t.at[0], t.bound[:-1], len(t.ids)
+            scores = [model.walk(word[a:b].tolist(), start) for a, b in zip(first.tolist(), t.bound[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(t.ids, mask=t.ids == NULL_ID),
                     pa.array([t.trains] * n, pa.bool_()),
                     pa.array(np.diff(t.bound).astype(np.int64)),
-                    pa.array(np.add.reduceat((seen > 0).astype(np.int64), first)),
+                    pa.array(np.add.reduceat((counts[0] > 0)[word].astype(np.int64), first)),
                     pa.array(np.full(n, n_train, dtype=np.int64)),
-                    pa.array(np.add.reduceat(np.log10(p), first)),
-                    pa.array(np.add.reduceat(weight, first)),
+                    pa.array(np.add.reduceat(np.log10(p)[word], first)),
+                    pa.array(scores, pa.float64()),
                 ],
                 names=["doc_id", "trains", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
     schema = "doc_id long, trains boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.join(word_counts, "chunk", "left").join(arc_counts, "chunk", "left").mapInArrow(walk, schema)
+    return joined_answers.mapInArrow(score, schema)
 
 
 def lm_query(docs: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Every document is cut into non-overlapping reference blocks of ``window // 2``
 words; of any ``window`` words in a row at least one block is whole.  The
 blocks are indexed by hash, and every rolling window of that length of every
 document probes the index.  A hit is extended over the windows around it: those
-that occur in a document of smaller id, compared on 96 bits of hash of all their
-words, make up the maximal exact repeats, whose words are removed.
+that occur in a document of smaller id, compared on 128 bits of two independent
+hashes of all their words, make up the maximal exact repeats, whose words are removed.
 
 Index, probes and window hashes travel as packed keys (see ``exchange``).
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import exchange
 from tidemark.llm.common import stored
-from tidemark.llm.kernel import NULL_ID, U64, mixed, pack, rows_of, sha256_hex, span_hashes, unpack, window_hashes, word_spans
+from tidemark.llm.kernel import NULL_ID, pack, rows_of, sha256_hex, span_hashes, unpack, window_hashes, word_spans
 
 _NONE = np.iinfo(np.int64).max
 PROBE_WIDTH = 4  # bytes of a probe's hash beyond its part: a chance hit only costs a comparison
@@ -75,27 +75,15 @@ class Words:
         np.add.at(change, high, -1)
         starts = np.flatnonzero(np.cumsum(change) > 0)
         hashes = window_hashes(self.hashes, self.window)[starts]
-        checks = (window_hashes(mixed(self.hashes + U64(7)), self.window)[starts] >> U64(32)).astype(np.uint32)
+        checks = window_hashes(span_hashes(self.blob, self.starts, self.ends, 1), self.window)[starts]
         first, place = exchange.numbered(hashes, checks)
         return hashes[first], checks[first], starts, place
 
 
-def _anchor_answer(number, places, values):
-    """To every chunk that has a block's hash, if several chunks do: the smallest id that has it as a block."""
-    sharing = np.bincount(number)
-    least = np.full(len(sharing), _NONE)
-    np.minimum.at(least, number[places], values)
-    least[sharing < 2] = _NONE
-    back = np.flatnonzero(least[number] != _NONE)
-    return back, least[number[back]], []
-
-
-def _window_answer(number, places, values):
-    """To every chunk that has a window: the smallest id that has it, where another chunk's is smaller."""
-    least = np.full(int(number.max(initial=-1)) + 1, _NONE)
-    np.minimum.at(least, number, values)
-    back = np.flatnonzero(least[number] < values)
-    return back, least[number[back]], []
+#: To every chunk that has a block's hash, if several chunks do: the smallest id that has it as a block.
+ANCHORS = exchange.Reduction(np.minimum, _NONE, lambda own, least, several: several & (least != _NONE))
+#: To every chunk that has a window: the smallest id that has it, where another chunk's is smaller.
+WINDOWS = exchange.Reduction(np.minimum, _NONE, lambda own, least, several: least < own)
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -109,7 +97,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     equal id do not remove each other's words.  Other columns are ignored.
     """
     chunks = stored(pack(docs, id_col, text_col), "substring-chunks")
-    parts = exchange.parts_for(chunks)
+    parts, n_chunks = exchange.parts_for(chunks)
 
     def anchors(batches):
         for row in rows_of(batches):
@@ -121,7 +109,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield from exchange.sends(row["chunk"], keys, parts, PROBE_WIDTH, places, least[places])
 
     sent = chunks.mapInArrow(anchors, exchange.SENT)
-    hits = stored(exchange.by_chunk(exchange.exchanged(sent, PROBE_WIDTH, _anchor_answer), "hits"), "substring-hits")
+    hits = stored(exchange.by_chunk(exchange.exchanged(sent, ANCHORS, n_chunks), "hits"), "substring-hits")
     probed = chunks.join(hits, "chunk", "left")
 
     def compare(batches):
@@ -132,7 +120,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 least = words.least(len(keys), place, starts)
                 yield from exchange.sends(row["chunk"], keys, parts, 8, np.arange(len(keys)), least, checks)
 
-    compared = exchange.exchanged(probed.mapInArrow(compare, exchange.SENT), 8, _window_answer)
+    compared = exchange.exchanged(probed.mapInArrow(compare, exchange.SENT), WINDOWS, n_chunks)
     repeats = stored(exchange.by_chunk(compared, "repeats"), "substring-repeats")
 
     def remove(batches):
