@@ -1,10 +1,11 @@
 """Exact deduplication over an extendible-hash index kept on shared files.
 
-The index holds one entry per distinct 64-bit key of a normalised text.  A
-directory of hash prefixes doubles until no bucket holds more than
-``bucket_capacity`` entries; buckets of equal prefix are neighbours in key
-order, so each owner task writes and later probes one range of keys.  Texts
-that share a key are chained and told apart by comparing their bytes.
+The index holds one entry per distinct 64-bit key of a normalised text, with its
+bucket.  A directory of hash prefixes doubles until no bucket holds more than
+``bucket_capacity`` entries; buckets of equal prefix are neighbours in key order,
+and each owner task writes one range of them.  Texts probe the index: those whose
+key no other row has are done.  The others go to the owner of their bucket, which
+chains the texts of a key and tells them apart by their bytes.
 
 Everything is DataFrame expressions; no Python runs on the executors.
 """
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, parallelism, scratch, stored
 
+SALTS = 16  # parts of a group of equal texts that are reduced apart
+MAX_BROADCAST_KEYS = 1 << 20  # 8 bytes of key and 12 of place each: some 40 MB as a hash table
+
 
 def normalised(column: str):
     """The text with every run of white space as one space; null counts as empty."""
@@ -50,27 +54,49 @@ def bucket_directory(entries: DataFrame, bucket_capacity: int, max_depth: int) -
 
 
 def build_index(keys: DataFrame, bucket_capacity: int) -> DataFrame:
-    """Entries (key, rows, first_id, bucket, local_depth), written in key ranges to shared files."""
+    """Entries (key, rows, bucket, local_depth, owner), written in ranges of buckets to shared files."""
     spark = keys.sparkSession
-    entries = stored(
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id")), "dedup-entries"
-    )
+    entries = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "dedup-entries")
     n = entries.count()
     max_depth = 0 if n <= bucket_capacity else min(30, math.ceil(math.log2(n / bucket_capacity)) + 4)
     directory = bucket_directory(entries, bucket_capacity, max_depth)
     leaf = F.shiftrightunsigned("key", 64 - max_depth) if max_depth else F.lit(0).cast("long")
     path = scratch(spark, "dedup-index")
+    # A bucket is named by its first leaf, so buckets are in key order and none is cut.
+    first_leaf = F.expr(f"shiftleft(bucket, {max_depth} - local_depth)")
     (
         entries.withColumn("leaf", leaf)
         .join(directory, "leaf")
-        .drop("leaf")
-        .repartitionByRange(parallelism(spark), F.shiftrightunsigned("key", 1), "key")
-        .sortWithinPartitions(F.shiftrightunsigned("key", 1), "key")
+        .select("key", "rows", first_leaf.alias("bucket"), "local_depth")
+        .repartitionByRange(parallelism(spark), "bucket")
+        .sortWithinPartitions("bucket", "key")
+        .withColumn("owner", F.spark_partition_id())
         .write.parquet(path)
     )
     return spark.read.parquet(path)
 
 
+def _probed(docs: DataFrame, index: DataFrame, how: str) -> DataFrame:
+    """``docs`` (with ``key``) joined to the entries of keys that several rows share."""
+    shared = index.where("rows > 1").select("key", "bucket", "owner")
+    # Small enough in count, the shared keys go to the texts; else the texts to the keys.
+    return docs.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST_KEYS else shared, "key", how)
+
+
+def _chained(texts: DataFrame, *aggregates) -> DataFrame:
+    """A row for each text (bucket, key, norm) of the shared keys, with the aggregates (value, function, name), by owner tasks.
+
+    Equal texts are reduced where they are read, and once more by parts of their
+    group, so an owner gets a few rows of even the commonest text.
+    """
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    names = ["owner", "bucket", "key", "norm"]
+    few = texts.groupBy(*names, "salt").agg(*[how(value).alias(name) for value, how, name in aggregates])
+    again = {F.count: F.sum}
+    owned = few.repartition(parallelism(texts.sparkSession), "owner")
+    return owned.groupBy(*names).agg(*[again.get(how, how)(name).alias(name) for _, how, name in aggregates])
+
+
 def exact_dedup(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 4096
 ) -> DataFrame:
@@ -83,25 +109,11 @@ def exact_dedup(
     group, all of them are ``kept``; ``keep_once`` settles such ties.  An
     empty table gives an empty result.  Other columns of ``docs`` are ignored.
     """
-    text = normalised(text_col)
-    digests = docs.select(F.col(id_col).alias("doc_id"), text.alias("norm")).select(
-        "doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")
-    )
-    keys = stored(digests, "dedup-keys")
+    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    keys = stored(texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-keys")
     index = build_index(keys, bucket_capacity)
-
-    # Chains: equal bytes are counted where they are read, so that a hot text reaches
-    # its owner as one row from each task; then only keys that several rows share stay.
-    shared = index.where("rows > 1").select("key", "bucket")
-    texts = docs.select(text.alias("norm"), F.col(id_col).alias("doc_id")).select("doc_id", "norm", F.xxhash64("norm").alias("key"))
-    chains = (
-        texts.groupBy("key", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-        .join(shared, "key")
-        .drop("bucket")
-    )
+    chains = _chained(_probed(texts, index, "inner"), ("doc_id", F.min, "keep_id"), (F.lit(1), F.count, "group_size"))
+    chains = chains.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     own = F.coalesce(F.col("group_size"), F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return (
@@ -113,12 +125,25 @@ def exact_dedup(
     )
 
 
-def keep_once(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each distinct text, with all their columns."""
-    marked = docs.withColumn("_sha256", F.sha2(normalised(text_col), 256))
-    gone = exact_dedup(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone"), "text_sha256").distinct()
-    stay = marked.join(gone, marked[id_col].eqNullSafe(gone["_gone"]) & (marked["_sha256"] == gone["text_sha256"]), "left_anti")
-    return stay.dropDuplicates([id_col, "_sha256"]).drop("_sha256")
+def keep_once(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 4096) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns, whatever they are called.
+
+    Of rows of the smallest id, the one with the smallest text stays.
+    """
+    given = docs.select(
+        F.struct(*docs.columns).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"), normalised(text_col).alias("norm")
+    ).withColumn("key", F.xxhash64("norm"))
+    index = build_index(stored(given.select("key"), "dedup-keys"), bucket_capacity)
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text", "row")
+    chains = _chained(_probed(given, index, "inner").withColumn("first", first), ("first", _least, "first"))
+    alone = _probed(given, index, "left_anti").select("row.*")
+    return alone.unionByName(chains.select("first.row.*"))
+
+
+def _least(column):
+    """The struct of the smallest (missing, doc_id, text); rows need no order of their own."""
+    value = F.col(column)
+    return F.min_by(value, F.struct(value["missing"], value["doc_id"], value["text"]))
 
 
 ORACLE_SQL = r"""
