@@ -26,3 +26,31 @@ def crc_mod(column: Column, modulus: int) -> Column:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle: what the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(name: str, taken) -> str:
+    """``name``, with as many underscores before it as make it unlike every column name of ``taken``."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def wrapped(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``text`` beside ``row``, a struct of all columns, whose names then clash with none."""
+    return docs.select("doc_id", F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trainable: Column | None, max_rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``max_rows`` labelled ids, chosen by a hash of the id; the ids, so bounded, are broadcast.
+
+    Only labels 0 and 1 of non-null ids for which ``trainable`` (a column over
+    ``doc_id``; default all) is true count.  Of several labels of an id the
+    largest counts, of several texts the smallest; a null text is empty.
+    """
+    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    if trainable is not None:
+        known = known.where(trainable)
+    chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

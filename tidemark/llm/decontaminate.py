@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import free_name, stored
 from tidemark.llm.kernel import NOT_ALNUM, lowered, pieces, span_hashes, window_hashes, word_spans
 
 K1, B = 1.2, 0.75
@@ -63,41 +64,50 @@ class Collection:
     frequencies: dict[int, int]
 
 
-class Index:
-    """Postings of one group of items with per-block maxima, and what verification needs of each item."""
+def length_class(words: int) -> int:
+    """The stride of an item: the least power of two that is no less than its words, and 16 at least."""
+    return max(16, 1 << max(0, words - 1).bit_length())
 
-    def __init__(self, items: list[tuple[int, str]], share: float, collection: Collection | None = None):
-        """``collection`` describes all items of the benchmark, of which these may be a group; by default these are all."""
-        kept = [(item, text, words) for item, text in items if len(words := text_words(text or ""))]
-        self.items = [item for item, _, _ in kept]
-        self.parts = []
-        for _, text, words in kept:
-            question, answer = question_and_answer(text)
-            self.parts.append((grams(question), len(question), grams(answer), len(answer)))
-        self.longest = max((len(w) for _, _, w in kept), default=1)
-        n = len(kept)
-        term = np.concatenate([np.unique(w) for _, _, w in kept]) if n else np.empty(0, np.uint64)
-        tf = np.concatenate([np.unique(w, return_counts=True)[1] for _, _, w in kept]) if n else np.empty(0)
-        item = np.repeat(np.arange(n), [len(np.unique(w)) for _, _, w in kept])
-        size = np.array([len(w) for _, _, w in kept], dtype=float)
-        self.terms, where, df = np.unique(term, return_inverse=True, return_counts=True)
-        whole = collection or Collection(n, float(size.mean()) if n else 0.0, dict(zip(self.terms.tolist(), df.tolist(), strict=True)))
+
+class Postings:
+    """Items of one length class: postings, and the largest impacts of each term, in all and by block of items.
+
+    The class's passages are two strides of words long and begin every stride, so
+    an occurrence of an item lies whole in one of them.  Which other items there
+    are does not matter to a passage or to an item's score.
+    """
+
+    def __init__(self, stride: int, words: list[np.ndarray], share: float, whole: Collection):
+        self.stride, n = stride, len(words)
+        counted = [np.unique(w, return_counts=True) for w in words]
+        item = np.repeat(np.arange(n), [len(t) for t, _ in counted])
+        tf = np.concatenate([c for _, c in counted])
+        size = np.array([len(w) for w in words], dtype=float)
+        self.terms, where, df = np.unique(np.concatenate([t for t, _ in counted]), return_inverse=True, return_counts=True)
         spread = np.array([whole.frequencies[t] for t in self.terms.tolist()], dtype=float)
         idf = np.log1p((whole.items - spread + 0.5) / (spread + 0.5))
         weight = idf[where] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(whole.mean_words, 1e-9)))
-        self_score = np.bincount(item, weight, n)
-        impact = weight / (share * self_score[item])
+        impact = weight / (share * np.bincount(item, weight, n)[item])
         order = np.lexsort((item, where))
         self.item, self.impact = item[order], impact[order]
         self.posted = self.item.tolist()
         self.at = np.concatenate(([0], np.cumsum(df)))
-        self.largest = np.maximum.reduceat(self.impact, self.at[:-1]) if n else np.empty(0)
-        self.block_max = np.zeros((len(self.terms), (n + ITEMS_PER_BLOCK - 1) // ITEMS_PER_BLOCK), dtype=np.float32)
-        np.maximum.at(self.block_max, (where[order], self.item // ITEMS_PER_BLOCK), self.impact)
-
-    def open_blocks(self, terms: np.ndarray) -> np.ndarray:
-        """Blocks in which these terms' largest impacts add up to 1."""
-        return np.flatnonzero(self.block_max[terms].sum(axis=0) >= 1 - 1e-5)
+        self.largest = np.maximum.reduceat(self.impact, self.at[:-1])
+        # largest impacts by block, for the blocks that a term occurs in
+        block = self.item // ITEMS_PER_BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (where[order][1:] != where[order][:-1]))))
+        self.block, self.block_max = block[new], np.maximum.reduceat(self.impact, new)
+        self.block_at = np.searchsorted(new, self.at)
+        self.n_blocks = -(-n // ITEMS_PER_BLOCK)
+
+    def bounds(self, terms: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, block, sum of the terms' largest impacts in the block) where that sum reaches 1."""
+        size = self.block_at[terms + 1] - self.block_at[terms]
+        place = np.repeat(self.block_at[terms] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        key, number = np.unique(np.repeat(passage, size) * self.n_blocks + self.block[place], return_inverse=True)
+        total = np.bincount(number, self.block_max[place], len(key))
+        key, total = key[total >= 1 - 1e-5], total[total >= 1 - 1e-5]
+        return key // self.n_blocks, key % self.n_blocks, total
 
     def search(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
         """All (item number, score) in ``blocks`` with a score of at least 1: block-max WAND.
@@ -106,14 +116,15 @@ class Index:
         block the cursors move to pivots, bounded by the block's maxima.
         """
         found, posted = [], self.posted
-        ranges = [(t, int(self.at[t]), int(self.at[t + 1])) for t in terms]
+        ranges = [(int(self.at[t]), int(self.at[t + 1]), int(self.block_at[t]), int(self.block_at[t + 1])) for t in terms]
         for block in blocks.tolist():
             low, high = block * ITEMS_PER_BLOCK, (block + 1) * ITEMS_PER_BLOCK
             cursors = []
-            for t, begin, end in ranges:
+            for begin, end, first, last in ranges:
                 begin = bisect_left(posted, low, begin, end)
                 if begin < end and posted[begin] < high:
-                    cursors.append([posted[begin], begin, bisect_left(posted, high, begin, end), float(self.block_max[t, block])])
+                    most = float(self.block_max[first + int(np.searchsorted(self.block[first:last], block))])
+                    cursors.append([posted[begin], begin, bisect_left(posted, high, begin, end), most])
             while cursors:
                 cursors.sort()
                 bound, item = 0.0, None
@@ -137,16 +148,11 @@ class Index:
         return found
 
     def passages(self, words: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(document, passage's words, its indexed terms, blocks) of the passages that may reach an item of these blocks.
-
-        Passages are two strides long, a stride being the longest item; so an
-        item's occurrence lies in one of them whole.
-        """
-        if not len(self.terms) or not len(words):
+        """(document, passage's words, its indexed terms, blocks) of the passages that may reach an item of these blocks."""
+        if not len(words):
             return
-        stride = self.longest
-        docs = np.diff(bound)
-        several = np.maximum(1, -(-docs // stride) - 1)
+        stride = self.stride
+        several = np.maximum(1, -(-np.diff(bound) // stride) - 1)
         first = np.concatenate(([0], np.cumsum(several)))
         place = np.searchsorted(self.terms, words)
         place[place == len(self.terms)] = 0
@@ -159,33 +165,52 @@ class Index:
         keys = np.unique(np.concatenate(keys))
         passage, term = keys // len(self.terms), keys % len(self.terms)
         begin = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-        total = np.add.reduceat(self.largest[term], begin)
         end = np.concatenate((begin[1:], [len(passage)]))
-        for few in np.array_split(np.flatnonzero(total >= 1 - 1e-6), len(term) // 20_000 + 1):
+        likely = np.flatnonzero(np.add.reduceat(self.largest[term], begin) >= 1 - 1e-5)
+        for few in np.array_split(likely, len(term) // 20_000 + 1):
             if not len(few):
                 continue
             chosen = np.concatenate([np.arange(begin[k], end[k]) for k in few])
-            cut = np.concatenate(([0], np.cumsum(end[few] - begin[few])[:-1]))
-            by_block = np.add.reduceat(self.block_max[term[chosen]], cut, axis=0)
-            for row in np.flatnonzero(by_block.max(axis=1) >= 1 - 1e-5):
-                k, blocks = few[row], np.flatnonzero(by_block[row] >= 1 - 1e-5)
+            row, blocks, _ = self.bounds(term[chosen], np.repeat(np.arange(len(few)), end[few] - begin[few]))
+            for r in np.unique(row).tolist():
+                k = few[r]
                 d = int(np.searchsorted(first, passage[begin[k]], "right")) - 1
                 start = bound[d] + (passage[begin[k]] - first[d]) * stride
-                yield d, words[start : min(start + 2 * stride, bound[d + 1])], term[begin[k] : end[k]], blocks
+                yield d, words[start : min(start + 2 * stride, bound[d + 1])], term[begin[k] : end[k]], blocks[row == r]
+
+
+class Index:
+    """A group of items, by length class, and what verification needs of each item."""
+
+    def __init__(self, items: list[tuple[int, str]], share: float, collection: Collection | None = None):
+        """``collection`` describes all items of the benchmark, of which these may be a group; by default these are all."""
+        kept = [(item, text, words) for item, text in items if len(words := text_words(text or ""))]
+        if collection is None:
+            frequent = Counter(t for _, _, w in kept for t in np.unique(w).tolist())
+            collection = Collection(len(kept), float(np.mean([len(w) for _, _, w in kept])) if kept else 0.0, frequent)
+        by_class: dict[int, list[int]] = {}
+        self.items, self.parts = [], []
+        for number, (item, text, words) in enumerate(kept):
+            question, answer = question_and_answer(text)
+            self.items.append(item)
+            self.parts.append((grams(question), len(question), grams(answer), len(answer)))
+            by_class.setdefault(length_class(len(words)), []).append(number)
+        self.classes = [(numbers, Postings(stride, [kept[k][2] for k in numbers], share, collection)) for stride, numbers in sorted(by_class.items())]
 
     def leaks(self, words: np.ndarray, bound: np.ndarray, overlap: float) -> list[tuple[int, int, float, float, float]]:
         """(document, item id, score, question overlap, answer overlap) of verified leaks, the best passage of each."""
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for d, passage, terms, blocks in self.passages(words, bound):
-            for item, score in self.search(terms, blocks):
-                shares = []
-                for part, size in (self.parts[item][:2], self.parts[item][2:]):
-                    have = window_hashes(passage, min(GRAM, size)) if size else part
-                    shares.append(float(np.isin(part, have).mean()) if len(part) else 1.0)
-                if min(shares) >= overlap:
-                    key = (d, self.items[item])
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
-        return [(*key, *value) for key, value in best.items()]
+        for numbers, postings in self.classes:
+            for d, passage, terms, blocks in postings.passages(words, bound):
+                for found, score in postings.search(terms, blocks):
+                    item, shares = numbers[found], []
+                    for part, size in (self.parts[item][:2], self.parts[item][2:]):
+                        have = window_hashes(passage, min(GRAM, size)) if size else part
+                        shares.append(float(np.isin(part, have).mean()) if len(part) else 1.0)
+                    if min(shares) >= overlap:
+                        key = (d, item)
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
+        return [(d, self.items[item], *value) for (d, item), value in sorted(best.items())]
 
 
 def _described(benchmark: DataFrame) -> DataFrame:
@@ -236,23 +261,28 @@ def find_leaks(
     An item is retrieved for a passage whose BM25 score reaches ``share`` of
     the item's score against itself, and is a leak if at least ``overlap`` of
     the 5-word runs of its question and of its answer occur in that passage.
+    An item's passages are the runs of 2s words that begin every s words of a
+    text (the last may be shorter), s being the item's ``length_class``.
     Items go to the tasks in groups of at most ``max_items`` and about
-    ``max_bytes``; scores rest on statistics of all items, so the grouping does
-    not change them.  More than ``groups_per_pass`` groups take further passes
+    ``max_bytes``; passages rest on the item alone and scores on statistics of
+    all items, so the grouping changes neither.  More than ``groups_per_pass`` groups take further passes
     over the texts.  Null and empty texts leak nothing, null or wordless items
     are never found, equal items are all reported, a null item id is reported
     as null; repeated rows are judged each by itself.
     """
+    if "leaks" in keep:
+        raise ValueError("keep may not name leaks, which is added")
     spark = docs.sparkSession
     groups = item_groups(_described(benchmark), max_items, max_bytes)
-    names = [*keep, "_text", "leaks"]
-    now = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"), F.array().cast(_LEAKS).alias("leaks"))
+    text = free_name("text", keep)
+    names = [*keep, text, "leaks"]
+    now = docs.select(*[docs[c] for c in keep], docs[text_col].alias(text), F.array().cast(_LEAKS).alias("leaks"))
     while part := [Index(g, share, whole) for g, whole in islice(groups, groups_per_pass)]:
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches, shared=shared):
             for batch in batches:
-                for rows, blob, begins in pieces(batch, "_text"):
+                for rows, blob, begins in pieces(batch, text):
                     blob = lowered(blob)
                     starts, ends = word_spans(blob, NOT_ALNUM)
                     words, bound = span_hashes(blob, starts, ends), np.searchsorted(starts, begins)
@@ -264,7 +294,7 @@ def find_leaks(
                     yield pa.RecordBatch.from_arrays([*sliced.columns[:-1], pa.array(leaks, pa.list_(_LEAK))], names=names)
 
         now = now.mapInArrow(run, now.schema)
-    return now.drop("_text") if "_text" not in keep else now
+    return now.drop(text)
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
