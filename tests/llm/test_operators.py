@@ -354,6 +354,85 @@ def test_quality_learns_and_scores_every_row(spark, docs, nothing):
     assert quality.score(nothing, model).count() == 0
 
 
+def plain_features(text):
+    """FEATURES in plain Python, from their names' meanings."""
+    raw, kinds = text.encode(), [(quality._CLASS[c]) for c in text.encode()]
+    words, spans = [], []
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        words.append(m[0])
+        spans.append(m.span())
+    if not words and not raw:
+        return [0.0] * len(quality.FEATURES)
+    n, some = len(words), max(len(words), 1)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / some
+    count = Counter(words)
+    marks = lambda ks: sum(all(quality._CLASS[c] in ks for c in w) for w in words) / some
+    caps = sum(sum(quality._CLASS[c] == 2 for c in w) >= 2 and not any(quality._CLASS[c] == 1 for c in w) for w in words)
+    ended = sum(quality._CLASS[w[-1]] == 5 or (len(w) > 2 and w.endswith(b"!!")) for w in words)
+    lines = [x for x in raw.split(b"\n") if x]
+    share = [kinds.count(k) / max(len(raw), 1) for k in (2, 3, 4, 5, 6)]
+    return [
+        math.log1p(n), mean, math.sqrt(max(sum(x * x for x in sizes) / some - mean**2, 0)), sum(x <= 3 for x in sizes) / some, len(count) / some,
+        max(count.values(), default=0) / some, sum(a == b for a, b in zip(words, words[1:], strict=False)) / some,
+        len(set(zip(words, words[1:], strict=False))) / max(n - 1, 1), caps / some, ended / some, *share,
+        math.log1p(n / max(len(lines), 1)), (len(lines) - len(set(lines))) / max(len(lines), 1), sum(quality._CLASS[w[0]] == 1 for w in words) / some,
+        marks({5}), sum(w[-1:] in (b".", b"?") for w in words) / some,
+    ]
+
+
+def test_quality_features_and_scores_match_plain_python():
+    rng = random.Random(11)
+    pieces = ["The", "cat", "sat.", "WHY?", "no!!", "a", "a", "##", "é", "12", "\n", "\n", "x\ty", "end", "Été.", "", "same line\n", "same line\n"]
+    texts = ["", " ", "one", *[" ".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(80)], LONG]
+    blob, begins = kernel.blob_of(*kernel.text_bytes(quality.pa.array(texts)))
+    got = quality.text_features(blob, begins)
+    assert np.allclose(got, [plain_features(t) for t in texts], atol=1e-4)
+    y = np.array([rng.random() < 1 / (1 + math.exp(-6 * (x[4] - 0.6))) for x in got], dtype=float)
+    x = got.astype(np.float64)
+    model = quality.fit(x, y, bins=8, rounds=40, pair_rounds=10)
+    plain = []
+    for row in x:
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.bias + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        total += sum(t[bins[i] // 4, bins[j] // 4] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        plain.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(model.score(x), plain)
+    loss = lambda m: -np.mean(np.log(np.where(y == 1, m.score(x), 1 - m.score(x))))
+    fewer = quality.fit(x, y, bins=8, rounds=5, pair_rounds=0)
+    assert loss(model) < loss(fewer) < loss(quality.fit(x, y, bins=8, rounds=0, pair_rounds=0))
+
+
+def test_a_boosted_tree_takes_the_best_cuts():
+    rng = np.random.default_rng(3)
+    g, h = rng.normal(size=9), rng.uniform(2, 5, 9)
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 2)
+    first = max(range(1, 9), key=lambda c: gain(0, c) + gain(c, 9))
+    second = max((c for c in range(1, 9) if c != first), key=lambda c: sum(gain(a, b) for a, b in zip([0, *sorted((first, c))], [*sorted((first, c)), 9], strict=True)))
+    cuts, want = [0, *sorted((first, second)), 9], np.zeros(9)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        want[a:b] = g[a:b].sum() / (h[a:b].sum() + 2)
+    assert np.allclose(quality._shallow_tree(g, h, 2.0), want)
+
+
+def test_training_takes_clashing_repeated_and_odd_rows(spark):
+    good, bad = [" ".join(words_of(k, 50)) for k in range(40)], [" ".join(["XX!!", "YY!!"] * (k + 5)) for k in range(40)]
+    rows = [(k, t, "a", 1) for k, t in enumerate(good + bad)] + [(3, None, "b", 2), (None, "x", "c", 3), (5, LONG, "d", 4), (5, LONG, "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y string, quality int")
+    labels = spark.createDataFrame([(k, int(k < 40), int(k % 3 == 0), "t") for k in range(80)] + [(7, 0, 1, "t"), (None, 1, 1, "t"), (9, 5, 1, "t")], "doc_id long, quality int, toxic int, text string")
+    one = quality.train(df, labels)
+    two = quality.train(df.repartition(7), labels.repartition(5))
+    assert one.bias == two.bias and all((a == b).all() for a, b in zip(one.tables, two.tables, strict=True))
+    first, second = toxicity.train(df, labels), toxicity.train(df.repartition(7), labels.repartition(5))
+    assert first.lexicon.stems == second.lexicon.stems and (first.weights == second.weights).all()
+    for bad_name in ("score", "predicted"):
+        with pytest.raises(ValueError):
+            quality.score(df.withColumn(bad_name, F.lit(1)), one, keep=(bad_name,))
+        with pytest.raises(ValueError):
+            toxicity.score(df.withColumn(bad_name, F.lit(1)), first, keep=(bad_name,))
+    assert quality.score(df, one, keep=("text", "y")).columns == ["text", "y", "score", "predicted"]
+
+
 def test_quality_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.score(docs, quality.train(docs, labels)).collect()} == {0.5}
@@ -393,10 +472,28 @@ def test_directory_splits_overfull_buckets(spark):
     assert held.agg(F.min("local_depth")).first()[0] >= 4
 
 
-def test_keep_once_leaves_one_row_a_text(docs):
+def test_owners_hold_ranges_of_whole_buckets(spark):
+    keys = spark.range(3000).select(F.xxhash64(F.col("id") % 2000).alias("key"))
+    index = exact_dedup.build_index(keys, 50)
+    assert index.count() == 2000 and index.agg(F.sum("rows")).first()[0] == 3000
+    assert index.groupBy("bucket").agg(F.countDistinct("owner").alias("n"), F.count("*").alias("held")).where("n > 1 or held > 50").count() == 0
+    ranges = [tuple(r) for r in index.groupBy("owner").agg(F.min("bucket"), F.max("bucket")).orderBy("owner").select("min(bucket)", "max(bucket)").collect()]
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_keep_once_leaves_one_row_a_text(spark, docs, nothing, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_KEYS", most)
     kept = exact_dedup.keep_once(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in TEXTS})
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for i, t in TEXTS:
+        least[norm(t)] = min(least.get(norm(t), (True, 0)), (i is None, i or 0))
+    assert sorted((norm(r.text), r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted((n, *i) for n, i in least.items())
+    assert exact_dedup.keep_once(nothing).count() == 0
+    clashing = spark.createDataFrame([(1, "a b", 1, 2, 3), (2, "a  b", 4, 5, 6)], "doc_id long, text string, row int, _sha256 int, norm int")
+    assert [tuple(r) for r in exact_dedup.keep_once(clashing).collect()] == [(1, "a b", 1, 2, 3)]
 
 
 # 7
@@ -420,26 +517,79 @@ def test_decontamination_finds_items_in_any_place(spark, nothing):
     assert decontaminate.find_leaks(df, bench, keep=("doc_id", "text")).count() == len(rows)
 
 
-def test_decontamination_scores_do_not_depend_on_the_grouping(spark):
-    items = [(k, " ".join(words_of(k, 20 + k, 60))) for k in range(12)] + [(3, " ".join(words_of(99, 25, 60)))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame([(k, text) for k, text in items], "doc_id long, text string")
-    got = lambda **options: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.leaked_pairs(df, bench, **options).collect())
-    assert got() == got(max_items=2, groups_per_pass=2)
-    assert {(k, k) for k, _ in items} <= {(d, i) for d, i, _ in got()}
+def plain_words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def brute_leaks(rows, items, share=0.5, overlap=0.6):
+    """Every item against every passage of its class, in plain Python."""
+    items = [(i, t, w) for i, t in items if (w := plain_words(t))]
+    n, mean = len(items), sum(len(w) for _, _, w in items) / len(items)
+    df = Counter(t for _, _, w in items for t in set(w))
+    out = {}
+    for number, (i, t, w) in enumerate(items):
+        tf = Counter(w)
+        weight = {x: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in tf.items()}
+        whole, stride = sum(weight.values()), max(16, 1 << (len(w) - 1).bit_length())
+        ends = [m.end() for m in re.finditer(r"[.?!]\s+", t.rstrip())]
+        parts = [plain_words(t[: ends[-1]]), plain_words(t[ends[-1] :])] if ends else [[], []]
+        if not all(parts):
+            cut = len(w) - max(1, len(w) // 4)
+            parts = [w[:cut], w[cut:]]
+        runs = lambda x, k: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+        for d, (doc, text) in enumerate(rows):
+            words = plain_words(text)
+            for p in range(max(1, -(-len(words) // stride) - 1)):
+                passage = words[p * stride : (p + 2) * stride]
+                score = sum(v for x, v in weight.items() if x in set(passage)) / (share * whole)
+                if score < 1 - 1e-9:
+                    continue
+                shares = []
+                for part in parts:
+                    own = runs(part, min(5, len(part))) if part else set()
+                    shares.append(len(own & runs(passage, min(5, len(part)))) / len(own) if own else 1.0)
+                if min(shares) >= overlap:
+                    out[d, number] = max(out.get((d, number), ()), (score, *shares))
+    return sorted((rows[d][0], items[k][0], *(round(x, 9) for x in v)) for (d, k), v in out.items())
+
+
+def got_leaks(df, bench, **options):
+    rows = decontaminate.leaked_pairs(df, bench, **options).collect()
+    return sorted((r.doc_id, r.item_id, *(round(x, 9) for x in (r.score, r.question_overlap, r.answer_overlap))) for r in rows)
+
+
+def test_decontamination_is_exact_in_any_grouping(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(words_of(k, 18 + 3 * k, 60))) for k in range(12)] + [(3, " ".join(words_of(99, 25, 60)))]
+    items += [(20, " ".join(words_of(20, 500, 900))), (21, " ".join(words_of(21, 140, 300)) + ". Yes, a b c d e f."), (22, "one two")]
+    rows = []
+    for k, (_, text) in enumerate(items * 2):
+        w = text.split()
+        for _ in range(k % 4):  # a few words changed
+            w[rng.randrange(len(w))] = "other"
+        lead = words_of(k, rng.randrange(700), 60)
+        rows.append((k, " ".join([*lead, *w, *words_of(k + 1, rng.randrange(700), 60)])))
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_leaks(rows, items)
+    assert len(want) >= len(items)
+    for options in ({}, {"max_items": 1, "groups_per_pass": 3}, {"max_items": 5}):
+        assert got_leaks(df, bench, **options) == want
 
 
 def test_block_max_wand_retrieves_what_full_scoring_does():
     rng = random.Random(1)
     items = [(k, " ".join(words_of(k, rng.randint(5, 40), 120))) for k in range(60)]
     index = decontaminate.Index(items, 0.3)
+    assert len(index.classes) == 3
     for k in range(200):
         words = np.concatenate([decontaminate.text_words(rng.choice(items)[1])[: rng.randint(1, 40)] for _ in range(2)])
-        terms = np.flatnonzero(np.isin(index.terms, words))
-        full = np.zeros(len(index.items))
-        for t in terms:
-            full[index.item[index.at[t] : index.at[t + 1]]] += index.impact[index.at[t] : index.at[t + 1]]
-        assert {i for i, _ in index.search(terms, index.open_blocks(terms))} == set(np.flatnonzero(full >= 1 - 1e-9))
+        for numbers, own in index.classes:
+            terms = np.flatnonzero(np.isin(own.terms, words))
+            full = np.zeros(len(numbers))
+            for t in terms:
+                full[own.item[own.at[t] : own.at[t + 1]]] += own.impact[own.at[t] : own.at[t + 1]]
+            _, blocks, _ = own.bounds(terms, np.zeros(len(terms), dtype=np.int64))
+            assert {i for i, _ in own.search(terms, blocks)} == set(np.flatnonzero(full >= 1 - 1e-9))
 
 
 # 8
@@ -563,3 +713,40 @@ def test_toxicity_without_labels(spark, docs):
 def test_contract_folds(spark):
     rows = {r.doc_id: r for r in queries.QUERIES["op10_toxicity"](spark, SF).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in rows.items())
+
+
+def test_lexicon_is_all_that_has_support_and_precision(spark):
+    rng = random.Random(13)
+    toxic = [[*words_of(k, 25, 300), *rng.choices(["idiot", "idiots", "idiotic", "oaf", "scumbag"], k=2)] for k in range(60)]
+    clean = [words_of(1000 + k, 25, 300) + rng.choices(["oafish", "idea", "scum"], k=1) for k in range(150)]
+    rows = [(k, " ".join(w), 1) for k, w in enumerate(toxic)] + [(1000 + k, " ".join(w), 0) for k, w in enumerate(clean)]
+    copies = [(5000 + k, rows[0][1] + (" x" if k % 2 else ""), 1) for k in range(30)]  # near copies count once
+    sample = spark.createDataFrame(rows + copies, "doc_id long, text string, y int")
+    assert sorted(r.doc_id for r in toxicity.distinct_texts(sample).collect()) == sorted(r[0] for r in rows)
+    n, t = Counter(), Counter()
+    for _, text, y in rows:
+        for w in set(plain_words(text)):
+            for stem in [w[:k] for k in range(4, min(len(w), 12) + 1)] if len(w) >= 4 else [w + toxicity.WHOLE] if len(w) >= 2 else []:
+                (t if y else n)[stem] += 1
+    rate = len(toxic) / len(rows)
+    gain = {x: t[x] * math.log(t[x] / (t[x] + n[x]) / rate) + (n[x] * math.log(n[x] / (t[x] + n[x]) / (1 - rate)) if n[x] else 0) for x in t if t[x] >= 6 and t[x] >= 0.6 * (t[x] + n[x])}
+    want = []
+    for x in sorted(gain, key=lambda x: (-round(gain[x], 9), -len(x), x)):
+        if not any(x.startswith(y) or y.startswith(x) for y in want):
+            want.append(x)
+    lexicon = toxicity.learn_lexicon(sample)
+    assert lexicon.stems == want and "oaf" + toxicity.WHOLE in want
+    assert lexicon.match(b"oaf") and not lexicon.match(b"oafish") and not lexicon.match(b"oa")
+
+
+def test_toxicity_scores_match_plain_python(spark):
+    lexicon = toxicity.Lexicon(["idiot", "scum"])
+    model = toxicity.ToxicityModel(lexicon, np.array([2.0, 1.0]), np.array([0.7, 0.0]), np.array([-2.0, 0.5, 1.0, 0.3, 1.2, 0.1, 0.05]))
+    texts = {1: "you idiot idiots and scum", 2: 'he said "idiot" once', 3: "idi0t", 4: "nothing here", 5: None}
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    plain = {1: (5.0, 0, 0, 0, 5), 2: (0, 0, 2.0, 0, 4), 3: (0, 0.7, 0, 0, 1), 4: (0, 0, 0, 0, 2), 5: (0, 0, 0, 0, 0)}  # exact, fuzzy, exact quoted, fuzzy quoted, words
+    for k, (exact, fuzzy, quoted, both, words) in plain.items():
+        a, b, c, d = (math.log1p(v) for v in (exact, fuzzy, quoted, both))
+        x = [1.0, float(a > 0), a, math.log1p(100 * a / max(words, 1)), b, c, d]
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-sum(u * v for u, v in zip(x, model.weights, strict=True)))))
+    assert [tuple(t) for t in got[1].terms] == [("idiot", 0, False, 2), ("scum", 0, False, 1)]

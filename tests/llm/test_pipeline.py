@@ -44,6 +44,22 @@ def test_near_stage_drops_copies_of_repeated_and_null_ids(spark):
     assert {(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == {rows[0][:2], rows[2][:2], rows[3][:2]}
 
 
+def test_stages_keep_columns_that_clash(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    names = ["score", "predicted", "leaks", "_text", "_sha256", "row", "doc_key", "first", "key", "digest", "missing"]
+    rows = [(1, text, "en", "s", 9), (1, text + " x", "en", "s", 9), (2, text, "en", "s", 9), (2, text, "en", "s", 9), (None, None, None, None, None), (None, "", "en", "s", 0)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept[name] = out.collect()
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in kept[name])
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept["exact_dedup"]) == [(0, ""), (1, text), (1, text + " x")]
+    assert len([r for r in kept["ngram_jaccard"] if r.doc_id == 1]) == 1 and len(kept["decontaminate"]) == len(rows)
+    assert corpus_pipeline.token_stage(spark, docs, SF).count() == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()

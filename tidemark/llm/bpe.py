@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import free_name
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank from a file of ``base64 rank`` lines."""
@@ -191,20 +193,21 @@ def round_trip_digests(
     Encodes and decodes in one pass, so that ids, several times the text's
     size, are not stored.  Rows are treated as ``encode`` says.
     """
-    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), *[docs[c] for c in keep])
-    out = given.drop("_text")
+    column = free_name("text", ("doc_id", *keep))
+    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias(column), *[docs[c] for c in keep])
+    out = given.drop(column)
     names = out.columns
 
     def run(batches):
         bpe = encoder(path, pattern)
         for batch in batches:
             columns = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in batch.column("_text"):
+            for text in batch.column(column):
                 ids = bpe.encode_text(text.as_py() or "")
                 columns["n_tokens"].append(ids.count(" ") + bool(ids))
                 columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 columns["decoded_sha256"].append(hashlib.sha256(bpe.decode_text(ids)).hexdigest())
-            same = [batch.column(c) for c in batch.schema.names if c != "_text"]
+            same = [batch.column(c) for c in batch.schema.names if c != column]
             yield pa.RecordBatch.from_arrays(
                 [*same, pa.array(columns["n_tokens"], pa.int64()), pa.array(columns["ids_sha256"], pa.string()), pa.array(columns["decoded_sha256"], pa.string())],
                 names=[*names, *columns],

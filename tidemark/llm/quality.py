@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod
+from tidemark.llm.common import crc_mod, free_name, labelled
 from tidemark.llm.kernel import U64, mixed, pieces, span_hashes, word_spans
 
 FEATURES = (
@@ -59,8 +59,8 @@ def text_features(blob: np.ndarray, begins: np.ndarray) -> np.ndarray:
     np.maximum.at(top, owner[first], count)
     near = owner[1:] == owner[:-1]
     same = np.bincount(owner[1:][near & (hashes[1:] == hashes[:-1])], minlength=n)
-    _, first = np.unique(mixed(hashes[1:] + U64(3) * hashes[:-1]) ^ salt[1:], return_index=True)
-    pairs = np.bincount(owner[1:][first][near[first]], minlength=n)
+    _, first = np.unique((mixed(hashes[1:] + U64(3) * hashes[:-1]) ^ salt[1:])[near], return_index=True)
+    pairs = np.bincount(owner[1:][near][first], minlength=n)
 
     seen = lambda k: np.concatenate(([0], np.cumsum(kind == k)))
     lower, upper, symbol = seen(1), seen(2), seen(5)
@@ -74,7 +74,8 @@ def text_features(blob: np.ndarray, begins: np.ndarray) -> np.ndarray:
     full = line_ends > line_starts
     line_starts, line_ends = line_starts[full], line_ends[full]
     line_owner = np.searchsorted(begins, line_starts, "right") - 1
-    lines = np.maximum(np.bincount(line_owner, minlength=n), 1)
+    n_lines = np.bincount(line_owner, minlength=n)
+    lines = np.maximum(n_lines, 1)
     line_keys = span_hashes(blob, line_starts, line_ends) ^ mixed(line_owner.astype(U64) + U64(1))
     distinct_lines = np.bincount(line_owner[np.unique(line_keys, return_index=True)[1]], minlength=n)
 
@@ -83,7 +84,7 @@ def text_features(blob: np.ndarray, begins: np.ndarray) -> np.ndarray:
         [
             np.log1p(words), mean, spread, per_word(length <= 3), distinct / some, top / some, same / some,
             pairs / np.maximum(words - 1, 1), per_word(caps), per_word(ended), share[2], share[3], share[4], share[5],
-            share[6], np.log1p(words / lines), 1 - distinct_lines / lines, per_word(kind[starts] == 1),
+            share[6], np.log1p(words / lines), (n_lines - distinct_lines) / lines, per_word(kind[starts] == 1),
             per_word(has(symbol) == length), per_word((blob[ends - 1] == ord(".")) | (blob[ends - 1] == ord("?"))),
         ]
     ).astype(np.float32)
@@ -220,17 +221,12 @@ def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     trainable: Column | None = None, max_train_rows: int = 20000,
 ) -> AdditiveModel:
-    """A model of label 1 from at most ``max_train_rows`` labels, chosen by a hash of the id.
+    """A model of label 1 from at most ``max_train_rows`` labels, chosen as ``labelled`` says; one text and label an id.
 
-    Only labels 0 and 1 of non-null ids for which ``trainable`` (a column over
-    ``doc_id``; default all) is true are used.  The chosen ids, bounded as they
-    are, are broadcast; so no text is shuffled.
+    Further columns of either table are ignored, whatever they are called; very
+    long texts are taken whole.  Without labels every score is 0.5.
     """
-    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    if trainable is not None:
-        known = known.where(trainable)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train_rows)
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = labelled(docs, labels, id_col, text_col, label_col, trainable, max_train_rows)
 
     def run(batches):
         for batch in batches:
@@ -249,15 +245,19 @@ def score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", keep
 
     Null texts count as empty; empty and very long texts are scored like
     others.  Each row is scored by itself, so repeated rows, null ids and any
-    further columns pass unchanged; an empty table stays empty.
+    further columns pass unchanged; an empty table stays empty.  ``keep`` may
+    not name the columns that are added.
     """
-    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
+    if {"score", "predicted"} & set(keep):
+        raise ValueError("keep may not name score or predicted, which are added")
+    text = free_name("text", keep)
+    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias(text))
     names = [*keep, "score", "predicted"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("_text").schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop(text).schema)
 
     def run(batches):
         for batch in batches:
-            for rows, x in _features_of(batch, "_text"):
+            for rows, x in _features_of(batch, text):
                 p = model.score(x)
                 same = [column[rows] for column in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=names)

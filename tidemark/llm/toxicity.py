@@ -1,7 +1,7 @@
 """Toxicity scores from a lexicon trie, Levenshtein automata and context windows.
 
-The lexicon holds stems: word beginnings that are far commoner in texts labelled
-toxic.  It is kept as a trie, and each word that may match is run through the
+The lexicon holds stems: word beginnings, and short words as a whole, that are far
+commoner in texts labelled toxic.  It is kept as a trie, and each word that may match is run through the
 intersection of the trie with the word's Levenshtein automaton, which finds the
 stems within one edit of some beginning of the word.  A window of words around
 each match tells quotation from abuse.  A logistic model over the matches of a
@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod
-from tidemark.llm.kernel import NOT_ALNUM, U64, lowered, mixed, pieces, span_hashes, word_spans
+from tidemark.llm.common import crc_mod, free_name, labelled
+from tidemark.llm.jaccard_join import N_HASHES, minhash, shingle_set
+from tidemark.llm.kernel import NOT_ALNUM, lowered, pieces, span_hashes, word_spans
 
 WINDOW = 8
 FUZZY_FROM = 5  # shorter stems must match exactly
@@ -47,6 +48,10 @@ def folded(blob: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Ends a stem that only a whole word matches; no word contains it.
+WHOLE = "\n"
+
+
 class Lexicon:
     """Stems in a trie; a filter on bytes that no word passes over which is within one edit of a stem."""
 
@@ -61,7 +66,7 @@ class Lexicon:
         self.heads2, self.heads3 = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         self.tails: dict[int, np.ndarray] = {}
         for stem in stems:
-            data = stem.encode()
+            data = stem.removesuffix(WHOLE).encode()
             fuzzy = len(stem) >= FUZZY_FROM
             # An edit behind the head leaves the head; one in it leaves the tail, which begins where the head's last character has ended.
             head, tail = 3, max(len(data) // 2, self._end(data, 2))
@@ -125,7 +130,7 @@ class Lexicon:
             return self.seen[word]
         if len(self.seen) >= _CACHE:
             self.seen.clear()
-        text = word.decode("utf-8", "replace")
+        text = word.decode("utf-8", "replace") + WHOLE
         exact = self._walk(self.trie, text, 0)
         if exact is not None:
             best = (0, exact)
@@ -184,33 +189,57 @@ class Lexicon:
             yield int(owner[w]), found[0], found[1], context >= 0.75
 
 
-def _labelled(docs, labels, id_col, text_col, label_col, trainable, max_train_rows) -> DataFrame:
-    """(text, y) of at most ``max_train_rows`` labels, chosen by a hash of the id; the ids are broadcast."""
-    known = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    if trainable is not None:
-        known = known.where(trainable)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_train_rows)
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id")
+NEAR = 0.8  # agreement of MinHash values from which labelled texts count as copies
+
+
+def _first_of_copies(sketches: np.ndarray) -> np.ndarray:
+    """Which rows agree with no row before them, that is kept, on NEAR of their MinHash values; rows with all values at their top are no copies."""
+    kept, seen = np.ones(len(sketches), bool), {}
+    for k, row in enumerate(sketches):
+        if (row == 0xFFFFFFFF).all():
+            continue
+        bands = [(b, row[4 * b : 4 * b + 4].tobytes()) for b in range(N_HASHES // 4)]
+        near = {other for band in bands for other in seen.get(band, ())}
+        if any((sketches[other] == row).mean() >= NEAR for other in near):
+            kept[k] = False
+        else:
+            for band in bands:
+                seen.setdefault(band, []).append(k)
+    return kept
 
 
-def learn_lexicon(sample: DataFrame, *, lengths: tuple[int, int] = (4, 12), support: int = 6, precision: float = 0.6, max_stems: int = 200) -> Lexicon:
-    """Stems from labelled texts (text, y): word beginnings, most telling first, none of which begins with another.
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """The rows (doc_id, text, y) of a bounded sample without near copies of the same label, that of the smallest id staying.
 
-    Near copies, texts of one label whose smallest word hashes under two hash functions are the same, count once.
+    MinHash values of word shingles, half a kilobyte a row, are compared on the driver.
     """
 
     def sketch(batches):
         for batch in batches:
             for rows, blob, begins in pieces(batch, "text"):
-                blob = folded(blob)
-                starts, ends = word_spans(blob, NOT_ALNUM)
-                bound = np.searchsorted(starts, begins)
-                first = mixed(span_hashes(blob, starts, ends))
-                second = mixed(first + U64(1))
-                least = [int((first[a:b].min() ^ mixed(second[a:b].min())).astype(np.int64)) if b > a else 0 for a, b in zip(bound[:-1], bound[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("y")[rows], pa.array(least, pa.int64()), batch.column("text")[rows]], names=["y", "sketch", "text"]
-                )
+                starts, ends = word_spans(blob)
+                words, bound = span_hashes(blob, starts, ends), np.searchsorted(starts, begins)
+                values = [minhash(shingle_set(words[a:b], 5)).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("y")[rows], pa.array(values, pa.binary())], names=["doc_id", "y", "values"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "y", "text").mapInArrow(sketch, f"doc_id {kind}, y int, values binary").toPandas().sort_values(["y", "doc_id"], ignore_index=True)
+    copies = []
+    for _, part in rows.groupby("y"):
+        values = np.stack([np.frombuffer(v, dtype=np.uint32) for v in part["values"]])
+        copies += part["doc_id"][~_first_of_copies(values)].tolist()
+    if not copies:
+        return sample
+    gone = sample.sparkSession.createDataFrame([(c,) for c in copies], f"doc_id {kind}")
+    return sample.join(F.broadcast(gone), "doc_id", "left_anti")
+
+
+def learn_lexicon(sample: DataFrame, *, lengths: tuple[int, int] = (4, 12), support: int = 6, precision: float = 0.6) -> Lexicon:
+    """All stems of labelled texts (doc_id, text, y) with the support and precision, most telling first, none of which begins with another.
+
+    A stem is a word beginning of ``lengths`` characters or a whole word of two or three.  Its support are the toxic texts,
+    and its precision their share in all texts, that hold a word of it; near copies count once.
+    """
 
     def count(batches):
         total = {0: Counter(), 1: Counter()}
@@ -230,14 +259,15 @@ def learn_lexicon(sample: DataFrame, *, lengths: tuple[int, int] = (4, 12), supp
             schema=pa.schema([("word", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]),
         )
 
-    texts = sample.select("y", "text").mapInArrow(sketch, "y int, sketch long, text string").dropDuplicates(["y", "sketch"])
+    texts = distinct_texts(sample)
     words = texts.select("y", "text").mapInArrow(count, "word string, clean long, toxic long")
     words = words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     prefix = F.explode(F.sequence(F.lit(lengths[0]), F.least(F.length("word"), F.lit(lengths[1])))).alias("k")
+    long = words.where(F.length("word") >= lengths[0]).select(F.expr("struct(word, clean, toxic)").alias("w"), prefix).select(F.expr("left(w.word, k)").alias("stem"), "w.clean", "w.toxic")
+    short = words.where(F.length("word").between(2, lengths[0] - 1)).select(F.concat("word", F.lit(WHOLE)).alias("stem"), "clean", "toxic")
     stems = (
-        words.where(F.length("word") >= lengths[0])
-        .select("word", "clean", "toxic", prefix)
-        .groupBy(F.expr("left(word, k)").alias("stem"))
+        long.unionByName(short)
+        .groupBy("stem")
         .agg(F.sum("clean").alias("n"), F.sum("toxic").alias("t"))
         .where((F.col("t") >= support) & (F.col("t") >= precision * (F.col("t") + F.col("n"))))
     )
@@ -245,12 +275,16 @@ def learn_lexicon(sample: DataFrame, *, lengths: tuple[int, int] = (4, 12), supp
     rate = min(max(rate, 1e-3), 1 - 1e-3)
     t, n = F.col("t"), F.col("n")
     gain = t * F.log(t / (t + n) / rate) + F.when(n > 0, n * F.log(n / (t + n) / (1 - rate))).otherwise(0)
-    ranked = stems.withColumn("gain", gain).orderBy(F.desc("gain"), F.desc(F.length("stem")), "stem").limit(20 * max_stems).collect()
-    kept: list[str] = []
-    for row in ranked:
-        if len(kept) < max_stems and not any(row.stem.startswith(s) or s.startswith(row.stem) for s in kept):
-            kept.append(row.stem)
-    return Lexicon(kept)
+    ranked = stems.withColumn("gain", gain).orderBy(F.desc("gain"), F.desc(F.length("stem")), "stem").select("stem").collect()  # as bounded as the sample
+    kept, beginnings = set(), set()
+    chosen: list[str] = []
+    for (stem,) in ranked:
+        own = {stem[:k] for k in range(1, len(stem))}
+        if stem not in beginnings and not own & kept:
+            chosen.append(stem)
+            kept.add(stem)
+            beginnings |= own
+    return Lexicon(chosen)
 
 
 @dataclass
@@ -260,11 +294,11 @@ class ToxicityModel:
     fuzzy: np.ndarray  # evidence of its misspellings
     weights: np.ndarray = field(default_factory=lambda: np.zeros(7))
 
-    def features(self, found: list[tuple[int, int, bool]], words: int) -> np.ndarray:
-        """Of one text's (stem, edits, quoted)."""
+    def features(self, found: dict[tuple[int, int, bool], int], words: int) -> np.ndarray:
+        """Of the numbers of one text's (stem, edits, quoted)."""
         sums = np.zeros((2, 2))
-        for stem, edits, quoted in found:
-            sums[int(edits > 0), int(quoted)] += (self.fuzzy if edits else self.exact)[stem]
+        for (stem, edits, quoted), times in found.items():
+            sums[int(edits > 0), int(quoted)] += times * (self.fuzzy if edits else self.exact)[stem]
         sums = np.log1p(np.maximum(sums, 0))
         dense = np.log1p(100 * sums[0, 0] / max(words, 1))
         return np.array([1.0, float(sums[0, 0] > 0), sums[0, 0], dense, sums[1, 0], sums[0, 1], sums[1, 1]])
@@ -278,13 +312,13 @@ _PRIOR = np.array([-3.0, 1.0, 1.0, 0.3, 1.2, 0.1, 0.05])
 
 
 def _matched(batches, text_col: str, lexicon: Lexicon):
-    """(batch, rows, matches of each text, words of each text)."""
+    """(batch, rows, how often each (stem, edits, quoted) matches in each text, words of each text)."""
     for batch in batches:
         for rows, blob, begins in pieces(batch, text_col):
             blob = folded(blob)
-            found: list[list] = [[] for _ in range(len(begins) - 1)]
+            found: list[Counter] = [Counter() for _ in range(len(begins) - 1)]
             for d, stem, edits, quoted in lexicon.matches(blob, begins):
-                found[d].append((stem, edits, bool(quoted)))
+                found[d][stem, edits, bool(quoted)] += 1
             starts, _ = word_spans(blob, NOT_ALNUM)
             yield batch, rows, found, np.diff(np.searchsorted(starts, begins))
 
@@ -293,20 +327,26 @@ def train(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     trainable: Column | None = None, max_train_rows: int = 20000,
 ) -> ToxicityModel:
-    """Lexicon, evidence and weights from at most ``max_train_rows`` labelled rows for which ``trainable`` is true."""
-    sample = _labelled(docs, labels, id_col, text_col, label_col, trainable, max_train_rows)
+    """Lexicon, evidence and weights from at most ``max_train_rows`` labels, chosen as ``labelled`` says; one text and label an id.
+
+    Further columns of either table are ignored, whatever they are called; very
+    long texts are taken whole, empty and null ones match nothing.  Without
+    labels there are no stems and every score is low.
+    """
+    sample = labelled(docs, labels, id_col, text_col, label_col, trainable, max_train_rows)
     lexicon = learn_lexicon(sample)
 
     def run(batches):
         for batch, rows, found, words in _matched(batches, "text", lexicon):
-            flat = [[part for match in text for part in (match[0], match[1], int(match[2]))] for text in found]
+            flat = [[part for match, times in sorted(text.items()) for part in (match[0], match[1], int(match[2]), times)] for text in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("y")[rows], pa.array(words.astype(np.int64)), pa.array(flat, pa.list_(pa.int32()))], names=["y", "words", "found"]
             )
 
     rows = sample.select("y", "text").mapInArrow(run, "y int, words long, found array<int>").toPandas()
+    rows = rows.assign(key=[tuple(f) for f in rows["found"]]).sort_values(["y", "words", "key"], ignore_index=True)  # the order in which tasks end must not matter
     y = rows["y"].to_numpy(dtype=float)
-    texts = [[(int(f[k]), int(f[k + 1]), bool(f[k + 2])) for k in range(0, len(f), 3)] for f in rows["found"]]
+    texts = [{(int(f[k]), int(f[k + 1]), bool(f[k + 2])): int(f[k + 3]) for k in range(0, len(f), 4)} for f in rows["found"]]
     n, rate = len(lexicon.stems), float(np.clip(y.mean() if len(y) else 0.1, 1e-3, 0.999))
     count = np.zeros((2, 2, n))  # edits, label, stem
     for label, text in zip(y, texts, strict=True):
@@ -330,24 +370,28 @@ def train(
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
     """The columns ``keep`` of every row with ``score`` (probability of label 1), ``predicted`` and ``terms``.
 
-    ``terms`` lists the matched stems with their edits and whether they are
-    quoted.  Null and empty texts match nothing.  Each row is scored by itself:
+    ``terms`` lists the matched stems with their edits, whether they are
+    quoted, and how often.  Null and empty texts match nothing.  Each row is scored by itself:
     repeated rows, null ids and further columns pass; empty tables stay empty.
+    ``keep`` may not name the columns that are added.
     """
-    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
+    if {"score", "predicted", "terms"} & set(keep):
+        raise ValueError("keep may not name score, predicted or terms, which are added")
+    text = free_name("text", keep)
+    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias(text))
     names = [*keep, "score", "predicted", "terms"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("_text").schema)
-    term = pa.struct([("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop(text).schema)
+    term = pa.struct([("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("times", pa.int64())])
 
     def run(batches):
         stems = model.lexicon.stems
-        for batch, rows, found, words in _matched(batches, "_text", model.lexicon):
+        for batch, rows, found, words in _matched(batches, text, model.lexicon):
             p = model.score(np.array([model.features(f, w) for f, w in zip(found, words, strict=True)]))
-            terms = [[{"stem": stems[s], "edits": e, "quoted": q} for s, e, q in f] for f in found]
+            terms = [[{"stem": stems[s].removesuffix(WHOLE), "edits": e, "quoted": q, "times": n} for (s, e, q), n in sorted(f.items())] for f in found]
             same = [column[rows] for column in batch.columns[:-1]]
             yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(terms, pa.list_(term))], names=names)
 
-    return given.mapInArrow(run, f"{schema}, score double, predicted int, terms array<struct<stem: string, edits: int, quoted: boolean>>")
+    return given.mapInArrow(run, f"{schema}, score double, predicted int, terms array<struct<stem: string, edits: int, quoted: boolean, times: bigint>>")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
