@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from tidemark.llm.common import crc_mod, stored
+from tidemark.llm.common import crc_mod, stored, wrapped
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (operator 5), trained as its query is."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, trainable=crc_mod(F.col("doc_id"), 5) != 0)
-    return quality.score(docs, model, keep=tuple(docs.columns)).where("predicted = 1").drop("score", "predicted")
+    return quality.score(wrapped(docs), model, keep=("row",)).where("predicted = 1").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +29,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similarity, the document with the smallest id (operator 2)."""
-    classes = jaccard_join.jaccard_join(docs)
-    first = classes.where("doc_id <=> class_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    # ids may be null or repeated: null ones come last, and the text's digest tells equal ones apart
+    rows = wrapped(docs).select("row", "text", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).alias("key"))
+    classes = jaccard_join.jaccard_join(rows, id_col="key")
+    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("first"))
+    return rows.join(first, rows["key"] == first["first"], "left_semi").select("row.*")
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item (operator 7)."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find_leaks(docs, benchmark, keep=tuple(docs.columns)).where("size(leaks) = 0").drop("leaks")
+    return decontaminate.find_leaks(wrapped(docs), benchmark, keep=("row",)).where("size(leaks) = 0").select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
