@@ -144,7 +144,7 @@ def _as_places(data: bytes, n: int) -> np.ndarray:
 
 
 def sends(
-    chunk: int, keys: np.ndarray, parts: int, width: int, places: np.ndarray, values: np.ndarray, checks: np.ndarray | None = None
+    chunk: int, keys: np.ndarray, parts: int, width: int, places: np.ndarray, values: np.ndarray, checks: np.ndarray | None = None, first_part: int = 0
 ) -> Iterator[pa.RecordBatch]:
     """The rows that a chunk sends: sorted distinct keys, and values at some sorted places among them.
 
@@ -157,7 +157,7 @@ def sends(
     for r, part in enumerate(cut.named.tolist()):
         mine = slice(at[r], at[r + 1])
         own = slice(inside[r], inside[r + 1])
-        rows["part"].append(part)
+        rows["part"].append(first_part + part)
         rows["chunk"].append(chunk)
         rows["keys"].append(_packed(keys[mine], width))
         rows["checks"].append(None if checks is None else checks[mine].astype("<u8").tobytes())
