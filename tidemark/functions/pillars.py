@@ -108,11 +108,33 @@ def role_value(day_stem: Column, other: Column) -> Column:
     return F.when(relation == 4, 1.0).when(relation == 0, 0.6).when(relation == 1, 0.0).when(relation == 2, -0.8).otherwise(-1.0)
 
 
+# Beginnings of security codes by exchange and board.
+SSE_PREFIXES = ("600", "601", "603", "605", "688", "689", "900")
+SZSE_PREFIXES = ("000", "001", "002", "003", "200", "300", "301")
+BSE_PREFIXES = ("43", "83", "87", "88", "92")
+STAR_PREFIXES, CHINEXT_PREFIXES = ("688", "689"), ("300", "301")
+BSE_BOARD_PREFIXES = ("430", "83", "870", "871", "872", "873", "920")
+CODE_PREFIXES = (*SSE_PREFIXES, *SZSE_PREFIXES, "430", "835", "873", "888", "920", "777")
+
+
+def normal_code(raw: Column) -> Column:
+    """The first six digits in a row; null if there are none."""
+    return F.nullif(F.regexp_extract(raw, r"(\d{6})", 1), F.lit(""))
+
+
+def _begins(code: Column, prefixes: tuple[str, ...]) -> Column:
+    return code.rlike(f"^({'|'.join(prefixes)})")
+
+
 def exchange_of(code: Column) -> Column:
-    suffix = F.regexp_extract(code, r"\.([A-Z]{2})$", 1)
-    return F.when(suffix == "SH", "SSE").when(suffix == "SZ", "SZSE").when(suffix == "BJ", "BSE").otherwise("UNKNOWN")
+    """By the code's beginning; null for a null code."""
+    return F.when(_begins(code, SSE_PREFIXES), "SSE").when(_begins(code, SZSE_PREFIXES), "SZSE").when(_begins(code, BSE_PREFIXES), "BSE").when(code.isNotNull(), "UNKNOWN")
 
 
 def board_of(code: Column) -> Column:
-    number = F.regexp_extract(code, r"^(\d{6})", 1)
-    return F.when(number.startswith("688"), "STAR").when(number.startswith("300"), "CHINEXT").otherwise("MAIN")
+    """By the code's beginning, the narrower rules first; null for a null code."""
+    main = (*SSE_PREFIXES, *SZSE_PREFIXES)
+    return (
+        F.when(_begins(code, STAR_PREFIXES), "STAR").when(_begins(code, CHINEXT_PREFIXES), "CHINEXT").when(_begins(code, main), "MAIN")
+        .when(_begins(code, BSE_BOARD_PREFIXES), "BSE").when(code.isNotNull(), "UNKNOWN")
+    )

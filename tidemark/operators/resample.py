@@ -12,47 +12,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 50  # draws a task row
+CELLS = 1 << 21  # random numbers held at once
 
 
 def _chunks(draws: int):
     return F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // CHUNK)))
 
 
+def picked_sums(x: np.ndarray, ks: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each k, the sum of k different members of x, drawn anew."""
+    out = np.zeros(len(ks))
+    step = max(1, CELLS // max(len(x), 1))
+    for at in range(0, len(ks), step):
+        k = ks[at : at + step]
+        if len(x) and k.max() > 0:
+            order = np.argpartition(rng.random((len(k), len(x))), k.max() - 1, axis=1)[:, : k.max()]
+            if k.min() < k.max():  # any k of the first ones will do only if they are in random order
+                order = rng.permuted(order, axis=1)
+            out[at : at + step] = np.where(np.arange(k.max()) < k[:, None], x[order], 0.0).sum(axis=1)
+    return out
+
+
+def _p(reached):
+    return (F.count_if(reached) + 1) / (F.count(F.lit(1)) + 1)
+
+
+SLACK = 1e-12
+
+
 def permutation_test(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     """panel (d, hit, value): mean over dates of hit mean less rest mean, and its one- and two-sided p values.
 
     Hits are drawn anew within each date, as many as it has.  Dates without
     hits or without others are left out on both sides.  A date's draws are made
-    where its rows are; only sums by draw are shuffled.
+    where its rows are, from a seed of its own; a task sends one sum a draw.
     """
     dates = panel.groupBy("d").agg(F.collect_list("value").alias("values"), F.count_if("hit").alias("k"), F.avg(F.when(F.col("hit"), F.col("value"))).alias("a"), F.avg(F.when(~F.col("hit"), F.col("value"))).alias("b"))
     dates = dates.where("a is not null and b is not null").withColumn("stat", F.col("a") - F.col("b"))
 
     def draw(batches):
+        null, observed, n = np.zeros(draws), 0.0, 0
         for pdf in batches:
-            for day, values, k, stat, chunk in zip(pdf["day"], pdf["values"], pdf["k"], pdf["stat"], pdf["chunk"], strict=True):
+            for day, values, k, stat in zip(pdf["day"], pdf["values"], pdf["k"], pdf["stat"], strict=True):
                 x = np.sort(np.asarray(values))
-                rng = np.random.default_rng([seed, int(chunk), int(day)])
-                n = min(CHUNK, draws - chunk * CHUNK)
-                picks = np.argsort(rng.random((n, len(x))), axis=1)[:, :k]
-                hits = x[picks].sum(axis=1)
-                diff = hits / k - (x.sum() - hits) / (len(x) - k)
-                yield pd.DataFrame({"draw": chunk * CHUNK + np.arange(n), "diff": diff, "stat": stat})
-
-    dealt = dates.select(F.unix_date("d").alias("day"), "values", "k", "stat", _chunks(draws).alias("chunk"))
-    drawn = dealt.mapInPandas(draw, "draw long, diff double, stat double").groupBy("draw").agg(F.avg("diff").alias("null"), F.avg("stat").alias("observed"))
-    p = lambda c: (F.count_if(c) + 1) / (F.count(F.lit(1)) + 1)
-    slack = F.lit(1e-12)
+                hits = picked_sums(x, np.full(draws, k), np.random.default_rng([seed, int(day)]))
+                null += hits / k - (x.sum() - hits) / (len(x) - k)
+                observed, n = observed + stat, n + 1
+        if n:
+            yield pd.DataFrame({"draw": np.arange(draws), "null": null, "observed": observed, "n": n})
+
+    dealt = dates.select(F.unix_date("d").alias("day"), "values", "k", "stat")
+    sums = dealt.mapInPandas(draw, "draw long, null double, observed double, n long").groupBy("draw")
+    drawn = sums.agg((F.sum("null") / F.sum("n")).alias("null"), (F.sum("observed") / F.sum("n")).alias("observed"))
+    slack = F.lit(SLACK)
+    return drawn.agg(
+        F.count(F.lit(1)).alias("draws"), F.max("observed").alias("observed"), _p(F.col("null") >= F.col("observed") - slack).alias("p_upper"),
+        _p(F.col("null") <= F.col("observed") + slack).alias("p_lower"), _p(F.abs("null") >= F.abs("observed") - slack).alias("p_two_sided"),
+    )
+
+
+def random_positions(panel: DataFrame, draws: int, seed: int) -> DataFrame:
+    """panel (d, hit, value): one-sided p of the hits' mean against as many rows drawn anywhere, without replacement, in each draw.
+
+    How many of a draw's rows fall on each date is drawn first, from the dates'
+    counts; which ones, where a date's rows are.
+    """
+    dates = panel.groupBy(F.unix_date("d").alias("day")).agg(F.collect_list("value").alias("values"), F.count_if("hit").alias("hits"), F.sum(F.when(F.col("hit"), F.col("value"))).alias("total"))
+    calendar = dates.groupBy(F.lit(1).alias("k")).agg(
+        F.array_sort(F.collect_list(F.struct("day", F.size("values").alias("n")))).alias("dates"), F.sum("hits").alias("hits"), (F.sum("total") / F.sum("hits")).alias("observed")
+    ).where("hits > 0")  # a row with a number for each date
+    dealt = calendar.select("hits", "dates.day", "dates.n", _chunks(draws).alias("chunk")).repartition("chunk")
+
+    def share(batches):
+        for pdf in batches:
+            for hits, day, n, chunk in zip(pdf["hits"], pdf["day"], pdf["n"], pdf["chunk"], strict=True):
+                rng = np.random.default_rng([seed, int(chunk)])
+                ks = rng.multivariate_hypergeometric(np.asarray(n, dtype=np.int64), int(hits), min(CHUNK, draws - chunk * CHUNK), method="marginals")
+                yield pd.DataFrame({"day": np.asarray(day), "chunk": int(chunk), "ks": [row.tolist() for row in ks.T]})
+
+    shares = dealt.mapInPandas(share, "day int, chunk int, ks array<long>").groupBy("day").agg(F.array_sort(F.collect_list(F.struct("chunk", "ks"))).alias("c"))
+    shares = shares.select("day", F.flatten("c.ks").alias("ks"))
+
+    def draw(batches):
+        total = np.zeros(draws)
+        for pdf in batches:
+            for day, values, ks in zip(pdf["day"], pdf["values"], pdf["ks"], strict=True):
+                total += picked_sums(np.sort(np.asarray(values)), np.asarray(ks), np.random.default_rng([seed, 1, int(day)]))
+        yield pd.DataFrame({"draw": np.arange(draws), "total": total})
+
+    totals = dates.select("day", "values").join(shares, "day").mapInPandas(draw, "draw long, total double").groupBy("draw").agg(F.sum("total").alias("total"))
+    drawn = totals.crossJoin(F.broadcast(calendar.select("hits", "observed")))  # one row
+    null = F.col("total") / F.col("hits")
     return drawn.agg(
-        F.count(F.lit(1)).alias("draws"), F.max("observed").alias("observed"), p(F.col("null") >= F.col("observed") - slack).alias("p_upper"),
-        p(F.col("null") <= F.col("observed") + slack).alias("p_lower"), p(F.abs("null") >= F.abs("observed") - slack).alias("p_two_sided"),
+        F.count(F.lit(1)).alias("draws"), F.max("hits").alias("n"), F.max("observed").alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"),
+        _p(null >= F.col("observed") - F.lit(SLACK)).alias("p_upper"),
     )
 
 
 def _on_series(daily: DataFrame, draws: int, function, schema: str) -> DataFrame:
     """function(chunk, series) -> DataFrame over chunks of draws; the series has one number a date."""
     series = daily.groupBy(F.lit(1).alias("k")).agg(F.array_sort(F.collect_list(F.struct("d", "value"))).alias("s")).select(F.col("s.value").alias("s"))
-    dealt = series.select(_chunks(draws).alias("chunk"), "s").repartition(8, "chunk")
+    dealt = series.select(_chunks(draws).alias("chunk"), "s")
+    dealt = dealt.repartition((draws - 1) // CHUNK + 1, "chunk")
 
     def run(batches):
         for pdf in batches:

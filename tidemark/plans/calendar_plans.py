@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pillars as p
 from tidemark.operators import asof, labels
-from tidemark.plans.factor_plans import _CLASH, _DAYP, _HARM6, _NAMES, _SCAN, _TEN, _days, _natal, _related, _scan
+from tidemark.plans.factor_plans import _CLASH, _DAYP, _HARM6, _NAMES, _RELATED, _SCAN, _TEN, _days, _natal, _related, _scan
 from tidemark.plans.label_plans import LABELS, r8
 from tidemark.plans.registry import query
 from tidemark.sources import store
@@ -154,11 +154,20 @@ def f27(spark, sf):
     return g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("god").alias("gods"), F.array_join(F.sort_array(F.collect_set("board")), ",").alias("boards"))
 
 
-@query("c09_additive_screen", f"{_SCAN}, s AS (SELECT sec, sum(CASE WHEN {_HARM6} THEN 3 ELSE 0 END - CASE WHEN {_CLASH} THEN 2 ELSE 0 END) AS fit FROM scan GROUP BY 1) SELECT sec, CAST(fit AS BIGINT) AS fit FROM s ORDER BY fit DESC, sec LIMIT 15")
+_FIT = f"{_RELATED}, s AS (SELECT sec, sum(CASE WHEN {_HARM6} THEN 3 ELSE 0 END - CASE WHEN {_CLASH} THEN 2 ELSE 0 END + CASE WHEN list_contains(relations, 'triple') THEN 2 ELSE 0 END - CASE WHEN list_contains(relations, 'harm') THEN 1 ELSE 0 END - CASE WHEN list_contains(relations, 'punish') THEN 1 ELSE 0 END)::BIGINT AS fit FROM related GROUP BY 1)"
+
+
+@query("c09_additive_screen", f"{_FIT}, r AS (SELECT *, row_number() OVER (ORDER BY fit DESC, sec) AS top, row_number() OVER (ORDER BY fit, sec DESC) AS bottom FROM s) SELECT 'top' AS part, sec, fit, CAST(1 AS BIGINT) AS n FROM r WHERE top <= 15 UNION ALL SELECT 'bottom', sec, fit, 1 FROM r WHERE bottom <= 15 UNION ALL SELECT 'distribution', NULL, fit, count(*) FROM s GROUP BY fit")
 def c09(spark, sf):
-    a, b = F.col("nbranch"), F.col("branch")
-    fit = F.sum(F.when(p.harmony(a, b), 3).otherwise(0) - F.when(p.clash(a, b), 2).otherwise(0))
-    return _scan(spark, sf).groupBy("sec").agg(fit.alias("fit")).orderBy(F.desc("fit"), "sec").limit(15)
+    """Additive fit over all days: the 15 highest and lowest, and how many securities have each score."""
+    has = lambda name: F.array_contains("relations", name)
+    weights = {"harmony": 3, "clash": -2, "triple": 2, "harm": -1, "punish": -1}
+    fit = sum((F.when(has(name), w).otherwise(0) for name, w in weights.items()), F.lit(0))
+    s = _related(spark, sf).groupBy("sec").agg(F.sum(fit).alias("fit")).select("sec", "fit", F.lit(1).cast("long").alias("n"))
+    top = s.orderBy(F.desc("fit"), "sec").limit(15).select(F.lit("top").alias("part"), "*")
+    bottom = s.orderBy("fit", F.desc("sec")).limit(15).select(F.lit("bottom").alias("part"), "*")
+    spread = s.groupBy("fit").agg(F.sum("n").alias("n")).select(F.lit("distribution").alias("part"), F.lit(None).cast("long").alias("sec"), "fit", "n")
+    return top.unionByName(bottom).unionByName(spread)
 
 
 @query("c13_day_class_performance", f"{with_sql('bars')}, {LABELS}, v AS (SELECT l.*, lead(d, 5) OVER (PARTITION BY sec ORDER BY d) AS end_d FROM labels l), g AS (SELECT CASE WHEN day(d) % 2 = 0 THEN 'good' ELSE 'bad' END AS class, ret_5d FROM v WHERE end_d <= DATE '1999-12-31' AND ret_5d IS NOT NULL) SELECT class, count(*) AS n, round(avg(ret_5d), 8) + 0.0 AS mean_ret FROM g GROUP BY 1")
@@ -176,7 +185,7 @@ def c15(spark, sf):
     return ahead.select("d", F.when(b.isin(0, 2, 3, 6, 7, 9), "good").when(b.isin(1, 4, 5, 8, 10), "bad").alias("class"))
 
 
-@query("c16_entity_snapshot", f"{_SCAN} SELECT {_GOD} AS god, count(*) AS n, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_CLASH}) AS clashes FROM scan WHERE sec = 7 GROUP BY 1")
+@query("c16_entity_snapshot", f"{_RELATED} SELECT {_GOD} AS god, count(*) AS n, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_CLASH}) AS clashes, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('supportive', 'disturbing', 'compound'))} FROM related WHERE sec = 7 GROUP BY 1")
 def c16(spark, sf):
     a, b = F.col("nbranch"), F.col("branch")
     g = _related(spark, sf).where("sec = 7").groupBy(p.ten_god(F.col("nstem"), F.col("stem")).alias("god"))
@@ -184,10 +193,9 @@ def c16(spark, sf):
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(p.harmony(a, b)).alias("harmonies"), F.count_if(p.clash(a, b)).alias("clashes"), *counts)
 
 
-@query("c17_ten_god_calendar", f"{with_sql('days')}, {_DAYP} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, list_extract({_NAMES}, {_TEN('4', 'stem')} + 1) AS god, count(*) AS n FROM dp WHERE year(d) = 1999 GROUP BY 1, 2")
+@query("c17_ten_god_calendar", f"{with_sql('days')}, {_DAYP} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, list_extract({_NAMES}, {_TEN('4', 'stem')} + 1) AS god, count(*) AS n FROM dp GROUP BY 1, 2")
 def c17(spark, sf):
-    days = _days(spark, sf).where(F.year("d") == 1999)
-    return days.groupBy((F.year("d") * 100 + F.month("d")).alias("ym"), p.ten_god(F.lit(4), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))
+    return _days(spark, sf).groupBy((F.year("d") * 100 + F.month("d")).alias("ym"), p.ten_god(F.lit(4), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c18_month_events", f"{with_sql('days')}, s AS (SELECT d, date_trunc('month', d)::DATE AS m, day(d) % 5 AS e FROM days) SELECT m AS segment, count(DISTINCT e) AS events FROM s GROUP BY 1")
@@ -197,7 +205,7 @@ def c18(spark, sf):
     return s.dropDuplicates(["segment", "j"]).groupBy("segment").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("s04_snapshot_csv", f"{with_sql('bars')} SELECT sec, count(*) AS n, max(d) AS last_d FROM bars WHERE sec < 10 AND d >= DATE '1998-01-01' GROUP BY 1")
+@query("s04_snapshot_csv", f"{with_sql('bars')} SELECT sec, count(*) AS n, max(d) AS last_d FROM bars WHERE d >= DATE '1998-01-01' GROUP BY 1")
 def s04(spark, sf):
     """Offline CSV snapshot with a given schema, filtered by date; another adjustment than the one asked for is refused."""
     path = store.scratch(spark, "snapshot")
@@ -207,7 +215,7 @@ def s04(spark, sf):
     return sound.where(F.col("d") >= F.to_date(F.lit("1998-01-01"))).groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last_d"))
 
 
-@query("s08_write_through", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars WHERE sec < 6 GROUP BY 1")
+@query("s08_write_through", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars GROUP BY 1")
 def s08(spark, sf):
     """Cache partitions replaced one by one: dynamic partition overwrite."""
     path = store.scratch(spark, "cache")
@@ -217,8 +225,12 @@ def s08(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("sec").cast("long").alias("sec")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s22_report_sinks", f"{with_sql('obs')} SELECT factor_id, count(*) AS n FROM obs GROUP BY 1")
+@query("s22_report_sinks", f"{with_sql('obs')} SELECT sink, factor_id, count(*) AS n FROM obs, (SELECT unnest(['csv', 'json']) AS sink) GROUP BY 1, 2")
 def s22(spark, sf):
-    path = store.scratch(spark, "report")
-    observations(spark, sf).groupBy("factor_id").agg(F.count(F.lit(1)).alias("n")).write.json(path)
-    return spark.read.schema("factor_id string, n long").json(path)
+    """A report's rows written as CSV and as JSON, each read back with its schema; prose is out of scope."""
+    path, schema = store.scratch(spark, "report"), "factor_id string, n long"
+    report = observations(spark, sf).groupBy("factor_id").agg(F.count(F.lit(1)).alias("n"))
+    report.write.json(f"{path}/json")
+    report.write.option("header", True).csv(f"{path}/csv")
+    back = [(spark.read.schema(schema).option("header", True).csv if kind == "csv" else spark.read.schema(schema).json)(f"{path}/{kind}").select(F.lit(kind).alias("sink"), "*") for kind in ("csv", "json")]
+    return back[0].unionByName(back[1])

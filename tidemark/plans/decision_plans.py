@@ -55,24 +55,6 @@ def _gate(spark, sf):
     return s.groupBy("sec").agg(F.count(only("OOS")).alias("oos_n"), F.count(only("TRAIN")).alias("train_n"), F.avg(only("OOS")).alias("oos_mean"), F.avg(only("TRAIN")).alias("train_mean"))
 
 
-@query("d04_oos_gate", f"{_GATE} SELECT sec, CASE WHEN oos_n = 0 THEN 'NO_OOS_DATA' WHEN oos_n < 30 THEN 'INSUFFICIENT_SAMPLE' WHEN sign(oos_mean) <> sign(train_mean) THEN 'DIRECTION_REVERSED' WHEN oos_mean <= 0 THEN 'NOT_POSITIVE' ELSE 'PASSED' END AS status FROM g")
-def d04(spark, sf):
-    status = (
-        F.when(F.col("oos_n") == 0, "NO_OOS_DATA").when(F.col("oos_n") < 30, "INSUFFICIENT_SAMPLE")
-        .when(F.signum("oos_mean") != F.signum("train_mean"), "DIRECTION_REVERSED").when(F.col("oos_mean") <= 0, "NOT_POSITIVE").otherwise("PASSED")
-    )
-    return _gate(spark, sf).select("sec", status.alias("status"))
-
-
-@query("d05_gate_checks", f"{_GATE} SELECT sec, coalesce(oos_n >= 30, false) AS check_sample, coalesce(oos_mean > 0, false) AS check_mean, coalesce(sign(oos_mean) = sign(train_mean), false) AS check_sign, coalesce(abs(oos_mean) >= abs(train_mean) * 0.5, false) AS check_effect FROM g")
-def d05(spark, sf):
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    return _gate(spark, sf).select(
-        "sec", sure(F.col("oos_n") >= 30).alias("check_sample"), sure(F.col("oos_mean") > 0).alias("check_mean"),
-        sure(F.signum("oos_mean") == F.signum("train_mean")).alias("check_sign"), sure(F.abs("oos_mean") >= F.abs("train_mean") * 0.5).alias("check_effect"),
-    )
-
-
 @query("d06_research_status", f"{_GATE} SELECT CASE WHEN train_n = 0 THEN 'NO_REAL_DATA' WHEN train_n < 30 THEN 'INSUFFICIENT' WHEN train_mean <= 0 THEN 'NOT_SUPPORTED' WHEN oos_mean > 0 THEN 'SUPPORTED' ELSE 'EXPLORATORY' END AS status, count(*) AS n FROM g GROUP BY 1")
 def d06(spark, sf):
     status = F.when(F.col("train_n") == 0, "NO_REAL_DATA").when(F.col("train_n") < 30, "INSUFFICIENT").when(F.col("train_mean") <= 0, "NOT_SUPPORTED").when(F.col("oos_mean") > 0, "SUPPORTED").otherwise("EXPLORATORY")
@@ -110,8 +92,8 @@ def w17(spark, sf):
 
 @query("x09_permutation_test")
 def x09(spark, sf):
-    """Date-stratified permutation of hits within dates, 200 draws."""
-    return resample.permutation_test(_panel(spark, sf).select("d", "hit", F.col("ret_20d").alias("value")), draws=200, seed=7)
+    """Date-stratified permutation of hits within dates, 2000 draws."""
+    return resample.permutation_test(_panel(spark, sf).select("d", "hit", F.col("ret_20d").alias("value")), draws=2000, seed=7)
 
 
 @query("x10_block_bootstrap")
@@ -134,21 +116,46 @@ def x12(spark, sf):
 
 @query("x02_random_position_control")
 def x02(spark, sf):
-    """Mean return of as many random events as there are hits, in 50 seeded draws."""
-    p = _panel(spark, sf).select("sec", "d", "hit", "ret_20d")
-    share = p.agg(F.avg(F.col("hit").cast("double")).alias("share"))
-    drawn = p.crossJoin(F.broadcast(share)).select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("draw"))
-    uniform = F.pmod(F.xxhash64(F.lit(7), "draw", "sec", "d"), F.lit(1_000_003)) / 1_000_003.0
-    return drawn.where(uniform < F.col("share")).groupBy("draw").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("ret_20d")).alias("mean_ret"))
+    """The hits' mean return against as many random events, drawn without replacement, in 1000 seeded draws."""
+    return resample.random_positions(_panel(spark, sf).select("d", "hit", F.col("ret_20d").alias("value")), draws=1000, seed=7)
+
+
+def quota_sample(members, target: int, seed: int, *strata: str):
+    """``target`` rows of ``members`` (sec and strata): each stratum's share of it, one at least, as far as the stratum has them.
+
+    Shares are rounded; what they make too many is taken back, and what they
+    make too few is added, one by one in turn from the largest strata.  Members
+    come in the order of a seeded hash.
+    """
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), "sec"), "sec"))
+    placed = members.withColumn("place", place)
+    sizes = placed.groupBy(*strata).agg(F.max("place").alias("size"))
+    whole = sizes.agg(F.sum("size").alias("whole"))
+    shared = sizes.crossJoin(F.broadcast(whole)).withColumn("quota", F.greatest(F.lit(1), F.round(F.col("size") / F.col("whole") * target)).cast("int"))  # one row
+    excess = (shared.agg(F.sum("quota").alias("n")).first()["n"] or 0) - target
+    if excess:
+        # in turn: one unit of every stratum comes before a second one of any; none gives its last
+        givers = shared.where("quota > 1").withColumn("most", F.col("quota") - 1) if excess > 0 else shared.withColumn("most", F.lit(-excess))
+        turns = givers.select(*strata, "size", F.explode(F.sequence(F.lit(1), "most")).alias("turn"))
+        moved = turns.orderBy("turn", F.desc("size"), *strata).limit(abs(excess)).groupBy(*strata).agg(F.count(F.lit(1)).alias("moved"))
+        change = F.coalesce("moved", F.lit(0)) * (-1 if excess > 0 else 1)
+        shared = shared.join(moved, list(strata), "left").withColumn("quota", F.col("quota") + change)
+    return placed.join(F.broadcast(shared.select(*strata, "quota")), list(strata)).where("place <= quota").drop("quota")  # a row for each stratum
 
 
 @query("x13_stratified_sample")
 def x13(spark, sf):
-    """Twenty securities from each size quintile, in the order of a seeded hash."""
-    size = bars(spark, sf).groupBy("sec").agg(F.sum("amount").alias("amount")).withColumn("k", F.lit(1))
-    tiers = size.withColumn("tier", F.ntile(5).over(Window.partitionBy("k").orderBy("amount")))
-    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.xxhash64(F.lit(7), "sec")))
-    return tiers.withColumn("place", place).where("place <= 20").select("sec", "tier", "place")
+    """All delisted securities and a hundred others by board and listing year, and a hundred over five size buckets at cut points of the amounts."""
+    from tidemark.sources.market import universe
+
+    u = universe(spark, sf).select("sec", "board", F.year("list_date").alias("era"), "delist_date")
+    plan = lambda df, name, stratum: df.select("sec", F.lit(name).alias("plan"), stratum.alias("stratum"), "place")
+    gone = plan(u.where("delist_date is not null").withColumn("place", F.lit(None).cast("int")), "delisted", F.concat_ws("/", "board", "era"))
+    by_board = plan(quota_sample(u.where("delist_date is null").drop("delist_date"), 100, 7, "board", "era"), "board_era", F.concat_ws("/", "board", "era"))
+    size = bars(spark, sf).groupBy("sec").agg(F.sum("amount").alias("amount"))
+    cuts = size.agg(F.percentile("amount", [0.2, 0.4, 0.6, 0.8]).alias("cuts"))
+    tiers = size.crossJoin(F.broadcast(cuts)).select("sec", F.size(F.filter("cuts", lambda c: c < F.col("amount"))).cast("string").alias("tier"))  # one row
+    return gone.unionByName(by_board).unionByName(plan(quota_sample(tiers, 100, 7, "tier"), "size", F.col("tier")))
 
 
 @query("a21_welch_student_p")
@@ -162,14 +169,7 @@ def a21(spark, sf):
 
     @F.pandas_udf("double")
     def student(t: pd.Series, df: pd.Series) -> pd.Series:
-        def tail(t, n):
-            # the density in the angle atan(x / sqrt n) is cos(angle) ** (n - 1)
-            angle = np.linspace(0, np.pi / 2, 4001)
-            middle = (angle[1:] + angle[:-1]) / 2
-            density = np.cos(middle) ** (n - 1)
-            return float(density[middle > np.arctan(abs(t) / np.sqrt(n))].sum() / density.sum())
-
-        return pd.Series([tail(x, n) for x, n in zip(t, df, strict=True)])
+        return pd.Series(statistics.student_two_sided(t.to_numpy(), df.to_numpy()))
 
     return row.select("t", "df", student("t", "df").alias("p"))
 

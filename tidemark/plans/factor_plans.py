@@ -39,8 +39,42 @@ def _related(spark, sf):
     return _scan(spark, sf).join(F.broadcast(pairs), ["stem", "branch", "nstem", "nbranch"])
 
 
-_SCAN = f"{with_sql('days', 'universe')}, {_DAYP}, {_NATAL}, scan AS (SELECT * FROM natal, dp WHERE year(d) = 1999 AND day(d) % 10 = 0)"
-_STEMS, _BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
+_SCAN = f"{with_sql('days', 'universe')}, {_DAYP}, {_NATAL}, scan AS (SELECT * FROM natal, dp)"
+_STEMS, _BRANCHES = p.STEMS, p.BRANCHES
+
+# The rules of the relations, as pairs of stems or branches, for the SQL side; the Spark side computes them.
+_PAIRS = {
+    "stem_harmony": ("s", "甲己 乙庚 丙辛 丁壬 戊癸"),
+    "stem_clash": ("s", "甲庚 乙辛 丙壬 丁癸"),
+    "harmony": ("b", "子丑 寅亥 卯戌 辰酉 巳申 午未"),
+    "clash": ("b", "子午 丑未 寅申 卯酉 辰戌 巳亥"),
+    "triple": ("b", "申子 子辰 申辰 亥卯 卯未 亥未 寅午 午戌 寅戌 巳酉 酉丑 巳丑"),
+    "punish": ("b", "寅巳 巳申 寅申 丑戌 戌未 丑未 子卯"),
+    "self_punish": ("b", "辰辰 午午 酉酉 亥亥"),
+    "harm": ("b", "子未 丑午 寅巳 卯辰 申亥 酉戌"),
+    "break": ("b", "子酉 丑辰 寅亥 卯午 巳申 未戌"),
+}
+
+
+def _paired(name):
+    kind, pairs = _PAIRS[name]
+    both = sorted({x for pair in pairs.split() for x in (pair, pair[::-1])})
+    return f"{kind} || n{kind} IN ({', '.join(repr(x) for x in both)})"
+
+
+_TESTS = {
+    **{name: _paired(name) for name in _PAIRS},
+    "stem_generates": "(e + 1) % 5 = ne", "stem_generated": "(ne + 1) % 5 = e", "stem_overcomes": "(e + 2) % 5 = ne", "stem_overcome": "(ne + 2) % 5 = e",
+    "stem_same_element": "e = ne", "same_branch": "b = nb", "repeat": "s = ns AND b = nb",
+    "reverse": f"((e + 2) % 5 = ne OR {_paired('stem_clash')}) AND {_paired('clash')}",
+    "double_harmony": f"{_paired('stem_harmony')} AND {_paired('harmony')}", "double_clash": f"(e + 2) % 5 = ne AND {_paired('clash')}",
+}
+_AMONG = lambda names: f"len(list_filter(relations, lambda x: x IN ({', '.join(repr(n) for n in names)})))::BIGINT"
+_RELATED = (
+    f"{_SCAN}, chars AS (SELECT *, substr('{_STEMS}', stem + 1, 1) AS s, substr('{_BRANCHES}', branch + 1, 1) AS b, substr('{_STEMS}', nstem + 1, 1) AS ns, substr('{_BRANCHES}', nbranch + 1, 1) AS nb, stem // 2 AS e, nstem // 2 AS ne FROM scan), "
+    f"lists AS (SELECT *, list_filter([{', '.join(f'CASE WHEN {t} THEN {n!r} END' for n, t in _TESTS.items())}], lambda x: x IS NOT NULL) AS relations FROM chars), "
+    f"related AS (SELECT *, {_AMONG(p.SUPPORTIVE)} AS supportive, {_AMONG(p.DISTURBING)} AS disturbing, {_AMONG(p.COMPOUND)} AS compound FROM lists)"
+)
 
 
 @query("f04_day_pillar", f"{with_sql('days')}, {_DAYP} SELECT d, substr('{_STEMS}', stem + 1, 1) || substr('{_BRANCHES}', branch + 1, 1) AS pillar FROM dp")
@@ -48,9 +82,8 @@ def f04(spark, sf):
     return _days(spark, sf).select("d", p.pillar_name(F.col("idx")).alias("pillar"))
 
 
-_GODS = ["比肩", "劫财", "食神", "伤官", "偏财", "正财", "七杀", "正官", "偏印", "正印"]
 _TEN = lambda a, b: f"CAST(((({b}) // 2 - ({a}) // 2) % 5 + 5) % 5 * 2 + CASE WHEN ({a}) % 2 = ({b}) % 2 THEN 0 ELSE 1 END AS INT)"
-_NAMES = "[" + ", ".join(f"'{g}'" for g in _GODS) + "]"
+_NAMES = "[" + ", ".join(f"'{g}'" for g in p.TEN_GODS) + "]"
 
 
 @query("f01_ten_god", f"SELECT a.s AS day_stem, b.s AS other_stem, list_extract({_NAMES}, {_TEN('a.s', 'b.s')} + 1) AS god FROM range(0, 10) a(s), range(0, 10) b(s)")
@@ -64,7 +97,7 @@ def f02(spark, sf):
     return spark.range(5).select(F.col("id").alias("element"), p.generates(F.col("id")).alias("generates"), p.overcomes(F.col("id")).alias("overcomes"))
 
 
-_START = "[11, 6, 2, 9, 2, 9, 5, 0, 8, 3]"
+_START = str(list(p.LONG_LIFE_BRANCH))
 
 
 @query("f03_twelve_stage", f"SELECT s AS stem, b AS branch, CAST(((CASE WHEN s % 2 = 0 THEN b - list_extract({_START}, CAST(s + 1 AS INT)) ELSE list_extract({_START}, CAST(s + 1 AS INT)) - b END) % 12 + 12) % 12 AS INT) AS stage FROM range(0, 10) x(s), range(0, 12) y(b)")
@@ -77,14 +110,16 @@ _CLASH, _HARM6 = "(nbranch - branch + 12) % 12 = 6", "(nbranch + branch) % 12 =
 _TRIPLE = "nbranch <> branch AND (nbranch - branch + 12) % 4 = 0"
 
 
-@query("f05_branch_relations", f"{_SCAN} SELECT sec, d, {_CLASH} AS clash, {_HARM6} AS harmony, {_TRIPLE} AS triple FROM scan")
+@query("f05_branch_relations", f"{_RELATED} SELECT sec, d, {', '.join(f'{_paired(n)} AS {n}' for n in ('clash', 'harmony', 'triple', 'harm', 'break', 'punish'))} FROM chars")
 def f05(spark, sf):
     a, b = F.col("nbranch"), F.col("branch")
     tests = {"clash": p.clash, "harmony": p.harmony, "triple": p.triple, "harm": p.harm, "break": p.breaks, "punish": p.punish}
     return _scan(spark, sf).select("sec", "d", *[test(a, b).alias(name) for name, test in tests.items()])
 
 
-@query("f09_relation_counts", f"{_SCAN} SELECT d, count(*) FILTER (WHERE {_CLASH}) AS clashes, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_TRIPLE}) AS triples FROM scan GROUP BY d")
+@query("f09_relation_counts", f"""{_RELATED} SELECT d, count(*) FILTER (WHERE list_contains(relations, 'clash')) AS clashes, count(*) FILTER (WHERE list_contains(relations, 'harmony')) AS harmonies, count(*) FILTER (WHERE list_contains(relations, 'triple')) AS triples,
+{', '.join(f"count(*) FILTER (WHERE list_contains(relations, '{r}')) AS n_{r}" for r in p.RELATIONS)}, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('supportive', 'disturbing', 'compound'))},
+count(*) FILTER (WHERE supportive > 0 AND disturbing = 0) AS synergy, count(*) FILTER (WHERE supportive = 0 AND disturbing > 0) AS disturbed, count(*) FILTER (WHERE supportive > 0 AND disturbing > 0) AS mixed, count(*) FILTER (WHERE supportive = 0 AND disturbing = 0) AS weak FROM related GROUP BY d""")
 def f09(spark, sf):
     """Each relation's count (n_ and its name), the three of old under their own names, the S, V and U counts, and securities by group."""
     held = {r: F.count_if(F.array_contains("relations", r)) for r in p.RELATIONS}
@@ -107,18 +142,30 @@ def f12(spark, sf):
     return _scan(spark, sf).select("sec", "d", p.role_value(F.col("nstem"), F.col("stem")).alias("value"))
 
 
-@query("f20_birth_model", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 570 MINUTE AS open_birth, CAST(CAST(o_orderdate AS DATE) - 7 AS DATE) AS approximate FROM orders WHERE o_orderkey % 10 = 0")
+@query("f20_birth_model", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 570 MINUTE AS open_birth, CAST(CAST(o_orderdate AS DATE) - 7 AS DATE) AS approximate FROM orders")
 def f20(spark, sf):
     o = table(spark, sf, "orders")
     open_ = F.make_timestamp_ntz(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.lit(9), F.lit(30), F.lit(0))
     return o.select("o_orderkey", open_.alias("open_birth"), F.date_sub(F.to_date("o_orderdate"), 7).alias("approximate"))
 
 
-@query("f21_code_parse", "SELECT code, CASE WHEN suffix = 'SH' THEN 'SSE' WHEN suffix = 'SZ' THEN 'SZSE' WHEN suffix = 'BJ' THEN 'BSE' ELSE 'UNKNOWN' END AS exchange, CASE WHEN starts_with(num, '688') THEN 'STAR' WHEN starts_with(num, '300') THEN 'CHINEXT' ELSE 'MAIN' END AS board FROM (SELECT code, regexp_extract(code, '^(\\d{6})', 1) AS num, regexp_extract(code, '\\.([A-Z]{2})$', 1) AS suffix FROM (SELECT lpad(CAST((s_suppkey * 7919) % 700000 AS VARCHAR), 6, '0') || list_extract(['.SH', '.SZ', '.BJ', ''], CAST(s_suppkey % 4 + 1 AS INT)) AS code FROM supplier))")
+_RAW = "list_extract(['sh', 'SZ', '', ' bj.', 'x'], CAST(s_suppkey % 5 + 1 AS INT)) || list_extract([" + ", ".join(f"'{x}'" for x in p.CODE_PREFIXES) + f"], CAST(s_suppkey % {len(p.CODE_PREFIXES)} + 1 AS INT)) || lpad(CAST(s_suppkey * 7919 % 1000 AS VARCHAR), 3, '0') || list_extract(['.SH', '', ' ', '.SZ'], CAST(s_suppkey % 4 + 1 AS INT))"
+
+
+@query("f21_code_parse", f"""WITH raw AS (SELECT {_RAW} AS raw FROM supplier UNION ALL SELECT unnest(['', 'none', '12345', '777777'])), c AS (SELECT raw, nullif(regexp_extract(raw, '[0-9]{{6}}'), '') AS code FROM raw), e AS (SELECT raw, code,
+CASE WHEN code IS NULL THEN NULL WHEN left(code, 3) IN ('600', '601', '603', '605', '688', '689', '900') THEN 'SSE' WHEN left(code, 3) IN ('000', '001', '002', '003', '200', '300', '301') THEN 'SZSE' WHEN left(code, 2) IN ('43', '83', '87', '88', '92') THEN 'BSE' ELSE 'UNKNOWN' END AS exchange,
+CASE WHEN code IS NULL THEN NULL WHEN left(code, 3) IN ('688', '689') THEN 'STAR' WHEN left(code, 3) IN ('300', '301') THEN 'CHINEXT' WHEN left(code, 3) IN ('600', '601', '603', '605', '900', '000', '001', '002', '003', '200') THEN 'MAIN' WHEN left(code, 3) IN ('430', '870', '871', '872', '873', '920') OR left(code, 2) = '83' THEN 'BSE' ELSE 'UNKNOWN' END AS board FROM c)
+SELECT raw, code, exchange, board, CASE exchange WHEN 'SSE' THEN code || '.SH' WHEN 'SZSE' THEN code || '.SZ' WHEN 'BSE' THEN code || '.BJ' ELSE code END AS full_code FROM e""")
 def f21(spark, sf):
-    suffix = F.element_at(F.array(*map(F.lit, (".SH", ".SZ", ".BJ", ""))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    code = F.concat(F.lpad(((F.col("s_suppkey") * 7919) % 700000).cast("string"), 6, "0"), suffix)
-    return table(spark, sf, "supplier").select(code.alias("code")).select("code", p.exchange_of(F.col("code")).alias("exchange"), p.board_of(F.col("code")).alias("board"))
+    """Raw spellings to the six digits, the exchange and board of their beginning, and the code with the exchange's suffix; null where there are no six digits."""
+    s = F.col("s_suppkey")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    raw = F.concat(pick(("sh", "SZ", "", " bj.", "x"), s % 5), pick(p.CODE_PREFIXES, s % len(p.CODE_PREFIXES)), F.lpad((s * 7919 % 1000).cast("string"), 3, "0"), pick((".SH", "", " ", ".SZ"), s % 4))
+    odd = spark.createDataFrame([("",), ("none",), ("12345",), ("777777",)], "raw string")
+    codes = table(spark, sf, "supplier").select(raw.alias("raw")).unionByName(odd).withColumn("code", p.normal_code(F.col("raw")))
+    exchange = p.exchange_of(F.col("code"))
+    suffix = F.when(exchange == "SSE", ".SH").when(exchange == "SZSE", ".SZ").when(exchange == "BSE", ".BJ").otherwise("")
+    return codes.select("raw", "code", exchange.alias("exchange"), p.board_of(F.col("code")).alias("board"), F.concat("code", suffix).alias("full_code"))
 
 
 @query("f22_day_class", f"{with_sql('days')}, {_DAYP} SELECT d, CASE WHEN branch IN (0, 2, 3, 6, 7, 9) THEN 'good' WHEN branch IN (1, 4, 5, 8, 10) THEN 'bad' END AS class FROM dp")
@@ -161,7 +208,7 @@ def f29(spark, sf):
     return j.select("d", is_open.alias("is_open"), source.alias("source"))
 
 
-@query("j25_date_scan", f"{_SCAN}, s AS (SELECT sec, d, CAST({_HARM6} AS INT) + CAST({_TRIPLE} AS INT) - CAST({_CLASH} AS INT) AS score FROM scan) SELECT sec, d, score, round((rank() OVER (PARTITION BY d ORDER BY score) - 1 + 0.5 * count(*) OVER (PARTITION BY d, score)) / count(*) OVER (PARTITION BY d) * 100, 2) AS pct FROM s")
+@query("j25_date_scan", f"{_RELATED}, s AS (SELECT sec, d, supportive, disturbing, compound, CAST({_HARM6} AS INT) + CAST({_TRIPLE} AS INT) - CAST({_CLASH} AS INT) AS score FROM related) SELECT sec, d, score, supportive, disturbing, compound, round((rank() OVER (PARTITION BY d ORDER BY score) - 1 + 0.5 * count(*) OVER (PARTITION BY d, score)) / count(*) OVER (PARTITION BY d) * 100, 2) AS pct FROM s")
 def j25(spark, sf):
     a, b = F.col("nbranch"), F.col("branch")
     score = p.harmony(a, b).cast("int") + p.triple(a, b).cast("int") - p.clash(a, b).cast("int")
@@ -179,7 +226,7 @@ def c20(spark, sf):
     return _days(spark, sf).select("d", ((b + 6) % 12).alias("clash_branch"), ((13 - b) % 12).alias("harmony_branch"), ((F.col("stem") + 5) % 10).alias("partner_stem"))
 
 
-@query("c26_relation_factors", f"{_SCAN} SELECT sec, d, relation, CAST(1 AS BIGINT) AS n FROM (SELECT sec, d, unnest(list_filter([CASE WHEN {_CLASH} THEN 'clash' END, CASE WHEN {_HARM6} THEN 'harmony' END, CASE WHEN {_TRIPLE} THEN 'triple' END], lambda x: x IS NOT NULL)) AS relation FROM scan)")
+@query("c26_relation_factors", f"{_RELATED} SELECT sec, d, unnest(relations) AS relation, CAST(1 AS BIGINT) AS n FROM related")
 def c26(spark, sf):
     """A relation that is not held has no row."""
     return _related(spark, sf).select("sec", "d", F.explode("relations").alias("relation")).groupBy("sec", "d", "relation").agg(F.count(F.lit(1)).alias("n"))

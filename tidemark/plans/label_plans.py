@@ -124,13 +124,13 @@ def w11(spark, sf):
 
 
 @query("w13_greedy_nonoverlap", f"""
-WITH RECURSIVE {with_sql('bars')[5:]}, n AS (SELECT sec, d, row_number() OVER (PARTITION BY sec ORDER BY d) - 1 AS i FROM bars WHERE volume >= 30),
-k AS (SELECT sec, i FROM n WHERE i = 0 UNION ALL SELECT k.sec, k.i + 10 FROM k JOIN n ON n.sec = k.sec AND n.i = k.i + 10)
-SELECT sec, count(*) AS kept, max(i) AS last_index FROM k GROUP BY sec""")
+WITH RECURSIVE {with_sql('bars')[5:]}, o AS (SELECT sec, volume, row_number() OVER (PARTITION BY sec ORDER BY d) - 1 AS i FROM bars), n AS (SELECT sec, i FROM o WHERE volume >= 30),
+k AS (SELECT sec, min(i) AS i FROM n GROUP BY sec UNION ALL SELECT k.sec, (SELECT min(n.i) FROM n WHERE n.sec = k.sec AND n.i >= k.i + 10) AS i FROM k WHERE k.i IS NOT NULL)
+SELECT sec, count(i) AS kept, max(i) AS last_index FROM k GROUP BY sec""")
 def w13(spark, sf):
-    """Greedy: keep an event if its index is at least 10 after the last one kept."""
-    index = F.row_number().over(_by_sec()) - 1
-    events = bars(spark, sf).where("volume >= 30").select("sec", index.alias("i")).groupBy("sec").agg(F.sort_array(F.collect_list("i")).alias("seen"))
+    """Greedy: keep an event if its bar is at least 10 bars after the last one kept."""
+    numbered = bars(spark, sf).select("sec", "volume", (F.row_number().over(_by_sec()) - 1).alias("i"))
+    events = numbered.where("volume >= 30").groupBy("sec").agg(F.sort_array(F.collect_list("i")).alias("seen"))
     start = F.struct(F.lit(-10).alias("last"), F.lit(0).cast("long").alias("kept"))
     step = lambda s, i: F.when(i - s["last"] >= 10, F.struct(i.alias("last"), (s["kept"] + 1).alias("kept"))).otherwise(s)
     return events.select("sec", F.aggregate("seen", start, step).alias("s")).select("sec", F.col("s.kept").alias("kept"), F.col("s.last").cast("long").alias("last_index"))
@@ -158,7 +158,7 @@ def w18(spark, sf):
 
 
 @query("w19_gap_runs", f"""{with_sql('bars', 'days')}, s AS (SELECT u.sec, days.d, CASE WHEN b.d IS NULL THEN 1 ELSE 0 END AS code
-  FROM (SELECT DISTINCT sec FROM bars WHERE sec < 5) u CROSS JOIN days LEFT JOIN bars b ON b.sec = u.sec AND b.d = days.d),
+  FROM (SELECT DISTINCT sec FROM bars) u CROSS JOIN days LEFT JOIN bars b ON b.sec = u.sec AND b.d = days.d),
 c AS (SELECT *, CASE WHEN code IS DISTINCT FROM lag(code) OVER (PARTITION BY sec ORDER BY d) THEN 1 ELSE 0 END AS chg FROM s),
 r AS (SELECT *, sum(chg) OVER (PARTITION BY sec ORDER BY d) AS run FROM c)
 SELECT sec, min(d) AS start_date, max(d) AS end_date, code, count(*) AS n FROM r GROUP BY sec, run, code""")
@@ -246,7 +246,7 @@ def j12(spark, sf):
 
 
 @query("j13_benchmark_forward", f"""{with_sql('bars', 'bench')}, m AS (SELECT * FROM bench WHERE day(d) % 4 <> 0),
-e AS (SELECT sec, d, lead(d, 20) OVER (PARTITION BY sec ORDER BY d) AS end_d FROM bars WHERE sec < 20), x AS (SELECT sec, d, end_d, (SELECT min(m.d) FROM m WHERE m.d >= e.d) AS a, (SELECT min(m.d) FROM m WHERE m.d >= e.end_d) AS b FROM e WHERE end_d IS NOT NULL)
+e AS (SELECT sec, d, lead(d, 20) OVER (PARTITION BY sec ORDER BY d) AS end_d FROM bars), x AS (SELECT sec, d, end_d, (SELECT min(m.d) FROM m WHERE m.d >= e.d) AS a, (SELECT min(m.d) FROM m WHERE m.d >= e.end_d) AS b FROM e WHERE end_d IS NOT NULL)
 SELECT sec, x.d, round(q.bench_close / p.bench_close - 1, 8) + 0.0 AS bench_ret FROM x JOIN m p ON p.d = a JOIN m q ON q.d = b""")
 def j13(spark, sf):
     """Benchmark with missing days: the first bar at or after each endpoint, found once a day and then joined."""
@@ -265,7 +265,7 @@ def j14(spark, sf):
     return out.groupBy("sec").agg(F.count("factor").alias("matched"), (F.count(F.lit(1)) - F.count("factor")).alias("uncovered"), F.count_if(filled).alias("filled"))
 
 
-@query("j17_interval_join", f"""{with_sql('bars')} SELECT sec, d, year(d)::BIGINT * 10 + quarter(d) AS segment FROM bars WHERE day(d) <= 20""")
+@query("j17_interval_join", f"""{with_sql('bars')} SELECT sec, d, year(d)::BIGINT * 10 + quarter(d) AS segment FROM bars""")
 def j17(spark, sf):
     """Days in half-open segments: quarters, by an as-of join on the start."""
     quarters = spark.sql("select explode(sequence(date'1992-01-01', date'2003-01-01', interval 3 months)) as s")

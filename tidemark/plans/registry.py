@@ -24,9 +24,11 @@ def query(name: str, sql: str | None = None):
 
 from tidemark.plans import (  # noqa: E402, F401  they register their queries
     calendar_plans,
+    control_plans,
     dataset_plans,
     decision_plans,
     factor_plans,
+    gate_plans,
     label_plans,
     panel_plans,
     source_plans,

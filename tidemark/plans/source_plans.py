@@ -105,13 +105,14 @@ def s19(spark, sf):
     return store.overlay(x.where("odd = 0").drop("odd"), x.where("odd = 1").drop("odd"), ["k"])
 
 
-@query("s20_shard_merge", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys_n, CAST(0 AS BIGINT) AS overlapping FROM orders")
+@query("s20_shard_merge", "SELECT CAST(sum(1 + CASE WHEN o_orderkey % 70 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS keys_n, count(*) FILTER (WHERE o_orderkey % 70 = 0) AS overlapping, count(*) FILTER (WHERE o_orderkey % 140 = 0) AS conflicting FROM orders")
 def s20(spark, sf):
-    """Shards merged with a check that no key is in two of them."""
-    o = table(spark, sf, "orders").select("o_orderkey")
-    merged = o.where("o_orderkey % 2 = 0").withColumn("shard", F.lit(0)).unionByName(o.where("o_orderkey % 2 = 1").withColumn("shard", F.lit(1)))
-    keys = merged.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("c"), F.min("shard").alias("lo"), F.max("shard").alias("hi"))
-    return keys.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys_n"), F.count_if(F.col("lo") != F.col("hi")).alias("overlapping"))
+    """Shards merged: keys that two of them have, and those of which they tell different values."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    late = o.where("o_orderkey % 2 = 1 or o_orderkey % 70 = 0").withColumn("cents", F.when(F.col("o_orderkey") % 140 == 0, F.col("cents") + 1).otherwise(F.col("cents")))
+    merged = o.where("o_orderkey % 2 = 0").withColumn("shard", F.lit(0)).unionByName(late.withColumn("shard", F.lit(1)))
+    keys = merged.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("c"), F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.min("cents").alias("low"), F.max("cents").alias("high"))
+    return keys.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys_n"), F.count_if(F.col("lo") != F.col("hi")).alias("overlapping"), F.count_if(F.col("low") != F.col("high")).alias("conflicting"))
 
 
 @query("s06_zip_of_csv")
@@ -201,14 +202,18 @@ def c05(spark, sf):
     return old.join(new, "k", "full_outer").select("k", F.coalesce("v0", "v1").alias("v"), action.alias("action"))
 
 
-@query("c07_recompute_audit", f"{with_sql('bars')} SELECT count(*) AS rows_n, CAST(0 AS BIGINT) AS mismatches FROM bars")
+@query("c07_recompute_audit", f"""{with_sql('bars')}, w AS (SELECT sec, d, lead(close, 5) OVER o / close - 1 AS r FROM bars WINDOW o AS (PARTITION BY sec ORDER BY d))
+SELECT sec, count(*) AS rows_n, count(*) FILTER (WHERE (r IS NOT NULL AND (day(d) = 13 OR day(d) = 7)) OR (r IS NULL AND day(d) = 21)) AS mismatches FROM w GROUP BY sec""")
 def c07(spark, sf):
-    """Labels twice, by window and by self-join on the bar's ordinal, compared null-safely."""
+    """Stored labels, some lost, changed or made up, against labels computed anew by a self-join on the bar's ordinal, compared null-safely."""
     b = bars(spark, sf).select("sec", "d", "close").withColumn("i", F.row_number().over(Window.partitionBy("sec").orderBy("d")))
-    window = b.withColumn("w", F.lead("close", 5).over(Window.partitionBy("sec").orderBy("d")) / F.col("close") - 1)
+    w = F.lead("close", 5).over(Window.partitionBy("sec").orderBy("d")) / F.col("close") - 1
+    day = F.dayofmonth("d")
+    told = F.when(day == 13, None).when((day == 21) & w.isNull(), 0.0).when(day == 7, w + 1).otherwise(w)
+    stored = b.select("sec", "i", "close", told.alias("w"))
     ahead = b.select("sec", (F.col("i") - 5).alias("i"), F.col("close").alias("later"))
-    both = window.join(ahead, ["sec", "i"], "left").withColumn("j", F.col("later") / F.col("close") - 1)
-    return both.agg(F.count(F.lit(1)).alias("rows_n"), F.count_if(~F.col("w").eqNullSafe(F.col("j"))).alias("mismatches"))
+    both = stored.join(ahead, ["sec", "i"], "left").withColumn("j", F.col("later") / F.col("close") - 1)
+    return both.groupBy("sec").agg(F.count(F.lit(1)).alias("rows_n"), F.count_if(~F.col("w").eqNullSafe(F.col("j"))).alias("mismatches"))
 
 
 @query("c10_session_overlap", "SELECT slot, greatest(0, least(slot * 120 + 120, 690) - greatest(slot * 120, 570)) + greatest(0, least(slot * 120 + 120, 900) - greatest(slot * 120, 780)) AS minutes FROM range(0, 12) t(slot)")

@@ -279,13 +279,6 @@ def a32(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("slices"), F.round(F.avg((F.col("m") > 0).cast("double")), 8).alias("positive_share"))
 
 
-@query("a33_robustness_slices", f"""{_PANEL}, u AS (SELECT 'year' AS dimension, CAST(year(d) AS VARCHAR) AS slice, ret_20d FROM p WHERE hit UNION ALL SELECT 'sec_mod', CAST(sec % 4 AS VARCHAR), ret_20d FROM p WHERE hit)
-SELECT dimension, slice, count(*) AS n, round(avg(ret_20d), 8) + 0.0 AS mean_ret FROM u GROUP BY 1, 2""")
-def a33(spark, sf):
-    p = _panel(spark, sf).where("hit").selectExpr("ret_20d", "stack(2, 'year', cast(year(d) as string), 'sec_mod', cast(sec % 4 as string)) as (dimension, slice)")
-    return p.groupBy("dimension", "slice").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("ret_20d")).alias("mean_ret"))
-
-
 @query("a41_factor_quality", f"""{with_sql('obs')}, v AS (SELECT factor_id, normalized, count(*) AS c FROM obs GROUP BY 1, 2), s AS (SELECT factor_id, count(*) AS n, count(*) FILTER (WHERE normalized IS NULL) AS nulls, count(DISTINCT normalized) AS uniques, avg(normalized) AS m, stddev_samp(normalized) AS sd FROM obs GROUP BY 1)
 SELECT factor_id, n, nulls, uniques, round(m, 8) + 0.0 AS mean, round(sd, 8) AS sd, round((SELECT max(c) FROM v WHERE v.factor_id = s.factor_id) / n, 8) AS dominant_share FROM s""")
 def a41(spark, sf):
