@@ -6,13 +6,16 @@ import unicodedata
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.test_oracle import SF, rows
 from tidemark.functions import pillars
-from tidemark.operators import retrieval
+from tidemark.operators import resample, retrieval, statistics
+from tidemark.plans.decision_plans import quota_sample
+from tidemark.sources import store
 
 
 
@@ -130,5 +133,45 @@ def test_tokens_of_every_script(spark):
         for i, c in held.items():
             if t in c:
                 want[i] += math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean))
-    scores = {r.doc_id: r.score for r in retrieval.bm25(docs, terms).collect()}
+    scores = {r.doc_id: r.score for r in retrieval.TermIndex.build(docs, store.scratch(spark, "terms")).bm25(terms).collect()}
     assert {1, 2, 4, 7} <= scores.keys() == want.keys() and all(math.isclose(scores[i], want[i]) for i in want)
+
+
+def test_students_p_at_known_values():
+    # by hand or from tables: the Cauchy and normal tails, df 2 in closed form, and the usual critical values
+    known = [(1, 1, 0.5), (0, 7, 1.0), (2, 2, 1 - 2 / math.sqrt(6)), (12.7062047, 1, 0.05), (2.2281389, 10, 0.05), (1, 1e6, 0.3173108), (1, 1e8, 0.3173105), (1.959964, 1e12, 0.05)]
+    got = statistics.student_two_sided([t for t, _, _ in known], [n for _, n, _ in known])
+    assert all(math.isclose(a, p, abs_tol=2e-7) for a, (_, _, p) in zip(got, known, strict=True))
+
+
+def test_draws_without_replacement():
+    rng = np.random.default_rng(3)
+    ks = rng.integers(0, 13, 3000)
+    sums = resample.picked_sums(2.0 ** np.arange(12), ks, rng)
+    assert all(int(s).bit_count() == k for s, k in zip(sums, ks, strict=True))  # k different members
+    chosen = np.array([[int(s) >> b & 1 for b in range(12)] for s in sums])
+    assert np.abs(chosen.mean(axis=0) - ks.mean() / 12).max() < 0.04  # each as often as any other
+
+
+def test_permutation_and_random_positions_tell_effects(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"2020-01-{d + 1:02d}", k < 8, float(rng.normal())) for d in range(20) for k in range(30)]
+    effect = [(d, h, v + 1.0 * h) for d, h, v in rows]
+    frame = lambda r: spark.createDataFrame(r, "d string, hit boolean, value double").withColumn("d", F.to_date("d"))
+    for test in (resample.permutation_test, resample.random_positions):
+        none, some = test(frame(rows), draws=1000, seed=1).first(), test(frame(effect), draws=1000, seed=1).first()
+        assert some.p_upper == 1 / 1001 and none.p_upper > 0.02 and none.draws == 1000
+        assert test(frame(rows).repartition(7), draws=1000, seed=1).first().p_upper == none.p_upper
+    values = [v for _, _, v in rows]
+    got = resample.random_positions(frame(rows), draws=2000, seed=2).first()
+    n, size = got.n, len(values)
+    assert n == 160 and abs(got.null_mean - np.mean(values)) < 0.01
+    assert abs(got.null_sd / (np.std(values) * math.sqrt((size - n) / (n * (size - 1)))) - 1) < 0.08  # as drawing without replacement has it
+
+
+def test_quotas_are_shares_of_the_target(spark):
+    members = [(i, "a") for i in range(700)] + [(i + 1000, "b") for i in range(250)] + [(i + 2000, "c") for i in range(49)] + [(3000, "d")]
+    df = spark.createDataFrame(members, "sec long, s string")
+    for target, want in ((100, {"a": 69, "b": 25, "c": 5, "d": 1}), (7, {"a": 4, "b": 1, "c": 1, "d": 1})):
+        got = {r.s: r.n for r in quota_sample(df, target, 1, "s").groupBy("s").agg(F.count("*").alias("n")).collect()}
+        assert sum(got.values()) == target and got == want, got

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-_STOPWORDS = "的了是在与和而之也矣者其以为不有无乃则於于所故皆"
+STOPWORDS = "的了是在与和而之也矣者其以为不有无乃则於于所故皆"
 _CJK = r"\u4e00-\u9fff"
 _WORD = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]"
 #: No segmenter is at hand: runs of two or more letters and digits of any script, and single CJK characters less the stop words.
-TOKEN = f"({_WORD}{{2,}}|[{_CJK}&&[^{_STOPWORDS}]])"
+TOKEN = f"({_WORD}{{2,}}|[{_CJK}&&[^{STOPWORDS}]])"
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -21,27 +18,37 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """doc_id, score for documents that have any of the terms.
+class TermIndex:
+    """Postings (term, doc_id, tf, dl) below ``folder``, sorted by ranges of the term, so that a query reads few row groups.
 
-    Lengths and the terms' frequencies come from one pass over the texts; only
-    documents' counts are kept, and the terms, a short list, become columns.
+    ``dl`` is the document's number of tokens and ``first`` marks one posting of
+    each document, so that the corpus statistics are plain sums.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
-
-    def times(term):
-        if re.fullmatch(f"[{_CJK}]", term):
-            return F.lit(0) if term in _STOPWORDS else F.regexp_count(low, F.lit(term))
-        return F.regexp_count(low, F.lit(f"(?<!{_WORD}){re.escape(term)}(?!{_WORD})"))
-
-    counted = docs.select("doc_id", F.regexp_count(low, F.lit(TOKEN)).alias("dl"), *[times(t).alias(f"tf_{i}") for i, t in enumerate(terms)])
-    counted = counted.where("dl > 0")
-    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
-    joined = counted.crossJoin(F.broadcast(corpus))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf_{i}"), F.col(f"df_{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    some = F.greatest(*[F.col(f"tf_{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return joined.where(some).select("doc_id", score.alias("score"))
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.postings = spark.read.schema("term string, doc_id long, tf long, dl int, first boolean").parquet(folder)
+
+    @classmethod
+    def build(cls, docs: DataFrame, folder: str) -> TermIndex:
+        """Texts are split once; a document's tokens are counted where they are read, before they are dealt to ranges of terms."""
+        words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN)).alias("words")
+        split = docs.select("doc_id", words).select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
+        counted = split.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("at") == 0).alias("first"))
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = counted.select("term", "doc_id", "tf", "dl", "first").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        ranged.write.parquet(folder)
+        return cls(docs.sparkSession, folder)
+
+    def bm25(self, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """doc_id, score for documents that have any of the terms: one aggregate over the terms' postings."""
+        found = self.postings.where(F.col("term").isin(*sorted(set(terms))))
+        corpus = self.postings.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+        frequent = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weights = frequent.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        return found.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))  # a row for each query term
+
+
+def final_score(bm25: Column, topic_hits: Column, factor_hits: Column, authority: Column) -> Column:
+    """Text relevance, topics and factors that an entry shares with the request, weighted by its authority, which is 0.1 at least."""
+    return (0.4 * bm25 + 1.5 * topic_hits + 3.0 * factor_hits) * F.greatest(authority, F.lit(0.1))

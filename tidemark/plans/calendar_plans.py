@@ -37,31 +37,6 @@ def p12(spark, sf):
     return _days(spark, sf).where((F.col("stem") == 4) & F.col("branch").isin(0, 6) & (F.year("d") == 1999)).select("d")
 
 
-_ELEM = "[CAST(nstem // 2 AS INT), CAST(list_extract([4,2,0,0,2,1,1,2,3,3,2,4], CAST(nbranch + 1 AS INT)) AS INT)]"
-
-
-@query("f06_element_strength", f"{_SCAN}, e AS (SELECT DISTINCT sec, nstem, nbranch FROM scan), u AS (SELECT sec, unnest({_ELEM}) AS element, unnest([1.0, 1.2]) AS w FROM e) SELECT sec, element, round(sum(w) / 2.2 * 100, 6) AS pct FROM u GROUP BY 1, 2")
-def f06(spark, sf):
-    """Weighted elements of stem and branch, as shares of the whole."""
-    branch = F.element_at(F.array(*map(F.lit, (4, 2, 0, 0, 2, 1, 1, 2, 3, 3, 2, 4))), (F.col("nbranch") + 1).cast("int"))
-    parts = F.array(F.struct(F.floor(F.col("nstem") / 2).cast("int").alias("element"), F.lit(1.0).alias("w")), F.struct(branch.alias("element"), F.lit(1.2).alias("w")))
-    return _natal(spark, sf).select("sec", F.inline(parts)).groupBy("sec", "element").agg(F.round(F.sum("w") / 2.2 * 100, 6).alias("pct"))
-
-
-@query("f07_strength_level", f"{with_sql('obs')}, s AS (SELECT sec, round(avg(score) / 50, 9) AS x FROM obs GROUP BY 1) SELECT sec, CASE WHEN x >= 0.62 THEN 'very_strong' WHEN x >= 0.55 THEN 'strong' WHEN x > 0.45 THEN 'balanced' WHEN x > 0.38 THEN 'weak' ELSE 'very_weak' END AS level FROM s")
-def f07(spark, sf):
-    s = observations(spark, sf).groupBy("sec").agg(F.round(F.avg("score") / 50, 9).alias("x"))
-    x = F.col("x")
-    return s.select("sec", F.when(x >= 0.62, "very_strong").when(x >= 0.55, "strong").when(x > 0.45, "balanced").when(x > 0.38, "weak").otherwise("very_weak").alias("level"))
-
-
-@query("f08_favourable_elements", f"{_SCAN}, e AS (SELECT DISTINCT sec, CAST(nstem // 2 AS INT) AS own, sec % 3 AS tier FROM scan) SELECT sec, CASE tier WHEN 0 THEN (own + 3) % 5 WHEN 1 THEN (own + 4) % 5 ELSE (own + 1) % 5 END AS use_element FROM e")
-def f08(spark, sf):
-    """The favoured element: officer if strong, resource if weak, output if balanced."""
-    own, tier = F.floor(F.col("nstem") / 2).cast("int"), F.col("sec") % 3
-    return _natal(spark, sf).select("sec", F.when(tier == 0, (own + 3) % 5).when(tier == 1, (own + 4) % 5).otherwise((own + 1) % 5).alias("use_element"))
-
-
 @query("f10_day_verdict", f"{_SCAN}, r AS (SELECT sec, d, CAST((stem // 2 - nstem // 2 + 5) % 5 AS INT) AS rel, board FROM scan) SELECT sec, d, CASE WHEN board = 'EUROPE' THEN NULL WHEN rel = 4 THEN 'use' WHEN rel = 0 THEN 'like' WHEN rel = 3 THEN 'avoid' ELSE 'idle' END AS role FROM r")
 def f10(spark, sf):
     """Use before like before avoid; unknown stays null and is no mismatch."""
@@ -70,12 +45,6 @@ def f10(spark, sf):
     return _scan(spark, sf).select("sec", "d", role.alias("role"))
 
 
-@query("f13_natal_factors", f"{_SCAN}, e AS (SELECT DISTINCT sec, nstem, nbranch FROM scan) SELECT sec, CASE WHEN nstem % 2 = 0 THEN 1 ELSE -1 END AS polarity, CAST(nstem // 2 AS INT) = list_extract([4,2,0,0,2,1,1,2,3,3,2,4], CAST(nbranch + 1 AS INT)) AS rooted FROM e")
-def f13(spark, sf):
-    branch = F.element_at(F.array(*map(F.lit, (4, 2, 0, 0, 2, 1, 1, 2, 3, 3, 2, 4))), (F.col("nbranch") + 1).cast("int"))
-    return _natal(spark, sf).select("sec", F.when(F.col("nstem") % 2 == 0, 1).otherwise(-1).alias("polarity"), (F.floor(F.col("nstem") / 2) == branch).alias("rooted"))
-
-
 @query("f14_temporal_factors", f"{_SCAN} SELECT sec, d, CASE WHEN {_HARM6} THEN 0.5 ELSE 0 END::DOUBLE AS harmony_value, CASE WHEN {_CLASH} THEN 0.5 ELSE 0 END::DOUBLE AS clash_value, CASE WHEN {_CLASH} THEN -1 ELSE 0 END AS clash_direction FROM scan")
 def f14(spark, sf):
     """Count / 2, with the direction apart: adverse relations have a positive value and a negative direction."""

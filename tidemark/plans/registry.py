@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
 from tidemark.plans import (  # noqa: E402, F401  they register their queries
     calendar_plans,
+    chart_plans,
     control_plans,
     dataset_plans,
     decision_plans,
