@@ -97,7 +97,8 @@ def test_warc_round_trip(spark):
     pages = [(1, "http://A.example.com/x", "p"), (2, "https://a.example.com/x#f", "p"), (3, None, None), (4, "u", ""), (4, "u", ""), (None, "v", "q"), (5, "w", "é" * 50000), (6, "http://b.org:8080/?a=1", "p\r\n\r\nq")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("d")).withColumn("offset", F.lit(1))
     kept = warc.archive(df, warc.scratch(spark, "t"), block_lines=2)
-    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in kept.records().collect()), key=lambda r: (null_last(r[0]), r[1]))
+    keys = df.select(warc.url_key(F.col("url")).alias("url_key")).distinct()
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in kept.records(keys).collect()), key=lambda r: (null_last(r[0]), r[1]))
     lead = {}
     for i, _, h in pages:
         lead[h or ""] = max(lead.get(h or "", -1), -1 if i is None else i)
@@ -113,6 +114,16 @@ def test_warc_round_trip(spark):
     assert kept.directory.count() > 1
 
 
+def test_a_common_key_fills_blocks_of_several_parts(spark):
+    pages = [(k, "http://hot.org/" if k % 3 else f"http://h{k}.org/", f"page {k % 50}") for k in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    kept = warc.archive(df, warc.scratch(spark, "t"), block_lines=7)
+    hot = spark.createDataFrame([("org,hot)/",), ("org,h",), ("zz",)], "url_key string")
+    assert kept.directory.where("first_key <= 'org,hot)/' and last_key >= 'org,hot)/'").select("part").distinct().count() > 1
+    assert sorted(r.page_id for r in kept.records(hot).collect()) == [k for k in range(600) if k % 3]
+    assert sorted(r.page_id for r in warc.round_trip(spark, df).collect()) == list(range(600))
+
+
 def test_warc_of_nothing(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(spark, df).count() == 0

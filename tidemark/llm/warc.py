@@ -2,8 +2,10 @@
 
 Tasks write archives of one gzip member per record.  Captures are sorted by
 their reversed-host URL key into blocks, each a gzip member of an index file;
-the sparse directory has a row for each block.  A lookup binary-searches the
-directory, range-reads a block, and range-reads the records it names.
+the sparse directory has a row for each block.  Keys are looked up in bulk: each
+goes to the parts of the directory that may hold it, where a task binary-searches
+the part's rows, range-reads the blocks that it needs, and binary-searches those.
+The records that they name are read in the order of the archives.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,11 +127,14 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 _CAPTURE = pa.schema([("url_key", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
+_DIRECTORY = pa.schema([("part", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
 
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = 1000) -> DataFrame:
-    """Writes sorted captures as compressed blocks; returns the directory, a row for each block."""
+    """Writes sorted captures as compressed blocks; returns the directory, a row for each block.
+
+    ``part`` numbers the ranges of keys that the writing tasks have.  A key of very many captures fills blocks of several parts.
+    """
     n = parallelism(captures.sparkSession)
     ranged = captures.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "archive", "offset")
 
@@ -136,6 +142,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = 1000) -> Da
         system, root = opened(folder)
         system.create_dir(root, recursive=True)
         out, path, at, lines, keys = None, f"{task_name()}.cdxj.gz", 0, [], []
+        part = TaskContext.get().partitionId()
 
         def flush():
             nonlocal out, at
@@ -143,7 +150,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = 1000) -> Da
                 out = system.open_output_stream(f"{root}/{path}", compression=None)
             data = gzip.compress("".join(lines).encode(), 6, mtime=0)
             out.write(data)
-            row = {"first_key": [keys[0]], "last_key": [keys[-1]], "file": [path], "offset": [at], "length": [len(data)], "lines": [len(lines)]}
+            row = {"part": [part], "first_key": [keys[0]], "last_key": [keys[-1]], "file": [path], "offset": [at], "length": [len(data)], "lines": [len(lines)]}
             at += len(data)
             lines.clear()
             keys.clear()
@@ -160,7 +167,7 @@ def write_index(captures: DataFrame, folder: str, block_lines: int = 1000) -> Da
         if out is not None:
             out.close()
 
-    return ranged.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, lines long")
+    return ranged.mapInArrow(run, "part int, first_key string, last_key string, file string, offset long, length long, lines long")
 
 
 def block_captures(folder: str, row: dict) -> list[tuple[str, dict]]:
@@ -169,6 +176,10 @@ def block_captures(folder: str, row: dict) -> list[tuple[str, dict]]:
     return [tuple(json.loads(line)) for line in data.decode().splitlines()]
 
 
+_FOUND = "url_key string, page_id long, archive string, offset long, length long"
+_RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("url_key", pa.string())])
+
+
 @dataclass
 class CaptureArchive:
     """Archives below ``folder``/records, index blocks below ``folder``/index, and the directory."""
@@ -176,68 +187,70 @@ class CaptureArchive:
     folder: str
     directory: DataFrame
 
-    def lookup(self, urls: list[str], max_directory: int = 5_000_000) -> list[dict]:
-        """All records of some URLs: binary search in the directory, range reads of blocks and records.
-
-        A directory of more than ``max_directory`` blocks is not brought here; its rows are filtered where they are.
-        """
-        spark = self.directory.sparkSession
-        keys = sorted({r[0] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url"))).collect()})
-        rows = self.directory
-        if rows.count() > max_directory:
-            wanted = F.lit(False)
-            for key in keys:
-                wanted = wanted | ((F.col("first_key") <= key) & (F.col("last_key") >= key))
-            rows = rows.where(wanted)
-        blocks = sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["first_key"], r["last_key"], r["file"], r["offset"]))
-        lasts = [b["last_key"] for b in blocks]
-        out = []
-        for key in keys:
-            k = bisect.bisect_left(lasts, key)
-            while k < len(blocks) and blocks[k]["first_key"] <= key:
-                lines = block_captures(f"{self.folder}/index", blocks[k])
-                at = bisect.bisect_left(lines, key, key=lambda line: line[0])
-                while at < len(lines) and lines[at][0] == key:
-                    c = lines[at][1]
-                    data = read_range(f"{self.folder}/records/{c['archive']}", c["offset"], c["length"])
-                    out.append(parse_record(zlib.decompress(data, 31)) | {"url_key": key})
-                    at += 1
-                k += 1
-        return out
-
-    def records(self) -> DataFrame:
-        """Every capture, by way of the index: page_id, payload_bytes, payload_digest, record_type, refers_to.
-
-        Blocks are read by one range of the directory a task; the records they
-        name are put in the order of the archives, which are then read forwards.
-        """
+    def captures(self, keys: DataFrame) -> DataFrame:
+        """The captures of the keys (url_key, each once) by way of the index; a key that is not there has none."""
         folder = self.folder
-        n = parallelism(self.directory.sparkSession)
+        # one row for each part, of which there are as many as shuffle partitions
+        ranges = self.directory.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("part").collect()
+        parts, firsts, lasts = [r["part"] for r in ranges], [r["first"] for r in ranges], [r["last"] for r in ranges]
 
-        def captures(batches):
+        def dealt(batches):
             for batch in batches:
-                for row in batch.to_pylist():
-                    lines = block_captures(f"{folder}/index", row)
-                    yield pa.RecordBatch.from_pylist([{"url_key": k, **c} for k, c in lines], schema=_CAPTURE)
+                out = {"part": [], "url_key": []}
+                for key in batch.column("url_key").to_pylist():
+                    for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                        out["part"].append(parts[k])
+                        out["url_key"].append(key)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("part", pa.int32()), ("url_key", pa.string())]))
+
+        def search(wanted: pa.Table, blocks: pa.Table) -> pa.Table:
+            out = {name: [] for name in _CAPTURE.names}
+            rows = sorted(blocks.to_pylist(), key=lambda r: (r["file"], r["offset"]))  # the order of the keys
+            ends, at, lines = [r["last_key"] for r in rows], None, []
+            for key in sorted(wanted.column("url_key").to_pylist()):
+                block = bisect.bisect_left(ends, key)
+                while block < len(rows) and rows[block]["first_key"] <= key:
+                    if block != at:
+                        at, lines = block, block_captures(f"{folder}/index", rows[block])
+                    line = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                    while line < len(lines) and lines[line][0] == key:
+                        for name, value in {"url_key": key, **lines[line][1]}.items():
+                            out[name].append(value)
+                        line += 1
+                    block += 1
+            return pa.Table.from_pydict(out, schema=_CAPTURE)
+
+        asked = keys.select("url_key").mapInArrow(dealt, "part int, url_key string")
+        return asked.groupBy("part").cogroup(self.directory.groupBy("part")).applyInArrow(search, _FOUND)
+
+    def records(self, keys: DataFrame, payloads: bool = False) -> DataFrame:
+        """The records of the keys: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key; with ``payloads`` also a response's payload."""
+        folder, names = self.folder, [n for n in _RECORD.names if payloads or n != "payload"]
+        schema = pa.schema([_RECORD.field(n) for n in names])
 
         def read(batches):
             system, root = opened(f"{folder}/records")
             name, f = None, None
             for batch in batches:
-                out = {"page_id": [], "payload_bytes": [], "payload_digest": [], "record_type": [], "refers_to": []}
-                for archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
+                rows = []
+                for key, archive, offset, length in zip(*(batch.column(c).to_pylist() for c in ("url_key", "archive", "offset", "length")), strict=True):
                     if archive != name:
                         name, f = archive, system.open_input_file(f"{root}/{archive}")
                     f.seek(offset)
-                    record = parse_record(zlib.decompress(f.read(length), 31))
-                    for column, values in out.items():
-                        values.append(record[column])
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+                    rows.append({"url_key": key} | {k: v for k, v in parse_record(zlib.decompress(f.read(length), 31)).items() if k in names})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+        n = parallelism(self.directory.sparkSession)
+        found = self.captures(keys).select("url_key", "archive", "offset", "length")
+        found = found.repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
+        kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+        return found.mapInArrow(read, ", ".join(f"{x.name} {kinds[x.type]}" for x in schema))
 
-        found = self.directory.repartition(n, "file", "offset").mapInArrow(captures, "url_key string, page_id long, archive string, offset long, length long")
-        dealt = found.select("archive", "offset", "length").repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
-        return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    def lookup(self, urls: list[str]) -> list[dict]:
+        """All records of some URLs, with their payloads."""
+        asked = self.directory.sparkSession.createDataFrame([(u,) for u in urls], "url string")
+        keys = asked.select(url_key(F.col("url")).alias("url_key")).distinct()
+        return [r.asDict() for r in self.records(keys, payloads=True).collect()]
 
 
 def archive(pages: DataFrame, folder: str, block_lines: int = 1000) -> CaptureArchive:
@@ -256,8 +269,10 @@ def archive(pages: DataFrame, folder: str, block_lines: int = 1000) -> CaptureAr
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Archives pages in the shared scratch folder and reads all records back through the index."""
-    return archive(pages, scratch(spark, "warc")).records()
+    """Archives pages in the shared scratch folder and looks up every page's key in the index: its records, read back."""
+    kept = archive(pages, scratch(spark, "warc"))
+    keys = pages.select(url_key(F.col("url")).alias("url_key")).distinct()
+    return kept.records(keys).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = r"""
