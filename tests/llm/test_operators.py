@@ -179,8 +179,10 @@ def test_jaccard_join_is_exact(spark, docs):
     assert got_links(jaccard_join.jaccard_join(docs)) == brute_links(TEXTS)
 
 
-def test_jaccard_join_in_a_crowd(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+@pytest.mark.parametrize(("block_bytes", "strip"), [(8 << 20, 7), (20_000, 256)])
+def test_jaccard_join_in_a_crowd(spark, monkeypatch, block_bytes, strip):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(jaccard_join, "STRIP", strip)
     rng = random.Random(3)
     base, rows = words_of(4, 120, 10**6), []
     for i in range(90):
@@ -192,6 +194,13 @@ def test_jaccard_join_in_a_crowd(spark, monkeypatch):
     assert got_links(jaccard_join.jaccard_join(df)) == brute_links(rows + rows[:3])
 
 
+def test_differences_give_intersections():
+    rng = np.random.default_rng(5)
+    base, one, two = (np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(3))
+    (a, gone_a), (b, gone_b) = jaccard_join.differences(one, base), jaccard_join.differences(two, base)
+    assert len(base) - gone_a - gone_b + len(np.intersect1d(a, b)) == len(np.intersect1d(one, two))
+
+
 def test_jaccard_join_of_nothing(nothing):
     assert jaccard_join.jaccard_join(nothing).count() == 0
 

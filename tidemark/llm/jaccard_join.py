@@ -8,7 +8,9 @@ the tolerance.  What is left is verified exactly on the shingle sets.
 
 Pairs inside a large crowd (classes whose smallest candidate's candidate is the
 same) are compared block against block inside tasks and only counted there, so a
-group of thousands of near copies yields rows in proportion to its members.
+group of thousands of near copies yields rows in proportion to its members.  A
+block is of bounded bytes, and its sets travel as differences from one member's
+set, which near copies have few of.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from tidemark.llm.graph import components
 from tidemark.llm.kernel import U64, mixed, pieces, span_hashes, window_hashes, word_spans
 
 N_HASHES, BAND = 128, 4
-BLOCK = 256  # members of a crowd per block
+BLOCK_BYTES = 8 << 20  # MinHash values and shingles of a crowd's members per block
+STRIP = 256  # members of a block whose pairs are compared at a time
 SMALL_CROWD = 16  # up to this size, pairs of a crowd are rows
 STEP = 16  # MinHash values compared at a time
 
@@ -221,16 +224,44 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 _COUNTED = "a long, b long, edge boolean, links long, rows_linked long"
+_BLOCKED = "crowd long, blocks long, own long, node long, copies long, minhash binary, difference binary, size long, gone long, base long"
+
+
+def differences(shingles: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, int]:
+    """What a set has beyond ``base``, and (mixed, so that the two are told apart) what it lacks of it; and how many it lacks."""
+    gone = np.setdiff1d(base, shingles, assume_unique=True)
+    return np.sort(np.concatenate((np.setdiff1d(shingles, base, assume_unique=True), mixed(gone ^ U64(0x5851F42D4C957F2D))))), len(gone)
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Members (crowd, node, copies, minhash, shingles) dealt to blocks, their sets as differences from that of the crowd's smallest node."""
+    held = F.sum(F.length("minhash") + F.length("shingles"))
+    sized = members.groupBy("crowd").agg(F.greatest(F.lit(1), F.ceil(held / BLOCK_BYTES)).cast("long").alias("blocks"), F.min("node").alias("first"))
+    joined = members.join(sized, "crowd")
+    dealt = joined.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("first")
+    bases = joined.where("node = first").select(
+        F.col("crowd").alias("base_crowd"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("base_own"), F.col("shingles").alias("base")
+    )
+
+    def run(pdf: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({name.split()[0]: [] for name in _BLOCKED.split(", ")})
+        base = np.frombuffer(base["base"].iat[0], dtype=U64)
+        sets = _arrays(pdf["shingles"])
+        told = [differences(x, base) for x in sets]
+        out = pdf[["crowd", "blocks", "own", "node", "copies", "minhash"]]
+        return out.assign(difference=[d.tobytes() for d, _ in told], size=[len(x) for x in sets], gone=[n for _, n in told], base=len(base))
+
+    return dealt.groupBy("crowd", "own").cogroup(bases.groupBy("base_crowd", "base_own")).applyInPandas(run, _BLOCKED)
 
 
 def _within_crowds(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Links inside crowds: rows (a, b, edge) that span them, and (a, links, rows_linked) counts.
 
-    ``members`` has crowd, crowd_size, node, copies, minhash, shingles.
+    ``members`` has crowd, node, copies, minhash, shingles.
     """
-    blocks = F.ceil(F.col("crowd_size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = stored(_blocked(members), "near-blocks")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = (F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -239,35 +270,38 @@ def _within_crowds(members: DataFrame, threshold: float, tolerance: float) -> Da
         pdf = pdf.sort_values("node", ignore_index=True)
         a = pdf[pdf["own"] == low].reset_index(drop=True)
         b = a if low == high else pdf[pdf["own"] == high].reset_index(drop=True)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "edge": [], "links": [], "rows_linked": []}).astype({"edge": "bool"})
         ma, mb = (np.stack([np.frombuffer(v, dtype=np.uint32) for v in x["minhash"]]) for x in (a, b))
-        if low == high:
-            i, j = np.triu_indices(len(a), 1)
-        else:
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
-        i, j = survivors(ma, mb, i, j, least)
-        sa, sb = _arrays(a["shingles"]), _arrays(b["shingles"])
-        ok = similar(sa, sb, i, j, threshold) if len(i) else np.zeros(0, bool)
-        i, j = i[ok], j[ok]
-        na, nb = a["node"].to_numpy(), b["node"].to_numpy()
-        ca, cb = a["copies"].to_numpy(), b["copies"].to_numpy()
-        kept = _forest(na[i], nb[j])
-        edges = pd.DataFrame({"a": na[i][kept], "b": nb[j][kept], "edge": True, "links": 0, "rows_linked": 0})
-        counts = pd.DataFrame(
-            {
-                "a": np.concatenate([na[i], nb[j]]),
-                "links": 1,
-                "rows_linked": np.concatenate([cb[j], ca[i]]),
-            }
-        )
-        counts = counts.groupby("a", as_index=False).sum()
-        counts = counts.assign(b=counts["a"], edge=False)
-        out = pd.concat([edges, counts], ignore_index=True)
+        da, db = _arrays(a["difference"]), _arrays(b["difference"])
+        (na, ca, sa, ga), (nb, cb, sb, gb) = ([x[c].to_numpy() for c in ("node", "copies", "size", "gone")] for x in (a, b))
+        base, edges = int(a["base"].iat[0]), []
+        links, rows = {0: np.zeros(len(a), np.int64), 1: np.zeros(len(b), np.int64)}, {0: np.zeros(len(a), np.int64), 1: np.zeros(len(b), np.int64)}
+        for at in range(0, len(a), STRIP):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + STRIP, len(a))), np.arange(len(b)), indexing="ij"))
+            if low == high:
+                i, j = i[i < j], j[i < j]
+            i, j = survivors(ma, mb, i, j, least)
+            if not len(i):
+                continue
+            common = base - ga[i] - gb[j] + intersections(da, db, i, j)
+            ok = common >= threshold * (sa[i] + sb[j] - common) - 1e-9
+            i, j = i[ok], j[ok]
+            for side, own, copies in ((0, i, cb[j]), (1, j, ca[i])):
+                np.add.at(links[side], own, 1)
+                np.add.at(rows[side], own, copies)
+            kept = _forest(na[i], nb[j])
+            edges.append(np.column_stack((na[i][kept], nb[j][kept])))
+        edges = np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
+        edges = edges[_forest(edges[:, 0], edges[:, 1])]
+        spans = pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1], "edge": True, "links": 0, "rows_linked": 0})
+        counts = pd.DataFrame({"a": np.concatenate([na, nb]), "links": np.concatenate([links[0], links[1]]), "rows_linked": np.concatenate([rows[0], rows[1]])})
+        counts = counts[counts["links"] > 0].groupby("a", as_index=False).sum()
+        out = pd.concat([spans, counts.assign(b=counts["a"], edge=False)], ignore_index=True)
         return out.astype({"a": "int64", "b": "int64", "edge": "bool", "links": "int64", "rows_linked": "int64"})
 
-    columns = ["crowd", *task, "own", "node", "copies", "minhash", "shingles"]
-    grouped = dealt.select(*columns).groupBy("crowd", "low", "high")
-    schema = _COUNTED
-    return grouped.applyInPandas(run, schema)
+    columns = ["crowd", *task, "own", "node", "copies", "minhash", "difference", "size", "gone", "base"]
+    return dealt.select(*columns).groupBy("crowd", "low", "high").applyInPandas(run, _COUNTED)
 
 
 def _candidates(crowds: DataFrame, buckets: DataFrame) -> DataFrame:
