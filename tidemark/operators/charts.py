@@ -167,3 +167,107 @@ def natal_factors(judged: DataFrame, key: str) -> DataFrame:
     ]
     listed = F.array(*[F.struct(F.lit(f"natal_{k + 1:03d}").alias("factor_id"), F.round(v.cast("double"), 6).alias("value"), d.cast("int").alias("direction")) for k, (v, d) in enumerate(rows)])
     return judged.select(key, F.inline(listed))
+
+
+# Tendencies of the twelve stages and of the twelve duties of a day, the fortunate ones of the twelve spirits of a day,
+# the branch where these begin in each month, and the elements of the pairs of the sixty-cycle.
+STAGE_TENDENCY = (1, 0, 1, 1, 1, -1, -1, -1, 0, -1, 0, 0)
+DUTY_TENDENCY = (0, 1, 0, -1, 1, 1, -1, 1, 1, 0, 1, -1)
+FORTUNATE_SPIRITS = (0, 1, 4, 5, 7, 10)
+SPIRITS_BEGIN = (8, 10, 0, 2, 4, 6, 8, 10, 0, 2, 4, 6)
+PAIR_ELEMENTS = "金火木土金火水土金木水土火木水金火木土金火水土金木水土火木水"
+ROLE_VALUES = (("use", 1.0), ("like", 0.6), ("avoid", -1.0), ("hostile", -0.8))
+
+
+def role(element: Column) -> Column:
+    """Value of an element to a chart: of use, liked, avoided, hostile (the first that holds), else idle."""
+    value = F.when(F.col("use") == element, 1.0)
+    for name, v in ROLE_VALUES[1:]:
+        value = value.when(F.array_contains(name, element), v)
+    return value.otherwise(0.0)
+
+
+def against_pillars(judged: DataFrame, key: str) -> DataFrame:
+    """key and ``outer``, an array of what each of the sixty pillars is to the chart, in their order.
+
+    Sixty rows a chart are computed once; dates then only pick from them.
+    """
+    spark = judged.sparkSession
+    pillars = spark.range(60).select(F.col("id").cast("int").alias("idx"), (F.col("id") % 10).cast("int").alias("s"), (F.col("id") % 12).cast("int").alias("b"))
+    rows = judged.crossJoin(F.broadcast(pillars))  # sixty rows
+    dm, s, b, count = F.col("dm"), F.col("s"), F.col("b"), lambda test: sum((test(F.col(f"{k}b"), F.col("b")).cast("int") for k in "ymdh"), F.lit(0))
+    by_branch = [F.array(*[F.lit(p.STEMS.index(x)) for x in stems]) for stems in HIDDEN_STEMS]
+    step = lambda stem: F.pmod(F.floor(stem / 2) - dm, F.lit(5))
+    brings = lambda k: (step(s) == k) | F.exists(_pick(by_branch, b), lambda x: step(x) == k)
+    self_or = lambda x, y: p.punish(x, y) | ((x == y) & x.isin(*p.SELF_PUNISHED))
+    held = F.array(*[F.col(f"{k}b").cast("int") for k in "ymdh"])
+    whole = [F.array_contains(F.array(*others), b) & F.forall(F.array_except(F.array(*others), F.array(b)), lambda x: F.array_contains(held, x)) for others in [[F.lit(p.BRANCHES.index(c)) for c in g] for g in TRIPLES]]
+    god = step(s) * 2 + F.when(s % 2 == F.col("ds") % 2, 0).otherwise(1)
+    favoured = F.array_union(F.array("use"), F.col("like"))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: (F.col("idx") + k) % 60)
+    days = lambda test: F.size(F.filter(ahead, test))
+    liked = lambda x: F.array_contains(favoured, F.floor(x % 10 / 2).cast("int")) | F.array_contains(favoured, _pick(BRANCH_ELEMENT, x % 12))
+    pair = _pick(["木火土金水".index(e) for e in PAIR_ELEMENTS], F.floor(F.col("idx") / 2))
+    told = F.struct(
+        "idx", role(F.floor(s / 2).cast("int")).alias("stem_role"), role(_pick(BRANCH_ELEMENT, b)).alias("branch_role"), role(pair).alias("pair_role"),
+        brings(2).alias("wealth"), brings(1).alias("output"), brings(3).alias("officer"), count(p.clash).alias("clash"), count(p.harmony).alias("harmony"), count(self_or).alias("punish"),
+        count(p.harm).alias("harm"), (whole[0] | whole[1] | whole[2] | whole[3]).alias("triple"), _pick(STAGE_TENDENCY, p.twelve_stage(F.col("ds"), b)).cast("double").alias("stage"), (god / 9.0).alias("god"),
+        days(lambda x: p.harmony(F.col("db"), x % 12)).alias("harmony_days"), days(lambda x: p.clash(F.col("db"), x % 12)).alias("clash_days"), days(liked).alias("liked_days"),
+        p.clash(F.col("db"), b).alias("own_clash"), p.harmony(F.col("db"), b).alias("own_harmony"), self_or(F.col("db"), b).alias("own_punish"), (F.col("g4") + F.col("g5") > 0).alias("has_wealth"),
+    )
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(told)).alias("outer"))
+
+
+def fortunate(branch: Column, month_branch: Column) -> Column:
+    """Whether a day's spirit, the branch's place after the month's first one, is a fortunate one."""
+    return F.pmod(branch - _pick(SPIRITS_BEGIN, month_branch), F.lit(12)).isin(*FORTUNATE_SPIRITS)
+
+
+def calendar(days: DataFrame) -> DataFrame:
+    """d with its pillars' indices yi, mi, di, its duty's tendency, whether its spirit is fortunate, and how many of the 30 days after it are."""
+    at = lambda day: four_pillars(day)
+    now = at(F.col("d"))
+    index = lambda s, b: F.pmod(6 * s - 5 * b, F.lit(60)).cast("int")  # noqa: E731  the pillar of a stem and a branch
+    later = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.date_add(F.col("d"), k))
+    luck = lambda day: fortunate(at(day)["db"], at(day)["mb"])
+    return days.select(
+        "d", index(now["ys"], now["yb"]).alias("yi"), index(now["ms"], now["mb"]).alias("mi"), index(now["ds"], now["db"]).alias("di"),
+        _pick(DUTY_TENDENCY, F.pmod(now["db"] - now["mb"], F.lit(12))).alias("duty"), luck(F.col("d")).alias("fortunate"), F.size(F.filter(later, luck)).alias("fortunate_days"),
+    )
+
+
+def _half(n: Column) -> Column:
+    return F.least(n / 2.0, F.lit(1.0))
+
+
+def _flag(c: Column) -> Column:
+    return F.when(c, 1.0).otherwise(0.0)
+
+
+def temporal_factors(x: Column, scope: str) -> tuple[list[Column], Column]:
+    """The values of a scope's factors (year 10, month 12, day 8) and the sum of their directions, from the chart's struct of the outer pillar."""
+    relations = {k: _half(x[k]) for k in ("clash", "harmony", "punish", "harm")}
+    triple, near = _flag(x["triple"]), lambda v: F.signum(v).cast("int")
+    some = lambda k: (x[k] > 0).cast("int")
+    way = near(x["stem_role"]) + near(x["branch_role"]) + some("harmony") - some("clash") - some("punish") - some("harm") + near(x["stage"])
+    if scope == "year":
+        values = [x["stem_role"], x["branch_role"], _flag(x["wealth"]), _flag(x["output"]), relations["clash"], relations["harmony"], relations["punish"], relations["harm"], x["stage"], triple]
+    elif scope == "month":
+        stirred = x["wealth"] | (x["stem_role"] > 0) | (x["branch_role"] > 0)
+        values = [x["stem_role"], x["branch_role"], _flag(stirred), _flag(x["output"] & x["has_wealth"]), _flag(x["officer"]), triple, relations["harmony"], relations["clash"], relations["punish"], relations["harm"], x["god"], x["stage"]]
+    else:
+        values = [x["stem_role"], relations["clash"], relations["harmony"], x["branch_role"], x["god"], x["stage"], relations["punish"], relations["harm"]]
+    return values, way
+
+
+def calendar_factors(x: Column) -> dict[str, Column]:
+    """Values of the day's eleven and the following thirty days' five calendar factors; the mansions' one needs an almanac."""
+    net = x["harmony"] - x["clash"]
+    bounded = lambda r: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (r - 0.5) * 2))
+    spirit = F.when(F.col("fortunate"), 1.0).otherwise(-1.0)
+    return {
+        "day_001": x["stem_role"], "day_002": x["branch_role"], "day_003": -_flag(x["own_clash"]) + 0.0, "day_004": _flag(x["own_harmony"]), "day_005": F.round(F.tanh(net / 3.0), 6), "day_006": F.col("duty").cast("double"),
+        "day_007": spirit, "day_008": spirit, "day_009": F.least((x["harmony"] + x["clash"] + x["punish"] + x["harm"]) / 4.0, F.lit(1.0)), "day_010": x["pair_role"], "day_012": -_flag(x["own_punish"]) + 0.0,
+        "month_001": bounded(F.col("fortunate_days") / 30.0), "month_002": bounded(F.col("fortunate_days") / 30.0), "month_003": F.least(x["harmony_days"] / 4.0, F.lit(1.0)),
+        "month_004": F.least(x["clash_days"] / 4.0, F.lit(1.0)), "month_005": bounded(x["liked_days"] / 30.0),
+    }

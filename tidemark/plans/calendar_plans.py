@@ -45,23 +45,6 @@ def f10(spark, sf):
     return _scan(spark, sf).select("sec", "d", role.alias("role"))
 
 
-@query("f14_temporal_factors", f"{_SCAN} SELECT sec, d, CASE WHEN {_HARM6} THEN 0.5 ELSE 0 END::DOUBLE AS harmony_value, CASE WHEN {_CLASH} THEN 0.5 ELSE 0 END::DOUBLE AS clash_value, CASE WHEN {_CLASH} THEN -1 ELSE 0 END AS clash_direction FROM scan")
-def f14(spark, sf):
-    """Count / 2, with the direction apart: adverse relations have a positive value and a negative direction."""
-    a, b = F.col("nbranch"), F.col("branch")
-    half = lambda c: F.when(c, 0.5).otherwise(0.0)
-    return _scan(spark, sf).select("sec", "d", half(p.harmony(a, b)).alias("harmony_value"), half(p.clash(a, b)).alias("clash_value"), F.when(p.clash(a, b), -1).otherwise(0).alias("clash_direction"))
-
-
-@query("f15_calendar_factors", f"{with_sql('days')}, {_DAYP}, f AS (SELECT d, CASE WHEN branch IN (0, 2, 3, 6, 7, 9) THEN 1 ELSE 0 END AS good FROM dp), w AS (SELECT d, avg(good) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS r FROM f) SELECT d, round(greatest(-1, least(1, (r - 0.5) * 2)), 8) + 0.0 AS good_ratio_value FROM w")
-def f15(spark, sf):
-    good = F.col("branch").isin(0, 2, 3, 6, 7, 9).cast("int")
-    ahead = Window.partitionBy("k").orderBy("d").rowsBetween(1, 30)
-    r = F.avg("good").over(ahead)
-    days = _days(spark, sf).select("d", F.lit(1).alias("k"), good.alias("good"))
-    return days.select("d", r8(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (r - 0.5) * 2))).alias("good_ratio_value"))
-
-
 @query("f16_palace_factors", "WITH e AS (SELECT conv_id AS chart, turn % 12 AS palace, length(text) % 5 AS stars, length(text) % 3 AS adverse FROM conversations) SELECT chart, round(tanh(sum(stars) / 1.5), 8) AS brightness, round(-(sum(adverse) / 2.0), 8) + 0.0 AS adverse_value, CAST(count(*) AS BIGINT) AS palaces FROM e GROUP BY chart")
 def f16(spark, sf):
     """Palace charts as arrays of structs, folded without leaving the row."""

@@ -8,7 +8,7 @@ from tidemark.functions import pillars as p
 from tidemark.operators import charts
 from tidemark.plans.factor_plans import _ANCHOR, _PAIRS, _paired
 from tidemark.plans.registry import query
-from tidemark.sources.market import universe, with_sql
+from tidemark.sources.market import trading_days, universe, with_sql
 
 _ELEMENTS = "木火土金水"
 _AT = lambda text, k: f"substr('{text}', CAST({k} AS INT) + 1, 1)"
@@ -104,3 +104,63 @@ n2 AS (SELECT *, CASE WHEN needed IS NULL THEN 2 WHEN (needed = use OR list_cont
 def f13(spark, sf):
     """The eighteen natal factors, normalised, with their directions."""
     return charts.natal_factors(_judged(spark, sf), "sec").withColumn("value", F.col("value") + F.lit(0.0))
+
+
+_ROLE = lambda e: f"CASE WHEN {e} = use THEN 1.0 WHEN list_contains(likes, {e}) THEN 0.6 WHEN list_contains(avoid, {e}) THEN -1.0 WHEN list_contains(hostile, {e}) THEN -0.8 ELSE 0.0 END"
+_RELATED_TO = lambda own, name: _paired(name).replace(f"{_PAIRS[name][0]} || n{_PAIRS[name][0]}", f"{own}b || b")
+_COUNT = lambda *names: " + ".join(_ONE(_RELATED_TO(k, n)) for k in "ymdh" for n in names)
+_GROUP = lambda stem: f"(strpos('{_ELEMENTS}', {_STEM_ELEMENT(stem)}) - strpos('{_ELEMENTS}', dm) + 5) % 5"
+_BRINGS = lambda k: f"({_GROUP('s')} = {k} OR len(list_filter(inside, lambda x: {_GROUP('x')} = {k})) > 0)"
+_STAGES = "CASE WHEN (strpos('" + p.STEMS + "', ds) - 1) % 2 = 0 THEN (strpos('" + p.BRANCHES + "', b) - 1 - start + 12) % 12 ELSE (start - strpos('" + p.BRANCHES + "', b) + 1 + 12) % 12 END"
+_TRIPLED = " OR ".join(f"(b = '{g[k]}' AND list_has_all([yb, mb, db, hb], ['{g[(k + 1) % 3]}', '{g[(k + 2) % 3]}']))" for g in charts.TRIPLES for k in range(3))
+_LUCKY = lambda branch, month: f"list_contains([0, 1, 4, 5, 7, 10], (strpos('{p.BRANCHES}', {branch}) - 1 - list_extract([8, 10, 0, 2, 4, 6, 8, 10, 0, 2, 4, 6], strpos('{p.BRANCHES}', {month})) + 12) % 12)"
+_OUTER = f"""{_CHARTS}, {with_sql('days')[5:]}, ring AS (SELECT k, {_AT(p.STEMS, 'k % 10')} AS s, {_AT(p.BRANCHES, 'k % 12')} AS b FROM range(0, 60) t(k)),
+within AS (SELECT branch, list(hidden) AS inside FROM hidden GROUP BY branch), starts AS (SELECT unnest(string_split('{','.join(p.STEMS)}', ',')) AS stem, unnest([{', '.join(map(str, p.LONG_LIFE_BRANCH))}]) AS start),
+z AS (SELECT f.*, ring.*, inside, start FROM f CROSS JOIN ring JOIN within ON branch = ring.b JOIN starts ON stem = f.ds),
+o AS (SELECT sec, k, {_ROLE(_STEM_ELEMENT('s'))} AS stem_role, {_ROLE(_BRANCH_ELEMENT('b'))} AS branch_role, {_ROLE(f"substr('{charts.PAIR_ELEMENTS}', CAST(k // 2 + 1 AS INT), 1)")} AS pair_role, {_BRINGS(2)} AS wealth, {_BRINGS(1)} AS output, {_BRINGS(3)} AS officer,
+ {_COUNT('clash')} AS clash, {_COUNT('harmony')} AS harmony, {_COUNT('punish', 'self_punish')} AS punish, {_COUNT('harm')} AS harm, {_TRIPLED} AS triple, list_extract([1, 0, 1, 1, 1, -1, -1, -1, 0, -1, 0, 0], CAST({_STAGES} AS INT) + 1)::DOUBLE AS stage,
+ ({_GROUP('s')} * 2 + CASE WHEN strpos('{p.STEMS}', s) % 2 = strpos('{p.STEMS}', ds) % 2 THEN 0 ELSE 1 END) / 9.0 AS god, n2 > 0 AS has_wealth, {_RELATED_TO('d', 'clash')} AS own_clash, {_RELATED_TO('d', 'harmony')} AS own_harmony, ({_RELATED_TO('d', 'punish')} OR {_RELATED_TO('d', 'self_punish')}) AS own_punish,
+ use, likes, db FROM z),
+q AS (SELECT a.sec, a.k, count(*) FILTER (WHERE n.own_harmony) AS harmony_days, count(*) FILTER (WHERE n.own_clash) AS clash_days, count(*) FILTER (WHERE n.stem_role IN (1.0, 0.6) OR n.branch_role IN (1.0, 0.6)) AS liked_days FROM o a JOIN o n ON n.sec = a.sec AND (n.k - a.k + 60) % 60 BETWEEN 1 AND 30 GROUP BY 1, 2),
+nat AS (SELECT CAST(g AS DATE) AS d, month(g) * 100 + day(g) AS md, CAST(((CAST(g AS DATE) - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 AS di FROM (SELECT unnest(generate_series((SELECT min(d) FROM days)::TIMESTAMP, (SELECT max(d) + 31 FROM days)::TIMESTAMP, INTERVAL 1 DAY)) AS g)),
+cal AS (SELECT d, di, (year(d) - CASE WHEN md < 204 THEN 1 ELSE 0 END - 4) % 60 AS yi, CASE WHEN md < 106 THEN 10 WHEN md < 204 THEN 11 ELSE len(list_filter([204, 306, 405, 506, 606, 707, 808, 908, 1008, 1107, 1207], lambda x: x <= md)) - 1 END AS mk FROM nat),
+cal2 AS (SELECT d, di, yi, (SELECT k FROM ring WHERE s = {_AT(p.STEMS, '((yi % 5) * 2 + 2 + mk) % 10')} AND b = {_AT(p.BRANCHES, '(mk + 2) % 12')}) AS mi, {_AT(p.BRANCHES, 'di % 12')} AS day_b, {_AT(p.BRANCHES, '(mk + 2) % 12')} AS month_b FROM cal),
+cal3 AS (SELECT *, {_LUCKY('day_b', 'month_b')} AS lucky, list_extract([0, 1, 0, -1, 1, 1, -1, 1, 1, 0, 1, -1], (strpos('{p.BRANCHES}', day_b) - strpos('{p.BRANCHES}', month_b) + 12) % 12 + 1) AS duty FROM cal2),
+cal4 AS (SELECT *, count(*) FILTER (WHERE lucky) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS lucky_days FROM cal3), today AS (SELECT c.* FROM cal4 c JOIN days USING (d))"""
+_HALF = lambda c: f"least({c} / 2, 1)"
+_WAY = lambda t: f"sign({t}.stem_role) + sign({t}.branch_role) + sign({t}.stage) + {_ONE(f'{t}.harmony > 0')} - {_ONE(f'{t}.clash > 0')} - {_ONE(f'{t}.punish > 0')} - {_ONE(f'{t}.harm > 0')}"
+_YEAR = ["y.stem_role", "y.branch_role", _ONE("y.wealth"), _ONE("y.output"), _HALF("y.clash"), _HALF("y.harmony"), _HALF("y.punish"), _HALF("y.harm"), "y.stage", _ONE("y.triple")]
+_MONTH = ["m.stem_role", "m.branch_role", _ONE("m.wealth OR m.stem_role > 0 OR m.branch_role > 0"), _ONE("m.output AND m.has_wealth"), _ONE("m.officer"), _ONE("m.triple"), _HALF("m.harmony"), _HALF("m.clash"), _HALF("m.punish"), _HALF("m.harm"), "m.god", "m.stage"]
+_DAY = ["n.stem_role", _HALF("n.clash"), _HALF("n.harmony"), "n.branch_role", "n.god", "n.stage", _HALF("n.punish"), _HALF("n.harm")]
+_WIDE = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {scope}_{k + 1:03d}" for scope, values in (("year", _YEAR), ("month", _MONTH), ("day", _DAY)) for k, v in enumerate(values))
+
+
+def _placed(spark, sf):
+    """Every security on every trading day, with what the day's pillars are to its chart; days are a small dimension."""
+    outer = charts.against_pillars(_judged(spark, sf), "sec")
+    return outer.crossJoin(F.broadcast(charts.calendar(trading_days(spark, sf))))
+
+
+@query("f14_temporal_factors", f"{_OUTER} SELECT y.sec, t.d, {_WIDE}, CAST({_WAY('y')} AS INT) AS year_direction, CAST({_WAY('m')} AS INT) AS month_direction, CAST({_WAY('n')} AS INT) AS day_direction FROM today t JOIN o y ON y.k = t.yi JOIN o m ON m.k = t.mi AND m.sec = y.sec JOIN o n ON n.k = t.di AND n.sec = y.sec")
+def f14(spark, sf):
+    """The values of the ten year, twelve month and eight day factors, and the sum of directions of each."""
+    out = []
+    for scope, index in (("year", "yi"), ("month", "mi"), ("day", "di")):
+        values, way = charts.temporal_factors(F.element_at("outer", F.col(index) + 1), scope)
+        out += [F.round(v.cast("double"), 6).alias(f"{scope}_{k + 1:03d}") for k, v in enumerate(values)] + [way.cast("int").alias(f"{scope}_direction")]
+    return _placed(spark, sf).select("sec", "d", *out)
+
+
+_BOUNDED = lambda r: f"greatest(-1, least(1, ({r} - 0.5) * 2))"
+_DAYS_OF = {
+    "day_001": "n.stem_role", "day_002": "n.branch_role", "day_003": f"-({_ONE('n.own_clash')})", "day_004": _ONE("n.own_harmony"), "day_005": "round(tanh((n.harmony - n.clash) / 3), 6)", "day_006": "duty", "day_007": "CASE WHEN lucky THEN 1 ELSE -1 END",
+    "day_008": "CASE WHEN lucky THEN 1 ELSE -1 END", "day_009": "least((n.harmony + n.clash + n.punish + n.harm) / 4, 1)", "day_010": "n.pair_role", "day_012": f"-({_ONE('n.own_punish')})", "month_001": _BOUNDED("lucky_days / 30"), "month_002": _BOUNDED("lucky_days / 30"),
+    "month_003": "least(harmony_days / 4, 1)", "month_004": "least(clash_days / 4, 1)", "month_005": _BOUNDED("liked_days / 30"),
+}
+
+
+@query("f15_calendar_factors", f"{_OUTER} SELECT n.sec, t.d, {', '.join(f'round(CAST({v} AS DOUBLE), 6) + 0.0 AS {k}' for k, v in _DAYS_OF.items())} FROM today t JOIN o n ON n.k = t.di JOIN q ON q.sec = n.sec AND q.k = n.k")
+def f15(spark, sf):
+    """Sixteen of the seventeen calendar factors on every day."""
+    factors = charts.calendar_factors(F.element_at("outer", F.col("di") + 1))
+    return _placed(spark, sf).select("sec", "d", *[(F.round(v.cast("double"), 6) + F.lit(0.0)).alias(k) for k, v in factors.items()])
