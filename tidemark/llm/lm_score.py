@@ -36,7 +36,7 @@ from tidemark.llm.common import crc_mod, stored
 from tidemark.llm.kernel import NULL_ID, U64, joined, lowered, pack, rows_of, span_hashes, unpack, word_spans
 
 END, BEGIN = U64(0x9AE16A3B2F90404F), U64(0xC3A5C85C97CB3127)
-WIDTHS = (8, 6, 5)  # bytes of the hash of a word, pair and triple beyond its part; a word's is whole
+WIDTHS = (8, 5, 5)  # bytes of the hash of a word, pair and triple beyond its part; a word's is whole
 RUN = 64  # tokens that are walked in a row
 CHUNK_BYTES = 3 << 20  # larger chunks repeat more of their words, and send each but once
 ROOT, BEGINNING, FIRST = 0, 1, 2  # states; from FIRST on, those of the chunk's words and then of its pairs
@@ -203,8 +203,8 @@ def lm_score(
     token.  ``base_score`` is the text's log10 probability under the add-half
     unigram model, ``score`` under the automaton.  Without training rows every
     word is unknown and has probability 1.  Words are told apart by 64 bits of
-    hash, pairs by 51 or more, triples by 43 or more, and a triple counts only if both of
-    its pairs are known.  Repeated rows count, and are scored, as often as they
+    hash, pairs and triples by 43 or more (the more, the larger the corpus), and
+    a triple counts only if both of its pairs are known.  Repeated rows count, and are scored, as often as they
     occur; null ids pass; other columns are ignored.
     """
     mark = trains if trains is not None else F.lit(True)
