@@ -271,3 +271,42 @@ def calendar_factors(x: Column) -> dict[str, Column]:
         "month_001": bounded(F.col("fortunate_days") / 30.0), "month_002": bounded(F.col("fortunate_days") / 30.0), "month_003": F.least(x["harmony_days"] / 4.0, F.lit(1.0)),
         "month_004": F.least(x["clash_days"] / 4.0, F.lit(1.0)), "month_005": bounded(x["liked_days"] / 30.0),
     }
+
+
+# The relations of an outer pillar to the natal year, month and day pillars, and which of them support, disturb or come of two others.
+MATRIX_RELATIONS = (
+    "stem_harmony", "stem_clash", "stem_generates", "stem_generated", "stem_overcomes", "stem_overcome", "stem_same_element", "harmony", "clash", "full_triple", "half_triple", "triple_meeting",
+    "punish", "triple_punish", "self_punish", "harm", "break", "same_branch", "repeat", "reverse", "double_harmony", "double_clash",
+)
+MATRIX_SUPPORTIVE = ("stem_harmony", "harmony", "full_triple", "half_triple", "triple_meeting", "double_harmony", "stem_generates", "stem_same_element")
+MATRIX_DISTURBING = ("clash", "punish", "triple_punish", "self_punish", "harm", "break", "stem_overcomes", "double_clash", "reverse")
+MATRIX_COMPOUND = ("repeat", "reverse", "double_harmony", "double_clash")
+PUNISHMENT_TRIPLES = ("寅巳申", "丑戌未")
+
+
+def matrix_row(charts: DataFrame, key: str) -> DataFrame:
+    """key and ``row``: for each of the sixty pillars as an outer one, a struct of the events of every relation to the natal year, month and day pillars.
+
+    Relations of two pillars count once for each natal pillar.  A triple that
+    the outer branch completes with two natal ones is two events, a meeting or
+    a punishment of three likewise; with one natal branch it is half a triple.
+    """
+    spark = charts.sparkSession
+    pillars = spark.range(60).select(F.col("id").cast("int").alias("idx"), (F.col("id") % 10).cast("int").alias("s"), (F.col("id") % 12).cast("int").alias("b"))
+    rows = charts.crossJoin(F.broadcast(pillars))  # sixty rows
+    pairs = F.flatten(F.array(*[p.relations(F.col("s"), F.col("b"), F.col(f"{t}s"), F.col(f"{t}b")) for t in "ymd"]))
+    rows = rows.withColumn("pairs", pairs)
+
+    def others(group):
+        own = [p.BRANCHES.index(c) for c in group]
+        n = sum(((F.col(f"{t}b").isin(*own)) & (F.col(f"{t}b") != F.col("b"))).cast("int") for t in "ymd")
+        return F.when(F.col("b").isin(*own), n).otherwise(0)
+
+    two = lambda groups: sum((F.when(others(g) >= 2, 2).otherwise(0) for g in groups), F.lit(0))
+    threes = {"full_triple": two(TRIPLES), "half_triple": sum((F.when(others(g) == 1, 1).otherwise(0) for g in TRIPLES), F.lit(0)), "triple_meeting": two(MEETINGS), "triple_punish": two(PUNISHMENT_TRIPLES)}
+    times = lambda name: F.size(F.filter("pairs", lambda x: x == name))
+    counts = {r: threes[r] if r in threes else times(r) for r in MATRIX_RELATIONS}
+    counted = rows.select(key, "idx", *[c.cast("int").alias(r) for r, c in counts.items()])
+    total = lambda names: sum((F.col(n) for n in names), F.lit(0))
+    told = F.struct("idx", *MATRIX_RELATIONS, total(MATRIX_SUPPORTIVE).alias("supportive"), total(MATRIX_DISTURBING).alias("disturbing"), total(MATRIX_COMPOUND).alias("compound"))
+    return counted.groupBy(key).agg(F.array_sort(F.collect_list(told)).alias("row"))

@@ -137,14 +137,6 @@ def c15(spark, sf):
     return ahead.select("d", F.when(b.isin(0, 2, 3, 6, 7, 9), "good").when(b.isin(1, 4, 5, 8, 10), "bad").alias("class"))
 
 
-@query("c16_entity_snapshot", f"{_RELATED} SELECT {_GOD} AS god, count(*) AS n, count(*) FILTER (WHERE {_HARM6}) AS harmonies, count(*) FILTER (WHERE {_CLASH}) AS clashes, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('supportive', 'disturbing', 'compound'))} FROM related WHERE sec = 7 GROUP BY 1")
-def c16(spark, sf):
-    a, b = F.col("nbranch"), F.col("branch")
-    g = _related(spark, sf).where("sec = 7").groupBy(p.ten_god(F.col("nstem"), F.col("stem")).alias("god"))
-    counts = [F.sum(c).alias(c) for c in ("supportive", "disturbing", "compound")]
-    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(p.harmony(a, b)).alias("harmonies"), F.count_if(p.clash(a, b)).alias("clashes"), *counts)
-
-
 @query("c17_ten_god_calendar", f"{with_sql('days')}, {_DAYP} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, list_extract({_NAMES}, {_TEN('4', 'stem')} + 1) AS god, count(*) AS n FROM dp GROUP BY 1, 2")
 def c17(spark, sf):
     return _days(spark, sf).groupBy((F.year("d") * 100 + F.month("d")).alias("ym"), p.ten_god(F.lit(4), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import pillars as p
@@ -164,3 +165,93 @@ def f15(spark, sf):
     """Sixteen of the seventeen calendar factors on every day."""
     factors = charts.calendar_factors(F.element_at("outer", F.col("di") + 1))
     return _placed(spark, sf).select("sec", "d", *[(F.round(v.cast("double"), 6) + F.lit(0.0)).alias(k) for k, v in factors.items()])
+
+
+_DIFF = lambda t: f"(strpos('{_ELEMENTS}', {_STEM_ELEMENT(f'{t}s')}) - strpos('{_ELEMENTS}', {_STEM_ELEMENT('s')}) + 5) % 5"
+
+
+def _to(t, name):
+    """The SQL test of a relation of the outer pillar (s, b) to the natal one of a place."""
+    if name in _PAIRS:
+        kind = _PAIRS[name][0]
+        return _paired(name).replace(f"{kind} || n{kind}", f"{kind} || {t}{kind}")
+    steps = {"stem_same_element": 0, "stem_generates": 1, "stem_overcomes": 2, "stem_overcome": 3, "stem_generated": 4}
+    if name in steps:
+        return f"{_DIFF(t)} = {steps[name]}"
+    return {
+        "same_branch": f"b = {t}b", "repeat": f"s = {t}s AND b = {t}b", "reverse": f"({_DIFF(t)} = 2 OR {_to(t, 'stem_clash')}) AND {_to(t, 'clash')}",
+        "double_harmony": f"{_to(t, 'stem_harmony')} AND {_to(t, 'harmony')}", "double_clash": f"{_DIFF(t)} = 2 AND {_to(t, 'clash')}",
+    }[name]
+
+
+_OTHERS = lambda g: "(" + " + ".join(_ONE(f"{t}b IN ('{g[0]}', '{g[1]}', '{g[2]}') AND {t}b <> b") for t in "ymd") + ")"
+_WITH = lambda groups, test, n: " + ".join(f"CASE WHEN b IN ('{g[0]}', '{g[1]}', '{g[2]}') AND {_OTHERS(g)} {test} THEN {n} ELSE 0 END" for g in groups)
+_THREES = {"full_triple": _WITH(charts.TRIPLES, ">= 2", 2), "half_triple": _WITH(charts.TRIPLES, "= 1", 1), "triple_meeting": _WITH(charts.MEETINGS, ">= 2", 2), "triple_punish": _WITH(charts.PUNISHMENT_TRIPLES, ">= 2", 2)}
+_EVENTS = ", ".join(f"{_THREES[r] if r in _THREES else ' + '.join(_ONE(_to(t, r)) for t in 'ymd')} AS \"{r}\"" for r in charts.MATRIX_RELATIONS)
+_SUMS = lambda names: " + ".join(f'"{n}"' for n in names)
+_MATRIX = f"""{_OUTER}, mx AS (SELECT sec, k, {_EVENTS} FROM z), mr AS (SELECT *, {_SUMS(charts.MATRIX_SUPPORTIVE)} AS supportive, {_SUMS(charts.MATRIX_DISTURBING)} AS disturbing, {_SUMS(charts.MATRIX_COMPOUND)} AS compound FROM mx)"""
+_NINE = f"""{_MATRIX}, nine AS (SELECT y.sec, t.d, {', '.join(f'(y."{r}" + m."{r}" + n."{r}")::BIGINT AS "{r}"' for r in (*charts.MATRIX_RELATIONS, 'supportive', 'disturbing', 'compound'))} FROM today t JOIN mr y ON y.k = t.yi JOIN mr m ON m.k = t.mi AND m.sec = y.sec JOIN mr n ON n.k = t.di AND n.sec = y.sec)"""
+
+
+def _matrix(spark, sf):
+    """Every security on every trading day, with ``row`` of its chart; days are a small dimension."""
+    born = universe(spark, sf).select("sec", *[c.alias(k) for k, c in charts.four_pillars(F.col("list_date")).items()])
+    return charts.matrix_row(born, "sec").crossJoin(F.broadcast(charts.calendar(trading_days(spark, sf))))
+
+
+def _nine(spark, sf):
+    """Events of the year's, month's and day's pillars together, by relation."""
+    at = [F.element_at("row", F.col(k) + 1) for k in ("yi", "mi", "di")]
+    names = (*charts.MATRIX_RELATIONS, "supportive", "disturbing", "compound")
+    return _matrix(spark, sf).select("sec", "d", *[(at[0][n] + at[1][n] + at[2][n]).cast("long").alias(n) for n in names])
+
+
+@query("c26_relation_factors", f"{_MATRIX} SELECT n.sec, t.d, {', '.join(f'CAST(\"{r}\" AS INT) AS \"{r}\"' for r in charts.MATRIX_RELATIONS)} FROM today t JOIN mr n ON n.k = t.di")
+def c26(spark, sf):
+    """How often each of the 22 relations holds between the day's pillar and the natal year, month and day pillars."""
+    day = F.element_at("row", F.col("di") + 1)
+    return _matrix(spark, sf).select("sec", "d", *[day[r].alias(r) for r in charts.MATRIX_RELATIONS])
+
+
+_KINDS = {"synergy": (True, False), "disturbed": (False, True), "mixed": (True, True), "weak": (False, False)}
+
+
+@query("f09_relation_counts", f"{_NINE} SELECT d, {', '.join(f'sum(\"{r}\")::BIGINT AS \"{r}\"' for r in (*charts.MATRIX_RELATIONS, 'supportive', 'disturbing', 'compound'))}, {', '.join(f'count(*) FILTER (WHERE (supportive > 0) = {a} AND (disturbing > 0) = {b}) AS {k}' for k, (a, b) in _KINDS.items())} FROM nine GROUP BY d")
+def f09(spark, sf):
+    """Events of the 3 x 3 matrix of all securities by relation, S, V and U, and securities by group, of each day."""
+    s, v = F.col("supportive") > 0, F.col("disturbing") > 0
+    kinds = [F.count_if((s == a) & (v == b)).alias(k) for k, (a, b) in _KINDS.items()]
+    return _nine(spark, sf).groupBy("d").agg(*[F.sum(r).alias(r) for r in (*charts.MATRIX_RELATIONS, "supportive", "disturbing", "compound")], *kinds)
+
+
+@query("j25_date_scan", f"{_NINE}, scored AS (SELECT sec, d, supportive, disturbing, compound, supportive - disturbing AS score FROM nine) SELECT *, round((rank() OVER (PARTITION BY d ORDER BY score) - 1 + 0.5 * count(*) OVER (PARTITION BY d, score)) / count(*) OVER (PARTITION BY d) * 100, 2) AS pct FROM scored")
+def j25(spark, sf):
+    """Each security's matrix on each day: supportive, disturbing and compound events, the first less the second, and its percentile of the day."""
+    s = _nine(spark, sf).select("sec", "d", "supportive", "disturbing", "compound", (F.col("supportive") - F.col("disturbing")).alias("score"))
+    by_day = Window.partitionBy("d")
+    less, equal = F.rank().over(by_day.orderBy("score")) - 1, F.count(F.lit(1)).over(Window.partitionBy("d", "score"))
+    return s.withColumn("pct", F.round((less + 0.5 * equal) / F.count(F.lit(1)).over(by_day) * 100, 2))
+
+
+_AS_OF = "2000-06-30"
+_CATEGORY = f"CASE WHEN relation IN ({', '.join(repr(x) for x in charts.MATRIX_COMPOUND)}) THEN 'compound' WHEN relation IN ({', '.join(repr(x) for x in charts.MATRIX_SUPPORTIVE)}) THEN 'supportive' WHEN relation IN ({', '.join(repr(x) for x in charts.MATRIX_DISTURBING)}) THEN 'disturbing' ELSE 'neutral' END"
+
+
+@query("c16_entity_snapshot", f"""{_MATRIX}, one AS (SELECT * FROM f WHERE sec = 7), asked AS (SELECT * FROM today WHERE d = (SELECT max(d) FROM days WHERE d <= DATE '{_AS_OF}')),
+pl AS (SELECT ds, unnest(['natal_year', 'natal_month', 'natal_day', 'natal_hour']) AS item, unnest([ys, ms, ds, hs]) AS s, unnest([yb, mb, db, hb]) AS b FROM one UNION ALL SELECT ds, 'outer_' || x.name, ring.s, ring.b FROM one, asked, LATERAL (SELECT unnest(['year', 'month', 'day']) AS name, unnest([yi, mi, di]) AS k) x JOIN ring ON ring.k = x.k),
+ev AS (SELECT name, unnest([{', '.join(repr(r) for r in charts.MATRIX_RELATIONS)}]) AS relation, unnest([{', '.join(f'"{r}"' for r in charts.MATRIX_RELATIONS)}]) AS n FROM asked, LATERAL (SELECT unnest(['year', 'month', 'day']) AS name, unnest([yi, mi, di]) AS k) x JOIN mr ON mr.k = x.k AND mr.sec = 7)
+SELECT item, s || b AS value, CASE WHEN item = 'natal_day' THEN '日主' ELSE {_GOD('ds', 's')} END AS note, CAST(NULL AS BIGINT) AS n FROM pl UNION ALL SELECT 'relation_' || name, relation, {_CATEGORY}, n::BIGINT FROM ev WHERE n > 0""")
+def c16(spark, sf):
+    """One security on the last trading day by an as-of date: natal and outer pillars with their ten gods, and the relation events by outer pillar."""
+    asked = trading_days(spark, sf).where(F.col("d") <= F.to_date(F.lit(_AS_OF))).orderBy(F.desc("d")).limit(1)
+    born = universe(spark, sf).where("sec = 7").select("sec", *[c.alias(k) for k, c in charts.four_pillars(F.col("list_date")).items()])
+    j = born.join(charts.matrix_row(born, "sec"), "sec").crossJoin(F.broadcast(charts.calendar(asked)))  # one row each
+    natal = [F.struct(F.lit(f"natal_{n}").alias("item"), F.col(f"{k}s").cast("int").alias("s"), F.col(f"{k}b").cast("int").alias("b")) for k, n in zip("ymdh", ("year", "month", "day", "hour"), strict=True)]
+    outer = [F.struct(F.lit(f"outer_{n}").alias("item"), (F.col(k) % 10).alias("s"), (F.col(k) % 12).alias("b")) for k, n in (("yi", "year"), ("mi", "month"), ("di", "day"))]
+    pillars = j.select("ds", F.inline(F.array(*natal, *outer)))
+    letter = lambda names, at: F.substring(F.lit(names), at + 1, F.lit(1))
+    note = F.when(F.col("item") == "natal_day", "日主").otherwise(p.ten_god(F.col("ds"), F.col("s")))
+    pillars = pillars.select("item", F.concat(letter(p.STEMS, F.col("s")), letter(p.BRANCHES, F.col("b"))).alias("value"), note.alias("note"), F.lit(None).cast("long").alias("n"))
+    held = [F.struct(F.lit(f"relation_{n}").alias("item"), F.lit(r).alias("value"), F.element_at("row", F.col(k) + 1)[r].cast("long").alias("n")) for k, n in (("yi", "year"), ("mi", "month"), ("di", "day")) for r in charts.MATRIX_RELATIONS]
+    kind = F.when(F.col("value").isin(*charts.MATRIX_COMPOUND), "compound").when(F.col("value").isin(*charts.MATRIX_SUPPORTIVE), "supportive").when(F.col("value").isin(*charts.MATRIX_DISTURBING), "disturbing").otherwise("neutral")
+    return pillars.unionByName(j.select(F.inline(F.array(*held))).where("n > 0").select("item", "value", kind.alias("note"), "n"))

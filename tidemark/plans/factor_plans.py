@@ -117,20 +117,6 @@ def f05(spark, sf):
     return _scan(spark, sf).select("sec", "d", *[test(a, b).alias(name) for name, test in tests.items()])
 
 
-@query("f09_relation_counts", f"""{_RELATED} SELECT d, count(*) FILTER (WHERE list_contains(relations, 'clash')) AS clashes, count(*) FILTER (WHERE list_contains(relations, 'harmony')) AS harmonies, count(*) FILTER (WHERE list_contains(relations, 'triple')) AS triples,
-{', '.join(f"count(*) FILTER (WHERE list_contains(relations, '{r}')) AS n_{r}" for r in p.RELATIONS)}, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('supportive', 'disturbing', 'compound'))},
-count(*) FILTER (WHERE supportive > 0 AND disturbing = 0) AS synergy, count(*) FILTER (WHERE supportive = 0 AND disturbing > 0) AS disturbed, count(*) FILTER (WHERE supportive > 0 AND disturbing > 0) AS mixed, count(*) FILTER (WHERE supportive = 0 AND disturbing = 0) AS weak FROM related GROUP BY d""")
-def f09(spark, sf):
-    """Each relation's count (n_ and its name), the three of old under their own names, the S, V and U counts, and securities by group."""
-    held = {r: F.count_if(F.array_contains("relations", r)) for r in p.RELATIONS}
-    s, v = F.col("supportive") > 0, F.col("disturbing") > 0
-    groups = {"synergy": s & ~v, "disturbed": v & ~s, "mixed": s & v, "weak": ~s & ~v}
-    return _related(spark, sf).groupBy("d").agg(
-        held["clash"].alias("clashes"), held["harmony"].alias("harmonies"), held["triple"].alias("triples"), *[c.alias(f"n_{r}") for r, c in held.items()],
-        *[F.sum(c).alias(c) for c in ("supportive", "disturbing", "compound")], *[F.count_if(c).alias(g) for g, c in groups.items()],
-    )
-
-
 @query("f11_ten_god_counts", f"{_SCAN} SELECT sec, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, count(*) AS n FROM scan GROUP BY 1, 2")
 def f11(spark, sf):
     return _scan(spark, sf).groupBy("sec", p.ten_god(F.col("nstem"), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))
@@ -208,30 +194,12 @@ def f29(spark, sf):
     return j.select("d", is_open.alias("is_open"), source.alias("source"))
 
 
-@query("j25_date_scan", f"{_RELATED}, s AS (SELECT sec, d, supportive, disturbing, compound, CAST({_HARM6} AS INT) + CAST({_TRIPLE} AS INT) - CAST({_CLASH} AS INT) AS score FROM related) SELECT sec, d, score, supportive, disturbing, compound, round((rank() OVER (PARTITION BY d ORDER BY score) - 1 + 0.5 * count(*) OVER (PARTITION BY d, score)) / count(*) OVER (PARTITION BY d) * 100, 2) AS pct FROM s")
-def j25(spark, sf):
-    a, b = F.col("nbranch"), F.col("branch")
-    score = p.harmony(a, b).cast("int") + p.triple(a, b).cast("int") - p.clash(a, b).cast("int")
-    counts = ["supportive", "disturbing", "compound"]
-    s = _related(spark, sf).select("sec", "d", score.alias("score"), *counts)
-    by_day = Window.partitionBy("d")
-    less = F.rank().over(by_day.orderBy("score")) - 1
-    equal = F.count(F.lit(1)).over(Window.partitionBy("d", "score"))
-    return s.select("sec", "d", "score", F.round((less + 0.5 * equal) / F.count(F.lit(1)).over(by_day) * 100, 2).alias("pct"), *counts)
-
-
 @query("c20_date_fingerprint", f"{with_sql('days')}, {_DAYP} SELECT d, (branch + 6) % 12 AS clash_branch, (13 - branch) % 12 AS harmony_branch, (stem + 5) % 10 AS partner_stem FROM dp")
 def c20(spark, sf):
     b = F.col("branch")
     return _days(spark, sf).select("d", ((b + 6) % 12).alias("clash_branch"), ((13 - b) % 12).alias("harmony_branch"), ((F.col("stem") + 5) % 10).alias("partner_stem"))
 
 
-@query("c26_relation_factors", f"{_RELATED} SELECT sec, d, unnest(relations) AS relation, CAST(1 AS BIGINT) AS n FROM related")
-def c26(spark, sf):
-    """A relation that is not held has no row."""
-    return _related(spark, sf).select("sec", "d", F.explode("relations").alias("relation")).groupBy("sec", "d", "relation").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("c19_month_windows", f"{with_sql('days')} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, min(d) AS first_d, max(d) AS last_d, count(*) AS n FROM days GROUP BY 1")
 def c19(spark, sf):
     ym = F.year("d") * 100 + F.month("d")
