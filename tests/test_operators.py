@@ -56,9 +56,9 @@ def test_asof_takes_the_nearest_on_its_side(spark):
 
 
 def test_horizon_stats_known_answer(spark):
-    df = spark.createDataFrame([(x,) for x in (0.1, -0.05, 0.2, 0.0, -0.1)], "ret_20d double")
-    row = events.horizon_stats(df, (20,)).first()
-    assert (row.n, row.up_rate, row.median_ret, row.note) == (5, pytest.approx(0.4), 0.0, "below 8") and row.mean_ret == pytest.approx(0.03)
+    returns = [0.04, 0.16, -0.12, 0.08, -0.02, 0.04, 0.03]
+    row = events.horizon_stats(spark.createDataFrame([(x,) for x in returns], "ret_20d double"), (20,)).first()
+    assert (row.n, row.up_rate, row.median_ret, row.min_ret, row.note) == (7, pytest.approx(5 / 7), 0.04, -0.12, "below 8") and row.mean_ret == pytest.approx(0.03)
 
 
 def test_empty_event_study_is_empty(spark):

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import guards, labels
 from tidemark.plans.registry import query
 from tidemark.sources import store
 from tidemark.sources.market import bars, table, trading_days, universe, with_sql
@@ -35,17 +36,19 @@ def s03(spark, sf):
     return catalog.join(names, "sec").join(big, "sec", "left").select("sec", "name", "first_d", "last_d", "n", (F.coalesce("n_big", F.lit(0)) > 0).alias("has_big"))
 
 
-@query("s07_source_precedence", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, CASE WHEN c_custkey % 5 <> 0 THEN -1.0 END, 0.0) AS value, CASE WHEN c_custkey % 3 <> 0 THEN 'vendor' WHEN c_custkey % 5 <> 0 THEN 'cache' ELSE 'synthetic' END AS source FROM customer")
+@query("s07_source_precedence", """WITH t AS (SELECT c_custkey, c_acctbal, c_custkey % 3 <> 0 AS live, c_custkey % 5 <> 0 AS cached, c_custkey % 11 AS age FROM customer)
+SELECT c_custkey, CASE WHEN live THEN c_acctbal WHEN cached THEN round(c_acctbal - age, 2) ELSE 0.0 END AS value, CASE WHEN live THEN 'vendor' WHEN cached AND age < 6 THEN 'cache' WHEN cached THEN 'stale_cache' ELSE 'synthetic' END AS source, NOT live AND (NOT cached OR age >= 6) AS degraded FROM t""")
 def s07(spark, sf):
-    """Fallback by priority: union of what each source has, first one a key."""
-    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    """Fallback by priority: vendor, cache within its time to live, stale cache, synthetic; one aggregate over the union of what each has."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 11).alias("age"))
+    cached = c.where("c_custkey % 5 <> 0").withColumn("value", F.round(F.col("c_acctbal") - F.col("age"), 2))
     tiers = (
         c.where("c_custkey % 3 <> 0").selectExpr("c_custkey", "c_acctbal as value", "'vendor' as source", "0 as priority")
-        .unionByName(c.where("c_custkey % 5 <> 0").selectExpr("c_custkey", "cast(-1 as double) as value", "'cache' as source", "1 as priority"))
-        .unionByName(c.selectExpr("c_custkey", "cast(0 as double) as value", "'synthetic' as source", "2 as priority"))
+        .unionByName(cached.selectExpr("c_custkey", "value", "if(age < 6, 'cache', 'stale_cache') as source", "if(age < 6, 1, 2) as priority"))
+        .unionByName(c.selectExpr("c_custkey", "cast(0 as double) as value", "'synthetic' as source", "3 as priority"))
     )
-    first = F.min_by(F.struct("value", "source"), "priority")
-    return tiers.groupBy("c_custkey").agg(first.alias("f")).select("c_custkey", "f.value", "f.source")
+    first = F.min_by(F.struct("value", "source", (F.col("priority") >= 2).alias("degraded")), "priority")
+    return tiers.groupBy("c_custkey").agg(first.alias("f")).select("c_custkey", "f.value", "f.source", "f.degraded")
 
 
 @query("s10_normalize_keep_last", "SELECT user_id, CAST(ts AS DATE) AS d, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
@@ -239,3 +242,22 @@ def s01(spark, sf):
     """A source's search, one of the calls that every source answers with a DataFrame."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
     return s.where(F.lower("name").contains("00000001")).orderBy("code").limit(20)
+
+
+_GUARDED = ("lineitem", "orders", "customer", "supplier", "part", "events", "labels")
+_TOKENS = "|".join(guards.FUTURE_TOKENS)
+
+
+@query("p16_future_columns", f"SELECT name, refused FROM (SELECT table_name AS name, count(*) FILTER (WHERE regexp_matches(lower(column_name), '{_TOKENS}')) > 0 AS refused FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in _GUARDED)}) GROUP BY 1) UNION ALL SELECT 'forward_returns', true")
+def p16(spark, sf):
+    """Which inputs the guard against columns that know the future refuses, by their schemas alone; the label panel must be among them."""
+    inputs = {t: table(spark, sf, t) for t in _GUARDED} | {"forward_returns": labels.forward_returns(bars(spark, sf))}
+
+    def refused(df):
+        try:
+            guards.refuse_future_columns(df)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(df)) for name, df in inputs.items()], "name string, refused boolean")
