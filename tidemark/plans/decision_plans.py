@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import seeds
 from tidemark.operators import labels, resample, statistics
 from tidemark.plans.label_plans import LABELS, r8
 from tidemark.plans.registry import query
 from tidemark.plans.statistics_plans import _PANEL, _PART, _panel, partition_of
-from tidemark.sources.market import bars, observations, table, with_sql
+from tidemark.sources.market import bars, observations, table, universe, with_sql
 
 #: One hypothesis a customer: a p value from the balance, a tenth of them missing; families are market segments.
 _TESTS = "tests AS (SELECT c_mktsegment AS family, c_custkey AS hypothesis, CASE WHEN c_custkey % 10 <> 0 THEN abs(c_acctbal) / 20000 END AS p FROM customer)"
@@ -127,7 +127,7 @@ def quota_sample(members, target: int, seed: int, *strata: str):
     make too few is added, one by one in turn from the largest strata.  Members
     come in the order of a seeded hash.
     """
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), "sec"), "sec"))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(seeds.order(seed, "sec"), "sec"))
     placed = members.withColumn("place", place)
     sizes = placed.groupBy(*strata).agg(F.max("place").alias("size"))
     whole = sizes.agg(F.sum("size").alias("whole"))
@@ -143,22 +143,35 @@ def quota_sample(members, target: int, seed: int, *strata: str):
     return placed.join(F.broadcast(shared.select(*strata, "quota")), list(strata)).where("place <= quota").drop("quota")  # a row for each stratum
 
 
-@query("x13_stratified_sample")
+def _quota_sql(name: str, source: str, target: int, seed: int) -> str:
+    """CTEs that end in ``name`` (sec, stratum, place), of ``source`` (sec, stratum)."""
+    n = name
+    return f"""{n}_p AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {seeds.order_sql(seed, 'sec')}, sec) AS place FROM {source}), {n}_s AS (SELECT stratum, count(*) AS size FROM {n}_p GROUP BY 1),
+{n}_q AS (SELECT stratum, size, greatest(1, round(size / sum(size) OVER () * {target}))::BIGINT AS quota FROM {n}_s), {n}_e AS (SELECT sum(quota)::BIGINT - {target} AS excess FROM {n}_q),
+{n}_t AS (SELECT stratum, row_number() OVER (ORDER BY turn, size DESC, stratum) AS nth FROM (SELECT stratum, size, unnest(generate_series(1, CASE WHEN excess > 0 THEN quota - 1 ELSE -excess END)) AS turn FROM {n}_q, {n}_e)),
+{n}_m AS (SELECT stratum, count(*) AS moved FROM {n}_t, {n}_e WHERE nth <= abs(excess) GROUP BY 1),
+{n} AS (SELECT sec, p.stratum, place FROM {n}_p p JOIN {n}_q USING (stratum) LEFT JOIN {n}_m USING (stratum), {n}_e WHERE place <= quota - sign(excess) * coalesce(moved, 0))"""
+
+
+@query("x13_stratified_sample", f"""{with_sql('universe', 'bars')}, era AS (SELECT sec, board || '/' || year(list_date) AS stratum, delist_date FROM universe), living AS (SELECT sec, stratum FROM era WHERE delist_date IS NULL), {_quota_sql('a', 'living', 100, 7)},
+money AS (SELECT sec, sum(amount) AS amount FROM bars GROUP BY 1), cuts AS (SELECT quantile_cont(amount, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM money), tier AS (SELECT sec, len(list_filter(cuts, lambda c: c < amount))::VARCHAR AS stratum FROM money, cuts), {_quota_sql('b', 'tier', 100, 7)}
+SELECT sec, 'delisted' AS plan, stratum, CAST(NULL AS INT) AS place FROM era WHERE delist_date IS NOT NULL UNION ALL SELECT sec, 'board_era', stratum, place::INT FROM a UNION ALL SELECT sec, 'size', stratum, place::INT FROM b""")
 def x13(spark, sf):
     """All delisted securities and a hundred others by board and listing year, and a hundred over five size buckets at cut points of the amounts."""
-    from tidemark.sources.market import universe
-
-    u = universe(spark, sf).select("sec", "board", F.year("list_date").alias("era"), "delist_date")
+    u = universe(spark, sf).select("sec", F.concat_ws("/", "board", F.year("list_date")).alias("stratum"), "delist_date")
     plan = lambda df, name, stratum: df.select("sec", F.lit(name).alias("plan"), stratum.alias("stratum"), "place")
-    gone = plan(u.where("delist_date is not null").withColumn("place", F.lit(None).cast("int")), "delisted", F.concat_ws("/", "board", "era"))
-    by_board = plan(quota_sample(u.where("delist_date is null").drop("delist_date"), 100, 7, "board", "era"), "board_era", F.concat_ws("/", "board", "era"))
+    gone = plan(u.where("delist_date is not null").withColumn("place", F.lit(None).cast("int")), "delisted", F.col("stratum"))
+    by_board = plan(quota_sample(u.where("delist_date is null").drop("delist_date"), 100, 7, "stratum"), "board_era", F.col("stratum"))
     size = bars(spark, sf).groupBy("sec").agg(F.sum("amount").alias("amount"))
     cuts = size.agg(F.percentile("amount", [0.2, 0.4, 0.6, 0.8]).alias("cuts"))
     tiers = size.crossJoin(F.broadcast(cuts)).select("sec", F.size(F.filter("cuts", lambda c: c < F.col("amount"))).cast("string").alias("tier"))  # one row
     return gone.unionByName(by_board).unionByName(plan(quota_sample(tiers, 100, 7, "tier"), "size", F.col("tier")))
 
 
-@query("a21_welch_student_p")
+@query("a21_welch_student_p", f"""{_PANEL}, g AS (SELECT count(*) FILTER (WHERE hit) AS n1, count(*) FILTER (WHERE NOT hit) AS n0, avg(ret_20d) FILTER (WHERE hit) AS m1, avg(ret_20d) FILTER (WHERE NOT hit) AS m0, var_samp(ret_20d) FILTER (WHERE hit) AS v1, var_samp(ret_20d) FILTER (WHERE NOT hit) AS v0 FROM p),
+w AS (SELECT (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) AS df FROM g),
+i AS (SELECT t, df, sum(exp(-(df + 1) / 2 * ln(1 + pow((k + 0.5) / 20000 * abs(t), 2) / df))) * abs(t) / 20000 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS half FROM w, range(0, 20000) r(k) GROUP BY t, df)
+SELECT round(t, 6) AS t, round(df, 4) AS df, round(greatest(0, 1 - 2 * half), 6) + 0.0 AS p FROM i""")
 def a21(spark, sf):
     """Welch's t with Satterthwaite's degrees of freedom and the two-sided Student p."""
     g = _panel(spark, sf).groupBy("hit").agg(F.count(F.lit(1)).alias("n"), F.avg("ret_20d").alias("m"), F.var_samp("ret_20d").alias("v"))
@@ -171,20 +184,22 @@ def a21(spark, sf):
     def student(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series(statistics.student_two_sided(t.to_numpy(), df.to_numpy()))
 
-    return row.select("t", "df", student("t", "df").alias("p"))
+    return row.select(F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), (F.round(student("t", "df"), 6) + F.lit(0.0)).alias("p"))
 
 
-@query("a14_controlled_coefficient")
+@query("a14_controlled_coefficient", f"""{_PANEL}, z AS (SELECT d, ret_20d AS y, ln(amount) AS x, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END AS h FROM p),
+m AS (SELECT d, count(*) AS n, var_pop(x) AS xx, var_pop(h) AS hh, covar_pop(x, h) AS xh, covar_pop(x, y) AS xy, covar_pop(h, y) AS hy FROM z GROUP BY d),
+b AS (SELECT (hy * xx - xy * xh) / (xx * hh - xh * xh) AS beta FROM m WHERE n >= 20 AND xx * hh - xh * xh > 1e-9 * xx * hh)
+SELECT count(*) AS n, round(avg(beta), 7) + 0.0 AS mean, round(avg(beta) / (stddev_samp(beta) / sqrt(count(*))), 5) + 0.0 AS t FROM b""")
 def a14(spark, sf):
-    """Per date, least squares of the return on log amount and the hit dummy; mean and t of the dummy's coefficient."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), pdf["x"], pdf["hit"].astype(float)])
-        ok = len(pdf) >= 20 and np.linalg.matrix_rank(x) == 3
-        return pd.DataFrame({"d": [pdf["d"].iat[0]], "beta": [np.linalg.lstsq(x, pdf["ret_20d"], rcond=None)[0][2] if ok else None]})
-
-    p = _panel(spark, sf).select("d", "hit", "ret_20d", F.log("amount").alias("x"))
-    return p.groupBy("d").applyInPandas(fit, "d date, beta double").agg(*statistics.t_statistic("beta"))
+    """Per date, least squares of the return on log amount and the hit dummy, from their moments; mean and t of the dummy's coefficient."""
+    p = _panel(spark, sf).select("d", F.col("ret_20d").alias("y"), F.log("amount").alias("x"), F.col("hit").cast("double").alias("h"))
+    cov = lambda a, b: F.covar_pop(a, b).alias(f"{a}{b}")
+    m = p.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("xx"), F.var_pop("h").alias("hh"), cov("x", "h"), cov("x", "y"), cov("h", "y"))
+    det = F.col("xx") * F.col("hh") - F.col("xh") * F.col("xh")
+    beta = m.where((F.col("n") >= 20) & (det > 1e-9 * F.col("xx") * F.col("hh"))).select(((F.col("hy") * F.col("xx") - F.col("xy") * F.col("xh")) / det).alias("beta"))
+    t = beta.agg(*statistics.t_statistic("beta"))
+    return t.select("n", (F.round("mean", 7) + F.lit(0.0)).alias("mean"), (F.round("t", 5) + F.lit(0.0)).alias("t"))
 
 
 @query("d10_neutralization_matrix", f"""{with_sql('bars')}, {LABELS}, l AS (SELECT l.sec, l.d, b.volume, {_PART.replace(' d ', ' l.d ')} AS part, ret_5d, ret_20d FROM labels l JOIN bars b ON b.sec = l.sec AND b.d = l.d),

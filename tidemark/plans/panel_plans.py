@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import seeds
 from tidemark.operators import events, labels, resample, statistics
 from tidemark.operators.asof import asof_join
 from tidemark.plans.label_plans import LABELS, r8
@@ -122,22 +123,30 @@ def p14(spark, sf):
     return bars(spark, sf).join(benchmark(spark, sf), "d").select("sec", "d", r8(F.col("close") - F.col("bench_close")).alias("excess"))
 
 
-@query("x03_random_assignment")
+_SPREAD_T = "s AS (SELECT d, avg(ret_20d) FILTER (WHERE hit) - avg(ret_20d) FILTER (WHERE NOT hit) AS spread FROM z GROUP BY d HAVING count(*) >= 5 AND count(*) FILTER (WHERE hit) > 0 AND count(*) FILTER (WHERE NOT hit) > 0) SELECT count(*) AS n, round(avg(spread), 8) + 0.0 AS mean, round(avg(spread) / (stddev_samp(spread) / sqrt(count(*))), 6) + 0.0 AS t FROM s"
+
+
+def _spread_t(df):
+    t = statistics.spread(df, "hit", "ret_20d").agg(*statistics.t_statistic("spread"))
+    return t.select("n", r8("mean").alias("mean"), (F.round("t", 6) + F.lit(0.0)).alias("t"))
+
+
+@query("x03_random_assignment", f"{_PANEL}, o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY {seeds.order_sql(1, 'sec')}, sec) AS i, row_number() OVER (PARTITION BY d ORDER BY {seeds.order_sql(2, 'sec')}, sec) AS j FROM p), z AS (SELECT a.d, a.hit, b.ret_20d FROM o a JOIN o b ON b.d = a.d AND b.j = a.i), {_SPREAD_T}")
 def x03(spark, sf):
     """Values permuted within each date: two seeded orders of a date's rows, zipped."""
     p = _panel(spark, sf).select("sec", "d", "hit", "ret_20d")
-    order = lambda seed: F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64(F.lit(seed), "sec"), "sec"))
+    order = lambda seed: F.row_number().over(Window.partitionBy("d").orderBy(seeds.order(seed, "sec"), "sec"))
     left, right = p.select("d", "hit", order(1).alias("i")), p.select("d", "ret_20d", order(2).alias("i"))
-    return statistics.spread(left.join(right, ["d", "i"]), "hit", "ret_20d").agg(*statistics.t_statistic("spread"))
+    return _spread_t(left.join(right, ["d", "i"]))
 
 
-@query("x04_random_direction")
+@query("x04_random_direction", f"{_PANEL}, z AS (SELECT d, ret_20d, row_number() OVER (PARTITION BY d ORDER BY {seeds.order_sql(3, 'sec')}, sec) <= count(*) FILTER (WHERE hit) OVER (PARTITION BY d) AS hit FROM p), {_SPREAD_T}")
 def x04(spark, sf):
     """As many hits a date as there are, at seeded places."""
     p = _panel(spark, sf).select("sec", "d", "hit", "ret_20d")
     k = F.sum(F.col("hit").cast("int")).over(Window.partitionBy("d"))
-    place = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64(F.lit(3), "sec"), "sec"))
-    return statistics.spread(p.select("d", (place <= k).alias("hit"), "ret_20d"), "hit", "ret_20d").agg(*statistics.t_statistic("spread"))
+    place = F.row_number().over(Window.partitionBy("d").orderBy(seeds.order(3, "sec"), "sec"))
+    return _spread_t(p.select("d", (place <= k).alias("hit"), "ret_20d"))
 
 
 @query("x05_shifted_control", f"{with_sql('bars')}, {LABELS}, h AS (SELECT sec, d + 7 AS d FROM bars WHERE volume >= 30) SELECT count(*) AS n, round(avg(ret_20d), 8) + 0.0 AS mean_ret FROM h JOIN labels USING (sec, d) WHERE ret_20d IS NOT NULL")
@@ -148,21 +157,21 @@ def x05(spark, sf):
     return moved.join(l, ["sec", "d"]).agg(F.count(F.lit(1)).alias("n"), r8(F.avg("ret_20d")).alias("mean_ret"))
 
 
-@query("x06_random_factor_control")
+@query("x06_random_factor_control", f"{_PANEL}, r AS (SELECT avg(CASE WHEN hit THEN 1.0 ELSE 0 END)::DOUBLE AS rate FROM p), z AS (SELECT ret_20d AS ret FROM p, r WHERE {seeds.uniform_sql(11, 'sec', 'd')} < rate) SELECT 20 AS horizon, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END), 8) AS up_rate, round(avg(ret), 8) + 0.0 AS mean_ret, round(median(ret), 8) + 0.0 AS median_ret, round(stddev_samp(ret), 8) AS std_ret, round(min(ret), 8) + 0.0 AS min_ret, CASE WHEN count(*) < 8 THEN 'below 8' WHEN count(*) < 30 THEN 'below 30' ELSE '' END AS note FROM z")
 def x06(spark, sf):
     """A random factor of the same hit rate, from a seeded hash."""
     p = _panel(spark, sf)
     rate = p.agg(F.avg(F.col("hit").cast("double")).alias("rate"))
-    u = F.pmod(F.xxhash64(F.lit(11), "sec", "d"), F.lit(1_000_003)) / 1_000_003.0
-    drawn = p.crossJoin(F.broadcast(rate)).where(u < F.col("rate"))  # one row
-    return events.horizon_stats(drawn, (20,))
+    drawn = p.crossJoin(F.broadcast(rate)).where(seeds.uniform(11, "sec", "d") < F.col("rate"))  # one row
+    s = events.horizon_stats(drawn, (20,))
+    return s.select("horizon", "n", F.round("up_rate", 8).alias("up_rate"), *[r8(c).alias(c) for c in ("mean_ret", "median_ret")], F.round("std_ret", 8).alias("std_ret"), r8("min_ret").alias("min_ret"), "note")
 
 
-@query("x08_column_shuffle")
+@query("x08_column_shuffle", f"{with_sql('obs')}, w AS (SELECT sec, d, max(direction) FILTER (WHERE factor_id = 'NO') AS no, max(direction) FILTER (WHERE factor_id = 'RF') AS rf FROM obs GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY {seeds.order_sql(1, 'sec')}, sec) AS i, row_number() OVER (PARTITION BY d ORDER BY {seeds.order_sql(2, 'sec')}, sec) AS j FROM w) SELECT count(*) AS n, count(*) FILTER (WHERE a.no > 0 AND b.rf > 0) AS both_positive FROM o a JOIN o b ON b.d = a.d AND b.j = a.i")
 def x08(spark, sf):
     """Each engine's direction shuffled on its own within dates, then hits counted."""
     w = observations(spark, sf).groupBy("sec", "d").pivot("factor_id", ["NO", "RF"]).agg(F.max("direction"))
-    order = lambda seed: F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64(F.lit(seed), "sec"), "sec"))
+    order = lambda seed: F.row_number().over(Window.partitionBy("d").orderBy(seeds.order(seed, "sec"), "sec"))
     a, b = w.select("d", F.col("NO").alias("a"), order(1).alias("i")), w.select("d", F.col("RF").alias("b"), order(2).alias("i"))
     return a.join(b, ["d", "i"]).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("both_positive"))
 

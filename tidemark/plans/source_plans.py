@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import seeds
 from tidemark.operators import guards, labels
 from tidemark.plans.registry import query
 from tidemark.sources import store
@@ -118,7 +119,7 @@ def s20(spark, sf):
     return keys.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("keys_n"), F.count_if(F.col("lo") != F.col("hi")).alias("overlapping"), F.count_if(F.col("low") != F.col("high")).alias("conflicting"))
 
 
-@query("s06_zip_of_csv")
+@query("s06_zip_of_csv", "SELECT l_suppkey AS sec, count(DISTINCT CAST(l_shipdate AS DATE)) AS n, min(CAST(l_shipdate AS DATE)) AS first_d FROM lineitem GROUP BY 1")
 def s06(spark, sf):
     """Zipped CSV files, one member a security, at most 256 a ZIP of a year, to one long frame: binary files decoded by Arrow-batched Python."""
     path = store.scratch(spark, "zips")
@@ -144,10 +145,11 @@ def s06(spark, sf):
     return long.groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("d")).alias("first_d"))
 
 
-@query("s05_content_addressed_blobs")
+@query("s05_content_addressed_blobs", "SELECT s_suppkey, sha256(s_name) AS sha FROM supplier WHERE s_suppkey % 10 <> 3")
 def s05(spark, sf):
     """Blobs named by their SHA-256; a reader refuses those whose bytes do not match."""
-    blobs = table(spark, sf, "supplier").select("s_suppkey", F.encode("s_name", "utf-8").alias("content")).withColumn("sha", F.sha2("content", 256))
+    named = table(spark, sf, "supplier").select("s_suppkey", F.encode("s_name", "utf-8").alias("content")).withColumn("sha", F.sha2("content", 256))
+    blobs = named.withColumn("content", F.when(F.col("s_suppkey") % 10 == 3, F.encode(F.lit("damaged"), "utf-8")).otherwise(F.col("content")))
 
     def verified(batches):
         for pdf in batches:
@@ -157,14 +159,16 @@ def s05(spark, sf):
     return blobs.mapInPandas(verified, "s_suppkey long, sha string")
 
 
-@query("s09_synthetic_walk")
+_SHOCK = f"sqrt(-2 * ln({seeds.uniform_sql(1, 'sec', 'd')} + {2.0**-48}::DOUBLE)) * cos(2 * 3.141592653589793 * {seeds.uniform_sql(2, 'sec', 'd')}) * 0.02"
+
+
+@query("s09_synthetic_walk", f"WITH g AS (SELECT sec, CAST(x AS DATE) AS d FROM range(0, 10) s(sec), unnest(generate_series(DATE '2000-01-03', DATE '2000-12-29', INTERVAL 1 DAY)) t(x) WHERE dayofweek(x) BETWEEN 1 AND 5) SELECT sec, d, round(exp(sum({_SHOCK}) OVER (PARTITION BY sec ORDER BY d)), 8) AS close FROM g")
 def s09(spark, sf):
     """Seeded geometric random walk on weekdays, for ten securities."""
     days = F.explode(F.sequence(F.to_date(F.lit("2000-01-03")), F.to_date(F.lit("2000-12-29")))).alias("d")
     grid = spark.range(10).select(F.col("id").alias("sec"), days).where(F.dayofweek("d").between(2, 6))
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(k), "sec", "d"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    shock = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2)) * 0.02
-    return grid.select("sec", "d", F.exp(F.sum(shock).over(Window.partitionBy("sec").orderBy("d"))).alias("close"))
+    shock = F.sqrt(-2 * F.log(seeds.uniform(1, "sec", "d") + 2.0**-48)) * F.cos(2 * 3.141592653589793 * seeds.uniform(2, "sec", "d")) * 0.02
+    return grid.select("sec", "d", F.round(F.exp(F.sum(shock).over(Window.partitionBy("sec").orderBy("d"))), 8).alias("close"))
 
 
 @query("c01_calendar_merge", f"{with_sql('days')}, o AS (SELECT * FROM days WHERE d <= DATE '2000-12-31'), n AS (SELECT * FROM days WHERE d >= DATE '2000-06-01') SELECT count(*) AS n, max(d) AS last_d, (SELECT count(*) FROM n WHERE d NOT IN (SELECT d FROM o)) AS added FROM (SELECT d FROM o UNION SELECT d FROM n)")
