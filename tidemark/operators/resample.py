@@ -1,16 +1,18 @@
 """Permutation and bootstrap tests whose draws are spread over tasks.
 
-Rows are reduced to one array a date first; draws are dealt out in chunks,
-each with its own seed, and only counts or means of draws come back.
+Permutations take one array a date and send one sum a draw from each task;
+bootstraps and sign flips need only the daily series, and are plain columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import seeds
+
 CHUNK = 50  # draws a task row
 CELLS = 1 << 21  # random numbers held at once
 
@@ -109,43 +111,34 @@ def random_positions(panel: DataFrame, draws: int, seed: int) -> DataFrame:
     )
 
 
-def _on_series(daily: DataFrame, draws: int, function, schema: str) -> DataFrame:
-    """function(chunk, series) -> DataFrame over chunks of draws; the series has one number a date."""
-    series = daily.groupBy(F.lit(1).alias("k")).agg(F.array_sort(F.collect_list(F.struct("d", "value"))).alias("s")).select(F.col("s.value").alias("s"))
-    dealt = series.select(_chunks(draws).alias("chunk"), "s")
-    dealt = dealt.repartition((draws - 1) // CHUNK + 1, "chunk")
-
-    def run(batches):
-        for pdf in batches:
-            for chunk, s in zip(pdf["chunk"], pdf["s"], strict=True):
-                yield function(int(chunk), np.asarray(s, dtype=float))
-
-    return dealt.mapInPandas(run, schema)
+def _numbered(daily: DataFrame) -> DataFrame:
+    """i (from 0, by date), value, n: a row a date, so a calendar's worth in one place."""
+    one = Window.partitionBy(F.lit(1))
+    return daily.where("value is not null").select("d", "value", (F.row_number().over(one.orderBy("d")) - 1).alias("i"), F.count(F.lit(1)).over(one).alias("n"))
 
 
 def bootstrap_mean(daily: DataFrame, draws: int, seed: int, block: int) -> DataFrame:
-    """daily (d, value): mean and its 95 % interval from resampled runs of ``block`` consecutive dates."""
+    """daily (d, value): mean and its 95 % interval from resampled runs of ``block`` consecutive dates, each begun at a seeded place.
 
-    def draw(chunk, s):
-        rng = np.random.default_rng([seed, chunk])
-        n = min(CHUNK, draws - chunk * CHUNK)
-        blocks = -(-len(s) // block)
-        starts = rng.integers(0, max(1, len(s) - block + 1), (n, blocks))
-        at = (starts[:, :, None] + np.arange(block)).reshape(n, -1)[:, : len(s)]
-        return pd.DataFrame({"mean": s[np.minimum(at, len(s) - 1)].mean(axis=1), "observed": s.mean()})
-
-    means = _on_series(daily, draws, draw, "mean double, observed double")
-    return means.agg(F.count(F.lit(1)).alias("draws"), F.max("observed").alias("observed"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    Draws times dates are spread over tasks; the series is a small side.
+    """
+    series = _numbered(daily)
+    size = series.agg(F.max("n").alias("n"), F.avg("value").alias("observed"))
+    grid = daily.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size))  # one row
+    runs = grid.where("n > 0").select("draw", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block) - 1)).alias("run"))
+    start = F.floor(seeds.uniform(seed, "draw", "run") * F.greatest(F.lit(1), F.col("n") - block + 1))
+    places = runs.select("draw", "n", "run", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).where(F.col("run") * block + F.col("j") < F.col("n"))
+    picked = places.select("draw", F.least(F.col("start") + F.col("j"), F.col("n") - 1).alias("i")).join(F.broadcast(series.select("i", "value")), "i")  # a row a date
+    means = picked.groupBy("draw").agg(F.avg("value").alias("mean"))
+    out = means.agg(F.count(F.lit(1)).alias("draws"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    return out.crossJoin(F.broadcast(size.select("observed")))  # one row
 
 
 def sign_flip(daily: DataFrame, draws: int, seed: int) -> DataFrame:
-    """daily (d, value): two-sided p of the mean under random signs."""
-
-    def draw(chunk, s):
-        rng = np.random.default_rng([seed, chunk])
-        signs = rng.choice([-1.0, 1.0], (min(CHUNK, draws - chunk * CHUNK), len(s)))
-        return pd.DataFrame({"null": (signs * s).mean(axis=1), "observed": s.mean()})
-
-    nulls = _on_series(daily, draws, draw, "null double, observed double")
-    reached = F.count_if(F.abs("null") >= F.abs("observed") - 1e-12)
+    """daily (d, value): two-sided p of the mean under seeded random signs."""
+    values = daily.where("value is not null")
+    drawn = daily.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(values))  # a row a date
+    signed = F.when(seeds.uniform(seed, "draw", "d") < 0.5, -F.col("value")).otherwise(F.col("value"))
+    nulls = drawn.groupBy("draw").agg(F.avg(signed).alias("null"), F.avg("value").alias("observed"))
+    reached = F.count_if(F.abs("null") >= F.abs("observed") - SLACK)
     return nulls.agg(F.count(F.lit(1)).alias("draws"), F.max("observed").alias("observed"), ((reached + 1) / (F.count(F.lit(1)) + 1)).alias("p"))

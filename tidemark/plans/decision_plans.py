@@ -96,22 +96,40 @@ def x09(spark, sf):
     return resample.permutation_test(_panel(spark, sf).select("d", "hit", F.col("ret_20d").alias("value")), draws=2000, seed=7)
 
 
-@query("x10_block_bootstrap")
+_DAILY = f"{_PANEL}, s AS (SELECT d, avg(ret_20d) FILTER (WHERE hit) - avg(ret_20d) FILTER (WHERE NOT hit) AS v FROM p GROUP BY d HAVING count(*) >= 5 AND count(*) FILTER (WHERE hit) > 0 AND count(*) FILTER (WHERE NOT hit) > 0), o AS (SELECT d, v, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM s)"
+
+
+def _bootstrap_sql(block: int) -> str:
+    return f"""{_DAILY}, z AS (SELECT max(n) AS n FROM o), r AS (SELECT draw, n, unnest(generate_series(0, ceil(n / {block})::BIGINT - 1)) AS run FROM range(0, 1000) t(draw), z),
+w AS (SELECT draw, n, run, floor({seeds.uniform_sql(7, 'draw', 'run')} * greatest(1, n - {block} + 1))::BIGINT AS start, unnest(generate_series(0, {block - 1})) AS j FROM r),
+m AS (SELECT draw, avg(v) AS mean FROM w JOIN o ON o.i = least(w.start + j, w.n - 1) WHERE run * {block} + j < w.n GROUP BY draw)
+SELECT count(*) AS draws, round((SELECT avg(v) FROM o), 7) + 0.0 AS observed, round(quantile_cont(mean, 0.025), 7) + 0.0 AS low, round(quantile_cont(mean, 0.975), 7) + 0.0 AS high FROM m"""
+
+
+def _bootstrap(spark, sf, block):
+    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d").select("d", F.col("spread").alias("value"))
+    out = resample.bootstrap_mean(daily, draws=1000, seed=7, block=block)
+    return out.select("draws", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ("observed", "low", "high")])
+
+
+@query("x10_block_bootstrap", _bootstrap_sql(1))
 def x10(spark, sf):
-    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d")
-    return resample.bootstrap_mean(daily.select("d", F.col("spread").alias("value")), draws=1000, seed=7, block=1)
+    """Dates of the daily spread drawn with replacement, 1000 times."""
+    return _bootstrap(spark, sf, 1)
 
 
-@query("x11_moving_block_bootstrap")
+@query("x11_moving_block_bootstrap", _bootstrap_sql(20))
 def x11(spark, sf):
-    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d")
-    return resample.bootstrap_mean(daily.select("d", F.col("spread").alias("value")), draws=1000, seed=7, block=20)
+    """The same in runs of twenty dates."""
+    return _bootstrap(spark, sf, 20)
 
 
-@query("x12_sign_flip")
+@query("x12_sign_flip", f"""{_DAILY}, f AS (SELECT draw, avg(CASE WHEN {seeds.uniform_sql(7, 'draw', 'd')} < 0.5 THEN -v ELSE v END) AS x, avg(v) AS observed FROM range(0, 2000) t(draw), o GROUP BY draw)
+SELECT count(*) AS draws, round(max(observed), 7) + 0.0 AS observed, round((count(*) FILTER (WHERE abs(x) >= abs(observed) - 1e-12) + 1) / (count(*) + 1), 8) AS p FROM f""")
 def x12(spark, sf):
-    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d")
-    return resample.sign_flip(daily.select("d", F.col("spread").alias("value")), draws=2000, seed=7)
+    """Paired differences of 2000 sign flips."""
+    daily = statistics.spread(_panel(spark, sf), "hit", "ret_20d").select("d", F.col("spread").alias("value"))
+    return resample.sign_flip(daily, draws=2000, seed=7).select("draws", (F.round("observed", 7) + F.lit(0.0)).alias("observed"), F.round("p", 8).alias("p"))
 
 
 @query("x02_random_position_control")
