@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE, parallelism, scratch, stored
@@ -23,9 +23,9 @@ SALTS = 16  # parts of a group of equal texts that are reduced apart
 MAX_BROADCAST_KEYS = 1 << 20  # 8 bytes of key and 12 of place each: some 40 MB as a hash table
 
 
-def normalised(column: str):
+def normalised(text: Column) -> Column:
     """The text with every run of white space as one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), SPACE, " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
 def bucket_directory(entries: DataFrame, bucket_capacity: int, max_depth: int) -> DataFrame:
@@ -109,7 +109,7 @@ def exact_dedup(
     group, all of them are ``kept``; ``keep_once`` settles such ties.  An
     empty table gives an empty result.  Other columns of ``docs`` are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    texts = docs.select(docs[id_col].alias("doc_id"), normalised(docs[text_col]).alias("norm")).withColumn("key", F.xxhash64("norm"))
     keys = stored(texts.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256")), "dedup-keys")
     index = build_index(keys, bucket_capacity)
     chains = _chained(_probed(texts, index, "inner"), ("doc_id", F.min, "keep_id"), (F.lit(1), F.count, "group_size"))
@@ -130,20 +130,18 @@ def keep_once(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows of the smallest id, the one with the smallest text stays.
     """
-    given = docs.select(
-        F.struct(*docs.columns).alias("row"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"), normalised(text_col).alias("norm")
-    ).withColumn("key", F.xxhash64("norm"))
+    row = F.col("row")
+    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).select("row", row[id_col].alias("doc_id"), normalised(row[text_col]).alias("norm"))
+    given = given.withColumn("key", F.xxhash64("norm"))
     index = build_index(stored(given.select("key"), "dedup-keys"), bucket_capacity)
-    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text", "row")
-    chains = _chained(_probed(given, index, "inner").withColumn("first", first), ("first", _least, "first"))
-    alone = _probed(given, index, "left_anti").select("row.*")
-    return alone.unionByName(chains.select("first.row.*"))
 
+    def least(name: str) -> Column:
+        kept = F.col(name)
+        return F.min_by(kept, F.struct(kept[id_col].isNull(), kept[id_col], kept[text_col]))
 
-def _least(column):
-    """The struct of the smallest (missing, doc_id, text); rows need no order of their own."""
-    value = F.col(column)
-    return F.min_by(value, F.struct(value["missing"], value["doc_id"], value["text"]))
+    chains = _chained(_probed(given, index, "inner"), ("row", least, "row"))
+    alone = _probed(given.select("row", "key"), index, "left_anti")
+    return alone.select("row.*").unionByName(chains.select("row.*"))
 
 
 ORACLE_SQL = r"""
