@@ -179,10 +179,10 @@ def test_jaccard_join_is_exact(spark, docs):
     assert got_links(jaccard_join.jaccard_join(docs)) == brute_links(TEXTS)
 
 
-@pytest.mark.parametrize(("block_bytes", "strip"), [(8 << 20, 7), (20_000, 256)])
-def test_jaccard_join_in_a_crowd(spark, monkeypatch, block_bytes, strip):
-    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block_bytes)
-    monkeypatch.setattr(jaccard_join, "STRIP", strip)
+@pytest.mark.parametrize(("unit", "most", "pairs"), [(512 << 10, 32 << 20, 700), (5_000, 20_000, 1 << 19)])
+def test_jaccard_join_in_a_crowd(spark, monkeypatch, unit, most, pairs):
+    for name, value in (("UNIT_BYTES", unit), ("MAX_BLOCK_BYTES", most), ("PAIRS", pairs)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(3)
     base, rows = words_of(4, 120, 10**6), []
     for i in range(90):

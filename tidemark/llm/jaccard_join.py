@@ -29,8 +29,10 @@ from tidemark.llm.graph import components
 from tidemark.llm.kernel import U64, mixed, pieces, span_hashes, window_hashes, word_spans
 
 N_HASHES, BAND = 128, 4
-BLOCK_BYTES = 8 << 20  # MinHash values and shingles of a crowd's members per block
-STRIP = 256  # members of a block whose pairs are compared at a time
+#: A crowd whose MinHash values and shingles have b bytes is cut into sqrt(b / UNIT_BYTES) blocks, so that its pairs of blocks, which are
+#: the tasks, are as many as its units; but no block has more than MAX_BLOCK_BYTES.
+UNIT_BYTES, MAX_BLOCK_BYTES = 512 << 10, 32 << 20
+PAIRS = 1 << 19  # pairs of a task that are compared at a time
 SMALL_CROWD = 16  # up to this size, pairs of a crowd are rows
 STEP = 16  # MinHash values compared at a time
 
@@ -236,7 +238,7 @@ def differences(shingles: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, int
 def _blocked(members: DataFrame) -> DataFrame:
     """Members (crowd, node, copies, minhash, shingles) dealt to blocks, their sets as differences from that of the crowd's smallest node."""
     held = F.sum(F.length("minhash") + F.length("shingles"))
-    sized = members.groupBy("crowd").agg(F.greatest(F.lit(1), F.ceil(held / BLOCK_BYTES)).cast("long").alias("blocks"), F.min("node").alias("first"))
+    sized = members.groupBy("crowd").agg(F.greatest(F.ceil(F.sqrt(held / UNIT_BYTES)), F.ceil(held / MAX_BLOCK_BYTES)).cast("long").alias("blocks"), F.min("node").alias("first"))
     joined = members.join(sized, "crowd")
     dealt = joined.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("first")
     bases = joined.where("node = first").select(
@@ -277,8 +279,9 @@ def _within_crowds(members: DataFrame, threshold: float, tolerance: float) -> Da
         (na, ca, sa, ga), (nb, cb, sb, gb) = ([x[c].to_numpy() for c in ("node", "copies", "size", "gone")] for x in (a, b))
         base, edges = int(a["base"].iat[0]), []
         links, rows = {0: np.zeros(len(a), np.int64), 1: np.zeros(len(b), np.int64)}, {0: np.zeros(len(a), np.int64), 1: np.zeros(len(b), np.int64)}
-        for at in range(0, len(a), STRIP):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + STRIP, len(a))), np.arange(len(b)), indexing="ij"))
+        strip = max(1, PAIRS // len(b))
+        for at in range(0, len(a), strip):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + strip, len(a))), np.arange(len(b)), indexing="ij"))
             if low == high:
                 i, j = i[i < j], j[i < j]
             i, j = survivors(ma, mb, i, j, least)
