@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.sources.store import scratch
 
@@ -36,9 +40,30 @@ def free_name(name: str, taken) -> str:
     return name
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """The column of that name, whatever signs are in it."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def carrying(
+    docs: DataFrame, text_col: str, keep: tuple[str, ...], run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: StructType
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and those that ``run`` adds, a row for a row.
+
+    ``run`` gets batches of ``kept``, a struct of those columns, and ``text``;
+    it yields batches of ``kept`` and the added columns.  So no name clashes
+    and none is parsed.  ``keep`` must not be empty, nor name an added column.
+    """
+    if clash := set(keep) & set(added.names):
+        raise ValueError(f"keep may not name {', '.join(sorted(clash))}: added here")
+    given = docs.select(F.struct(*[named(docs, c).alias(c) for c in keep]).alias("kept"), named(docs, text_col).alias("text"))
+    out = given.mapInArrow(run, StructType([StructField("kept", given.schema["kept"].dataType), *added.fields]))
+    return out.select(*[F.col("kept").getField(c).alias(c) for c in keep], *added.names)
+
+
 def wrapped(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` beside ``row``, a struct of all columns, whose names then clash with none."""
-    return docs.select("doc_id", F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return docs.select("doc_id", named(docs, text_col).alias("text"), F.struct(*[named(docs, c).alias(c) for c in docs.columns]).alias("row"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, trainable: Column | None, max_rows: int) -> DataFrame:
@@ -52,5 +77,5 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     if trainable is not None:
         known = known.where(trainable)
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    texts = docs.select(named(docs, id_col).alias("doc_id"), F.coalesce(named(docs, text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, lm_score, quality, substring_dedup, token_counts, toxicity, warc
+from tidemark.llm import bpe, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, lm_score, quality, substring_dedup, token_counts, toxicity, vector_codes, warc
 from tidemark.llm.common import scratch
 
 
@@ -68,6 +68,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_spread(_documents(spark, sf_dir)), _labels(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives_query(_spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_text.extract(_spread(pages), html_text.train(), keep=("page_id", "url")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_warc_index": op1_warc_index,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -79,6 +92,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLE_SQL = {
@@ -86,4 +102,6 @@ ORACLE_SQL = {
     "op2_ngram_jaccard": jaccard_join.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
