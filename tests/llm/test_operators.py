@@ -530,7 +530,7 @@ def test_decontamination_finds_items_in_any_place(spark, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaked_pairs(df, bench).collect()}
     assert got == {(1, 1), (2, 2), (None, None), (7, 1), (7, 2)}
-    apart = {(r.doc_id, r.item_id) for r in decontaminate.leaked_pairs(df, bench, max_items=1, groups_per_pass=2).collect()}
+    apart = {(r.doc_id, r.item_id) for r in decontaminate.leaked_pairs(df, bench, max_items=1).collect()}
     assert apart == got
     assert decontaminate.leaked_pairs(nothing, bench).count() == 0
     assert decontaminate.leaked_pairs(df, bench.limit(0)).count() == 0
@@ -578,7 +578,7 @@ def got_leaks(df, bench, **options):
     return sorted((r.doc_id, r.item_id, *(round(x, 9) for x in (r.score, r.question_overlap, r.answer_overlap))) for r in rows)
 
 
-def test_decontamination_is_exact_in_any_grouping(spark):
+def test_decontamination_is_exact_in_any_grouping(spark, monkeypatch):
     rng = random.Random(8)
     items = [(k, " ".join(words_of(k, 18 + 3 * k, 60))) for k in range(12)] + [(3, " ".join(words_of(99, 25, 60)))]
     items += [(20, " ".join(words_of(20, 500, 900))), (21, " ".join(words_of(21, 140, 300)) + ". Yes, a b c d e f."), (22, "one two")]
@@ -592,8 +592,19 @@ def test_decontamination_is_exact_in_any_grouping(spark):
     bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_leaks(rows, items)
     assert len(want) >= len(items)
-    for options in ({}, {"max_items": 1, "groups_per_pass": 3}, {"max_items": 5}):
+    for options in ({}, {"max_items": 1}, {"max_items": 5}):
         assert got_leaks(df, bench, **options) == want
+    monkeypatch.setattr(decontaminate, "STEP_BYTES", 2000)
+    assert got_leaks(df, bench, max_items=2) == want
+
+
+def test_decontamination_holds_one_index_at_a_time(spark):
+    described = decontaminate._described(spark.createDataFrame([(k, f"word{k} a b c") for k in range(40)], "item_id long, text string"))
+    uris = decontaminate.write_indexes(described, 0.5, 1, 1 << 20)
+    assert len(uris) > 20 and sum(len(decontaminate.read_index(u).items) for u in uris) == 40
+    assert len(decontaminate._held) == 1
+    plan = decontaminate.find_leaks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(k, f"word{k} a b c") for k in range(40)], "item_id long, text string"), max_items=1)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 def test_block_max_wand_retrieves_what_full_scoring_does():

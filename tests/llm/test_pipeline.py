@@ -46,9 +46,9 @@ def test_near_stage_drops_copies_of_repeated_and_null_ids(spark):
 
 def test_stages_keep_columns_that_clash(spark):
     text = " ".join(f"w{k}" for k in range(60))
-    names = ["score", "predicted", "leaks", "_text", "_sha256", "row", "doc_key", "first", "key", "digest", "missing"]
+    names = ["score", "predicted", "leaks", "_text", "_sha256", "row", "doc_key", "first", "key", "digest", "missing", "my col", "lang-code", "a.b", "kept", "ti`ck"]
     rows = [(1, text, "en", "s", 9), (1, text + " x", "en", "s", 9), (2, text, "en", "s", 9), (2, text, "en", "s", 9), (None, None, None, None, None), (None, "", "en", "s", 0)]
-    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` int" for n in names))
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)

@@ -18,8 +18,10 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import free_name
+from tidemark.llm.common import carrying, free_name, named
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,25 +195,22 @@ def round_trip_digests(
     Encodes and decodes in one pass, so that ids, several times the text's
     size, are not stored.  Rows are treated as ``encode`` says.
     """
-    column = free_name("text", ("doc_id", *keep))
-    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias(column), *[docs[c] for c in keep])
-    out = given.drop(column)
-    names = out.columns
+    if "doc_id" in keep:
+        raise ValueError("keep may not name doc_id, which is there anyway")
+    text = free_name("text", ("doc_id", *keep))
+    given = docs.select(named(docs, id_col).alias("doc_id"), named(docs, text_col).alias(text), *[named(docs, c).alias(c) for c in keep])
 
     def run(batches):
         bpe = encoder(path, pattern)
         for batch in batches:
             columns = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for text in batch.column(column):
+            for text in batch.column("text"):
                 ids = bpe.encode_text(text.as_py() or "")
                 columns["n_tokens"].append(ids.count(" ") + bool(ids))
                 columns["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 columns["decoded_sha256"].append(hashlib.sha256(bpe.decode_text(ids)).hexdigest())
-            same = [batch.column(c) for c in batch.schema.names if c != column]
-            yield pa.RecordBatch.from_arrays(
-                [*same, pa.array(columns["n_tokens"], pa.int64()), pa.array(columns["ids_sha256"], pa.string()), pa.array(columns["decoded_sha256"], pa.string())],
-                names=[*names, *columns],
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    return given.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            added = [pa.array(columns["n_tokens"], pa.int64()), pa.array(columns["ids_sha256"], pa.string()), pa.array(columns["decoded_sha256"], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), *added], names=["kept", *columns])
+
+    added = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    return carrying(given, text, ("doc_id", *keep), run, added).select("doc_id", *added.names, *[F.col(f"`{c}`") for c in keep])

@@ -12,24 +12,29 @@ question and their answer occurs in the passage.
 
 from __future__ import annotations
 
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tidemark.llm.common import free_name, stored
+from tidemark.llm.common import carrying, scratch, stored
+from tidemark.llm.files import opened, task_name
 from tidemark.llm.kernel import NOT_ALNUM, lowered, pieces, span_hashes, window_hashes, word_spans
 
 K1, B = 1.2, 0.75
 ITEMS_PER_BLOCK = 4
 GRAM = 5
+#: Bytes of text that a task holds while the indexes pass by.
+STEP_BYTES = 16 << 20
 _SENTENCE_END = re.compile(r"[.?!]\s+")
 
 
@@ -232,29 +237,53 @@ def _described(benchmark: DataFrame) -> DataFrame:
     return stored(items.drop("terms").join(pairs, "row"), "benchmark-described")
 
 
-def item_groups(described: DataFrame, max_items: int, max_bytes: int) -> Iterator[tuple[list[tuple[int, str]], Collection]]:
-    """The items in order of their ids, so many and about so large at a time, and statistics of all for the terms of these."""
-    whole = described.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean")).first()
-    rows = described.select("item_id", "text", "frequencies").orderBy("item_id", "text").toLocalIterator()
-    group, held, found = [], 0, {}
-    for item, text, frequencies in rows:
-        if group and (len(group) >= max_items or held + len(text) > max_bytes):
-            yield group, Collection(whole.n, whole.mean, found)
-            group, held, found = [], 0, {}
-        group.append((item, text))
-        held += len(text)
-        found |= {term % 2**64: n for term, n in frequencies.items()}
-    if group:
-        yield group, Collection(whole.n, whole.mean, found)
+def write_indexes(described: DataFrame, share: float, max_items: int, max_bytes: int) -> list[str]:
+    """An index file on the shared folder for each group of items, built where the group is; their names.
+
+    Items are dealt to groups by a hash, so many that a group has about
+    ``max_items`` items and ``max_bytes`` of text or, on average, fewer.
+    """
+    row = described.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean"), F.sum(F.length("text")).alias("size")).first()
+    if not row.n:
+        return []
+    groups = max(-(-row.n // max_items), -(-row.size // max_bytes))
+    folder = scratch(described.sparkSession, "benchmark-index")
+    n, mean = row.n, row["mean"]
+
+    def build(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("item_id", "text", "frequencies")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        found = {term % 2**64: count for *_, frequencies in rows for term, count in frequencies}
+        index = Index([(item, text) for item, text, _ in rows], share, Collection(n, mean, found))
+        system, path = opened(folder)
+        system.create_dir(path, recursive=True)
+        name = f"{table['group'][0].as_py()}-{task_name()}"
+        with system.open_output_stream(f"{path}/{name}") as out:
+            out.write(pickle.dumps(index))
+        return pa.table({"uri": [f"{folder}/{name}"]})
+
+    dealt = described.withColumn("group", F.pmod(F.hash("row"), F.lit(groups)))
+    return sorted(r.uri for r in dealt.groupBy("group").applyInArrow(build, "uri string").collect())
+
+
+_held: list[tuple[str, Index]] = []
 
 
-_LEAKS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
-_LEAK = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+def read_index(uri: str) -> Index:
+    """An index file; the last one read stays in the worker."""
+    if not _held or _held[0][0] != uri:
+        _held.clear()
+        system, path = opened(uri)
+        with system.open_input_file(path) as f:
+            _held.append((uri, pickle.loads(f.read())))
+    return _held[0][1]
+
+
+_LEAK = StructType([StructField("item_id", LongType()), *[StructField(n, DoubleType()) for n in ("score", "question_overlap", "answer_overlap")]])
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), share: float = 0.5,
-    overlap: float = 0.6, max_items: int = 1000, max_bytes: int = 4 << 20, groups_per_pass: int = 8,
+    overlap: float = 0.6, max_items: int = 1000, max_bytes: int = 4 << 20,
 ) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, and ``leaks``: the benchmark items it contains.
 
@@ -262,39 +291,48 @@ def find_leaks(
     the item's score against itself, and is a leak if at least ``overlap`` of
     the 5-word runs of its question and of its answer occur in that passage.
     An item's passages are the runs of 2s words that begin every s words of a
-    text (the last may be shorter), s being the item's ``length_class``.
-    Items go to the tasks in groups of at most ``max_items`` and about
-    ``max_bytes``; passages rest on the item alone and scores on statistics of
-    all items, so the grouping changes neither.  More than ``groups_per_pass`` groups take further passes
-    over the texts.  Null and empty texts leak nothing, null or wordless items
-    are never found, equal items are all reported, a null item id is reported
-    as null; repeated rows are judged each by itself.
+    text (the last may be shorter), s being the item's ``length_class``.  Of an
+    item's passages in a text the one of the highest score counts.
+
+    Items are indexed in groups of about ``max_items`` items and ``max_bytes``
+    at most, each a file on the shared folder.  A task reads its texts once; it
+    holds ``STEP_BYTES`` of them, or one longer text, and one index at a time.
+    Passages rest on the item alone and scores on statistics of all items, so
+    the grouping changes neither.  Null and empty texts leak nothing, very long
+    ones are searched whole, null or wordless items are never found, equal
+    items are all reported, a null item id is reported as null; repeated rows
+    are judged each by itself.  ``keep`` names columns of any name but ``leaks``.
     """
-    if "leaks" in keep:
-        raise ValueError("keep may not name leaks, which is added")
-    spark = docs.sparkSession
-    groups = item_groups(_described(benchmark), max_items, max_bytes)
-    text = free_name("text", keep)
-    names = [*keep, text, "leaks"]
-    now = docs.select(*[docs[c] for c in keep], docs[text_col].alias(text), F.array().cast(_LEAKS).alias("leaks"))
-    while part := [Index(g, share, whole) for g, whole in islice(groups, groups_per_pass)]:
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for rows, blob, begins in pieces(batch, text):
-                    blob = lowered(blob)
-                    starts, ends = word_spans(blob, NOT_ALNUM)
-                    words, bound = span_hashes(blob, starts, ends), np.searchsorted(starts, begins)
-                    sliced = batch.slice(rows.start, rows.stop - rows.start)
-                    leaks = sliced.column("leaks").to_pylist()
-                    for index in shared.value:
-                        for d, *leak in index.leaks(words, bound, overlap):
-                            leaks[d].append(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), leak, strict=True)))
-                    yield pa.RecordBatch.from_arrays([*sliced.columns[:-1], pa.array(leaks, pa.list_(_LEAK))], names=names)
-
-        now = now.mapInArrow(run, now.schema)
-    return now.drop(text)
+    indexes = write_indexes(_described(benchmark), share, max_items, max_bytes)
+    added = StructType([StructField("leaks", ArrayType(_LEAK))])
+    leak = pa.list_(to_arrow_type(_LEAK))
+
+    def judged(held):
+        """Batches with their leaks: all indexes, one after the other, over all that is held."""
+        found = [[[] for _ in range(part.num_rows)] for part, *_ in held]
+        for uri in indexes:
+            index = read_index(uri)
+            for leaks, (_, words, bound) in zip(found, held, strict=True):
+                for d, *one in index.leaks(words, bound, overlap):
+                    leaks[d].append(dict(zip(_LEAK.names, one, strict=True)))
+        for leaks, (part, *_) in zip(found, held, strict=True):
+            ordered = [sorted(some, key=lambda x: (x["item_id"] is None, x["item_id"] or 0, -x["score"])) for some in leaks]
+            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(ordered, leak)], names=["kept", "leaks"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for rows, blob, begins in pieces(batch, "text"):
+                blob = lowered(blob)
+                starts, ends = word_spans(blob, NOT_ALNUM)
+                held.append((batch.slice(rows.start, rows.stop - rows.start).select(["kept"]), span_hashes(blob, starts, ends), np.searchsorted(starts, begins)))
+                size += len(blob)
+                if size >= STEP_BYTES:
+                    yield from judged(held)
+                    held, size = [], 0
+        yield from judged(held)
+
+    return carrying(docs, text_col, keep, run, added)
 
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, parallelism, scratch, stored
+from tidemark.llm.common import SPACE, named, parallelism, scratch, stored
 
 SALTS = 16  # parts of a group of equal texts that are reduced apart
 MAX_BROADCAST_KEYS = 1 << 20  # 8 bytes of key and 12 of place each: some 40 MB as a hash table
@@ -131,7 +131,7 @@ def keep_once(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     Of rows of the smallest id, the one with the smallest text stays.
     """
     row = F.col("row")
-    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).select("row", row[id_col].alias("doc_id"), normalised(row[text_col]).alias("norm"))
+    given = docs.select(F.struct(*[named(docs, c).alias(c) for c in docs.columns]).alias("row")).select("row", row[id_col].alias("doc_id"), normalised(row[text_col]).alias("norm"))
     given = given.withColumn("key", F.xxhash64("norm"))
     index = build_index(stored(given.select("key"), "dedup-keys"), bucket_capacity)
 

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidemark.llm.common import crc_mod, free_name, labelled
+from tidemark.llm.common import carrying, crc_mod, labelled
 from tidemark.llm.kernel import U64, mixed, pieces, span_hashes, word_spans
 
 FEATURES = (
@@ -28,6 +29,7 @@ FEATURES = (
     "log_line_words", "repeated_lines", "lower_starts", "lone_symbols", "sentence_ends",
 )
 
+_ADDED = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0: none of the below
 _CLASS[ord("a") : ord("z") + 1] = 1
 _CLASS[ord("A") : ord("Z") + 1] = 2
@@ -248,21 +250,14 @@ def score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", keep
     further columns pass unchanged; an empty table stays empty.  ``keep`` may
     not name the columns that are added.
     """
-    if {"score", "predicted"} & set(keep):
-        raise ValueError("keep may not name score or predicted, which are added")
-    text = free_name("text", keep)
-    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias(text))
-    names = [*keep, "score", "predicted"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop(text).schema)
 
     def run(batches):
         for batch in batches:
-            for rows, x in _features_of(batch, text):
+            for rows, x in _features_of(batch, "text"):
                 p = model.score(x)
-                same = [column[rows] for column in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("kept")[rows], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["kept", "score", "predicted"])
 
-    return given.mapInArrow(run, f"{schema}, score double, predicted int")
+    return carrying(docs, text_col, keep, run, _ADDED)
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import crc_mod, free_name, labelled
+from tidemark.llm.common import carrying, crc_mod, labelled
 from tidemark.llm.jaccard_join import N_HASHES, minhash, shingle_set
 from tidemark.llm.kernel import NOT_ALNUM, lowered, pieces, span_hashes, word_spans
 
 WINDOW = 8
 FUZZY_FROM = 5  # shorter stems must match exactly
 _CACHE = 200_000
+_TERM = StructType([StructField("stem", StringType()), StructField("edits", IntegerType()), StructField("quoted", BooleanType()), StructField("times", LongType())])
+_ADDED = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("terms", ArrayType(_TERM))])
 SIGN = np.array([0x21 <= c < 0x7F and not chr(c).isalnum() for c in range(256)])
 
 # Words that report speech, and words that address somebody.
@@ -375,23 +378,17 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep
     repeated rows, null ids and further columns pass; empty tables stay empty.
     ``keep`` may not name the columns that are added.
     """
-    if {"score", "predicted", "terms"} & set(keep):
-        raise ValueError("keep may not name score, predicted or terms, which are added")
-    text = free_name("text", keep)
-    given = docs.select(*[docs[c] for c in keep], docs[text_col].alias(text))
-    names = [*keep, "score", "predicted", "terms"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop(text).schema)
     term = pa.struct([("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("times", pa.int64())])
 
     def run(batches):
         stems = model.lexicon.stems
-        for batch, rows, found, words in _matched(batches, text, model.lexicon):
+        for batch, rows, found, words in _matched(batches, "text", model.lexicon):
             p = model.score(np.array([model.features(f, w) for f, w in zip(found, words, strict=True)]))
             terms = [[{"stem": stems[s].removesuffix(WHOLE), "edits": e, "quoted": q, "times": n} for (s, e, q), n in sorted(f.items())] for f in found]
-            same = [column[rows] for column in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(terms, pa.list_(term))], names=names)
+            added = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(terms, pa.list_(term))]
+            yield pa.RecordBatch.from_arrays([batch.column("kept")[rows], *added], names=["kept", *_ADDED.names])
 
-    return given.mapInArrow(run, f"{schema}, score double, predicted int, terms array<struct<stem: string, edits: int, quoted: boolean, times: bigint>>")
+    return carrying(docs, text_col, keep, run, _ADDED)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
