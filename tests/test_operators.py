@@ -96,14 +96,6 @@ def test_overlay_replaces_and_adds(spark):
     assert {tuple(r) for r in store.overlay(base, delta, ["k"]).collect()} == {(1, "a"), (2, "B"), (3, "C")}
 
 
-def test_tampered_shard_is_not_read(spark, tmp_path):
-    shards = store.ShardStore(str(tmp_path))
-    df = spark.createDataFrame([(1, 2020, 1.0), (1, 2021, 2.0)], "sec int, y int, v double")
-    shards.publish(df, ["sec", "y"])
-    spark.createDataFrame([(1, 2021, 9.0)], "sec int, y int, v double").write.mode("append").partitionBy("y").parquet(shards.data)
-    assert [r.y for r in shards.read(spark).collect()] == [2020]
-
-
 def test_day_pillars_advance_by_one(spark):
     df = spark.sql("select explode(sequence(date'2000-01-01', date'2000-03-30')) as d")
     rows = df.orderBy("d").select(pillars.cycle_index(F.col("d")).alias("i"), pillars.pillar_name(pillars.cycle_index(F.col("d"))).alias("n")).collect()

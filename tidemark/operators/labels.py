@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZONS = (1, 5, 10, 20, 60)
+#: Stored quarterly labels.
+QUARTERLY = "sec long, d date, origin string, ret_1d double, ret_5d double, ret_20d double, ret_60d double"
+MIN_BARS = 80
+
+
 def _ordered():
     return Window.partitionBy("sec").orderBy("d")
 
@@ -24,6 +29,30 @@ def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Da
     return out
 
 
+def quarterly(bars: DataFrame) -> DataFrame:
+    """sec, d, ret_1d, ret_5d, ret_20d, ret_60d of the first bar in each run of three months since a security's first; securities of MIN_BARS bars and more."""
+    whole = Window.partitionBy("sec")
+    first = F.min("d").over(whole)
+    months = (F.year("d") - F.year(first)) * 12 + F.month("d") - F.month(first)
+    held = bars.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("q", F.floor(months / 3))
+    out = forward_returns(held, (1, 5, 20, 60))
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("sec", "q").orderBy("d")))
+    return out.where(f"n >= {MIN_BARS} and nth = 1").select("sec", "d", *[f"ret_{h}d" for h in (1, 5, 20, 60)])
+
+
+def write_through(kept, bars: DataFrame) -> DataFrame:
+    """The stored labels of a :class:`~tidemark.sources.keyed.KeyedTable`, after those of securities it has none of were computed and stored.
+
+    Bars of securities with stored labels are not read for labels again.
+    """
+    known = kept.read().select("sec").distinct()
+    missing = quarterly(bars.join(known, "sec", "left_anti")).withColumn("origin", F.lit("computed"))
+    if missing.limit(1).count():
+        kept.upsert(missing)
+        kept.compact()
+    return kept.read()
+
+
 def excursions(bars: DataFrame, h: int) -> DataFrame:
     """mfe, mae: best high and worst low of the next h bars over close, less 1; null on shorter windows."""
     ahead = _ordered().rowsBetween(1, h)

@@ -220,19 +220,6 @@ def a14(spark, sf):
     return t.select("n", (F.round("mean", 7) + F.lit(0.0)).alias("mean"), (F.round("t", 5) + F.lit(0.0)).alias("t"))
 
 
-@query("d10_neutralization_matrix", f"""{with_sql('bars')}, {LABELS}, l AS (SELECT l.sec, l.d, b.volume, {_PART.replace(' d ', ' l.d ')} AS part, ret_5d, ret_20d FROM labels l JOIN bars b ON b.sec = l.sec AND b.d = l.d),
-o AS (SELECT part, d, obj, hit, h, r FROM (SELECT part, d, 'busy' AS obj, volume >= 30 AS hit, 5 AS h, ret_5d AS r FROM l UNION ALL SELECT part, d, 'busy', volume >= 30, 20, ret_20d FROM l UNION ALL SELECT part, d, 'quiet', volume < 10, 5, ret_5d FROM l UNION ALL SELECT part, d, 'quiet', volume < 10, 20, ret_20d FROM l) WHERE r IS NOT NULL),
-s AS (SELECT part, obj, h, d, avg(r) FILTER (WHERE hit) - avg(r) FILTER (WHERE NOT hit) AS spread FROM o GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5 AND count(*) FILTER (WHERE hit) > 0 AND count(*) FILTER (WHERE NOT hit) > 0)
-SELECT part, obj, h AS horizon, count(*) AS n, round(avg(spread), 8) + 0.0 AS mean FROM s GROUP BY 1, 2, 3""")
-def d10(spark, sf):
-    """Objects by partition by horizon in one grouped pass over unpivoted rows."""
-    l = labels.forward_returns(bars(spark, sf), (5, 20)).withColumn("part", partition_of())
-    o = l.selectExpr("part", "d", "volume", "stack(2, 5, ret_5d, 20, ret_20d) as (horizon, r)").selectExpr("part", "d", "horizon", "r", "stack(2, 'busy', volume >= 30, 'quiet', volume < 10) as (obj, hit)")
-    hit, rest = F.avg(F.when(F.col("hit"), F.col("r"))), F.avg(F.when(~F.col("hit"), F.col("r")))
-    s = o.where("r is not null").groupBy("part", "obj", "horizon", "d").agg(F.count(F.lit(1)).alias("rows_n"), hit.alias("a"), rest.alias("b")).where("rows_n >= 5 and a is not null and b is not null")
-    return s.groupBy("part", "obj", "horizon").agg(F.count(F.lit(1)).alias("n"), r8(F.avg(F.col("a") - F.col("b"))).alias("mean"))
-
-
 @query("d14_certification", f"""{with_sql('bars')} SELECT count(*) AS rows_n, count(*) FILTER (WHERE close <= 0 OR high <= 0 OR low <= 0) AS non_positive_ohlc, count(*) FILTER (WHERE high < close OR high < low) AS high_below_component, count(*) FILTER (WHERE low > close OR low > high) AS low_above_component,
 count(*) FILTER (WHERE volume < 0) AS negative_volume, CASE WHEN count(*) FILTER (WHERE close <= 0 OR volume < 0) > 0 THEN 'FAIL' WHEN count(*) FILTER (WHERE high < close - 0.000001) > 0 THEN 'PARTIAL' ELSE 'PASS' END AS verdict FROM (SELECT sec, d, volume, round(close, 9) AS close, round(high, 9) AS high, round(low, 9) AS low FROM bars)""")
 def d14(spark, sf):

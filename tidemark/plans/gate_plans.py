@@ -1,23 +1,33 @@
-"""Queries: the out-of-sample gates over factor hypotheses.
+"""Queries: studies of many hypotheses over one stored panel, and the out-of-sample gates.
 
 A hypothesis is a factor in a direction; its events are the securities and days
-observed so.  Returns are 20-day ones less the day's mean.  Controls are the
-same events moved by seven days and all rows that are no events.  One-sided p
-values are the logistic approximation of the normal tail of Welch's or the
-date-clustered t, standing for draws without number.
+observed so; those of direction 0 are exploratory and not gated.  Returns are
+20-day ones less the day's mean.  Controls are the same events moved by seven
+days and all rows that are no events; their one-sided p values are the logistic
+approximation of the normal tail of Welch's t.  Permutations and bootstraps are
+drawn, once for all hypotheses.
+
+The panel is built once and stored as cells: a row for each security and day
+that has a label, an event or a moved event.  All that the gates read are
+grouped sums over its cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import gates, statistics
+from tidemark.functions import seeds
+from tidemark.operators import families, gates, labels, statistics
+from tidemark.plans.label_plans import r8
 from tidemark.plans.registry import query
-from tidemark.plans.statistics_plans import _PANEL, _PART, _panel, partition_of
-from tidemark.sources.market import observations, universe, with_sql
+from tidemark.plans.statistics_plans import _PANEL, _PART, partition_of
+from tidemark.sources.market import adjustment, bars, observations, universe, with_sql
+from tidemark.sources.store import stored
 
 TRAIN_END = "1998-12-31"
+#: Draws of permutations and bootstraps, the earliest labelled events that a hypothesis is calibrated on, and the share of unadjusted events that degrades it.
+DRAWS, FIT_EVENTS, MAX_UNADJUSTED = 1000, 600, 0.095
 _TAIL = lambda t: f"(1 / (1 + exp(1.702 * ({t}))))"
 
 
@@ -25,98 +35,134 @@ def _tail(t):
     return 1 / (1 + F.exp(1.702 * t))
 
 
-_HYPOTHESES = f"""{_PANEL}, {with_sql('obs', 'universe')[5:]},
+_CELLS = f"""{_PANEL}, {with_sql('obs', 'universe', 'adj')[5:]},
 r AS (SELECT d, count(*) AS n, regr_slope(ret_20d, ln(amount)) AS b, regr_intercept(ret_20d, ln(amount)) AS a FROM p GROUP BY d HAVING count(*) >= 20 AND var_pop(ln(amount)) > 1e-12),
-x AS (SELECT p.sec, p.d, {_PART.replace(' d ', ' p.d ')} AS part, ret_20d - avg(ret_20d) OVER (PARTITION BY p.d) AS ex, ret_20d - avg(ret_20d) OVER (PARTITION BY p.d, board) AS seg, ret_20d - r.a - r.b * ln(amount) AS style FROM p JOIN universe USING (sec) LEFT JOIN r ON r.d = p.d),
-ev AS (SELECT DISTINCT factor_id || ':' || direction AS hyp, sec, d FROM obs WHERE direction <> 0),
-hit AS (SELECT hyp, x.* FROM ev JOIN x USING (sec, d)),
+ends AS (SELECT sec, d, lead(d, 20) OVER (PARTITION BY sec ORDER BY d) AS end_d FROM bars),
+x AS MATERIALIZED (SELECT p.sec, p.d, {_PART.replace(' d ', ' p.d ')} AS part, end_d, ret_20d - avg(ret_20d) OVER (PARTITION BY p.d) AS ex, ret_20d - avg(ret_20d) OVER (PARTITION BY p.d, board) AS seg, ret_20d - r.a - r.b * ln(amount) AS style FROM p JOIN universe USING (sec) JOIN ends ON ends.sec = p.sec AND ends.d = p.d LEFT JOIN r ON r.d = p.d),
+ev AS MATERIALIZED (SELECT DISTINCT factor_id || ':' || direction AS hyp, direction, sec, d FROM obs),
+hit AS MATERIALIZED (SELECT hyp, x.* FROM ev JOIN x USING (sec, d))"""
+_DRAWN = f"""{families.permutation_sql("(SELECT d, sec, ex AS value FROM x WHERE part = 'OOS')", "(SELECT hyp, d, sec FROM ev)", DRAWS, 11)},
+daily AS MATERIALIZED (SELECT hyp, d, avg(ex) AS value FROM hit WHERE part = 'OOS' GROUP BY 1, 2), {families.bootstrap_sql('daily', DRAWS, 13)}"""
+_HYPOTHESES = f"""{_CELLS}, {_DRAWN},
 tot AS (SELECT count(*) AS n, sum(ex) AS s, sum(ex * ex) AS ss FROM x WHERE part = 'OOS'),
-ecount AS (SELECT hyp, count(*) FILTER (WHERE {_PART} = 'OOS') AS oos_events, count(*) FILTER (WHERE {_PART} = 'VALIDATION') AS val_events FROM ev GROUP BY hyp),
-base AS (SELECT hyp, count(*) FILTER (WHERE part = 'OOS') AS oos_samples, avg(ex) FILTER (WHERE part = 'OOS') AS oos_mean, var_samp(ex) FILTER (WHERE part = 'OOS') AS oos_var, coalesce(sum(ex) FILTER (WHERE part = 'OOS'), 0) AS os, coalesce(sum(ex * ex) FILTER (WHERE part = 'OOS'), 0) AS oss, avg(ex) FILTER (WHERE part = 'VALIDATION') AS val_mean, max(d) FILTER (WHERE part = 'TRAIN') AS fit_max FROM hit GROUP BY hyp),
+ecount AS (SELECT hyp, max(direction) <> 0 AS is_gated, count(*) FILTER (WHERE {_PART} = 'OOS') AS oos_events, count(*) FILTER (WHERE {_PART} = 'VALIDATION') AS val_events, bool_and(board IS NOT NULL) AS data_is_real,
+  avg(CASE WHEN factor IS NULL THEN 1.0 ELSE 0 END) FILTER (WHERE {_PART} = 'OOS') > {MAX_UNADJUSTED} AS degraded FROM ev LEFT JOIN universe USING (sec) LEFT JOIN adj USING (sec, d) GROUP BY hyp),
+fit AS (SELECT hyp, max(end_d) AS fit_max, bool_and(part = 'TRAIN') AS train_only FROM (SELECT *, row_number() OVER (PARTITION BY hyp ORDER BY d, sec) AS nth FROM hit) WHERE nth <= {FIT_EVENTS} GROUP BY hyp),
+base AS (SELECT hyp, count(*) FILTER (WHERE part = 'OOS') AS oos_samples, avg(ex) FILTER (WHERE part = 'OOS') AS oos_mean, var_samp(ex) FILTER (WHERE part = 'OOS') AS oos_var, coalesce(sum(ex) FILTER (WHERE part = 'OOS'), 0) AS os, coalesce(sum(ex * ex) FILTER (WHERE part = 'OOS'), 0) AS oss, avg(ex) FILTER (WHERE part = 'VALIDATION') AS val_mean FROM hit GROUP BY hyp),
 rest AS (SELECT hyp, tot.n - oos_samples AS rn, CASE WHEN tot.n > oos_samples THEN (tot.s - os) / (tot.n - oos_samples) END AS rmean, CASE WHEN tot.n > oos_samples + 1 THEN ((tot.ss - oss) - (tot.s - os) * (tot.s - os) / (tot.n - oos_samples)) / (tot.n - oos_samples - 1) END AS rvar FROM base, tot),
 moved AS (SELECT hyp, sec, d + 7 AS d FROM ev),
 mcount AS (SELECT m.hyp, count(*) AS keys, count(ev.sec) AS both_keys FROM moved m LEFT JOIN ev ON ev.hyp = m.hyp AND ev.sec = m.sec AND ev.d = m.d WHERE {_PART.replace(' d ', ' m.d ')} = 'OOS' GROUP BY m.hyp),
 mstat AS (SELECT hyp, count(*) AS mn, avg(ex) AS mmean, var_samp(ex) AS mvar FROM moved JOIN x USING (sec, d) WHERE part = 'OOS' GROUP BY hyp),
 years AS (SELECT hyp, count(*) AS years, avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END) AS positive_ratio, greatest(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN m < 0 THEN 1.0 ELSE 0 END)) AS sign_consistency FROM (SELECT hyp, year(d) AS y, avg(ex) AS m FROM hit GROUP BY 1, 2) GROUP BY hyp),
 names AS (SELECT n.hyp, max(abs(s)) / sum(abs(s)) AS top1, count(*) FILTER (WHERE oos_samples > c AND sign(os - s) <> sign(os)) AS loo_flips FROM (SELECT hyp, sec, sum(ex) AS s, count(*) AS c FROM hit WHERE part = 'OOS' GROUP BY 1, 2) n JOIN base USING (hyp) GROUP BY n.hyp),
-dates AS (SELECT hyp, count(*) AS k, avg(m) AS raw_effect, stddev_samp(m) AS sd, avg(style) AS style_neutral, avg(seg) AS segment_neutral FROM (SELECT hyp, d, avg(ex) AS m, avg(style) AS style, avg(seg) AS seg FROM hit WHERE part = 'OOS' GROUP BY 1, 2) GROUP BY hyp),
-joined AS (SELECT e.hyp, true AS data_is_real, oos_events, coalesce(oos_samples, 0) AS oos_samples, oos_mean, val_events, val_mean,
+dates AS (SELECT hyp, avg(m) AS raw_effect, avg(style) AS style_neutral, avg(seg) AS segment_neutral FROM (SELECT hyp, d, avg(ex) AS m, avg(style) AS style, avg(seg) AS seg FROM hit WHERE part = 'OOS' GROUP BY 1, 2) GROUP BY hyp),
+joined AS (SELECT e.hyp, is_gated, data_is_real, degraded, oos_events, coalesce(oos_samples, 0) AS oos_samples, oos_mean, val_events, val_mean,
   CASE WHEN oos_samples > 1 AND rn > 1 THEN (oos_mean - rmean) / sqrt(((oos_samples - 1) * oos_var + (rn - 1) * rvar) / (oos_samples + rn - 2)) END AS cohen_d,
   coalesce(mn, 0) AS mn, mmean, CASE WHEN oos_events + keys - both_keys > 0 THEN both_keys / (oos_events + keys - both_keys) END AS mjac, CASE WHEN oos_var + mvar > 0 THEN {_TAIL('(oos_mean - mmean) / sqrt(oos_var / oos_samples + mvar / mn)')} END AS mp,
   coalesce(rn, 0) AS rn, rmean, CASE WHEN oos_var + rvar > 0 THEN {_TAIL('(oos_mean - rmean) / sqrt(oos_var / oos_samples + rvar / rn)')} END AS rp,
-  years, positive_ratio, sign_consistency, top1, loo_flips, fit_max, raw_effect - 1.96 * sd / sqrt(k) AS ci_lower, raw_effect + 1.96 * sd / sqrt(k) AS ci_upper, CASE WHEN sd > 0 THEN {_TAIL('raw_effect / (sd / sqrt(k))')} END AS perm_p, raw_effect, style_neutral, segment_neutral
-  FROM ecount e LEFT JOIN base USING (hyp) LEFT JOIN rest USING (hyp) LEFT JOIN mcount USING (hyp) LEFT JOIN mstat USING (hyp) LEFT JOIN years USING (hyp) LEFT JOIN names USING (hyp) LEFT JOIN dates USING (hyp)),
-ranked AS (SELECT *, count(rp) OVER () AS m, row_number() OVER (PARTITION BY rp IS NOT NULL ORDER BY rp, hyp) AS rk FROM joined),
-h AS (SELECT *, CASE WHEN rp IS NOT NULL THEN least(1.0, min(rp * m / rk) OVER (PARTITION BY rp IS NOT NULL ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) END AS q,
+  years, positive_ratio, sign_consistency, top1, loo_flips, fit_max, train_only, ci_lower, ci_upper, p_upper AS perm_p, coalesce(perm_n, 0) AS perm_n, raw_effect, style_neutral, segment_neutral
+  FROM ecount e LEFT JOIN fit USING (hyp) LEFT JOIN base USING (hyp) LEFT JOIN rest USING (hyp) LEFT JOIN mcount USING (hyp) LEFT JOIN mstat USING (hyp) LEFT JOIN years USING (hyp) LEFT JOIN names USING (hyp) LEFT JOIN dates USING (hyp) LEFT JOIN perm USING (hyp) LEFT JOIN boot USING (hyp)),
+ranked AS (SELECT *, count(perm_p) OVER () AS m, row_number() OVER (PARTITION BY perm_p IS NOT NULL ORDER BY perm_p, hyp) AS rk FROM joined),
+h AS (SELECT *, CASE WHEN perm_p IS NOT NULL THEN least(1.0, min(perm_p * m / rk) OVER (PARTITION BY perm_p IS NOT NULL ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) END AS q,
   (CASE WHEN mn >= 20 THEN 1 ELSE 0 END + CASE WHEN rn >= 20 THEN 1 ELSE 0 END) AS decisive, (CASE WHEN mn >= 20 AND oos_mean > mmean THEN 1 ELSE 0 END + CASE WHEN rn >= 20 AND oos_mean > rmean THEN 1 ELSE 0 END) AS beaten,
   coalesce(mjac > 0.9, false) AS invalid, least(CASE WHEN mn >= 20 THEN mp END, CASE WHEN rn >= 20 THEN rp END) AS best_p FROM ranked),
 c AS (SELECT *, coalesce(oos_events >= 100 AND oos_samples > 0, false) AS events, coalesce(val_events >= 60, false) AS validation, NOT invalid AND decisive > 0 AS control_valid,
   coalesce(sign(oos_mean) = sign(val_mean) AND oos_mean <> 0 AND val_events >= 60, false) AS direction, decisive > 0 AND beaten = decisive AS beats, coalesce(best_p < 0.05, false) AS significance,
-  coalesce(years >= 3 AND positive_ratio >= 0.6 AND sign_consistency >= 0.6, false) AS stable, coalesce(top1 <= 0.5 AND loo_flips = 0, false) AS not_single, coalesce(fit_max <= DATE '{TRAIN_END}', false) AS calibrated FROM h)"""
+  coalesce(years >= 3 AND positive_ratio >= 0.6 AND sign_consistency >= 0.6, false) AS stable, coalesce(top1 <= 0.5 AND loo_flips = 0, false) AS not_single, coalesce(train_only AND fit_max <= DATE '{TRAIN_END}', false) AS calibrated FROM h)"""
+
+
+def cells(spark, sf) -> DataFrame:
+    """sec, d, part, end_d, ex, seg, style, hyps, moved, known, adjusted: stored once, for all that follows.
+
+    ``ex``, ``seg`` and ``style`` are the 20-day return less the day's mean, less the mean of day
+    and board, and its residual on log amount; null where there is no label.  ``hyps`` and ``moved``
+    are arrays of the hypotheses with an event, or one moved by seven days, there.  Labels, events
+    and moved events meet in one grouping by security and day, without a join among them.
+    """
+    b = bars(spark, sf)
+    u = universe(spark, sf).select("sec", "board")
+    p = labels.forward_returns(b, (20,)).withColumn("end_d", F.lead("d", 20).over(Window.partitionBy("sec").orderBy("d"))).where("ret_20d is not null")
+    p = statistics.residuals(p.withColumn("lx", F.log("amount")), "ret_20d", "lx").join(u, "sec")
+    mean = lambda *keys: F.avg("ret_20d").over(Window.partitionBy(*keys))
+    none = lambda kind: F.lit(None).cast(kind)
+    nothing = F.array().cast("array<string>")
+    x = p.select("sec", "d", "end_d", (F.col("ret_20d") - mean("d")).alias("ex"), (F.col("ret_20d") - mean("d", "board")).alias("seg"), F.col("residual").alias("style"), nothing.alias("hyps"), nothing.alias("moved"), none("boolean").alias("adjusted"))
+    name = F.concat_ws(":", "factor_id", F.col("direction").cast("string"))
+    ev = observations(spark, sf).where("factor_id is not null and direction is not null").groupBy("sec", "d").agg(F.sort_array(F.collect_set(name)).alias("hyps"))
+    blank = [none("date").alias("end_d"), *[none("double").alias(c) for c in ("ex", "seg", "style")]]
+    here = ev.select("sec", "d", *blank, "hyps", nothing.alias("moved"), none("boolean").alias("adjusted"))
+    there = ev.select("sec", F.date_add("d", 7).alias("d"), *blank, nothing.alias("hyps"), F.col("hyps").alias("moved"), none("boolean").alias("adjusted"))
+    factors = adjustment(spark, sf).select("sec", "d", *blank, nothing.alias("hyps"), nothing.alias("moved"), F.lit(True).alias("adjusted"))
+    met = x.unionByName(here).unionByName(there).unionByName(factors).groupBy("sec", "d").agg(
+        *[F.max(c).alias(c) for c in ("end_d", "ex", "seg", "style", "hyps", "moved")], F.coalesce(F.max("adjusted"), F.lit(False)).alias("adjusted")
+    )
+    met = met.where("ex is not null or size(hyps) > 0 or size(moved) > 0").join(u.select("sec", F.lit(True).alias("known")), "sec", "left")
+    return stored(met.withColumn("part", partition_of()), "study-cells")
 
 
-def hypotheses(spark, sf):
+def hypotheses(spark, sf) -> DataFrame:
     """A row for each hypothesis with what both gates read; the hypotheses are few, their events and the panel are not."""
+    c = cells(spark, sf)
     oos = F.col("part") == "OOS"
-    p = statistics.residuals(_panel(spark, sf).withColumn("lx", F.log("amount")), "ret_20d", "lx").join(universe(spark, sf).select("sec", "board"), "sec")
-    mean = lambda *keys: F.avg("ret_20d").over(Window.partitionBy(*keys))
-    x = p.select("sec", "d", partition_of().alias("part"), (F.col("ret_20d") - mean("d")).alias("ex"), (F.col("ret_20d") - mean("d", "board")).alias("seg"), F.col("residual").alias("style"))
-    ev = observations(spark, sf).where("direction != 0").select(F.concat_ws(":", "factor_id", F.col("direction").cast("string")).alias("hyp"), "sec", "d").distinct()
-    hit = ev.join(x, ["sec", "d"])
     only = lambda c, cond=oos: F.when(cond, c)
     ex = F.col("ex")
+    x = c.where("ex is not null")
+    ev = c.select("*", F.explode("hyps").alias("hyp")).drop("hyps")
+    hit = ev.where("ex is not null")
     tot = x.where(oos).agg(F.count(F.lit(1)).alias("n"), F.sum("ex").alias("s"), F.sum(ex * ex).alias("ss"))
-    ecount = ev.withColumn("part", partition_of()).groupBy("hyp").agg(F.count_if(oos).alias("oos_events"), F.count_if(F.col("part") == "VALIDATION").alias("val_events"))
-    base = hit.groupBy("hyp").agg(
+    unadjusted = F.avg(only((~F.col("adjusted")).cast("double"))) > MAX_UNADJUSTED
+    base = ev.groupBy("hyp").agg(
+        F.count_if(oos).alias("oos_events"), F.count_if(F.col("part") == "VALIDATION").alias("val_events"), F.bool_and(F.col("known").isNotNull()).alias("data_is_real"), unadjusted.alias("degraded"),
         F.count(only(ex)).alias("oos_samples"), F.avg(only(ex)).alias("oos_mean"), F.var_samp(only(ex)).alias("oos_var"), F.coalesce(F.sum(only(ex)), F.lit(0.0)).alias("os"),
-        F.coalesce(F.sum(only(ex * ex)), F.lit(0.0)).alias("oss"), F.avg(only(ex, F.col("part") == "VALIDATION")).alias("val_mean"), F.max(only(F.col("d"), F.col("part") == "TRAIN")).alias("fit_max"),
+        F.coalesce(F.sum(only(ex * ex)), F.lit(0.0)).alias("oss"), F.avg(only(ex, F.col("part") == "VALIDATION")).alias("val_mean"),
     )
+    earliest = hit.withColumn("nth", F.row_number().over(Window.partitionBy("hyp").orderBy("d", "sec"))).where(F.col("nth") <= FIT_EVENTS)
+    digest = F.sha2(F.concat_ws(":", "hyp", F.count(F.lit(1)), F.sum(F.xxhash64("sec", "d").cast("decimal(38,0)"))), 256)
+    fit = earliest.groupBy("hyp").agg(F.max("end_d").alias("fit_max"), F.when(F.bool_and(F.col("part") == "TRAIN"), "TRAIN_ONLY").otherwise("MIXED").alias("fit_scope"), digest.alias("fit_hash"))
     rn, rs = F.col("n") - F.col("oos_samples"), F.col("s") - F.col("os")
     base = base.crossJoin(F.broadcast(tot)).select(  # one row
         *base.columns, rn.alias("rn"), F.when(rn > 0, rs / rn).alias("rmean"), F.when(rn > 1, (F.col("ss") - F.col("oss") - rs * rs / rn) / (rn - 1)).alias("rvar")
     )
-    moved = ev.select("hyp", "sec", F.date_add("d", 7).alias("d"))
-    mcount = moved.where(partition_of() == "OOS").join(ev.withColumn("seen", F.lit(1)), ["hyp", "sec", "d"], "left").groupBy("hyp").agg(F.count(F.lit(1)).alias("keys"), F.count("seen").alias("both_keys"))
-    mstat = moved.join(x.where(oos), ["sec", "d"]).groupBy("hyp").agg(F.count(F.lit(1)).alias("mn"), F.avg("ex").alias("mmean"), F.var_samp("ex").alias("mvar"))
+    moved = c.where(oos).select("ex", "hyps", F.explode("moved").alias("hyp"))
+    mstat = moved.groupBy("hyp").agg(
+        F.count(F.lit(1)).alias("keys"), F.count_if(F.expr("array_contains(hyps, hyp)")).alias("both_keys"), F.count("ex").alias("mn"), F.avg("ex").alias("mmean"), F.var_samp("ex").alias("mvar")
+    )
     up, down = (F.avg(c.cast("double")) for c in (F.col("m") > 0, F.col("m") < 0))
     years = hit.groupBy("hyp", F.year("d").alias("y")).agg(F.avg("ex").alias("m")).groupBy("hyp").agg(F.count(F.lit(1)).alias("years"), up.alias("positive_ratio"), F.greatest(up, down).alias("sign_consistency"))
     names = hit.where(oos).groupBy("hyp", "sec").agg(F.sum("ex").alias("s"), F.count(F.lit(1)).alias("c")).join(base.select("hyp", "os", "oos_samples"), "hyp")
     flips = F.count_if((F.col("oos_samples") > F.col("c")) & (F.signum(F.col("os") - F.col("s")) != F.signum("os")))
     names = names.groupBy("hyp").agg((F.max(F.abs("s")) / F.sum(F.abs("s"))).alias("top1"), flips.alias("loo_flips"))
-    daily = hit.where(oos).groupBy("hyp", "d").agg(F.avg("ex").alias("m"), F.avg("style").alias("style"), F.avg("seg").alias("seg"))
-    dates = daily.groupBy("hyp").agg(F.count(F.lit(1)).alias("k"), F.avg("m").alias("raw_effect"), F.stddev_samp("m").alias("sd"), F.avg("style").alias("style_neutral"), F.avg("seg").alias("segment_neutral"))
-    j = ecount
-    for other in (base, mcount, mstat, years, names, dates):
+    daily = stored(hit.where(oos).groupBy("hyp", "d").agg(F.avg("ex").alias("value"), F.avg("style").alias("style"), F.avg("seg").alias("seg")), "study-daily")
+    dates = daily.groupBy("hyp").agg(F.avg("value").alias("raw_effect"), F.avg("style").alias("style_neutral"), F.avg("seg").alias("segment_neutral"))
+    drawn = families.permutation_p(families.permutations(x.where(oos).select("d", "sec", ex.alias("value"), "hyps"), DRAWS, 11))
+    j = base
+    for other in (fit, mstat, years, names, dates, drawn.select("hyp", F.col("p_upper").alias("perm_p"), "p_family", "perm_n"), families.bootstrap(daily, DRAWS, 13)):
         j = j.join(other, "hyp", "left")
     n, v = F.col("oos_samples"), F.col("oos_var")
     against = lambda m, var, k: F.when(v + F.col(var) > 0, _tail((F.col("oos_mean") - F.col(m)) / F.sqrt(v / n + F.col(var) / F.col(k))))
     pooled = F.sqrt(((n - 1) * v + (F.col("rn") - 1) * F.col("rvar")) / (n + F.col("rn") - 2))
     union = F.col("oos_events") + F.col("keys") - F.col("both_keys")
-    none = F.lit(None).cast("double")
     moved_control = F.struct(F.lit("shifted").alias("kind"), F.coalesce("mn", F.lit(0)).alias("n"), F.col("mmean").alias("mean"), F.when(union > 0, F.col("both_keys") / union).alias("jaccard"), against("mmean", "mvar", "mn").alias("p"))
-    rest_control = F.struct(F.lit("rest").alias("kind"), F.coalesce("rn", F.lit(0)).alias("n"), F.col("rmean").alias("mean"), none.alias("jaccard"), F.col("rp").alias("p"))
-    half = 1.96 * F.col("sd") / F.sqrt("k")
-    j = j.withColumn("rp", against("rmean", "rvar", "rn"))
-    j = statistics.benjamini_hochberg(j.withColumn("family", F.lit("all")), "family", "rp")
+    rest_control = F.struct(F.lit("rest").alias("kind"), F.coalesce("rn", F.lit(0)).alias("n"), F.col("rmean").alias("mean"), F.lit(None).cast("double").alias("jaccard"), against("rmean", "rvar", "rn").alias("p"))
+    j = statistics.benjamini_hochberg(j.withColumn("family", F.lit("all")), "family", "perm_p")
+    problems = F.array_compact(F.array(F.when(F.col("degraded"), "DEGRADED_ADJUSTMENT"), F.when(F.col("fit_scope") != "TRAIN_ONLY", "calibrated beyond the training years")))
     return j.select(
-        "hyp", F.lit(True).alias("data_is_real"), F.lit(True).alias("is_gated"), F.array().cast("array<string>").alias("problems"), "oos_events", n.alias("oos_samples"), "oos_mean", "val_events", "val_mean",
+        "hyp", "data_is_real", (~F.col("hyp").endswith(":0")).alias("is_gated"), problems.alias("problems"), "oos_events", n.alias("oos_samples"), "oos_mean", "val_events", "val_mean",
         F.when((n > 1) & (F.col("rn") > 1), (F.col("oos_mean") - F.col("rmean")) / pooled).alias("cohen_d"), F.array(moved_control, rest_control).alias("controls"), "years", "positive_ratio", "sign_consistency",
-        "top1", "loo_flips", "fit_max", F.lit("TRAIN_ONLY").alias("fit_scope"), F.sha2(F.concat_ws(":", "hyp", F.col("fit_max").cast("string")), 256).alias("fit_hash"), "q",
-        (F.col("raw_effect") - half).alias("ci_lower"), (F.col("raw_effect") + half).alias("ci_upper"), F.when(F.col("sd") > 0, _tail(F.col("raw_effect") / (F.col("sd") / F.sqrt("k")))).alias("perm_p"),
-        F.lit(gates.MIN_DRAWS).alias("perm_n"), "raw_effect", "style_neutral", "segment_neutral",
+        "top1", "loo_flips", "fit_max", "fit_scope", "fit_hash", "q", "ci_lower", "ci_upper", "perm_p", "p_family", F.coalesce("perm_n", F.lit(0)).alias("perm_n"), "raw_effect", "style_neutral", "segment_neutral",
     )
 
 
-@query("d04_oos_gate", f"""{_HYPOTHESES}, k AS (SELECT *, true AS g1, events AS g2, validation AS g2b, control_valid AS g3, direction AS g4, beats AS g5, coalesce(abs(cohen_d) >= 0.02, false) AS g6, significance AS g7, stable AS g8, not_single AS g9, calibrated AS g10 FROM c)
-SELECT hyp, g1, g2, g2b, g3, g4, g5, g6, g7, g8, g9, g10, CASE WHEN oos_events = 0 OR oos_samples = 0 THEN 'NOT_RUN' WHEN oos_samples < 8 OR NOT g2 THEN 'INSUFFICIENT_SAMPLE' WHEN invalid THEN 'INVALID_CONTROL' WHEN decisive = 0 THEN 'INCONCLUSIVE'
+@query("d04_oos_gate", f"""{_HYPOTHESES}, k AS (SELECT *, data_is_real AS g1, events AS g2, validation AS g2b, control_valid AS g3, direction AS g4, beats AS g5, coalesce(abs(cohen_d) >= 0.02, false) AS g6, significance AS g7, stable AS g8, not_single AS g9, calibrated AS g10 FROM c)
+SELECT hyp, g1, g2, g2b, g3, g4, g5, g6, g7, g8, g9, g10, CASE WHEN NOT data_is_real THEN 'NO_REAL_DATA' WHEN oos_events = 0 OR oos_samples = 0 THEN 'NOT_RUN' WHEN oos_samples < 8 OR NOT g2 THEN 'INSUFFICIENT_SAMPLE' WHEN invalid THEN 'INVALID_CONTROL' WHEN decisive = 0 THEN 'INCONCLUSIVE'
 WHEN NOT g5 AND beaten = 0 THEN 'NO_SIGNAL' WHEN NOT g5 OR NOT g4 OR NOT g10 THEN 'INCONCLUSIVE' WHEN NOT (g6 AND g7 AND g8 AND g9) THEN 'WEAK_EVIDENCE' ELSE 'OOS_CANDIDATE_SUPPORTED' END AS status FROM k""")
 def d04(spark, sf):
     return gates.oos_gate(hypotheses(spark, sf), "hyp", TRAIN_END)
 
 
 @query("d05_gate_checks", f"""{_HYPOTHESES}, k AS (SELECT *, events AS a, validation AS a2, control_valid AS b, direction AS cc, beats AS dd, coalesce(abs(cohen_d) >= 0.02 AND abs(oos_mean) >= 0.02, false) AS e, coalesce(q <= 0.05, false) AS f, coalesce(ci_lower > 0, false) AS g,
-coalesce(perm_p <= 0.05, false) AS hh, stable AS i, not_single AS j, coalesce(style_neutral > 0 AND raw_effect <> 0 AND style_neutral / raw_effect >= 0.5, false) AND coalesce(segment_neutral > 0, true) AS kk FROM c)
-SELECT hyp, a, a2, b, cc AS c, dd AS d, e, f, g, hh AS h, i, j, kk AS k, true AS l, CASE WHEN oos_events = 0 OR oos_samples = 0 THEN 'NOT_RUN' WHEN oos_samples < 8 OR NOT a THEN 'INSUFFICIENT_SAMPLE' WHEN invalid THEN 'INVALID_CONTROL' WHEN decisive = 0 THEN 'INCONCLUSIVE'
-WHEN NOT dd AND beaten = 0 THEN 'NO_SIGNAL' WHEN NOT dd OR NOT cc THEN 'INCONCLUSIVE' WHEN NOT (e AND f AND g AND hh AND i AND j AND kk) THEN 'WEAK_EVIDENCE' ELSE 'SUPPORTED_OUT_OF_SAMPLE' END AS status FROM k""")
+coalesce(perm_n >= 1000 AND perm_p <= 0.05, false) AS hh, stable AS i, not_single AS j, coalesce(style_neutral > 0 AND raw_effect <> 0 AND style_neutral / raw_effect >= 0.5, false) AND coalesce(segment_neutral > 0, true) AS kk, data_is_real AND NOT coalesce(degraded, false) AS ll FROM c)
+SELECT hyp, a, a2, b, cc AS c, dd AS d, e, f, g, hh AS h, i, j, kk AS k, ll AS l, CASE WHEN NOT is_gated THEN 'EXPLORATORY_NOT_GATED' WHEN NOT data_is_real THEN 'NO_REAL_DATA' WHEN oos_events = 0 OR oos_samples = 0 THEN 'NOT_RUN' WHEN oos_samples < 8 OR NOT a THEN 'INSUFFICIENT_SAMPLE' WHEN invalid THEN 'INVALID_CONTROL' WHEN decisive = 0 THEN 'INCONCLUSIVE'
+WHEN NOT dd AND beaten = 0 THEN 'NO_SIGNAL' WHEN NOT dd OR NOT cc THEN 'INCONCLUSIVE' WHEN NOT (e AND f AND g AND hh AND i AND j AND kk AND ll) THEN 'WEAK_EVIDENCE' ELSE 'SUPPORTED_OUT_OF_SAMPLE' END AS status FROM k""")
 def d05(spark, sf):
     return gates.gate_v2(hypotheses(spark, sf), "hyp", TRAIN_END)

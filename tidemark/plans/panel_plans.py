@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import seeds
-from tidemark.operators import events, labels, resample, statistics
+from tidemark.functions import digests, seeds
+from tidemark.operators import events, labels, resample, splices, statistics
 from tidemark.operators.asof import asof_join
 from tidemark.plans.label_plans import LABELS, r8
 from tidemark.plans.registry import query
 from tidemark.plans.statistics_plans import _PANEL, _PART, _panel, partition_of
+from tidemark.sources import keyed
 from tidemark.sources.market import bars, benchmark, observations, table, trading_days, universe, with_sql
+from tidemark.sources.store import scratch
 
 
 @query("a22_cohen_d", f"{_PANEL}, s AS (SELECT year(d) AS y, count(*) FILTER (WHERE hit) AS n1, count(*) FILTER (WHERE NOT hit) AS n0, avg(ret_20d) FILTER (WHERE hit) AS m1, avg(ret_20d) FILTER (WHERE NOT hit) AS m0, var_samp(ret_20d) FILTER (WHERE hit) AS v1, var_samp(ret_20d) FILTER (WHERE NOT hit) AS v0 FROM p GROUP BY 1) SELECT CAST(y AS INT) AS y, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 7) + 0.0 AS cohen_d FROM s WHERE n1 > 1 AND n0 > 1")
@@ -189,50 +191,53 @@ def d07(spark, sf):
     return s.select("sec", F.when(F.col("n") == 0, "DATA_MISSING").when(F.col("hits") == 0, "NO_MATCHING").when(F.col("hits") < 30, "INSUFFICIENT").otherwise("EXPLORATORY").alias("status"))
 
 
-@query("d09_run_hypothesis")
-def d09(spark, sf):
-    """Partition statistics of a hypothesis beside its permutation p value."""
-    p = _panel(spark, sf).withColumn("part", partition_of())
-    stats = p.where("hit").groupBy("part").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("ret_20d")).alias("mean_ret"))
-    test = resample.permutation_test(p.where("part = 'OOS'").select("d", "hit", F.col("ret_20d").alias("value")), draws=1000, seed=3)
-    return stats.crossJoin(F.broadcast(test.select("p_upper")))  # one row
-
-
-@query("d11_label_end_isolation", f"{with_sql('bars')}, {LABELS}, e AS (SELECT l.*, lead(d, 20) OVER (PARTITION BY sec ORDER BY d) AS end_d FROM labels l), q AS (SELECT {_PART} AS part, {_PART.replace('d BETWEEN', 'end_d BETWEEN')} AS end_part, ret_20d FROM e WHERE ret_20d IS NOT NULL) SELECT part, count(*) AS n, count(*) FILTER (WHERE part = end_part) AS isolated FROM q GROUP BY part")
-def d11(spark, sf):
-    """Rows whose label ends in the partition it starts in; the others leak and are left out of studies."""
-    e = labels.forward_returns(bars(spark, sf), (20,)).withColumn("end_d", F.lead("d", 20).over(Window.partitionBy("sec").orderBy("d"))).where("ret_20d is not null")
-    q = e.select(F.expr(_PART).alias("part"), F.expr(_PART.replace("d BETWEEN", "end_d BETWEEN")).alias("end_part"))
-    return q.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") == F.col("end_part")).alias("isolated"))
-
-
-@query("d13_model_contrast", f"{_PANEL}, a AS (SELECT d, avg(ret_20d) FILTER (WHERE volume >= 30) AS ma, avg(ret_20d) FILTER (WHERE volume < 15) AS mb FROM (SELECT p.d, ret_20d, b.volume FROM p JOIN bars b USING (sec, d)) GROUP BY d) SELECT count(*) AS dates, round(avg(ma - mb), 8) + 0.0 AS mean_diff FROM a WHERE ma IS NOT NULL AND mb IS NOT NULL")
-def d13(spark, sf):
-    a = _panel(spark, sf).groupBy("d").agg(F.avg(F.when(F.col("volume") >= 30, F.col("ret_20d"))).alias("a"), F.avg(F.when(F.col("volume") < 15, F.col("ret_20d"))).alias("b"))
-    return a.where("a is not null and b is not null").agg(F.count(F.lit(1)).alias("dates"), r8(F.avg(F.col("a") - F.col("b"))).alias("mean_diff"))
-
-
-@query("d15_scope_certificate", f"{with_sql('bars', 'days')}, s AS (SELECT sec, count(*) AS n, min(d) AS a, max(d) AS z FROM bars GROUP BY sec) SELECT sec, n, n = (SELECT count(*) FROM days WHERE days.d BETWEEN s.a AND s.z) AS exact_dates FROM s")
+@query("d15_scope_certificate", f"""{with_sql('bars', 'days')}, s AS (SELECT sec, count(*) AS n, min(d) AS a, max(d) AS z, bool_and(round(high, 9) >= round(low, 9) AND round(low, 9) > 0 AND round(close, 9) <= round(high, 9) AND round(close, 9) >= round(low, 9)) AS ohlc FROM bars GROUP BY sec)
+SELECT sec, n, n = (SELECT count(*) FROM days WHERE days.d BETWEEN s.a AND s.z) AS exact_dates, ohlc, n >= 80 AND z <= DATE '2001-11-01' AS mature, sec % 9 <> 0 AS pinned FROM s""")
 def d15(spark, sf):
-    """Whether a security has a bar on every calendar day between its first and last: by calendar ordinals."""
+    """A security's certificate: a bar on every trading day of its span, prices in order, a label window that has ended, and rows that give the pinned digest."""
     days = trading_days(spark, sf).withColumn("k", F.lit(1)).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("d")))
-    b = bars(spark, sf).join(days, "d").groupBy("sec").agg(F.count(F.lit(1)).alias("n"), (F.max("i") - F.min("i") + 1).alias("span"))
-    return b.select("sec", "n", (F.col("n") == F.col("span")).alias("exact_dates"))
+    b = bars(spark, sf).select("sec", "d", *[F.round(c, 9).alias(c) for c in ("close", "high", "low")])
+    pins = digests.shard_digests(b, "sec").withColumnRenamed("digest", "pin")
+    later = b.withColumn("close", F.when((F.col("sec") % 9 == 0) & (F.col("d") == F.min("d").over(Window.partitionBy("sec"))), -F.col("close")).otherwise(F.col("close")))  # one value changed
+    ordered = (F.col("high") >= F.col("low")) & (F.col("low") > 0) & F.abs("close").between(F.col("low"), F.col("high"))
+    c = later.join(days, "d").groupBy("sec").agg(F.count(F.lit(1)).alias("n"), (F.max("i") - F.min("i") + 1).alias("span"), F.bool_and(ordered).alias("ohlc"), F.max("d").alias("z"))
+    c = c.join(digests.shard_digests(later, "sec"), "sec").join(pins, "sec")
+    mature = (F.col("n") >= 80) & (F.col("z") <= F.to_date(F.lit("2001-11-01")))
+    return c.select("sec", "n", (F.col("n") == F.col("span")).alias("exact_dates"), "ohlc", mature.alias("mature"), (F.col("digest") == F.col("pin")).alias("pinned"))
+
+
+@query("c06_panel_splice", f"""{with_sql('bars', 'universe')}, grid AS (SELECT CAST(g AS DATE) AS d FROM unnest(generate_series(DATE '1996-01-01', DATE '2001-01-01', INTERVAL 6 MONTH)) t(g)),
+old AS (SELECT u.sec, grid.d, m, u.sec * 1.5::DOUBLE + m AS v FROM universe u, grid, range(3) t(m) WHERE list_date <= grid.d AND (delist_date IS NULL OR grid.d <= delist_date)),
+new AS (SELECT sec, d, m, v * 2 AS v FROM old WHERE sec % 7 = 3 AND NOT (sec % 21 = 3 AND d = DATE '1999-01-01' AND m = 1)),
+bad AS (SELECT sec FROM old LEFT JOIN new USING (sec, d, m) WHERE sec % 7 = 3 GROUP BY 1 HAVING count(*) <> count(new.v))
+SELECT sec, d, CAST(m AS INT) AS model, round(CASE WHEN sec % 7 = 3 AND sec NOT IN (SELECT sec FROM bad) THEN v * 2 ELSE v END, 6) AS v, sec % 7 = 3 AND sec NOT IN (SELECT sec FROM bad) AS replaced, sec IN (SELECT sec FROM bad) AS refused FROM old""")
+def c06(spark, sf):
+    """Recomputed securities take the place of the old ones where their rows are those of three models on every date of the grid at which they are members; others stay, and are marked."""
+    u = universe(spark, sf)
+    grid = spark.sql("select explode(sequence(date'1996-01-01', date'2001-01-01', interval 6 month)) as d")
+    eligible = u.crossJoin(F.broadcast(grid)).where("list_date <= d and (delist_date is null or d <= delist_date)").select("sec", "d")  # eleven dates
+    old = eligible.withColumn("model", F.explode(F.array(*[F.lit(m) for m in range(3)]))).withColumn("v", F.col("sec") * 1.5 + F.col("model"))
+    new = old.where("sec % 7 = 3 and not (sec % 21 = 3 and d = date'1999-01-01' and model = 1)").withColumn("v", F.col("v") * 2)
+    out = splices.spliced(old, new, eligible, models=3)
+    return out.select("sec", "d", "model", F.round("v", 6).alias("v"), "replaced", "refused")
 
 
-@query("c06_panel_splice", "WITH o AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer), n AS (SELECT c_custkey AS k, round(c_acctbal * 2, 2) AS v FROM customer WHERE c_nationkey = 3) SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)")
-def c06(spark, sf):
-    c = table(spark, sf, "customer")
-    old = c.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = c.where("c_nationkey = 3").select(F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 2, 2).alias("v"))
-    return new.unionByName(old.join(new.select("k"), "k", "left_anti"))
+_DAMAGED, _LOST = "o_orderkey % 97 = 0", "o_orderkey % 101 = 0"
 
 
-@query("c08_reference_audit", "SELECT count(*) AS referenced, count(o_orderkey) AS present, count(*) - count(o_orderkey) AS missing FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN orders ON o_orderkey = l_orderkey")
+@query("c08_reference_audit", f"SELECT DISTINCT l_orderkey AS artifact, CASE WHEN {_LOST} THEN 'missing' ELSE 'digest' END AS problem, CASE WHEN {_LOST} THEN '' WHEN o_orderkey % 2 = 0 THEN 'order.price' ELSE 'lines[0].quantity' END AS leaves FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {_DAMAGED} OR {_LOST}")
 def c08(spark, sf):
-    refs = table(spark, sf, "lineitem").select("l_orderkey").distinct()
-    j = refs.join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.agg(F.count(F.lit(1)).alias("referenced"), F.count("o_orderkey").alias("present"), (F.count(F.lit(1)) - F.count("o_orderkey")).alias("missing"))
+    """Referenced artifacts that are not there, and those whose canonical digest is not the one referred to, with the leaves that differ."""
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("artifact")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").alias("quantity")))).alias("lines"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("artifact"), F.struct(F.round("o_totalprice", 2).alias("price"), F.col("o_orderstatus").alias("status")).alias("order"), F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("notes"))
+    sound = orders.join(lines, "artifact")
+    referenced = sound.select("artifact", digests.digest(sound, "order", "lines", "notes").alias("digest"), digests.leaves(sound, "order", "lines", "notes").alias("leaves"))
+    key = F.col("artifact")
+    first = F.transform("lines", lambda x, i: F.struct(x["number"].alias("number"), F.when((i == 0) & (key % 97 == 0) & (key % 2 == 1), x["quantity"] + 1).otherwise(x["quantity"]).alias("quantity")))
+    price = F.when((key % 97 == 0) & (key % 2 == 0), F.col("order.price") + 0.01).otherwise(F.col("order.price"))
+    held = sound.where("artifact % 101 <> 0").select("artifact", F.struct(F.round(price, 2).alias("price"), "order.status").alias("order"), first.alias("lines"), "notes")
+    found = held.select("artifact", digests.digest(held, "order", "lines", "notes").alias("found"), digests.leaves(held, "order", "lines", "notes").alias("held"))
+    return digests.audited(referenced, found, "artifact")
 
 
 @query("c11_field_comparison", "WITH a AS (SELECT p_partkey AS k, unnest(['brand', 'type', 'size']) AS field, unnest([p_brand, p_type, CAST(p_size AS VARCHAR)]) AS v FROM part), b AS (SELECT k, field, CASE WHEN k % 10 = 0 THEN v || '?' ELSE v END AS v FROM a WHERE k % 13 <> 0) SELECT coalesce(a.field, b.field) AS field, count(*) AS n, count(*) FILTER (WHERE a.v IS NOT DISTINCT FROM b.v) AS agreed FROM a FULL OUTER JOIN b ON a.k = b.k AND a.field = b.field GROUP BY 1")
@@ -268,10 +273,18 @@ def c21(spark, sf):
     return universe(spark, sf).crossJoin(F.broadcast(t)).groupBy("target", "frozen").agg(F.count_if(listed).alias("members"))  # three rows
 
 
-@query("c23_label_write_through", "WITH s AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), w AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 8) SELECT w.k, n, s.k IS NOT NULL AS stored FROM w LEFT JOIN s ON s.k = w.k")
+_QUARTERS = f"""{with_sql('bars')}, cnt AS (SELECT *, count(*) OVER (PARTITION BY sec) AS n, min(d) OVER (PARTITION BY sec) AS first_d, {', '.join(f"lead(close, {h}) OVER (PARTITION BY sec ORDER BY d) / close - 1 AS ret_{h}d" for h in (1, 5, 20, 60))} FROM bars),
+qd AS (SELECT *, ((year(d) - year(first_d)) * 12 + month(d) - month(first_d)) // 3 AS q FROM cnt WHERE n >= 80)"""
+
+
+@query("c23_label_write_through", f"""{_QUARTERS} SELECT sec, d, CASE WHEN sec % 2 = 0 THEN 'stored' ELSE 'computed' END AS origin, {', '.join(f"round(ret_{h}d, 8) + 0.0 AS ret_{h}d" for h in (1, 5, 20, 60))} FROM qd QUALIFY row_number() OVER (PARTITION BY sec, q ORDER BY d) = 1""")
 def c23(spark, sf):
-    g = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("o_orderstatus") == "F").alias("stored"))
-    return g.where("n >= 8").select("k", "n", "stored")
+    """Quarterly labels of securities with 80 bars and more, read from a stored table; what it lacks is computed and stored, once."""
+    b = bars(spark, sf).select("sec", "d", "close")
+    kept = keyed.KeyedTable(spark, scratch(spark, "label-store"), labels.QUARTERLY, ["sec", "d"])
+    kept.upsert(labels.quarterly(b.where("sec % 2 = 0")).withColumn("origin", F.lit("stored")))
+    kept.compact()
+    return labels.write_through(kept, b).select("sec", "d", "origin", *[(F.round(f"ret_{h}d", 8) + F.lit(0.0)).alias(f"ret_{h}d") for h in (1, 5, 20, 60)])
 
 
 @query("c24_experiments_by_variant", f"{with_sql('obs')} SELECT factor_id, CAST(sec % 4 AS INT) AS variant, count(*) AS n, round(avg(score), 8) AS mean_score FROM obs GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 10 OFFSET 2")

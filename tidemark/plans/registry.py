@@ -34,5 +34,6 @@ from tidemark.plans import (  # noqa: E402, F401  they register their queries
     panel_plans,
     source_plans,
     statistics_plans,
+    study_plans,
     text_plans,
 )

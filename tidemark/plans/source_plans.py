@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import zipfile
 
@@ -11,9 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import seeds
-from tidemark.operators import guards, labels
+from tidemark.operators import calendars, guards, labels
 from tidemark.plans.registry import query
-from tidemark.sources import store
+from tidemark.sources import keyed, shards, store
 from tidemark.sources.market import bars, table, trading_days, universe, with_sql
 
 
@@ -94,19 +93,27 @@ def s16(spark, sf):
     return spark.read.parquet(path).where("sec = 7").groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"))
 
 
-@query("s17_versioned_shards", f"{with_sql('bars')} SELECT sec, CAST(year(d) AS INT) AS y, count(*) AS n FROM bars GROUP BY 1, 2")
+@query("s17_versioned_shards", f"{with_sql('bars')} SELECT *, sec % 2 = 0 AND y <> 1999 AS reused FROM (SELECT sec, CAST(year(d) AS INT) AS y, count(*) AS n FROM bars GROUP BY 1, 2)")
 def s17(spark, sf):
-    """Shards by (sec, year) behind a manifest of row counts and digests; only registered, verified shards are read."""
-    shards = store.ShardStore(store.scratch(spark, "shards"))
-    b = bars(spark, sf).select("sec", "d", "close").withColumn("y", F.year("d"))
-    shards.publish(b, ["sec", "y"])
-    return shards.read(spark).groupBy("sec", "y").agg(F.count(F.lit(1)).alias("n"))
+    """Shards by (sec, year), published a second time: of every other security the first run has them, but those of one year have changed."""
+    b = bars(spark, sf).select("sec", F.year("d").alias("y"), "d", "close")
+    publisher = shards.ShardPublisher(spark, store.scratch(spark, "shards"), b.schema, ["sec", "y"], {"bars": sf})
+    publisher.publish(b.where("sec % 2 = 0"), batches=2)
+    first = publisher.manifest().select("batch").distinct().withColumn("reused", F.lit(True))
+    publisher.publish(b.withColumn("close", F.when(F.col("y") == 1999, F.col("close") * 2).otherwise(F.col("close"))), batches=2)
+    read = publisher.read().join(F.broadcast(first), "batch", "left")  # a row a batch
+    return read.groupBy("sec", "y").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("reused"), F.lit(False)).alias("reused"))
 
 
 @query("s19_label_upsert", "WITH o AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM o FULL OUTER JOIN n ON n.k = o.k")
 def s19(spark, sf):
+    """Two upserts into a stored table, a compaction after the first: the later row of a key counts."""
     x = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 2).alias("odd")).agg(F.max("o_orderkey").alias("v"))
-    return store.overlay(x.where("odd = 0").drop("odd"), x.where("odd = 1").drop("odd"), ["k"])
+    kept = keyed.KeyedTable(spark, store.scratch(spark, "labels"), x.select("k", "v").schema, ["k"])
+    kept.upsert(x.where("odd = 0"))
+    kept.compact()
+    kept.upsert(x.where("odd = 1"))
+    return kept.read()
 
 
 @query("s20_shard_merge", "SELECT CAST(sum(1 + CASE WHEN o_orderkey % 70 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n, count(*) AS keys_n, count(*) FILTER (WHERE o_orderkey % 70 = 0) AS overlapping, count(*) FILTER (WHERE o_orderkey % 140 = 0) AS conflicting FROM orders")
@@ -145,18 +152,18 @@ def s06(spark, sf):
     return long.groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("d")).alias("first_d"))
 
 
-@query("s05_content_addressed_blobs", "SELECT s_suppkey, sha256(s_name) AS sha FROM supplier WHERE s_suppkey % 10 <> 3")
+@query("s05_content_addressed_blobs", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS INT) AS version, sha256(CASE WHEN s_suppkey % 4 = 0 THEN s_name || '/2' ELSE s_name END) AS sha FROM supplier WHERE s_suppkey % 10 <> 3")
 def s05(spark, sf):
-    """Blobs named by their SHA-256; a reader refuses those whose bytes do not match."""
-    named = table(spark, sf, "supplier").select("s_suppkey", F.encode("s_name", "utf-8").alias("content")).withColumn("sha", F.sha2("content", 256))
-    blobs = named.withColumn("content", F.when(F.col("s_suppkey") % 10 == 3, F.encode(F.lit("damaged"), "utf-8")).otherwise(F.col("content")))
-
-    def verified(batches):
-        for pdf in batches:
-            ok = [hashlib.sha256(c).hexdigest() == s for c, s in zip(pdf["content"], pdf["sha"], strict=True)]
-            yield pdf.loc[ok, ["s_suppkey", "sha"]]
-
-    return blobs.mapInPandas(verified, "s_suppkey long, sha string")
+    """Blobs named by their SHA-256 behind a manifest of versions: the latest of each name is read, unless its bytes do not give its name."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), "s_name").where("version = 1 or s_suppkey % 4 = 0")
+    named = s.withColumn("content", F.encode(F.when(F.col("version") == 2, F.concat("s_name", F.lit("/2"))).otherwise(F.col("s_name")), "utf-8")).withColumn("sha", F.sha2("content", 256))
+    folder = store.scratch(spark, "blobs")
+    named.select("s_suppkey", "version", "sha").write.parquet(f"{folder}/manifest")
+    damaged = F.when(F.col("s_suppkey") % 10 == 3, F.encode(F.lit("damaged"), "utf-8")).otherwise(F.col("content"))
+    named.select("sha", damaged.alias("content")).dropDuplicates(["sha"]).write.parquet(f"{folder}/blobs")
+    latest = _latest(spark.read.parquet(f"{folder}/manifest"), ["s_suppkey"], F.desc("version"))
+    blobs = spark.read.parquet(f"{folder}/blobs").where(F.sha2("content", 256) == F.col("sha"))
+    return latest.join(blobs, "sha").select("s_suppkey", "version", "sha")
 
 
 _SHOCK = f"sqrt(-2 * ln({seeds.uniform_sql(1, 'sec', 'd')} + {2.0**-48}::DOUBLE)) * cos(2 * 3.141592653589793 * {seeds.uniform_sql(2, 'sec', 'd')}) * 0.02"
@@ -171,11 +178,16 @@ def s09(spark, sf):
     return grid.select("sec", "d", F.round(F.exp(F.sum(shock).over(Window.partitionBy("sec").orderBy("d"))), 8).alias("close"))
 
 
-@query("c01_calendar_merge", f"{with_sql('days')}, o AS (SELECT * FROM days WHERE d <= DATE '2000-12-31'), n AS (SELECT * FROM days WHERE d >= DATE '2000-06-01') SELECT count(*) AS n, max(d) AS last_d, (SELECT count(*) FROM n WHERE d NOT IN (SELECT d FROM o)) AS added FROM (SELECT d FROM o UNION SELECT d FROM n)")
+@query("c01_calendar_merge", f"""{with_sql('days')}, o AS (SELECT d FROM days WHERE d <= DATE '2000-12-31'), n AS (SELECT 'growing' AS source, d FROM days WHERE day(d) <> 17 UNION ALL SELECT 'shrinking', d FROM days WHERE d < DATE '1999-01-01' UNION ALL SELECT 'allowed', d FROM days WHERE d < DATE '1999-01-01'),
+s AS (SELECT source, max(d) AS last_d FROM n GROUP BY 1), old AS (SELECT max(d) AS old_last, count(*) AS old_n FROM o),
+g AS (SELECT source, last_d, last_d < old_last AND source <> 'allowed' AS refused, (SELECT count(*) FROM n WHERE n.source = s.source AND d NOT IN (SELECT d FROM o)) AS added, (SELECT count(*) FROM o WHERE d NOT IN (SELECT d FROM n WHERE n.source = s.source)) AS dropped, old_n FROM s, old)
+SELECT source, refused, CASE WHEN NOT refused THEN added END AS added, dropped, CASE WHEN refused THEN old_n ELSE old_n + added END AS days FROM g""")
 def c01(spark, sf):
+    """An observed calendar and three new ones of a source: days are only ever added; a source that ends earlier is refused, unless that is allowed; what it lacks is reported."""
     days = trading_days(spark, sf)
-    sides = days.select("d", (F.col("d") <= F.to_date(F.lit("2000-12-31"))).alias("old"), (F.col("d") >= F.to_date(F.lit("2000-06-01"))).alias("new"))
-    return sides.where(F.col("old") | F.col("new")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("last_d"), F.count_if(~F.col("old")).alias("added"))
+    rules = {"growing": (F.dayofmonth("d") != 17, False), "shrinking": (F.year("d") < 1999, False), "allowed": (F.year("d") < 1999, True)}
+    given = days.select("d", (F.col("d") <= F.to_date(F.lit("2000-12-31"))).alias("old"), F.explode(F.array(*[F.struct(F.lit(name).alias("source"), has.alias("new"), F.lit(allow).alias("allow")) for name, (has, allow) in rules.items()])).alias("s")).select("d", "old", "s.*")
+    return calendars.merged(given, "source")
 
 
 @query("c02_closure_ranges", "SELECT CAST(g AS DATE) AS d FROM (VALUES (DATE '1999-12-30', DATE '2000-01-03'), (DATE '2000-05-01', DATE '2000-05-05')) v(a, b), unnest(generate_series(a, b, INTERVAL 1 DAY)) t(g)")
@@ -188,11 +200,24 @@ def c02(spark, sf):
     return text.select(F.explode(F.sequence(start, end)).alias("d"))
 
 
-@query("c03_published_calendar", f"{with_sql('days')}, a AS (SELECT CAST(g AS DATE) AS d FROM unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) t(g) WHERE dayofweek(g) BETWEEN 1 AND 5) SELECT count(*) AS published, count(days.d) AS observed, count(*) - count(days.d) AS mismatched FROM a LEFT JOIN days ON days.d = a.d")
+_CLOSURES = (("1996-01-01", "1996-01-03"), ("1996-04-30", "1996-05-02"), ("1996-12-30", "1997-01-02"))
+
+
+@query("c03_published_calendar", f"""WITH closed AS (SELECT CAST(g AS DATE) AS d FROM (VALUES {', '.join(f"(DATE '{a}', DATE '{b}')" for a, b in _CLOSURES)}) v(a, b), unnest(generate_series(a, b, INTERVAL 1 DAY)) t(g)),
+span AS (SELECT year(min(l_shipdate)) AS y0, year(max(l_shipdate)) AS y1 FROM lineitem),
+pub AS (SELECT x, CAST(g AS DATE) AS d FROM span, unnest(generate_series(make_date(y0, 1, 1), make_date(y1, 12, 31), INTERVAL 1 DAY)) t(g), (VALUES ('A'), ('B')) e(x) WHERE dayofweek(g) BETWEEN 1 AND 5 AND CAST(g AS DATE) NOT IN (SELECT d FROM closed)),
+lines AS (SELECT CAST(l_shipdate AS DATE) AS d, CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS x FROM lineitem WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5), seen AS (SELECT DISTINCT x, d FROM lines WHERE d NOT IN (SELECT d FROM closed) OR x = 'B'),
+j AS (SELECT year(coalesce(pub.d, seen.d)) AS y, coalesce(pub.x, seen.x) AS x, pub.d AS p, seen.d AS s FROM pub FULL OUTER JOIN seen ON pub.d = seen.d AND pub.x = seen.x)
+SELECT CAST(y AS INT) AS y, x AS exchange, count(p) AS published, count(s) AS observed, count(*) FILTER (WHERE p IS NULL) AS unexpected, count(*) FILTER (WHERE s IS NULL) AS missing, count(*) FILTER (WHERE p IS NULL OR s IS NULL) = 0 AS verified FROM j GROUP BY 1, 2""")
 def c03(spark, sf):
-    year = spark.sql("select explode(sequence(date'1996-01-01', date'1996-12-31')) as d").where(F.dayofweek("d").between(2, 6))
-    both = year.join(trading_days(spark, sf).withColumn("seen", F.lit(1)), "d", "left")
-    return both.agg(F.count(F.lit(1)).alias("published"), F.count("seen").alias("observed"), (F.count(F.lit(1)) - F.count("seen")).alias("mismatched"))
+    """Weekdays less closures, published for two exchanges, against the days each of them traded: by year, and verified only without a mismatch."""
+    lines = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d"), F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise("B").alias("exchange")).distinct().where(F.dayofweek("d").between(2, 6))
+    closed = spark.createDataFrame(_CLOSURES, "a string, b string").select(F.explode(F.sequence(F.to_date("a"), F.to_date("b"))).alias("d"))
+    span = lines.agg(F.make_date(F.year(F.min("d")), F.lit(1), F.lit(1)).alias("a"), F.make_date(F.year(F.max("d")), F.lit(12), F.lit(31)).alias("b"))
+    exchanges = spark.createDataFrame([("A",), ("B",)], "exchange string")
+    published = calendars.published(span, closed).crossJoin(F.broadcast(exchanges))  # two rows
+    seen = lines.join(F.broadcast(closed.withColumn("shut", F.lit(True))), "d", "left").where("shut is null or exchange = 'B'").select("exchange", "d")  # closures
+    return calendars.validated(published, seen).withColumnRenamed("year", "y")
 
 
 @query("c04_universe_build", f"{with_sql('universe')} SELECT sec, list_date, delist_date, board FROM universe")
@@ -231,14 +256,18 @@ def c10(spark, sf):
     return spark.range(12).select(F.col("id").alias("slot"), (inside(570, 690) + inside(780, 900)).alias("minutes"))
 
 
-@query("s18_manifest_scan", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars WHERE sec % 2 = 0 GROUP BY 1")
+@query("s18_manifest_scan", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars WHERE sec % 2 = 0 AND sec % 5 <> 0 GROUP BY 1")
 def s18(spark, sf):
-    """A shard that is on disk but not in the manifest, or differs from it, is never read."""
-    shards = store.ShardStore(store.scratch(spark, "manifest"))
-    b = bars(spark, sf).select("sec", "d", "close").withColumn("y", F.lit(0))
-    shards.publish(b.where("sec % 2 = 0"), ["sec", "y"])
-    b.where("sec % 2 = 1").write.mode("append").partitionBy("y").parquet(shards.data)
-    return shards.read(spark).groupBy("sec").agg(F.count(F.lit(1)).alias("n"))
+    """A shard that is on disk but in no manifest, or whose rows no longer give its digest, is never read."""
+    b = bars(spark, sf).select("sec", F.lit(0).alias("y"), "d", "close")
+    folder = store.scratch(spark, "manifest")
+    publisher = shards.ShardPublisher(spark, folder, b.schema, ["sec", "y"])
+    publisher.publish(b.where("sec % 2 = 0"), batches=1)
+    batch = publisher.manifest().select("batch").first()  # of one batch
+    b.where("sec % 2 = 1").write.partitionBy("sec", "y").parquet(f"{folder}/data/batch=stray")
+    if batch:  # rows are added to every fifth security's shard
+        b.where("sec % 10 = 0").withColumn("d", F.date_add("d", 1)).write.mode("append").partitionBy("sec", "y").parquet(f"{folder}/data/batch={batch[0]}")
+    return publisher.read().groupBy("sec").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s01_source_protocol", "SELECT s_suppkey AS code, s_name AS name FROM supplier WHERE contains(lower(s_name), '00000001') ORDER BY code LIMIT 20")

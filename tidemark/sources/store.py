@@ -1,4 +1,4 @@
-"""Stores on shared folders: sorted sinks, overlays, and versioned shards behind a manifest."""
+"""Stores on shared folders: scratch tables, sorted sinks and overlays."""
 
 from __future__ import annotations
 
@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new scratch folder and read again: computed once, and lineage ends here."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def overlay(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` with rows of equal key replaced, and others added, by ``delta``: one aggregate, no join."""
     values = [c for c in base.columns if c not in keys]
@@ -33,29 +40,3 @@ def write_sorted(df: DataFrame, path: str, keys: list[str]) -> None:
     """Parquet in ranges of the keys, sorted within, so that readers skip row groups."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(path)
-
-
-class ShardStore:
-    """Parquet shards of a table, published whole: a shard counts once its row is in the manifest.
-
-    A shard's digest is the sum of its rows' hashes, so that it does not depend
-    on their order; ``read`` recomputes it and leaves no unverified row through.
-    """
-
-    def __init__(self, folder: str):
-        self.data, self.manifest = f"{folder}/data", f"{folder}/manifest"
-
-    @staticmethod
-    def digests(df: DataFrame, keys: list[str]) -> DataFrame:
-        rows = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(rows).alias("digest"))
-
-    def publish(self, df: DataFrame, keys: list[str]) -> None:
-        df.repartition(*[F.col(k) for k in keys]).write.partitionBy(*keys[1:]).parquet(self.data)
-        self.digests(df.sparkSession.read.parquet(self.data), keys).write.parquet(self.manifest)
-        self.keys = keys
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        data, registered = spark.read.parquet(self.data), spark.read.parquet(self.manifest)
-        sound = self.digests(data, self.keys).join(registered, [*self.keys, "rows", "digest"], "left_semi")
-        return data.join(sound.select(*self.keys), self.keys, "left_semi")
