@@ -61,11 +61,11 @@ def triple(a: Column, b: Column) -> Column:
     return (a != b) & (F.pmod(a - b, F.lit(4)) == 0)
 
 
-# Branches' partners of the six breaks; groups of branches that punish each other.
+# branches' partners of the six breaks; groups of branches that punish each other.
 BREAK_OF = (9, 4, 11, 6, 1, 8, 3, 10, 5, 0, 7, 2)
 PUNISHMENTS = ((2, 5, 8), (1, 10, 7), (0, 3))
 SELF_PUNISHED = (4, 6, 9, 11)
-# Relations of a day's pillar to one natal pillar; full triples, triple meetings and triple punishments need two natal pillars or more.
+# Relations of a day's pillar to one natal pillar; full triples, triple meetings and triple punishments need two natal pillars or more.
 RELATIONS = (
     "stem_harmony", "stem_clash", "stem_generates", "stem_generated", "stem_overcomes", "stem_overcome", "stem_same_element", "harmony", "clash", "triple",
     "punish", "self_punish", "harm", "break", "same_branch", "repeat", "reverse", "double_harmony", "double_clash",
@@ -103,11 +103,6 @@ def relations(stem: Column, branch: Column, nstem: Column, nbranch: Column) -> C
     return F.array_compact(F.array(*[F.when(t, name) for name, t in zip(RELATIONS, tests, strict=True)]))
 
 
-def role_value(day_stem: Column, other: Column) -> Column:
-    relation = F.pmod(_half(other) - _half(day_stem), F.lit(5))
-    return F.when(relation == 4, 1.0).when(relation == 0, 0.6).when(relation == 1, 0.0).when(relation == 2, -0.8).otherwise(-1.0)
-
-
 # Beginnings of security codes by exchange and board.
 SSE_PREFIXES = ("600", "601", "603", "605", "688", "689", "900")
 SZSE_PREFIXES = ("000", "001", "002", "003", "200", "300", "301")

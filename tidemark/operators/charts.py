@@ -1,8 +1,8 @@
 """Four-pillar charts of dates as columns, and what their elements tell: strength, pattern, favourable elements.
 
-Stems, branches and elements are numbered as in ``functions.pillars``.  The
-months begin on fixed civil days, which the solar terms meet within a day; a
-chart's hour is that of the opening, half past nine.
+Stems, branches and elements are numbered as in ``functions.pillars``.  Months
+and years begin at the instants of solar terms, days at eleven in the evening; a
+chart's hour is that of the opening, half past nine, unless another is given.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import pillars as p
+from tidemark.functions import terms
+
+OPENING = 9.5
 
 # Fixed values.
-MONTH_STARTS = (204, 306, 405, 506, 606, 707, 808, 908, 1008, 1107, 1207)  # month and day; the twelfth month begins on 6 January
 BRANCH_ELEMENT = (4, 2, 0, 0, 2, 1, 1, 2, 3, 3, 2, 4)
 HIDDEN_STEMS = ("癸", "己癸辛", "甲丙戊", "乙", "戊乙癸", "丙庚戊", "丁己", "己丁乙", "庚壬戊", "辛", "戊辛丁", "壬甲")  # of each branch, the main one first
 HIDDEN_WEIGHTS = {1: (1.0,), 2: (0.7, 0.3), 3: (0.6, 0.3, 0.1)}  # by how many a branch has
@@ -29,16 +31,16 @@ MEETINGS = ("寅卯辰", "巳午未", "申酉戌", "亥子丑")
 TRIPLES = ("申子辰", "亥卯未", "寅午戌", "巳酉丑")
 
 
-def four_pillars(day: Column) -> dict[str, Column]:
-    """Stems and branches of year, month, day and hour: ys, yb, ms, mb, ds, db, hs, hb."""
-    turned = F.month(day) * 100 + F.dayofmonth(day)
-    year = F.pmod(F.year(day) - F.when(turned < MONTH_STARTS[0], 1).otherwise(0) - 4, F.lit(60))
-    month = reduce(lambda k, start: k + (turned >= start).cast("int"), MONTH_STARTS, F.lit(-1))
-    month = F.when(turned < 106, 10).when(turned < MONTH_STARTS[0], 11).otherwise(month)
-    index = p.cycle_index(day)
+def four_pillars(day: Column, hours: Column | None = None) -> dict[str, Column]:
+    """Stems and branches of year, month, day and hour: ys, yb, ms, mb, ds, db, hs, hb; at ``hours`` (a double) after midnight, else at the opening."""
+    hours = F.lit(OPENING) if hours is None else hours
+    month = terms.month_index(terms.instant(day, hours))
+    year = F.pmod(terms.year_of(day, month) - 4, F.lit(60))
+    slot = F.floor((hours + 1) / 2).cast("int")  # 12 from eleven in the evening on
+    index = F.pmod(p.cycle_index(day) + F.floor(slot / 12).cast("int"), F.lit(60))
     return {
         "ys": year % 10, "yb": year % 12, "ms": ((year % 10) % 5 * 2 + 2 + month) % 10, "mb": (month + 2) % 12,
-        "ds": index % 10, "db": index % 12, "hs": (index % 10 % 5 * 2 + 5) % 10, "hb": F.lit(5),
+        "ds": index % 10, "db": index % 12, "hs": (index % 10 % 5 * 2 + slot % 12) % 10, "hb": slot % 12,
     }
 
 

@@ -37,14 +37,6 @@ def p12(spark, sf):
     return _days(spark, sf).where((F.col("stem") == 4) & F.col("branch").isin(0, 6) & (F.year("d") == 1999)).select("d")
 
 
-@query("f10_day_verdict", f"{_SCAN}, r AS (SELECT sec, d, CAST((stem // 2 - nstem // 2 + 5) % 5 AS INT) AS rel, board FROM scan) SELECT sec, d, CASE WHEN board = 'EUROPE' THEN NULL WHEN rel = 4 THEN 'use' WHEN rel = 0 THEN 'like' WHEN rel = 3 THEN 'avoid' ELSE 'idle' END AS role FROM r")
-def f10(spark, sf):
-    """Use before like before avoid; unknown stays null and is no mismatch."""
-    rel = F.pmod(F.floor(F.col("stem") / 2) - F.floor(F.col("nstem") / 2), F.lit(5))
-    role = F.when(F.col("board") == "EUROPE", None).when(rel == 4, "use").when(rel == 0, "like").when(rel == 3, "avoid").otherwise("idle")
-    return _scan(spark, sf).select("sec", "d", role.alias("role"))
-
-
 @query("f16_palace_factors", "WITH e AS (SELECT conv_id AS chart, turn % 12 AS palace, length(text) % 5 AS stars, length(text) % 3 AS adverse FROM conversations) SELECT chart, round(tanh(sum(stars) / 1.5), 8) AS brightness, round(-(sum(adverse) / 2.0), 8) + 0.0 AS adverse_value, CAST(count(*) AS BIGINT) AS palaces FROM e GROUP BY chart")
 def f16(spark, sf):
     """Palace charts as arrays of structs, folded without leaving the row."""
@@ -54,20 +46,6 @@ def f16(spark, sf):
     return charts.select("chart", F.round(F.tanh(total("stars") / 1.5), 8).alias("brightness"), r8(-(total("adverse") / 2.0)).alias("adverse_value"), F.size("palaces").cast("long").alias("palaces"))
 
 
-_LUCK = "luck AS (SELECT sec, list_date + CAST(3650 * k AS INT) AS s, list_date + CAST(3650 * (k + 1) AS INT) AS e, k FROM universe, range(0, 3) t(k))"
-
-
-@query("f19_luck_periods", f"{with_sql('universe', 'bars')}, {_LUCK} SELECT b.sec, k AS period, count(*) AS n FROM bars b JOIN luck l ON l.sec = b.sec AND b.d >= l.s AND b.d < l.e GROUP BY 1, 2")
-def f19(spark, sf):
-    """Ten-year periods from the listing date, half-open; each bar in the one that began last."""
-    from tidemark.sources.market import universe
-
-    u = universe(spark, sf).select("sec", "list_date", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    periods = u.select("sec", F.date_add("list_date", F.col("k") * 3650).alias("s"), F.date_add("list_date", (F.col("k") + 1) * 3650).alias("e"), F.col("k").cast("long").alias("period"))
-    placed = asof.interval_join(bars(spark, sf).select("sec", "d"), periods, by="sec", at="d", start="s", end="e", take=["period"])
-    return placed.where("period is not null").groupBy("sec", "period").agg(F.count(F.lit(1)).alias("n"))
-
-
 _SESSIONS = "sessions(board, s, e, open_min, priority) AS (VALUES ('ASIA', DATE '1990-01-01', DATE '1998-01-01', 570, 0), ('ASIA', DATE '1998-01-01', DATE '2999-01-01', 560, 0), ('DEFAULT', DATE '1990-01-01', DATE '2999-01-01', 540, 1))"
 
 
@@ -91,15 +69,6 @@ def c25(spark, sf):
     return j.groupBy("board").agg(F.min_by("m", F.when(F.col("b") == "DEFAULT", 1).otherwise(0)).alias("open_min"))
 
 
-@query("f25_term_segments", f"{with_sql('days')}, s AS (SELECT make_date(y, m, 6) AS s, y * 100 + m AS seg FROM range(1994, 2003) a(y), range(1, 13) b(m)) SELECT d, (SELECT max(seg) FROM s WHERE s.s <= d) AS segment FROM days")
-def f25(spark, sf):
-    """Half-open month segments that begin on the sixth, by an as-of join on their start."""
-    starts = spark.sql("select explode(sequence(date'1994-01-06', date'2002-12-06', interval 1 month)) as s")
-    segments = starts.select(F.lit(1).alias("k"), "s", (F.year("s").cast("long") * 100 + F.month("s")).alias("segment"))
-    days = trading_days(spark, sf).withColumn("k", F.lit(1))
-    return asof.asof_join(days, segments, by="k", left_on="d", right_on="s", take=["segment"]).select("d", "segment")
-
-
 @query("f27_cross_section_scan", f"{_SCAN} SELECT d, count(*) AS n, count(DISTINCT {_GOD}) AS gods, string_agg(DISTINCT board, ',' ORDER BY board) AS boards FROM scan GROUP BY d")
 def f27(spark, sf):
     g = _gods(spark, sf).groupBy("d")
@@ -137,11 +106,6 @@ def c15(spark, sf):
     return ahead.select("d", F.when(b.isin(0, 2, 3, 6, 7, 9), "good").when(b.isin(1, 4, 5, 8, 10), "bad").alias("class"))
 
 
-@query("c17_ten_god_calendar", f"{with_sql('days')}, {_DAYP} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, list_extract({_NAMES}, {_TEN('4', 'stem')} + 1) AS god, count(*) AS n FROM dp GROUP BY 1, 2")
-def c17(spark, sf):
-    return _days(spark, sf).groupBy((F.year("d") * 100 + F.month("d")).alias("ym"), p.ten_god(F.lit(4), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("c18_month_events", f"{with_sql('days')}, s AS (SELECT d, date_trunc('month', d)::DATE AS m, day(d) % 5 AS e FROM days) SELECT m AS segment, count(DISTINCT e) AS events FROM s GROUP BY 1")
 def c18(spark, sf):
     """Events in their segments, equal ones once: told apart by a hash of their canonical JSON."""

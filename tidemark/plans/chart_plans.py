@@ -6,19 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import pillars as p
+from tidemark.functions import terms
 from tidemark.operators import charts
 from tidemark.plans.factor_plans import _ANCHOR, _PAIRS, _paired
 from tidemark.plans.registry import query
 from tidemark.sources.market import trading_days, universe, with_sql
 
 _ELEMENTS = "木火土金水"
+_OF_BRANCH = "".join(_ELEMENTS[e] for e in charts.BRANCH_ELEMENT)
 _AT = lambda text, k: f"substr('{text}', CAST({k} AS INT) + 1, 1)"
 _STEM_ELEMENT = lambda c: f"substr('{_ELEMENTS}', (strpos('{p.STEMS}', {c}) - 1) // 2 + 1, 1)"
-_BRANCH_ELEMENT = lambda c: f"substr('水土木木土火火土金金土水', strpos('{p.BRANCHES}', {c}), 1)"
+_BRANCH_ELEMENT = lambda c: f"substr('{_OF_BRANCH}', strpos('{p.BRANCHES}', {c}), 1)"
 _NEXT = lambda e, k: f"substr('{_ELEMENTS}', (strpos('{_ELEMENTS}', {e}) - 1 + {k}) % 5 + 1, 1)"
 _HIDDEN = "hidden(branch, rank, hidden, weight) AS (VALUES " + ", ".join(f"('{p.BRANCHES[b]}', {k}, '{s}', {charts.HIDDEN_WEIGHTS[len(stems)][k]}::DOUBLE)" for b, stems in enumerate(charts.HIDDEN_STEMS) for k, s in enumerate(stems)) + ")"
-_CHARTS = f"""{with_sql('universe')}, {_HIDDEN}, t AS (SELECT sec, list_date, month(list_date) * 100 + day(list_date) AS md, CAST(((list_date - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 AS di FROM universe),
-y AS (SELECT *, (year(list_date) - CASE WHEN md < 204 THEN 1 ELSE 0 END - 4) % 60 AS yi, CASE WHEN md < 106 THEN 10 WHEN md < 204 THEN 11 ELSE len(list_filter([204, 306, 405, 506, 606, 707, 808, 908, 1008, 1107, 1207], lambda x: x <= md)) - 1 END AS mk FROM t),
+_CHARTS = f"""{with_sql('universe')}, {_HIDDEN}, t AS (SELECT *, {terms.month_index_sql('born')} AS mk FROM (SELECT sec, list_date, {terms.instant_sql('list_date', charts.OPENING)} AS born, CAST(((list_date - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 AS di FROM universe)),
+y AS (SELECT *, (year(list_date) - CASE WHEN month(list_date) <= 2 AND mk >= 10 THEN 1 ELSE 0 END - 4) % 60 AS yi FROM t),
 c AS (SELECT sec, {_AT(p.STEMS, 'yi % 10')} AS ys, {_AT(p.BRANCHES, 'yi % 12')} AS yb, {_AT(p.STEMS, '((yi % 5) * 2 + 2 + mk) % 10')} AS ms, {_AT(p.BRANCHES, '(mk + 2) % 12')} AS mb, {_AT(p.STEMS, 'di % 10')} AS ds, {_AT(p.BRANCHES, 'di % 12')} AS db, {_AT(p.STEMS, '((di % 5) * 2 + 5) % 10')} AS hs, '巳' AS hb FROM y),
 pos AS (SELECT sec, ds, 'y' AS pos, ys AS s, yb AS b FROM c UNION ALL SELECT sec, ds, 'm', ms, mb FROM c UNION ALL SELECT sec, ds, 'd', ds, db FROM c UNION ALL SELECT sec, ds, 'h', hs, hb FROM c),
 parts AS (SELECT sec, ds, {_STEM_ELEMENT('s')} AS element, CASE WHEN pos = 'd' THEN 0.8 ELSE 1.0 END::DOUBLE AS w, 0.0::DOUBLE AS r, CASE WHEN pos <> 'd' THEN s END AS stem FROM pos
@@ -34,7 +36,7 @@ k AS (SELECT *, CASE WHEN level IN ('very_strong', 'strong') THEN {_NEXT('dm', 3
  CASE WHEN level IN ('very_strong', 'strong') THEN [{_NEXT('dm', 4)}, dm] WHEN level IN ('very_weak', 'weak') THEN [{_NEXT('dm', 3)}, {_NEXT('dm', 2)}] ELSE [] END AS avoid,
  CASE WHEN level IN ('very_strong', 'strong') THEN [{_NEXT('dm', 4)}] WHEN level IN ('very_weak', 'weak') THEN [{_NEXT('dm', 1)}] ELSE [] END AS hostile,
  CASE WHEN mb IN ('亥', '子', '丑') THEN '火' WHEN mb IN ('巳', '午', '未') THEN '水' END AS climate FROM j),
-f AS (SELECT *, CASE WHEN climate IS NOT NULL AND climate <> use AND NOT list_contains(base_like, climate) THEN list_append(base_like, climate) ELSE base_like END AS likes,
+f AS MATERIALIZED (SELECT *, CASE WHEN climate IS NOT NULL AND climate <> use AND NOT list_contains(base_like, climate) THEN list_append(base_like, climate) ELSE base_like END AS likes,
  list_filter(['木', '火', '土', '金', '水'], lambda x: x <> use AND NOT list_contains(base_like, x) AND NOT list_contains(avoid, x) AND NOT list_contains(hostile, x)) AS idle FROM k)"""
 _GOD = lambda own, other: f"""CASE (strpos('{_ELEMENTS}', {_STEM_ELEMENT(other)}) - strpos('{_ELEMENTS}', {_STEM_ELEMENT(own)}) + 5) % 5 * 2 + CASE WHEN strpos('{p.STEMS}', {other}) % 2 = strpos('{p.STEMS}', {own}) % 2 THEN 0 ELSE 1 END {' '.join(f"WHEN {k} THEN '{g}'" for k, g in enumerate(p.TEN_GODS))} END"""
 _PATTERN = f"""{_CHARTS}, shown AS (SELECT f.sec, f.ds, f.mb, first(hidden ORDER BY CASE WHEN hidden IN (ys, ms, hs) THEN 0 ELSE 1 END, rank) AS chosen FROM f JOIN hidden ON branch = mb GROUP BY f.sec, f.ds, f.mb),
@@ -114,20 +116,20 @@ _GROUP = lambda stem: f"(strpos('{_ELEMENTS}', {_STEM_ELEMENT(stem)}) - strpos('
 _BRINGS = lambda k: f"({_GROUP('s')} = {k} OR len(list_filter(inside, lambda x: {_GROUP('x')} = {k})) > 0)"
 _STAGES = "CASE WHEN (strpos('" + p.STEMS + "', ds) - 1) % 2 = 0 THEN (strpos('" + p.BRANCHES + "', b) - 1 - start + 12) % 12 ELSE (start - strpos('" + p.BRANCHES + "', b) + 1 + 12) % 12 END"
 _TRIPLED = " OR ".join(f"(b = '{g[k]}' AND list_has_all([yb, mb, db, hb], ['{g[(k + 1) % 3]}', '{g[(k + 2) % 3]}']))" for g in charts.TRIPLES for k in range(3))
-_LUCKY = lambda branch, month: f"list_contains([0, 1, 4, 5, 7, 10], (strpos('{p.BRANCHES}', {branch}) - 1 - list_extract([8, 10, 0, 2, 4, 6, 8, 10, 0, 2, 4, 6], strpos('{p.BRANCHES}', {month})) + 12) % 12)"
+_LUCKY = lambda branch, month: f"list_contains({list(charts.FORTUNATE_SPIRITS)}, (strpos('{p.BRANCHES}', {branch}) - 1 - list_extract({list(charts.SPIRITS_BEGIN)}, strpos('{p.BRANCHES}', {month})) + 12) % 12)"
 _OUTER = f"""{_CHARTS}, {with_sql('days')[5:]}, ring AS (SELECT k, {_AT(p.STEMS, 'k % 10')} AS s, {_AT(p.BRANCHES, 'k % 12')} AS b FROM range(0, 60) t(k)),
 within AS (SELECT branch, list(hidden) AS inside FROM hidden GROUP BY branch), starts AS (SELECT unnest(string_split('{','.join(p.STEMS)}', ',')) AS stem, unnest([{', '.join(map(str, p.LONG_LIFE_BRANCH))}]) AS start),
 z AS (SELECT f.*, ring.*, inside, start FROM f CROSS JOIN ring JOIN within ON branch = ring.b JOIN starts ON stem = f.ds),
-o AS (SELECT sec, k, {_ROLE(_STEM_ELEMENT('s'))} AS stem_role, {_ROLE(_BRANCH_ELEMENT('b'))} AS branch_role, {_ROLE(f"substr('{charts.PAIR_ELEMENTS}', CAST(k // 2 + 1 AS INT), 1)")} AS pair_role, {_BRINGS(2)} AS wealth, {_BRINGS(1)} AS output, {_BRINGS(3)} AS officer,
- {_COUNT('clash')} AS clash, {_COUNT('harmony')} AS harmony, {_COUNT('punish', 'self_punish')} AS punish, {_COUNT('harm')} AS harm, {_TRIPLED} AS triple, list_extract([1, 0, 1, 1, 1, -1, -1, -1, 0, -1, 0, 0], CAST({_STAGES} AS INT) + 1)::DOUBLE AS stage,
+o AS MATERIALIZED (SELECT sec, k, {_ROLE(_STEM_ELEMENT('s'))} AS stem_role, {_ROLE(_BRANCH_ELEMENT('b'))} AS branch_role, {_ROLE(f"substr('{charts.PAIR_ELEMENTS}', CAST(k // 2 + 1 AS INT), 1)")} AS pair_role, {_BRINGS(2)} AS wealth, {_BRINGS(1)} AS output, {_BRINGS(3)} AS officer,
+ {_COUNT('clash')} AS clash, {_COUNT('harmony')} AS harmony, {_COUNT('punish', 'self_punish')} AS punish, {_COUNT('harm')} AS harm, {_TRIPLED} AS triple, list_extract({list(charts.STAGE_TENDENCY)}, CAST({_STAGES} AS INT) + 1)::DOUBLE AS stage,
  ({_GROUP('s')} * 2 + CASE WHEN strpos('{p.STEMS}', s) % 2 = strpos('{p.STEMS}', ds) % 2 THEN 0 ELSE 1 END) / 9.0 AS god, n2 > 0 AS has_wealth, {_RELATED_TO('d', 'clash')} AS own_clash, {_RELATED_TO('d', 'harmony')} AS own_harmony, ({_RELATED_TO('d', 'punish')} OR {_RELATED_TO('d', 'self_punish')}) AS own_punish,
  use, likes, db FROM z),
 q AS (SELECT a.sec, a.k, count(*) FILTER (WHERE n.own_harmony) AS harmony_days, count(*) FILTER (WHERE n.own_clash) AS clash_days, count(*) FILTER (WHERE n.stem_role IN (1.0, 0.6) OR n.branch_role IN (1.0, 0.6)) AS liked_days FROM o a JOIN o n ON n.sec = a.sec AND (n.k - a.k + 60) % 60 BETWEEN 1 AND 30 GROUP BY 1, 2),
-nat AS (SELECT CAST(g AS DATE) AS d, month(g) * 100 + day(g) AS md, CAST(((CAST(g AS DATE) - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 AS di FROM (SELECT unnest(generate_series((SELECT min(d) FROM days)::TIMESTAMP, (SELECT max(d) + 31 FROM days)::TIMESTAMP, INTERVAL 1 DAY)) AS g)),
-cal AS (SELECT d, di, (year(d) - CASE WHEN md < 204 THEN 1 ELSE 0 END - 4) % 60 AS yi, CASE WHEN md < 106 THEN 10 WHEN md < 204 THEN 11 ELSE len(list_filter([204, 306, 405, 506, 606, 707, 808, 908, 1008, 1107, 1207], lambda x: x <= md)) - 1 END AS mk FROM nat),
+nat AS (SELECT d, {terms.instant_sql('d', charts.OPENING)} AS moment, CAST(((d - {_ANCHOR}) + 54) % 60 + 60 AS INT) % 60 AS di FROM (SELECT CAST(unnest(generate_series((SELECT min(d) FROM days)::TIMESTAMP, (SELECT max(d) + 31 FROM days)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d)),
+cal AS (SELECT d, di, (year(d) - CASE WHEN month(d) <= 2 AND mk >= 10 THEN 1 ELSE 0 END - 4) % 60 AS yi, mk FROM (SELECT *, {terms.month_index_sql('moment')} AS mk FROM nat)),
 cal2 AS (SELECT d, di, yi, (SELECT k FROM ring WHERE s = {_AT(p.STEMS, '((yi % 5) * 2 + 2 + mk) % 10')} AND b = {_AT(p.BRANCHES, '(mk + 2) % 12')}) AS mi, {_AT(p.BRANCHES, 'di % 12')} AS day_b, {_AT(p.BRANCHES, '(mk + 2) % 12')} AS month_b FROM cal),
-cal3 AS (SELECT *, {_LUCKY('day_b', 'month_b')} AS lucky, list_extract([0, 1, 0, -1, 1, 1, -1, 1, 1, 0, 1, -1], (strpos('{p.BRANCHES}', day_b) - strpos('{p.BRANCHES}', month_b) + 12) % 12 + 1) AS duty FROM cal2),
-cal4 AS (SELECT *, count(*) FILTER (WHERE lucky) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS lucky_days FROM cal3), today AS (SELECT c.* FROM cal4 c JOIN days USING (d))"""
+cal3 AS (SELECT *, {_LUCKY('day_b', 'month_b')} AS lucky, list_extract({list(charts.DUTY_TENDENCY)}, (strpos('{p.BRANCHES}', day_b) - strpos('{p.BRANCHES}', month_b) + 12) % 12 + 1) AS duty FROM cal2),
+cal4 AS (SELECT *, count(*) FILTER (WHERE lucky) OVER (ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING) AS lucky_days FROM cal3), today AS MATERIALIZED (SELECT c.* FROM cal4 c JOIN days USING (d))"""
 _HALF = lambda c: f"least({c} / 2, 1)"
 _WAY = lambda t: f"sign({t}.stem_role) + sign({t}.branch_role) + sign({t}.stage) + {_ONE(f'{t}.harmony > 0')} - {_ONE(f'{t}.clash > 0')} - {_ONE(f'{t}.punish > 0')} - {_ONE(f'{t}.harm > 0')}"
 _YEAR = ["y.stem_role", "y.branch_role", _ONE("y.wealth"), _ONE("y.output"), _HALF("y.clash"), _HALF("y.harmony"), _HALF("y.punish"), _HALF("y.harm"), "y.stage", _ONE("y.triple")]

@@ -117,17 +117,6 @@ def f05(spark, sf):
     return _scan(spark, sf).select("sec", "d", *[test(a, b).alias(name) for name, test in tests.items()])
 
 
-@query("f11_ten_god_counts", f"{_SCAN} SELECT sec, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, count(*) AS n FROM scan GROUP BY 1, 2")
-def f11(spark, sf):
-    return _scan(spark, sf).groupBy("sec", p.ten_god(F.col("nstem"), F.col("stem")).alias("god")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("f12_classify_element", f"{_SCAN} SELECT sec, d, CASE (stem // 2 - nstem // 2 + 5) % 5 WHEN 4 THEN 1.0::DOUBLE WHEN 0 THEN 0.6 WHEN 1 THEN 0.0 WHEN 2 THEN -0.8 ELSE -1.0 END AS value FROM scan")
-def f12(spark, sf):
-    """Role values: use, like, idle, hostile, avoid; tested in the order of precedence."""
-    return _scan(spark, sf).select("sec", "d", p.role_value(F.col("nstem"), F.col("stem")).alias("value"))
-
-
 @query("f20_birth_model", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL 570 MINUTE AS open_birth, CAST(CAST(o_orderdate AS DATE) - 7 AS DATE) AS approximate FROM orders")
 def f20(spark, sf):
     o = table(spark, sf, "orders")
@@ -171,12 +160,6 @@ def f23(spark, sf):
     return found.select("asked", resolved.alias("resolved"), status.alias("status"))
 
 
-@query("f26_god_dates", f"{_SCAN}, g AS (SELECT board, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, d FROM scan) SELECT board, god, count(DISTINCT d) AS dates, min(d) AS first_d FROM g GROUP BY 1, 2")
-def f26(spark, sf):
-    god = p.ten_god(F.col("nstem"), F.col("stem"))
-    return _scan(spark, sf).groupBy("board", god.alias("god")).agg(F.countDistinct("d").alias("dates"), F.min("d").alias("first_d"))
-
-
 @query("f28_canonical_digest", "SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey::VARCHAR || ',\"c_name\":\"' || c_name || '\"}') AS digest FROM customer")
 def f28(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.sha2(F.to_json(F.struct("c_custkey", "c_name")), 256).alias("digest"))

@@ -36,4 +36,5 @@ from tidemark.plans import (  # noqa: E402, F401  they register their queries
     statistics_plans,
     study_plans,
     text_plans,
+    timeline_plans,
 )
