@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import digests
-from tidemark.operators import calendars, labels, splices
-from tidemark.sources import folders, keyed, shards
+from tidemark.operators import calendars, labels, retrieval, splices
+from tidemark.sources import folders, keyed, shards, store
 
 SCHEMA = "sec long, y int, v double"
 
@@ -177,3 +177,19 @@ def test_splices_take_whole_securities_only(spark):
     for r in splices.spliced(old, new.unionByName(extra), eligible, models=2).collect():
         got.setdefault(r.sec, set()).add((r.v, r.replaced, r.refused))
     assert got == {0: {(1.0, False, False)}, 1: {(2.0, True, False)}, 2: {(1.0, False, True)}, 3: {(1.0, False, True)}, 4: {(1.0, False, False)}}
+
+
+def test_a_term_index_is_built_once_and_found_by_its_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "red green"), (2, "green blue blue"), (3, None)], "doc_id long, text string").write.parquet(path)
+    built, build = [], retrieval.TermIndex.build.__func__
+    monkeypatch.setattr(retrieval.TermIndex, "build", classmethod(lambda cls, docs, folder: (built.append(folder), build(cls, docs, folder))[1]))
+    first = {r.doc_id: r.score for r in retrieval.TermIndex.kept(spark.read.parquet(path)).bm25(["blue", "green"]).collect()}
+    index = retrieval.TermIndex.kept(spark.read.parquet(path))
+    assert {r.doc_id: r.score for r in index.bm25(["blue", "green"]).collect()} == first and set(first) == {1, 2} and len(built) == 1
+    assert index.statistics.collect()[0].n == 2 and index.statistics.collect()[0].avgdl == 2.5
+    plan = index.bm25(["blue"])._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [blue])" in plan or "EqualTo(term,blue)" in plan
+    spark.createDataFrame([(4, "blue")], "doc_id long, text string").write.mode("append").parquet(path)
+    assert {r.doc_id for r in retrieval.TermIndex.kept(spark.read.parquet(path)).bm25(["blue"]).collect()} == {2, 4} and len(built) == 2
+    assert store.fingerprint(spark.range(3).toDF("doc_id")) is None

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import folders, store
+
+#: Small row groups: a term's postings should not be read with many others'.
+ROW_GROUP_BYTES = 4 << 20
 STOPWORDS = "的了是在与和而之也矣者其以为不有无乃则於于所故皆"
 _CJK = r"\u4e00-\u9fff"
 _WORD = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_CJK}]]"
@@ -19,32 +23,56 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 class TermIndex:
-    """Postings (term, doc_id, tf, dl) below ``folder``, sorted by ranges of the term, so that a query reads few row groups.
+    """An inverted index below ``folder``: postings (term, doc_id, tf, dl), sorted by ranges of the term, and a row of corpus statistics.
 
-    ``dl`` is the document's number of tokens and ``first`` marks one posting of
-    each document, so that the corpus statistics are plain sums.
+    A query reads the row groups of its terms and the one row; ``dl`` is the
+    document's number of tokens.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.postings = spark.read.schema("term string, doc_id long, tf long, dl int, first boolean").parquet(folder)
+        self.postings = spark.read.schema("term string, doc_id long, tf long, dl int").parquet(f"{folder}/postings")
+        self.statistics = spark.read.schema("n long, avgdl double").parquet(f"{folder}/statistics")
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str) -> TermIndex:
         """Texts are split once; a document's tokens are counted where they are read, before they are dealt to ranges of terms."""
+        spark = docs.sparkSession
         words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN)).alias("words")
         split = docs.select("doc_id", words).select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
         counted = split.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("at") == 0).alias("first"))
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = counted.select("term", "doc_id", "tf", "dl", "first").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-        ranged.write.parquet(folder)
-        return cls(docs.sparkSession, folder)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        whole = f"{folder}/counted"
+        counted.select("term", "doc_id", "tf", "dl", "first").write.parquet(whole)
+        counts = spark.read.parquet(whole)
+        counts.drop("first").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/postings")
+        counts.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/statistics")
+        return cls(spark, folder)
+
+    @classmethod
+    def kept(cls, docs: DataFrame) -> TermIndex:
+        """The index of the files that ``docs`` reads, built below the shared folder if it is not there yet.
+
+        It is found by a fingerprint of the files, so changed ones have another;
+        it appears by a rename, so one that was broken off is never opened.
+        """
+        spark, print_ = docs.sparkSession, store.fingerprint(docs)
+        if print_ is None:
+            return cls.build(docs, store.scratch(spark, "terms"))
+        folder = f"{store.shared(spark)}/term-index-{print_}"
+        if not folders.exists(spark, folder):
+            staged = store.scratch(spark, "terms")
+            cls.build(docs, staged)
+            try:
+                folders.rename(spark, staged, folder)
+            except FileExistsError:  # somebody else was faster, with the same files
+                pass
+        return cls(spark, folder)
 
     def bm25(self, terms: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """doc_id, score for documents that have any of the terms: one aggregate over the terms' postings."""
         found = self.postings.where(F.col("term").isin(*sorted(set(terms))))
-        corpus = self.postings.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
         frequent = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        weights = frequent.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
+        weights = frequent.crossJoin(F.broadcast(self.statistics)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         return found.join(F.broadcast(weights), "term").groupBy("doc_id").agg(F.sum(part).alias("score"))  # a row for each query term
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import retrieval
 from tidemark.plans.registry import query
-from tidemark.sources import store
 from tidemark.sources.market import table
 
 _TOKEN = r"[\x{4e00}-\x{9fff}]|(?:[^\P{L}\x{4e00}-\x{9fff}]|[\p{M}\p{N}]){2,}"
@@ -28,7 +27,7 @@ s AS (SELECT tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf
 
 
 def _index(spark, sf):
-    return retrieval.TermIndex.build(table(spark, sf, "documents"), store.scratch(spark, "terms"))
+    return retrieval.TermIndex.kept(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("k02_bm25", f"{_BM25} SELECT doc_id, round(score, 6) AS score FROM s")

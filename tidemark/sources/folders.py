@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def size_and_time(spark: SparkSession, path: str) -> str:
+    fs, where = _at(spark, path)
+    status = fs.getFileStatus(where)
+    return f"{status.getLen()}:{status.getModificationTime()}"
+
+
 def numbers(spark: SparkSession, path: str) -> list[int]:
     """The numbers that name folders there, ascending."""
     fs, where = _at(spark, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -9,16 +10,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import folders
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset below a temporary one, in a local session only."""
+
+def shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset a temporary one, in a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fingerprint(df: DataFrame) -> str | None:
+    """A digest of the names, sizes and times of the files that ``df`` reads, and of its columns; null if it reads none."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return None
+    told = [f"{name}:{folders.size_and_time(df.sparkSession, name)}" for name in files]
+    return hashlib.sha256("\n".join([df.schema.simpleString(), *told]).encode()).hexdigest()[:32]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
