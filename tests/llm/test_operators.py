@@ -124,6 +124,16 @@ def test_a_common_key_fills_blocks_of_several_parts(spark):
     assert sorted(r.page_id for r in warc.round_trip(spark, df).collect()) == list(range(600))
 
 
+def test_parts_of_the_index_are_as_many_as_their_lines_need(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PART_LINES", 40)
+    pages = [(k, "http://hot.org/" if k % 3 == 0 else f"http://h{k % 211}.org/", f"page {k}") for k in range(900)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    kept = warc.archive(df, warc.scratch(spark, "t"), block_lines=7)
+    sizes = [r[0] for r in kept.directory.groupBy("part").agg(F.sum("lines")).select("sum(lines)").collect()]
+    assert sum(sizes) == 900 and len(sizes) >= 20 and max(sizes) <= 2 * 40
+    assert sorted(r.page_id for r in warc.round_trip(spark, df).collect()) == list(range(900))
+
+
 def test_warc_of_nothing(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(spark, df).count() == 0
@@ -194,6 +204,21 @@ def test_jaccard_join_in_a_crowd(spark, monkeypatch, unit, most, pairs):
     assert got_links(jaccard_join.jaccard_join(df)) == brute_links(rows + rows[:3])
 
 
+def test_pairs_of_a_large_bucket_meet_once_each_in_keys_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_PART", 5)
+    monkeypatch.setattr(jaccard_join, "SMALL_CROWD", 0)
+    nodes = [(k, k % 4) for k in range(60)]
+    buckets = spark.createDataFrame([("hot", n, c) for n, c in nodes] + [("one", n, 0) for n in range(3)] + [("two", 1, 1), ("two", 2, 2)], "bucket string, node long, crowd long")
+    crowds = spark.createDataFrame([(n, c, 15) for n, c in nodes], "node long, crowd long, crowd_size long")
+    got = sorted(map(tuple, jaccard_join._candidates(crowds, buckets).collect()))
+    assert got == sorted((a, b) for a, x in nodes for b, y in nodes if a < b and x != y)
+
+
+def test_jaccard_join_in_parts_of_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_PART", 1)
+    assert got_links(jaccard_join.jaccard_join(docs)) == brute_links(TEXTS)
+
+
 def test_differences_give_intersections():
     rng = np.random.default_rng(5)
     base, one, two = (np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(3))

@@ -33,6 +33,7 @@ N_HASHES, BAND = 128, 4
 #: the tasks, are as many as its units; but no block has more than MAX_BLOCK_BYTES.
 UNIT_BYTES, MAX_BLOCK_BYTES = 512 << 10, 32 << 20
 PAIRS = 1 << 19  # pairs of a task that are compared at a time
+BUCKET_PART = 512  # nodes of a bucket that meet others in one key
 SMALL_CROWD = 16  # up to this size, pairs of a crowd are rows
 STEP = 16  # MinHash values compared at a time
 
@@ -309,10 +310,13 @@ def _within_crowds(members: DataFrame, threshold: float, tolerance: float) -> Da
 
 def _candidates(crowds: DataFrame, buckets: DataFrame) -> DataFrame:
     """Pairs (a < b) that share a bucket but not a crowd, and all pairs of small crowds."""
-    several = buckets.groupBy("bucket").agg(F.min("crowd").alias("lo"), F.max("crowd").alias("hi")).where("lo < hi")
-    rows = buckets.join(several.select("bucket"), "bucket")
-    across = rows.select("bucket", F.col("node").alias("a"), F.col("crowd").alias("ca")).join(
-        rows.select("bucket", F.col("node").alias("b"), F.col("crowd").alias("cb")), "bucket"
+    several = buckets.groupBy("bucket").agg(F.min("crowd").alias("lo"), F.max("crowd").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    # a large bucket is cut into parts; two parts meet in a key of their own, and no more than BUCKET_PART nodes of either
+    parts = F.ceil(F.col("n") / BUCKET_PART).cast("long")
+    rows = buckets.join(several.select("bucket", parts.alias("parts")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    across = rows.select("bucket", "own", "other", F.col("node").alias("a"), F.col("crowd").alias("ca")).join(
+        rows.select("bucket", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("b"), F.col("crowd").alias("cb")), ["bucket", "own", "other"]
     )
     small = crowds.where(f"crowd_size between 2 and {SMALL_CROWD}")
     within = small.select("crowd", F.col("node").alias("a")).join(small.select("crowd", F.col("node").alias("b")), "crowd")
@@ -362,6 +366,7 @@ def jaccard_join(
     reachable over links.  A text without words (null too) is linked to
     nothing.  A null id is never the smallest of several.  Repeated rows count as copies
     of each other.  An empty table gives an empty result; other columns are ignored.
+    Very long texts are taken whole.
     """
     rows = stored(_signatures(docs, id_col, text_col, k), "near-sets")
     wordless = rows.where("set_key is null").select(

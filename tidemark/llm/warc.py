@@ -28,6 +28,8 @@ from tidemark.llm.common import parallelism, scratch, stored
 from tidemark.llm.files import opened, read_range, task_name
 
 ROLL_BYTES = 256 << 20
+#: Captures in a part of the index: what a task that looks keys up has of it.
+PART_LINES = 1 << 18
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"  # the pages have no date; a fixed one keeps archives reproducible
@@ -133,9 +135,10 @@ _DIRECTORY = pa.schema([("part", pa.int32()), ("first_key", pa.string()), ("last
 def write_index(captures: DataFrame, folder: str, block_lines: int = 1000) -> DataFrame:
     """Writes sorted captures as compressed blocks; returns the directory, a row for each block.
 
-    ``part`` numbers the ranges of keys that the writing tasks have.  A key of very many captures fills blocks of several parts.
+    ``part`` numbers the ranges of keys that the writing tasks have, of about
+    PART_LINES captures at most, which is what a search holds.  A key of very many captures fills blocks of several parts.
     """
-    n = parallelism(captures.sparkSession)
+    n = max(parallelism(captures.sparkSession), -(-captures.count() // PART_LINES))
     ranged = captures.repartitionByRange(n, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "archive", "offset")
 
     def run(batches):
@@ -190,7 +193,7 @@ class CaptureArchive:
     def captures(self, keys: DataFrame) -> DataFrame:
         """The captures of the keys (url_key, each once) by way of the index; a key that is not there has none."""
         folder = self.folder
-        # one row for each part, of which there are as many as shuffle partitions
+        # one row for each part: a directory of the directory
         ranges = self.directory.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).orderBy("part").collect()
         parts, firsts, lasts = [r["part"] for r in ranges], [r["first"] for r in ranges], [r["last"] for r in ranges]
 
@@ -261,7 +264,8 @@ def archive(pages: DataFrame, folder: str, block_lines: int = 1000) -> CaptureAr
     and payload are all responses.  A null id is smaller than any other and a
     payload whose ids are all null is a response each time.  Null URLs are
     archived under the key ``)/``; URLs that share a key are all found by it.
-    An empty table gives an empty archive; other columns are ignored.
+    An empty table gives an empty archive; very long pages are held whole in a
+    task, one at a time; other columns are ignored.
     """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     captures = stored(write_archives(given, f"{folder}/records"), "warc-captures")
