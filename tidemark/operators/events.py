@@ -52,3 +52,14 @@ def event_study(obs: DataFrame, labels: DataFrame, horizons, *, mode: str = "pos
     """Filter, activate, take distinct keys, join labels, and describe returns by horizon."""
     hits = event_keys(select(obs, **conditions).where(active(mode)))
     return horizon_stats(hits.join(labels, ["sec", "d"]), horizons)
+
+
+def run_study(source, observe, label, horizons, *, start: str | None = None, end: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Horizon statistics of a study of a source's bars: ``observe`` makes events (sec, d, keys) of them, ``label`` their forward returns.
+
+    Both are functions of a DataFrame to a DataFrame, so a study is a plan
+    like any other, whatever the source.
+    """
+    bars = source.daily_bars(start, end)
+    hits = observe(bars).select("sec", "d", *(keys or [])).distinct()
+    return horizon_stats(hits.join(label(bars), ["sec", "d"]), horizons, keys)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import seeds
-from tidemark.operators import calendars, guards, labels
+from tidemark.operators import calendars, events, guards, labels
 from tidemark.plans.registry import query
-from tidemark.sources import keyed, shards, store
+from tidemark.sources import keyed, protocol, shards, store, zips
 from tidemark.sources.market import bars, table, trading_days, universe, with_sql
+from tidemark.streaming import maturation
 
 
 def _latest(df, keys, *order):
@@ -128,28 +125,10 @@ def s20(spark, sf):
 
 @query("s06_zip_of_csv", "SELECT l_suppkey AS sec, count(DISTINCT CAST(l_shipdate AS DATE)) AS n, min(CAST(l_shipdate AS DATE)) AS first_d FROM lineitem GROUP BY 1")
 def s06(spark, sf):
-    """Zipped CSV files, one member a security, at most 256 a ZIP of a year, to one long frame: binary files decoded by Arrow-batched Python."""
+    """ZIPs of CSV members, one a security, at most 256 a ZIP of a year, read as a data source of one long frame."""
     path = store.scratch(spark, "zips")
-
-    def zipped(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-            for sec, part in pdf.groupby("sec"):
-                z.writestr(f"{sec}.csv", part[["d", "close"]].to_csv(index=False))
-        return pd.DataFrame({"y": [pdf["y"].iat[0]], "content": [data.getvalue()]})
-
-    b = bars(spark, sf).select("sec", "d", "close", F.year("d").alias("y"))
-    b.groupBy("y", F.floor(F.col("sec") / 256)).applyInPandas(zipped, "y int, content binary").write.parquet(path)
-
-    def members(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        yield pd.read_csv(z.open(name)).assign(sec=int(name[:-4]))[["sec", "d", "close"]]
-
-    long = spark.read.parquet(path).select("content").mapInPandas(members, "sec long, d string, close double")
-    return long.groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("d")).alias("first_d"))
+    zips.write(bars(spark, sf).select("sec", "d", "close"), path)
+    return zips.read(spark, path).groupBy("sec").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"))
 
 
 @query("s05_content_addressed_blobs", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 1 END AS INT) AS version, sha256(CASE WHEN s_suppkey % 4 = 0 THEN s_name || '/2' ELSE s_name END) AS sha FROM supplier WHERE s_suppkey % 10 <> 3")
@@ -270,11 +249,20 @@ def s18(spark, sf):
     return publisher.read().groupBy("sec").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s01_source_protocol", "SELECT s_suppkey AS code, s_name AS name FROM supplier WHERE contains(lower(s_name), '00000001') ORDER BY code LIMIT 20")
+_RISEN = "rb AS (SELECT * FROM bars WHERE d >= DATE '1999-01-01'), rl AS (SELECT *, close > lag(close) OVER w AS risen, lead(close, 5) OVER w / close - 1 AS r5, lead(close, 20) OVER w / close - 1 AS r20 FROM rb WINDOW w AS (PARTITION BY sec ORDER BY d))"
+
+
+@query("s01_source_protocol", f"{with_sql('bars')}, {_RISEN} SELECT source, horizon, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END), 8) AS up_rate, round(avg(ret), 8) + 0.0 AS mean_ret FROM (SELECT risen, 5 AS horizon, r5 AS ret FROM rl UNION ALL SELECT risen, 20, r20 FROM rl), (VALUES ('tables'), ('zips')) v(source) WHERE risen AND ret IS NOT NULL GROUP BY 1, 2")
 def s01(spark, sf):
-    """A source's search, one of the calls that every source answers with a DataFrame."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("name"))
-    return s.where(F.lower("name").contains("00000001")).orderBy("code").limit(20)
+    """One study, with its builders as arguments, through two sources that answer the same calls."""
+    path = store.scratch(spark, "zips")
+    tables = protocol.TableSource(spark, sf)
+    zips.write(tables.daily_bars("1998-12-01").select("sec", "d", "close"), path)
+    risen = F.col("close") > F.lag("close").over(Window.partitionBy("sec").orderBy("d"))
+    observe = lambda b: b.withColumn("risen", risen).where("risen").select("sec", "d")
+    label = lambda b: labels.forward_returns(b.select("sec", "d", "close"), (5, 20))
+    out = [events.run_study(source, observe, label, (5, 20), start="1999-01-01").withColumn("source", F.lit(name)) for name, source in (("tables", tables), ("zips", protocol.ZipSource(spark, sf, path)))]
+    return out[0].unionByName(out[1]).select("source", "horizon", "n", F.round("up_rate", 8).alias("up_rate"), (F.round("mean_ret", 8) + F.lit(0.0)).alias("mean_ret"))
 
 
 _GUARDED = ("lineitem", "orders", "customer", "supplier", "part", "events", "labels")
@@ -294,3 +282,20 @@ def p16(spark, sf):
         return False
 
     return spark.createDataFrame([(name, refused(df)) for name, df in inputs.items()], "name string, refused boolean")
+
+
+@query("w05_label_maturation", f"""{with_sql('bars')}, ll AS (SELECT sec, d, {', '.join(f"CASE WHEN count(*) FILTER (WHERE close > 0) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING) = {h + 1} THEN lead(close, {h}) OVER (PARTITION BY sec ORDER BY d) / close - 1 END AS r{h}" for h in (5, 20))} FROM bars)
+SELECT sec, d, round(r5, 8) + 0.0 AS ret_5d, r5 IS NOT NULL AS horizon_available_5d, round(r20, 8) + 0.0 AS ret_20d, r20 IS NOT NULL AS horizon_available_20d FROM ll""")
+def w05_maturation(spark, sf):
+    """The bars as a stream of files, in three batches of which the last is a year that comes late: labels ripen as their bars arrive."""
+    b = bars(spark, sf).select("sec", "d", "close")
+    folder = store.scratch(spark, "stream")
+    year = F.year("d")
+    for part in (year < 1997, year > 1997, year == 1997):
+        b.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/bars")
+    stored_bars = keyed.KeyedTable(spark, f"{folder}/stored", maturation.BARS, ["sec", "d"])
+    kept = keyed.KeyedTable(spark, f"{folder}/labels", maturation.label_schema((5, 20)), ["sec", "d"])
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/bars")
+    maturation.mature(stream, stored_bars, kept, f"{folder}/progress", (5, 20)).awaitTermination()
+    out = kept.read()
+    return out.select("sec", "d", *[x for h in (5, 20) for x in ((F.round(f"ret_{h}d", 8) + F.lit(0.0)).alias(f"ret_{h}d"), F.col(f"horizon_available_{h}d"))])
