@@ -69,12 +69,6 @@ def c25(spark, sf):
     return j.groupBy("board").agg(F.min_by("m", F.when(F.col("b") == "DEFAULT", 1).otherwise(0)).alias("open_min"))
 
 
-@query("f27_cross_section_scan", f"{_SCAN} SELECT d, count(*) AS n, count(DISTINCT {_GOD}) AS gods, string_agg(DISTINCT board, ',' ORDER BY board) AS boards FROM scan GROUP BY d")
-def f27(spark, sf):
-    g = _gods(spark, sf).groupBy("d")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("god").alias("gods"), F.array_join(F.sort_array(F.collect_set("board")), ",").alias("boards"))
-
-
 _FIT = f"{_RELATED}, s AS (SELECT sec, sum(CASE WHEN {_HARM6} THEN 3 ELSE 0 END - CASE WHEN {_CLASH} THEN 2 ELSE 0 END + CASE WHEN list_contains(relations, 'triple') THEN 2 ELSE 0 END - CASE WHEN list_contains(relations, 'harm') THEN 1 ELSE 0 END - CASE WHEN list_contains(relations, 'punish') THEN 1 ELSE 0 END)::BIGINT AS fit FROM related GROUP BY 1)"
 
 
@@ -91,28 +85,6 @@ def c09(spark, sf):
     return top.unionByName(bottom).unionByName(spread)
 
 
-@query("c13_day_class_performance", f"{with_sql('bars')}, {LABELS}, v AS (SELECT l.*, lead(d, 5) OVER (PARTITION BY sec ORDER BY d) AS end_d FROM labels l), g AS (SELECT CASE WHEN day(d) % 2 = 0 THEN 'good' ELSE 'bad' END AS class, ret_5d FROM v WHERE end_d <= DATE '1999-12-31' AND ret_5d IS NOT NULL) SELECT class, count(*) AS n, round(avg(ret_5d), 8) + 0.0 AS mean_ret FROM g GROUP BY 1")
-def c13(spark, sf):
-    """Only labels whose last bar was visible at the as-of date count."""
-    visible = bars(spark, sf).where(F.col("d") <= F.to_date(F.lit("1999-12-31")))
-    l = labels.forward_returns(visible.select("sec", "d", "close"), (5,)).where("ret_5d is not null")
-    return l.groupBy(F.when(F.dayofmonth("d") % 2 == 0, "good").otherwise("bad").alias("class")).agg(F.count(F.lit(1)).alias("n"), r8(F.avg("ret_5d")).alias("mean_ret"))
-
-
-@query("c15_outlook", f"{with_sql('days')}, {_DAYP} SELECT d, CASE WHEN branch IN (0, 2, 3, 6, 7, 9) THEN 'good' WHEN branch IN (1, 4, 5, 8, 10) THEN 'bad' END AS class FROM dp WHERE d > DATE '2001-01-15' ORDER BY d LIMIT 12")
-def c15(spark, sf):
-    b = F.col("branch")
-    ahead = _days(spark, sf).where(F.col("d") > F.to_date(F.lit("2001-01-15"))).orderBy("d").limit(12)
-    return ahead.select("d", F.when(b.isin(0, 2, 3, 6, 7, 9), "good").when(b.isin(1, 4, 5, 8, 10), "bad").alias("class"))
-
-
-@query("c18_month_events", f"{with_sql('days')}, s AS (SELECT d, date_trunc('month', d)::DATE AS m, day(d) % 5 AS e FROM days) SELECT m AS segment, count(DISTINCT e) AS events FROM s GROUP BY 1")
-def c18(spark, sf):
-    """Events in their segments, equal ones once: told apart by a hash of their canonical JSON."""
-    s = trading_days(spark, sf).select(F.trunc("d", "month").alias("segment"), F.to_json(F.struct((F.dayofmonth("d") % 5).alias("e"))).alias("j"))
-    return s.dropDuplicates(["segment", "j"]).groupBy("segment").agg(F.count(F.lit(1)).alias("events"))
-
-
 @query("s04_snapshot_csv", f"{with_sql('bars')} SELECT sec, count(*) AS n, max(d) AS last_d FROM bars WHERE d >= DATE '1998-01-01' GROUP BY 1")
 def s04(spark, sf):
     """Offline CSV snapshot with a given schema, filtered by date; another adjustment than the one asked for is refused."""

@@ -181,9 +181,3 @@ def f29(spark, sf):
 def c20(spark, sf):
     b = F.col("branch")
     return _days(spark, sf).select("d", ((b + 6) % 12).alias("clash_branch"), ((13 - b) % 12).alias("harmony_branch"), ((F.col("stem") + 5) % 10).alias("partner_stem"))
-
-
-@query("c19_month_windows", f"{with_sql('days')} SELECT CAST(year(d) * 100 + month(d) AS INT) AS ym, min(d) AS first_d, max(d) AS last_d, count(*) AS n FROM days GROUP BY 1")
-def c19(spark, sf):
-    ym = F.year("d") * 100 + F.month("d")
-    return trading_days(spark, sf).groupBy(ym.alias("ym")).agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.count(F.lit(1)).alias("n"))

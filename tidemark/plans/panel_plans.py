@@ -247,13 +247,6 @@ def c11(spark, sf):
     return fields.join(other, ["k", "field"], "full_outer").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").eqNullSafe(F.col("w"))).alias("agreed"))
 
 
-@query("c12_birth_model_study", f"{with_sql('obs')} SELECT factor_id, CAST(sec % 3 AS INT) AS model, round(avg(normalized), 8) + 0.0 AS mean, round(stddev_pop(normalized), 8) AS sd, count(DISTINCT normalized) AS uniques, count(DISTINCT normalized) <= 1 AS constant FROM obs GROUP BY 1, 2")
-def c12(spark, sf):
-    g = observations(spark, sf).groupBy("factor_id", (F.col("sec") % 3).cast("int").alias("model"))
-    n = F.countDistinct("normalized")
-    return g.agg(r8(F.avg("normalized")).alias("mean"), F.round(F.stddev_pop("normalized"), 8).alias("sd"), n.alias("uniques"), (n <= 1).alias("constant"))
-
-
 @query("c14_bar_source_preference", f"{with_sql('bars', 'adj')} SELECT b.sec, count(*) AS n, count(CASE WHEN b.sec % 2 = 0 THEN close ELSE close * factor END) AS priced FROM bars b LEFT JOIN adj a ON a.sec = b.sec AND a.d = b.d GROUP BY 1")
 def c14(spark, sf):
     """Adjusted bars where a security has any, else raw times factor."""
@@ -336,11 +329,3 @@ def s12(spark, sf):
     a = adjustment(spark, sf)
     patch, primary = a.withColumn("factor", F.col("factor") * 10), a.where("sec % 3 <> 0")
     return overlay(patch, primary, ["sec", "d"]).select("sec", "d", F.round("factor", 8).alias("factor"))
-
-
-@query("s21_corpus_load", "SELECT s.source AS book, count(*) AS entries, count(DISTINCT d.doc_id) AS ids FROM documents d JOIN (SELECT DISTINCT source FROM documents) s USING (source) GROUP BY 1")
-def s21(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    books = d.select(F.col("source").alias("book")).distinct()
-    by_id = d.join(books, F.col("source") == F.col("book")).groupBy("book", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    return by_id.groupBy("book").agg(F.sum("c").alias("entries"), F.count(F.lit(1)).alias("ids"))

@@ -31,6 +31,7 @@ from tidemark.plans import (  # noqa: E402, F401  they register their queries
     factor_plans,
     gate_plans,
     label_plans,
+    outlook_plans,
     panel_plans,
     source_plans,
     statistics_plans,
