@@ -43,17 +43,18 @@ def x07(spark, sf):
     """Each control panel's 20-day statistics against the real one's, the verdict, and what the verdicts say together."""
     up = F.avg(F.when(F.col("ret_20d").isNotNull(), (F.col("ret_20d") > 0).cast("double")))
     s = control_events(spark, sf).groupBy("kind").agg(F.count("ret_20d").alias("n"), F.avg("ret_20d").alias("m"), up.alias("up"))
-    real = s.where("kind = 'real'").select(F.col("n").alias("rn"), F.col("m").alias("rm"), F.col("up").alias("ru"))
-    v = s.where("kind != 'real'").crossJoin(F.broadcast(real))  # one row
+    four = Window.partitionBy(F.lit(1))  # four rows
+    of_real = lambda c: F.max(F.when(F.col("kind") == "real", F.col(c))).over(four)
+    v = s.select("*", of_real("n").alias("rn"), of_real("m").alias("rm"), of_real("up").alias("ru")).where("kind != 'real' and rn is not null")
     dm, du = F.col("rm") - F.col("m"), F.col("ru") - F.col("up")
     verdict = F.when(F.least("rn", "n") < MIN_SAMPLE, "inconclusive").when((dm > EPSILON) & (du > 0), "outperform").when((dm < -EPSILON) & (du < 0), "underperform").otherwise("tie")
     v = v.select("kind", "n", r8("m").alias("mean_ret"), F.round("up", 8).alias("up_rate"), (F.round(dm, 6) + F.lit(0.0)).alias("delta_mean"), (F.round(du, 6) + F.lit(0.0)).alias("delta_up"), verdict.alias("verdict"))
-    of = lambda name: F.count_if(F.col("verdict") == name)
-    said = v.agg(
-        F.when(of("inconclusive") == F.count(F.lit(1)), "none").when((of("underperform") == 0) & (of("outperform") > of("tie")), "better_than_random")
-        .when(of("outperform") == 0, "not_better").otherwise("inconsistent").alias("conclusion")
+    of = lambda name: F.count_if(F.col("verdict") == name).over(four)
+    said = (
+        F.when(of("inconclusive") == F.count(F.lit(1)).over(four), "none").when((of("underperform") == 0) & (of("outperform") > of("tie")), "better_than_random")
+        .when(of("outperform") == 0, "not_better").otherwise("inconsistent")
     )
-    return v.crossJoin(F.broadcast(said))  # one row
+    return v.withColumn("conclusion", said)
 
 
 @query("d12_relation_study", f"""{_CONTROLS}, u AS (UNPIVOT events ON ret_5d, ret_10d, ret_20d INTO NAME h VALUE r),

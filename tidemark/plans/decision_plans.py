@@ -12,6 +12,7 @@ from tidemark.plans.label_plans import LABELS, r8
 from tidemark.plans.registry import query
 from tidemark.plans.statistics_plans import _PANEL, _PART, _panel, partition_of
 from tidemark.sources.market import bars, observations, table, universe, with_sql
+from tidemark.sources.store import stored
 
 #: One hypothesis a customer: a p value from the balance, a tenth of them missing; families are market segments.
 _TESTS = "tests AS (SELECT c_mktsegment AS family, c_custkey AS hypothesis, CASE WHEN c_custkey % 10 <> 0 THEN abs(c_acctbal) / 20000 END AS p FROM customer)"
@@ -145,20 +146,21 @@ def quota_sample(members, target: int, seed: int, *strata: str):
     make too few is added, one by one in turn from the largest strata.  Members
     come in the order of a seeded hash.
     """
+    sizes = members.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
+    whole = Window.partitionBy(F.lit(1))  # a row for each stratum
+    quota = F.greatest(F.lit(1), F.round(F.col("size") / F.sum("size").over(whole) * target)).cast("int")
+    shared = sizes.withColumn("quota", quota).withColumn("excess", F.sum("quota").over(whole) - target)
+    # in turn: one unit of every stratum comes before a second one of any; none gives its last
+    most = F.when(F.col("excess") > 0, F.col("quota") - 1).otherwise(-F.col("excess")).cast("int")
+    turns = shared.withColumn("most", most).where("most > 0").select(*strata, "size", "excess", F.explode(F.sequence(F.lit(1), "most")).alias("turn"))
+    nth = F.row_number().over(whole.orderBy("turn", F.desc("size"), *strata))
+    moved = turns.withColumn("nth", nth).where("nth <= abs(excess)").groupBy(*strata).agg(F.count(F.lit(1)).alias("moved"))
+    change = F.coalesce("moved", F.lit(0)) * -F.signum("excess")
+    shared = shared.join(moved, list(strata), "left").select(*strata, (F.col("quota") + change).alias("quota"))
+    # no quota is above the target, so a task keeps no more of a stratum than that before rows meet
     place = F.row_number().over(Window.partitionBy(*strata).orderBy(seeds.order(seed, "sec"), "sec"))
-    placed = members.withColumn("place", place)
-    sizes = placed.groupBy(*strata).agg(F.max("place").alias("size"))
-    whole = sizes.agg(F.sum("size").alias("whole"))
-    shared = sizes.crossJoin(F.broadcast(whole)).withColumn("quota", F.greatest(F.lit(1), F.round(F.col("size") / F.col("whole") * target)).cast("int"))  # one row
-    excess = (shared.agg(F.sum("quota").alias("n")).first()["n"] or 0) - target
-    if excess:
-        # in turn: one unit of every stratum comes before a second one of any; none gives its last
-        givers = shared.where("quota > 1").withColumn("most", F.col("quota") - 1) if excess > 0 else shared.withColumn("most", F.lit(-excess))
-        turns = givers.select(*strata, "size", F.explode(F.sequence(F.lit(1), "most")).alias("turn"))
-        moved = turns.orderBy("turn", F.desc("size"), *strata).limit(abs(excess)).groupBy(*strata).agg(F.count(F.lit(1)).alias("moved"))
-        change = F.coalesce("moved", F.lit(0)) * (-1 if excess > 0 else 1)
-        shared = shared.join(moved, list(strata), "left").withColumn("quota", F.col("quota") + change)
-    return placed.join(F.broadcast(shared.select(*strata, "quota")), list(strata)).where("place <= quota").drop("quota")  # a row for each stratum
+    placed = members.withColumn("place", place).where(F.col("place") <= max(target, 1))
+    return placed.join(F.broadcast(shared), list(strata)).where("place <= quota").drop("quota")  # a row for each stratum
 
 
 def _quota_sql(name: str, source: str, target: int, seed: int) -> str:
@@ -176,11 +178,11 @@ money AS (SELECT sec, sum(amount) AS amount FROM bars GROUP BY 1), cuts AS (SELE
 SELECT sec, 'delisted' AS plan, stratum, CAST(NULL AS INT) AS place FROM era WHERE delist_date IS NOT NULL UNION ALL SELECT sec, 'board_era', stratum, place::INT FROM a UNION ALL SELECT sec, 'size', stratum, place::INT FROM b""")
 def x13(spark, sf):
     """All delisted securities and a hundred others by board and listing year, and a hundred over five size buckets at cut points of the amounts."""
-    u = universe(spark, sf).select("sec", F.concat_ws("/", "board", F.year("list_date")).alias("stratum"), "delist_date")
+    u = stored(universe(spark, sf).select("sec", F.concat_ws("/", "board", F.year("list_date")).alias("stratum"), "delist_date"), "strata")
     plan = lambda df, name, stratum: df.select("sec", F.lit(name).alias("plan"), stratum.alias("stratum"), "place")
     gone = plan(u.where("delist_date is not null").withColumn("place", F.lit(None).cast("int")), "delisted", F.col("stratum"))
     by_board = plan(quota_sample(u.where("delist_date is null").drop("delist_date"), 100, 7, "stratum"), "board_era", F.col("stratum"))
-    size = bars(spark, sf).groupBy("sec").agg(F.sum("amount").alias("amount"))
+    size = stored(bars(spark, sf).groupBy("sec").agg(F.sum("amount").alias("amount")), "sizes")
     cuts = size.agg(F.percentile("amount", [0.2, 0.4, 0.6, 0.8]).alias("cuts"))
     tiers = size.crossJoin(F.broadcast(cuts)).select("sec", F.size(F.filter("cuts", lambda c: c < F.col("amount"))).cast("string").alias("tier"))  # one row
     return gone.unionByName(by_board).unionByName(plan(quota_sample(tiers, 100, 7, "tier"), "size", F.col("tier")))
