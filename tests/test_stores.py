@@ -193,3 +193,11 @@ def test_a_term_index_is_built_once_and_found_by_its_files(spark, tmp_path, monk
     spark.createDataFrame([(4, "blue")], "doc_id long, text string").write.mode("append").parquet(path)
     assert {r.doc_id for r in retrieval.TermIndex.kept(spark.read.parquet(path)).bm25(["blue"]).collect()} == {2, 4} and len(built) == 2
     assert store.fingerprint(spark.range(3).toDF("doc_id")) is None
+
+
+def test_closures_roll_over_the_year(spark):
+    texts = ["1999:12-30..01-03", "2000:10-01", "2000:02-28..03-01", "no closure", "", None, "2001:02-30"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(calendars.closure_days(F.col("t"))).collect()]
+    assert [[d.isoformat() for d in ds] if ds else ds for ds in got] == [
+        ["1999-12-30", "1999-12-31", "2000-01-01", "2000-01-02", "2000-01-03"], ["2000-10-01"], ["2000-02-28", "2000-02-29", "2000-03-01"], None, None, None, None
+    ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,12 @@ def validated(plan: DataFrame, seen: DataFrame) -> DataFrame:
         F.count("p").alias("published"), F.count("s").alias("observed"), F.count_if(F.col("p").isNull()).alias("unexpected"), F.count_if(F.col("s").isNull()).alias("missing")
     )
     return g.withColumn("verified", F.col("unexpected") + F.col("missing") == 0)
+
+
+def closure_days(text: Column) -> Column:
+    """The days of a closure such as ``1999:12-30..01-03``, whose end is in the next year if it comes before the beginning, or ``1999:10-01``; null for other text."""
+    part = lambda g: F.regexp_extract(text, r"^(\d{4}):(\d\d-\d\d)(?:\.\.(\d\d-\d\d))?$", g)
+    last = F.when(part(3) == "", part(2)).otherwise(part(3))
+    end_year = F.try_to_number(part(1), F.lit("9999")).cast("int") + (last < part(2)).cast("int")
+    start, end = F.try_to_date(F.concat(part(1), F.lit("-"), part(2)), "yyyy-MM-dd"), F.try_to_date(F.concat(end_year.cast("string"), F.lit("-"), last), "yyyy-MM-dd")
+    return F.when(start <= end, F.sequence(start, end))

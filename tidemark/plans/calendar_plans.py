@@ -61,12 +61,20 @@ def f24(spark, sf):
     return j.groupBy("sec", "list_date").agg(F.min_by("open_min", "priority").alias("open_min"))
 
 
-@query("c25_session_fallback", f"WITH {_SESSIONS} SELECT b AS board, coalesce((SELECT min(open_min) FROM sessions WHERE board = b), (SELECT min(open_min) FROM sessions WHERE board = 'DEFAULT')) AS open_min FROM (SELECT unnest(['ASIA', 'MARS']) AS b)")
+@query("c25_session_fallback", f"""WITH {_SESSIONS}, {with_sql('universe')[5:]}, a AS (SELECT sec, CASE WHEN sec % 4 = 3 THEN 'MARS' ELSE board END AS board, CASE WHEN sec % 10 = 7 THEN DATE '1980-01-01' ELSE list_date END AS at FROM universe),
+f AS (SELECT sec, arg_min(x.board, priority) AS via, arg_min(open_min, priority) AS open_min FROM a JOIN sessions x ON (x.board = a.board OR x.board = 'DEFAULT') AND a.at >= s AND a.at < e GROUP BY 1) SELECT a.board, coalesce(via, 'UNKNOWN') AS via, open_min, count(*) AS securities FROM a LEFT JOIN f USING (sec) GROUP BY 1, 2, 3""".replace("AS at FROM", "AS moment FROM").replace("a.at", "a.moment"))
 def c25(spark, sf):
-    asked = spark.createDataFrame([("ASIA",), ("MARS",)], "board string")
-    known = spark.createDataFrame([("ASIA", 560), ("DEFAULT", 540)], "b string, m int")
-    j = asked.crossJoin(known).where((F.col("b") == F.col("board")) | (F.col("b") == "DEFAULT"))  # 2 x 2 rows
-    return j.groupBy("board").agg(F.min_by("m", F.when(F.col("b") == "DEFAULT", 1).otherwise(0)).alias("open_min"))
+    """A security's session: its board's that was in force, else the default one's, else unknown; how many get theirs each way."""
+    from tidemark.sources.market import universe
+
+    rows = [("ASIA", "1990-01-01", "1998-01-01", 570, 0), ("ASIA", "1998-01-01", "2999-01-01", 560, 0), ("DEFAULT", "1990-01-01", "2999-01-01", 540, 1)]
+    sessions = spark.createDataFrame(rows, "via string, s string, e string, open_min int, priority int").withColumn("s", F.to_date("s")).withColumn("e", F.to_date("e"))
+    u = universe(spark, sf)
+    asked = u.select("sec", F.when(F.col("sec") % 4 == 3, "MARS").otherwise(F.col("board")).alias("board"), F.when(F.col("sec") % 10 == 7, F.to_date(F.lit("1980-01-01"))).otherwise(F.col("list_date")).alias("at"))
+    tried = asked.withColumn("via", F.explode(F.array("board", F.lit("DEFAULT")))).join(F.broadcast(sessions), "via", "left")  # three rows
+    valid = (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e"))
+    found = tried.groupBy("sec", "board").agg(F.min_by(F.when(valid, F.struct("via", "open_min")), F.when(valid, F.col("priority"))).alias("x"))
+    return found.groupBy("board", F.coalesce("x.via", F.lit("UNKNOWN")).alias("via"), F.col("x.open_min").alias("open_min")).agg(F.count(F.lit(1)).alias("securities"))
 
 
 _FIT = f"{_RELATED}, s AS (SELECT sec, sum(CASE WHEN {_HARM6} THEN 3 ELSE 0 END - CASE WHEN {_CLASH} THEN 2 ELSE 0 END + CASE WHEN list_contains(relations, 'triple') THEN 2 ELSE 0 END - CASE WHEN list_contains(relations, 'harm') THEN 1 ELSE 0 END - CASE WHEN list_contains(relations, 'punish') THEN 1 ELSE 0 END)::BIGINT AS fit FROM related GROUP BY 1)"

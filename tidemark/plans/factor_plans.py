@@ -86,24 +86,29 @@ _TEN = lambda a, b: f"CAST(((({b}) // 2 - ({a}) // 2) % 5 + 5) % 5 * 2 + CASE WH
 _NAMES = "[" + ", ".join(f"'{g}'" for g in p.TEN_GODS) + "]"
 
 
-@query("f01_ten_god", f"SELECT a.s AS day_stem, b.s AS other_stem, list_extract({_NAMES}, {_TEN('a.s', 'b.s')} + 1) AS god FROM range(0, 10) a(s), range(0, 10) b(s)")
+@query("f01_ten_god", f"{_SCAN} SELECT nstem AS day_stem, stem AS other_stem, list_extract({_NAMES}, {_TEN('nstem', 'stem')} + 1) AS god, count(*) AS n FROM scan GROUP BY 1, 2")
 def f01(spark, sf):
-    a, b = spark.range(10).withColumnRenamed("id", "day_stem"), spark.range(10).withColumnRenamed("id", "other_stem")
-    return a.crossJoin(b).select("day_stem", "other_stem", p.ten_god(F.col("day_stem"), F.col("other_stem")).alias("god"))  # 10 x 10 lookup
+    """What every day's stem is to every chart's, by their pairs."""
+    pairs = _scan(spark, sf).groupBy(F.col("nstem").alias("day_stem"), F.col("stem").alias("other_stem")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select("day_stem", "other_stem", p.ten_god(F.col("day_stem"), F.col("other_stem")).alias("god"), "n")
 
 
-@query("f02_element_relations", "SELECT e AS element, (e + 1) % 5 AS generates, (e + 2) % 5 AS overcomes FROM range(0, 5) t(e)")
+@query("f02_element_relations", f"{_SCAN} SELECT stem // 2 AS element, (stem // 2 + 1) % 5 AS generates, (stem // 2 + 2) % 5 AS overcomes, count(*) FILTER (WHERE (stem // 2 + 1) % 5 = nstem // 2) AS generated, count(*) FILTER (WHERE (stem // 2 + 2) % 5 = nstem // 2) AS overcome FROM scan GROUP BY 1, 2, 3")
 def f02(spark, sf):
-    return spark.range(5).select(F.col("id").alias("element"), p.generates(F.col("id")).alias("generates"), p.overcomes(F.col("id")).alias("overcomes"))
+    """The element of each day's stem, what it generates and overcomes, and how many charts' days it does so to."""
+    told = _scan(spark, sf).select(F.floor(F.col("stem") / 2).cast("int").alias("element"), F.floor(F.col("nstem") / 2).cast("int").alias("own"))
+    told = told.select("element", "own", p.generates(F.col("element")).alias("generates"), p.overcomes(F.col("element")).alias("overcomes"))
+    return told.groupBy("element", "generates", "overcomes").agg(F.count_if(F.col("generates") == F.col("own")).alias("generated"), F.count_if(F.col("overcomes") == F.col("own")).alias("overcome"))
 
 
 _START = str(list(p.LONG_LIFE_BRANCH))
 
 
-@query("f03_twelve_stage", f"SELECT s AS stem, b AS branch, CAST(((CASE WHEN s % 2 = 0 THEN b - list_extract({_START}, CAST(s + 1 AS INT)) ELSE list_extract({_START}, CAST(s + 1 AS INT)) - b END) % 12 + 12) % 12 AS INT) AS stage FROM range(0, 10) x(s), range(0, 12) y(b)")
+@query("f03_twelve_stage", f"{_SCAN} SELECT nstem AS stem, branch, CAST(((CASE WHEN nstem % 2 = 0 THEN branch - list_extract({_START}, CAST(nstem + 1 AS INT)) ELSE list_extract({_START}, CAST(nstem + 1 AS INT)) - branch END) % 12 + 12) % 12 AS INT) AS stage, count(*) AS n FROM scan GROUP BY 1, 2, 3")
 def f03(spark, sf):
-    grid = spark.range(10).withColumnRenamed("id", "stem").crossJoin(spark.range(12).withColumnRenamed("id", "branch"))  # 120 rows
-    return grid.select("stem", "branch", p.twelve_stage(F.col("stem"), F.col("branch")).alias("stage"))
+    """The stage of every chart's day stem in each day's branch."""
+    pairs = _scan(spark, sf).groupBy(F.col("nstem").alias("stem"), "branch").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select("stem", "branch", p.twelve_stage(F.col("stem"), F.col("branch")).alias("stage"), "n")
 
 
 _CLASH, _HARM6 = "(nbranch - branch + 12) % 12 = 6", "(nbranch + branch) % 12 = 1"

@@ -205,10 +205,15 @@ def w23(spark, sf):
     return days.select("d", F.lag("d").over(w).alias("prev_open"), F.lead("d").over(w).alias("next_open"), F.lead("d", 5).over(w).alias("plus_5"), F.row_number().over(w).cast("long").alias("ordinal"))
 
 
-@query("w24_sample_grid", "SELECT CAST(g AS DATE) AS as_of, quarter(g)::BIGINT AS q FROM unnest(generate_series(DATE '1995-01-01', DATE '2001-10-01', INTERVAL 3 MONTH)) t(g)")
+@query("w24_sample_grid", f"""{with_sql('bars')}, s AS (SELECT sec, min(d) AS a, max(d) AS z FROM bars GROUP BY 1), g AS (SELECT sec, CAST(unnest(generate_series(date_trunc('quarter', a), z::TIMESTAMP, INTERVAL 3 MONTH)) AS DATE) AS as_of, a FROM s), b AS (SELECT sec, d, year(d) * 12 + month(d) AS ym FROM bars)
+SELECT g.sec, as_of, quarter(as_of)::BIGINT AS q, min(b.d) AS first_d FROM g LEFT JOIN b ON b.sec = g.sec AND ym = year(as_of) * 12 + month(as_of) WHERE as_of >= a GROUP BY 1, 2, 3""")
 def w24(spark, sf):
-    grid = spark.sql("select explode(sequence(date'1995-01-01', date'2001-10-01', interval 3 months)) as as_of")
-    return grid.select("as_of", F.quarter("as_of").cast("long").alias("q"))
+    """Quarter starts within each security's span, and its first bar in the month that begins there, if it has one."""
+    b = bars(spark, sf).select("sec", "d")
+    span = b.groupBy("sec").agg(F.min("d").alias("a"), F.max("d").alias("z"))
+    grid = span.select("sec", "a", F.explode(F.sequence(F.trunc("a", "quarter"), "z", F.expr("interval 3 months"))).alias("as_of")).where("as_of >= a")
+    first = b.groupBy("sec", F.trunc("d", "month").alias("as_of")).agg(F.min("d").alias("first_d"))
+    return grid.join(first, ["sec", "as_of"], "left").select("sec", "as_of", F.quarter("as_of").cast("long").alias("q"), "first_d")
 
 
 @query("w26_anomalies", f"""{with_sql('bars')}, j AS (SELECT sec, close, volume, lag(close) OVER (PARTITION BY sec ORDER BY d) AS prev FROM bars)

@@ -89,13 +89,21 @@ def w12(spark, sf):
     return steps.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("step") < 20).alias("overlapping"))
 
 
-@query("w25_next_known_days", "WITH a AS (SELECT CAST(g AS DATE) AS d, CASE WHEN CAST(g AS DATE) = DATE '2001-02-20' THEN NULL ELSE dayofweek(g) BETWEEN 1 AND 5 END AS is_open FROM unnest(generate_series(DATE '2001-02-01', DATE '2001-03-31', INTERVAL 1 DAY)) t(g)), u AS (SELECT *, count(*) FILTER (WHERE is_open IS NULL) OVER (ORDER BY d) AS unknown FROM a) SELECT d FROM u WHERE is_open AND unknown = 0 ORDER BY d LIMIT 10")
+@query("w25_next_known_days", f"""{with_sql('days')}, lst AS (SELECT max(d) AS z FROM days), q AS (SELECT d AS asked FROM days WHERE day(d) = 15), a AS (SELECT asked, k, asked + CAST(k AS INT) AS d FROM q, range(1, 31) t(k)),
+s AS (SELECT asked, a.d, CASE WHEN days.d IS NOT NULL THEN true WHEN a.d <= z THEN false END AS is_open FROM a CROSS JOIN lst LEFT JOIN days ON days.d = a.d),
+u AS (SELECT *, count(*) FILTER (WHERE is_open IS NULL) OVER (PARTITION BY asked ORDER BY d) AS unknown FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY d) AS nth FROM u WHERE is_open AND unknown = 0)
+SELECT asked, count(*) AS n, min(d) AS first_d, max(d) AS last_d FROM r WHERE nth <= 10 GROUP BY 1""")
 def w25(spark, sf):
-    """The next ten open days, stopping at the first day whose state is unknown."""
-    a = spark.sql("select 1 as k, explode(sequence(date'2001-02-01', date'2001-03-31')) as d")
-    a = a.withColumn("is_open", F.when(F.col("d") != F.to_date(F.lit("2001-02-20")), F.dayofweek("d").between(2, 6)))
-    unknown = F.count_if(F.col("is_open").isNull()).over(Window.partitionBy("k").orderBy("d"))
-    return a.withColumn("unknown", unknown).where("is_open and unknown = 0").select("d").orderBy("d").limit(10)
+    """From each fifteenth that was a trading day, the next ten open days, stopping at the first day whose state is unknown."""
+    days = trading_days(spark, sf)
+    last = days.agg(F.max("d").alias("z"))
+    asked = days.where(F.dayofmonth("d") == 15).select(F.col("d").alias("asked"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k")).select("asked", F.date_add("asked", F.col("k")).alias("d"))
+    seen = asked.crossJoin(F.broadcast(last)).join(days.withColumn("seen", F.lit(True)), "d", "left")  # one row
+    known = seen.withColumn("is_open", F.when(F.col("seen"), True).when(F.col("d") <= F.col("z"), False))
+    upto = Window.partitionBy("asked").orderBy("d")
+    sound = known.withColumn("unknown", F.count_if(F.col("is_open").isNull()).over(upto)).where("is_open and unknown = 0")
+    ten = sound.withColumn("nth", F.row_number().over(upto)).where("nth <= 10")
+    return ten.groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
 
 
 @query("j02_label_date_alignment", f"{with_sql('bars', 'obs')}, m AS (SELECT sec, d, min(d) OVER (PARTITION BY sec, year(d), month(d)) AS label_d FROM bars WHERE sec % 4 <> 0) SELECT o.factor_id, count(*) AS n, count(m.label_d) AS aligned FROM obs o LEFT JOIN m ON m.sec = o.sec AND m.d = o.d GROUP BY 1")

@@ -148,13 +148,12 @@ def s05(spark, sf):
 _SHOCK = f"sqrt(-2 * ln({seeds.uniform_sql(1, 'sec', 'd')} + {2.0**-48}::DOUBLE)) * cos(2 * 3.141592653589793 * {seeds.uniform_sql(2, 'sec', 'd')}) * 0.02"
 
 
-@query("s09_synthetic_walk", f"WITH g AS (SELECT sec, CAST(x AS DATE) AS d FROM range(0, 10) s(sec), unnest(generate_series(DATE '2000-01-03', DATE '2000-12-29', INTERVAL 1 DAY)) t(x) WHERE dayofweek(x) BETWEEN 1 AND 5) SELECT sec, d, round(exp(sum({_SHOCK}) OVER (PARTITION BY sec ORDER BY d)), 8) AS close FROM g")
+@query("s09_synthetic_walk", f"{with_sql('bars')}, g AS (SELECT sec, d, first_value(close) OVER (PARTITION BY sec ORDER BY d) AS start FROM bars) SELECT sec, d, round(start * exp(sum({_SHOCK}) OVER (PARTITION BY sec ORDER BY d)), 6) AS close FROM g")
 def s09(spark, sf):
-    """Seeded geometric random walk on weekdays, for ten securities."""
-    days = F.explode(F.sequence(F.to_date(F.lit("2000-01-03")), F.to_date(F.lit("2000-12-29")))).alias("d")
-    grid = spark.range(10).select(F.col("id").alias("sec"), days).where(F.dayofweek("d").between(2, 6))
+    """A seeded geometric random walk in place of each security's prices, from its first close over its own dates: a null panel for studies."""
+    own = Window.partitionBy("sec").orderBy("d")
     shock = F.sqrt(-2 * F.log(seeds.uniform(1, "sec", "d") + 2.0**-48)) * F.cos(2 * 3.141592653589793 * seeds.uniform(2, "sec", "d")) * 0.02
-    return grid.select("sec", "d", F.round(F.exp(F.sum(shock).over(Window.partitionBy("sec").orderBy("d"))), 8).alias("close"))
+    return bars(spark, sf).select("sec", "d", F.round(F.first("close").over(own) * F.exp(F.sum(shock).over(own)), 6).alias("close"))
 
 
 @query("c01_calendar_merge", f"""{with_sql('days')}, o AS (SELECT d FROM days WHERE d <= DATE '2000-12-31'), n AS (SELECT 'growing' AS source, d FROM days WHERE day(d) <> 17 UNION ALL SELECT 'shrinking', d FROM days WHERE d < DATE '1999-01-01' UNION ALL SELECT 'allowed', d FROM days WHERE d < DATE '1999-01-01'),
@@ -169,14 +168,16 @@ def c01(spark, sf):
     return calendars.merged(given, "source")
 
 
-@query("c02_closure_ranges", "SELECT CAST(g AS DATE) AS d FROM (VALUES (DATE '1999-12-30', DATE '2000-01-03'), (DATE '2000-05-01', DATE '2000-05-05')) v(a, b), unnest(generate_series(a, b, INTERVAL 1 DAY)) t(g)")
+@query("c02_closure_ranges", f"{with_sql('bars')}, n AS (SELECT sec, d, lead(d) OVER (PARTITION BY sec ORDER BY d) AS nxt FROM bars), c AS (SELECT sec, d, CAST(unnest(generate_series(d + 1, nxt - 1, INTERVAL 1 DAY)) AS DATE) AS shut FROM n WHERE nxt - d BETWEEN 2 AND 300) SELECT sec, count(DISTINCT d) AS ranges, count(*) AS days, count(*) FILTER (WHERE month(shut) = 1 AND month(d) = 12) AS over_the_year, min(shut) AS first_d, max(shut) AS last_d FROM c GROUP BY 1")
 def c02(spark, sf):
-    """Text such as ``12-30..01-03 of 1999`` to days, rolling over the year."""
-    text = spark.createDataFrame([("1999:12-30..01-03",), ("2000:05-01..05-05",)], "t string")
-    part = lambda k: F.regexp_extract("t", r"(\d{4}):(\d\d-\d\d)\.\.(\d\d-\d\d)", k)
-    end_year = part(1).cast("int") + (part(3) < part(2)).cast("int")
-    start, end = F.to_date(F.concat(part(1), F.lit("-"), part(2))), F.to_date(F.concat(end_year.cast("string"), F.lit("-"), part(3)))
-    return text.select(F.explode(F.sequence(start, end)).alias("d"))
+    """A security's closures told as text such as ``1999:12-30..01-03`` (a day alone without the second part), and that text back to days, rolling over the year."""
+    own = Window.partitionBy("sec").orderBy("d")
+    gaps = bars(spark, sf).select("sec", "d", F.lead("d").over(own).alias("next")).where(F.datediff("next", "d").between(2, 300)).select("sec", F.date_add("d", 1).alias("a"), F.date_sub("next", 1).alias("z"))
+    text = gaps.select("sec", F.when(F.col("a") == F.col("z"), F.date_format("a", "yyyy:MM-dd")).otherwise(F.concat(F.date_format("a", "yyyy:MM-dd"), F.lit(".."), F.date_format("z", "MM-dd"))).alias("t"), F.date_sub("a", 1).alias("d"))
+    shut = text.select("sec", "d", F.explode(calendars.closure_days(F.col("t"))).alias("shut"))
+    return shut.groupBy("sec").agg(
+        F.countDistinct("d").alias("ranges"), F.count(F.lit(1)).alias("days"), F.count_if((F.month("shut") == 1) & (F.month("d") == 12)).alias("over_the_year"), F.min("shut").alias("first_d"), F.max("shut").alias("last_d")
+    )
 
 
 _CLOSURES = (("1996-01-01", "1996-01-03"), ("1996-04-30", "1996-05-02"), ("1996-12-30", "1997-01-02"))
@@ -227,12 +228,14 @@ def c07(spark, sf):
     return both.groupBy("sec").agg(F.count(F.lit(1)).alias("rows_n"), F.count_if(~F.col("w").eqNullSafe(F.col("j"))).alias("mismatches"))
 
 
-@query("c10_session_overlap", "SELECT slot, greatest(0, least(slot * 120 + 120, 690) - greatest(slot * 120, 570)) + greatest(0, least(slot * 120 + 120, 900) - greatest(slot * 120, 780)) AS minutes FROM range(0, 12) t(slot)")
+@query("c10_session_overlap", f"{with_sql('universe')}, sx(board, a1, z1, a2, z2) AS (VALUES ('ASIA', 570, 690, 780, 900), ('EUROPE', 480, 990, 990, 990)), m AS (SELECT sec, u.board, slot, greatest(0, least(slot * 120 + 60, coalesce(z1, 960)) - greatest(slot * 120 - 60, coalesce(a1, 570))) + greatest(0, least(slot * 120 + 60, coalesce(z2, 960)) - greatest(slot * 120 - 60, coalesce(a2, 960))) AS minutes FROM universe u LEFT JOIN sx USING (board), range(0, 12) t(slot)) SELECT board, slot, count(*) AS securities, sum(minutes)::BIGINT AS minutes FROM m GROUP BY 1, 2")
 def c10(spark, sf):
-    """Minutes of each two-hour slot inside the sessions 09:30-11:30 and 13:00-15:00."""
-    slot = F.col("id") * 120
-    inside = lambda a, b: F.greatest(F.lit(0), F.least(slot + 120, F.lit(b)) - F.greatest(slot, F.lit(a)))
-    return spark.range(12).select(F.col("id").alias("slot"), (inside(570, 690) + inside(780, 900)).alias("minutes"))
+    """Minutes of each two-hour slot, the first around midnight, inside the sessions of every security's board; other boards have one session without a break."""
+    sessions = spark.createDataFrame([("ASIA", 570, 690, 780, 900), ("EUROPE", 480, 990, 990, 990)], "board string, a1 int, z1 int, a2 int, z2 int")
+    u = universe(spark, sf).select("sec", "board").join(F.broadcast(sessions), "board", "left").fillna({"a1": 570, "z1": 960, "a2": 960, "z2": 960})  # two rows
+    slots = u.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    inside = lambda a, z: F.greatest(F.lit(0), F.least(F.col("slot") * 120 + 60, F.col(z)) - F.greatest(F.col("slot") * 120 - 60, F.col(a)))
+    return slots.groupBy("board", "slot").agg(F.count(F.lit(1)).alias("securities"), F.sum(inside("a1", "z1") + inside("a2", "z2")).alias("minutes"))
 
 
 @query("s18_manifest_scan", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars WHERE sec % 2 = 0 AND sec % 5 <> 0 GROUP BY 1")
