@@ -41,11 +41,10 @@ class TermIndex:
         split = docs.select("doc_id", words).select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
         counted = split.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("at") == 0).alias("first"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        whole = f"{folder}/counted"
-        counted.select("term", "doc_id", "tf", "dl", "first").write.parquet(whole)
-        counts = spark.read.parquet(whole)
-        counts.drop("first").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/postings")
-        counts.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/statistics")
+        ranged = counted.select("term", "doc_id", "tf", "dl", "first").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        ranged.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/postings")
+        each = spark.read.parquet(f"{folder}/postings").where("first")  # one posting of each document
+        each.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/statistics")
         return cls(spark, folder)
 
     @classmethod
