@@ -94,6 +94,16 @@ def test_a_tampered_shard_is_left_out(spark, tmp_path):
     assert {(s, y) for s, y, _ in held(publisher)} == {(s, y) for s in range(12) for y in (2000, 2001)} - {(3, 2000)}
 
 
+def test_shards_share_files(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id % 500 as sec", "2000 as y", "id * 1.0D as v")
+    publisher, told = published(spark, tmp_path, df, batches=2)
+    files = [name for _, _, names in os.walk(tmp_path / "data") for name in names if name.endswith(".parquet")]
+    assert told["written"] == 500 and len(files) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batch = publisher.manifest().where("sec = 7").first()["batch"]
+    spark.createDataFrame([(7, 2000, 9.0)], SCHEMA).write.mode("append").parquet(f"{tmp_path}/data/batch={batch}")
+    assert {s for s, _, _ in held(publisher)} == set(range(500)) - {7}
+
+
 def test_upserts_overlay_and_compaction_rewrites_touched_buckets_only(spark, tmp_path):
     table = keyed.KeyedTable(spark, str(tmp_path), "k long, v string", ["k"], buckets=8)
     row = lambda *ks, v: spark.createDataFrame([(k, v) for k in ks], "k long, v string")

@@ -5,6 +5,9 @@ a ledger, batch by batch, once its files have been read back and agree; a
 publication skips the shards that the ledger has with the same digest, writes
 the new and the changed ones, and ends with a manifest of all.  Ledger entries
 and manifests appear by a rename: a reader sees the old state or the new one.
+
+Files hold many shards each, as many files as tasks wrote them: shards are told
+by their rows' keys, so a million of them are not a million folders.
 """
 
 from __future__ import annotations
@@ -80,8 +83,8 @@ class ShardPublisher:
     def _write(self, df: DataFrame, part: DataFrame) -> None:
         batch = uuid.uuid4().hex
         rows = df.join(part.select(*self.keys), self.keys, "left_semi").select(*self.schema.names)
-        rows.repartition(*self.keys).write.partitionBy(*self.keys).parquet(f"{self.folder}/data/batch={batch}")
-        found = self.digests(self._data().where(F.col("batch") == batch))
+        rows.repartition(*self.keys).sortWithinPartitions(*self.keys).write.parquet(f"{self.folder}/data/batch={batch}")
+        found = self.digests(self._data([batch]))
         if part.join(found, [*self.keys, "rows", "digest"], "left_anti").limit(1).count():
             raise ValueError("rows that were written differ from those that were to be: the input changed meanwhile")
         self._commit(part.withColumn("batch", F.lit(batch)), "ledger")
@@ -92,9 +95,14 @@ class ShardPublisher:
         row = entries.agg(F.count(F.lit(1)).alias("shards"), F.sha2(F.concat_ws(":", F.count(F.lit(1)), total), 256).alias("digest")).first()
         return row.asDict()
 
-    def _data(self) -> DataFrame:
-        batch = StructField("batch", StringType())
-        return self.spark.read.schema(StructType([*self.schema.fields, batch])).option("basePath", f"{self.folder}/data").parquet(f"{self.folder}/data")
+    def _data(self, batches: list[str]) -> DataFrame:
+        """The rows in the folders of ``batches``, with ``batch``; a key that a file lacks is read off the file's folders, as ``partitionBy`` writes them."""
+        if not batches:
+            return self.spark.createDataFrame([], StructType([*self.schema.fields, StructField("batch", StringType())]))
+        files = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*[f"{self.folder}/data/batch={b}" for b in batches])
+        told = lambda name: F.nullif(F.regexp_extract("_metadata.file_path", f"/{re.escape(name)}=([^/]*)/", 1), F.lit(""))
+        keys = {k: F.coalesce(F.col(k), told(k).try_cast(self.schema[k].dataType)) for k in self.keys}
+        return files.select(*[keys[c].alias(c) if c in keys else F.col(c) for c in self.schema.names], told("batch").alias("batch"))
 
     def manifest(self) -> DataFrame:
         numbers = folders.numbers(self.spark, f"{self.folder}/manifests")
@@ -110,9 +118,10 @@ class ShardPublisher:
         """The rows of the last manifest's shards; ``batch`` tells in which batch each was written.
 
         Only registered shards whose rows still give their digest are read;
-        partitions of other batches are pruned.
+        folders of other batches are not.
         """
         registered = self.manifest()
-        data = self._data().join(registered.select("batch", *self.keys), ["batch", *self.keys], "left_semi")
+        batches = [r["batch"] for r in registered.select("batch").distinct().collect()]  # a row a batch
+        data = self._data(batches).join(registered.select("batch", *self.keys), ["batch", *self.keys], "left_semi")
         sound = self.digests(data).join(registered, [*self.keys, "rows", "digest"], "left_semi")
         return data.join(sound.select(*self.keys), self.keys, "left_semi").select(*self.schema.names, "batch")
