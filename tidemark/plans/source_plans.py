@@ -93,7 +93,7 @@ def s16(spark, sf):
 @query("s17_versioned_shards", f"{with_sql('bars')} SELECT *, sec % 2 = 0 AND y <> 1999 AS reused FROM (SELECT sec, CAST(year(d) AS INT) AS y, count(*) AS n FROM bars GROUP BY 1, 2)")
 def s17(spark, sf):
     """Shards by (sec, year), published a second time: of every other security the first run has them, but those of one year have changed."""
-    b = bars(spark, sf).select("sec", F.year("d").alias("y"), "d", "close")
+    b = store.stored(bars(spark, sf).select("sec", F.year("d").alias("y"), "d", "close"), "bars")
     publisher = shards.ShardPublisher(spark, store.scratch(spark, "shards"), b.schema, ["sec", "y"], {"bars": sf})
     publisher.publish(b.where("sec % 2 = 0"), batches=2)
     first = publisher.manifest().select("batch").distinct().withColumn("reused", F.lit(True))
@@ -241,14 +241,14 @@ def c10(spark, sf):
 @query("s18_manifest_scan", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars WHERE sec % 2 = 0 AND sec % 5 <> 0 GROUP BY 1")
 def s18(spark, sf):
     """A shard that is on disk but in no manifest, or whose rows no longer give its digest, is never read."""
-    b = bars(spark, sf).select("sec", F.lit(0).alias("y"), "d", "close")
+    b = store.stored(bars(spark, sf).select("sec", F.lit(0).alias("y"), "d", "close"), "bars")
     folder = store.scratch(spark, "manifest")
     publisher = shards.ShardPublisher(spark, folder, b.schema, ["sec", "y"])
     publisher.publish(b.where("sec % 2 = 0"), batches=1)
     batch = publisher.manifest().select("batch").first()  # of one batch
-    b.where("sec % 2 = 1").write.partitionBy("sec", "y").parquet(f"{folder}/data/batch=stray")
+    b.where("sec % 2 = 1").write.parquet(f"{folder}/data/batch=stray")
     if batch:  # rows are added to every fifth security's shard
-        b.where("sec % 10 = 0").withColumn("d", F.date_add("d", 1)).write.mode("append").partitionBy("sec", "y").parquet(f"{folder}/data/batch={batch[0]}")
+        b.where("sec % 10 = 0").withColumn("d", F.date_add("d", 1)).write.mode("append").parquet(f"{folder}/data/batch={batch[0]}")
     return publisher.read().groupBy("sec").agg(F.count(F.lit(1)).alias("n"))
 
 
