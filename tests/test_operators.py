@@ -114,3 +114,16 @@ def test_guards_fail_closed(spark):
     with pytest.raises(Exception, match="duplicate k"):
         guards.refuse_duplicates(df, "k").collect()
     assert guards.refuse_duplicates(df, "k", "ret_20d").count() == 2
+
+
+def test_medians_without_a_group_in_one_task(spark):
+    some = [(g, float(v)) for g, vs in (("odd", [5, 1, 3]), ("even", [4, 1, 2, 9]), ("ties", [7] * 50 + [1, 2]), (None, [2, 8])) for v in vs] + [("none", None), ("odd", None)]
+    many = spark.range(20001).selectExpr("if(id % 2 = 0, 'many', 'few') as g", "cast((id * 7919) % 20011 as double) as v")
+    rows = spark.createDataFrame(some, "g string, v double").unionByName(many)
+    got = {r.g: (r.n, r.median) for r in statistics.with_median(rows, "v", ["g"], F.count("v").alias("n")).collect()}
+    assert got == {r.g: (r.n, r.median) for r in rows.groupBy("g").agg(F.count("v").alias("n"), F.median("v").alias("median")).collect()}
+    whole = statistics.with_median(rows, "v", [], F.count("v").alias("n"))
+    assert tuple(whole.first()) == tuple(rows.agg(F.count("v"), F.median("v")).first())
+    assert tuple(statistics.with_median(rows.where("false"), "v", [], F.count("v").alias("n")).first()) == (0, None)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile(" not in plan

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import statistics
+
 
 def select(obs: DataFrame, *, factors=None, securities=None, start=None, end=None, direction=None, min_score=None) -> DataFrame:
     """Rows that meet every condition given."""
@@ -40,10 +42,10 @@ def horizon_stats(labelled: DataFrame, horizons, keys: list[str] | None = None)
     pairs = ", ".join(f"{h}, ret_{h}d" for h in horizons)
     long = labelled.selectExpr(*keys, f"stack({len(horizons)}, {pairs}) as (horizon, ret)").where("ret is not null")
     n = F.count(F.lit(1))
-    out = long.groupBy(*keys, "horizon").agg(
-        n.alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("up_rate"), F.avg("ret").alias("mean_ret"),
-        F.median("ret").alias("median_ret"), F.when(n > 1, F.stddev_samp("ret")).alias("std_ret"), F.min("ret").alias("min_ret"),
-    )
+    out = statistics.with_median(
+        long, "ret", [*keys, "horizon"], n.alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("up_rate"), F.avg("ret").alias("mean_ret"),
+        F.when(n > 1, F.stddev_samp("ret")).alias("std_ret"), F.min("ret").alias("min_ret"),
+    ).withColumnRenamed("median", "median_ret")
     note = F.when(F.col("n") < 8, "below 8").when(F.col("n") < 30, "below 30").otherwise("")
     return out.withColumn("note", note)
 

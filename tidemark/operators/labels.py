@@ -21,12 +21,13 @@ def _valid(column: str) -> Column:
 
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """ret_{h}d: close h own bars later over close, less 1; null unless all h + 1 closes are positive."""
-    out = bars
+    # positive closes are counted up to each bar, so that a horizon costs the same whatever its length
+    valid = _valid("close").cast("int")
+    out = bars.withColumn("_upto", F.sum(valid).over(_ordered().rowsBetween(Window.unboundedPreceding, 0)))
     for h in horizons:
-        span = _ordered().rowsBetween(0, h)
-        whole = F.sum(_valid("close").cast("int")).over(span) == h + 1
+        whole = F.lead("_upto", h).over(_ordered()) - F.col("_upto") + valid == h + 1
         out = out.withColumn(f"ret_{h}d", F.when(whole, F.lead("close", h).over(_ordered()) / F.col("close") - 1))
-    return out
+    return out.drop("_upto")
 
 
 def quarterly(bars: DataFrame) -> DataFrame:

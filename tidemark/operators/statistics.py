@@ -3,17 +3,48 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import stored
+
 
 def guarded(numerator, denominator) -> Column:
     """A quotient, null where the denominator is 0 or null (ANSI division would fail)."""
     return F.when(denominator != 0, numerator / denominator)
 
 
+#: Rank error of the ends between which a median is looked for, as a share of a group's rows.
+RANK_ERROR = 1e-4
+
+
+def with_median(rows: DataFrame, value: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Per ``keys`` (a few groups; none: one row): the aggregates, and ``median``, exactly, of the values that are not null.
+
+    No task holds a group: a sketch gives two ends a few ten-thousandths of the
+    ranks apart, the median among them; values between are counted where they
+    are read, and only those counts meet.  The rows are stored once.
+    """
+    rows = stored(rows, "median-rows")
+    joined = lambda a, b: a.join(F.broadcast(b), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True)), "left").drop(*[f"_{k}" for k in keys])  # noqa: E731  a row a group
+    named = lambda df: df.withColumnsRenamed({k: f"_{k}" for k in keys})
+    ends = F.percentile_approx(value, [0.5 - 3 * RANK_ERROR, 0.5 + 3 * RANK_ERROR], int(1 / RANK_ERROR))
+    each = stored(rows.groupBy(*keys).agg(*aggregates, F.count(value).alias("_n"), ends.alias("_ends")), "median-ends")
+    near = joined(rows.select(*keys, F.col(value).alias("_v")), named(each.select(*keys, "_n", "_ends"))).where(F.col("_v") <= F.col("_ends")[1])
+    counted = near.groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_ends")[0], F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))  # those below come first, as one row
+    at = lambda rank: F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.col("_v")))
+    low, high = at(F.floor((F.col("_n") + 1) / 2)), at(F.floor(F.col("_n") / 2) + 1)
+    middle = counted.withColumn("_upto", upto).groupBy(*keys).agg((low * 0.5 + high * 0.5).alias("median"))
+    out = joined(each, named(middle))
+    sound = F.when(F.col("median").isNotNull() | (F.col("_n") == 0), F.col("median")).otherwise(F.raise_error(F.lit("a sketch's ends do not hold the median")).cast("double"))
+    return out.withColumn("median", sound).drop("_n", "_ends")
+
+
 def t_statistic(column: str) -> list[Column]:
     """n, mean and mean / (sd / sqrt n) of a daily series; t is null for n < 2 or a constant series."""
     n, sd = F.count(column), F.stddev_samp(column)
