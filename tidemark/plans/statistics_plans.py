@@ -83,10 +83,11 @@ def a07(spark, sf):
     own = F.when(F.col("hit"), "matched").otherwise("complement")
     g = j.select(F.col("ret_20d").alias("r"), F.explode(F.array(own, F.lit("overall"))).alias("grp"))
     gain, loss = F.avg(F.when(F.col("r") > 0, F.col("r"))), F.avg(F.when(F.col("r") < 0, F.col("r")))
-    return g.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), r8(F.avg("r")).alias("mean_ret"), r8(F.median("r")).alias("median_ret"), F.round(F.avg((F.col("r") > 0).cast("double")), 8).alias("win_rate"),
+    out = statistics.with_median(
+        g, "r", ["grp"], F.count(F.lit(1)).alias("n"), r8(F.avg("r")).alias("mean_ret"), F.round(F.avg((F.col("r") > 0).cast("double")), 8).alias("win_rate"),
         F.round(gain, 8).alias("mean_gain"), F.round(loss, 8).alias("mean_loss"), F.round(gain / -loss, 8).alias("payoff"), F.round(F.max("r"), 8).alias("best"), F.round(F.min("r"), 8).alias("worst"),
     )
+    return out.withColumnRenamed("median", "median_ret").withColumn("median_ret", r8("median_ret"))
 
 
 @query("a08_date_weighted", f"{with_sql('bars')}, {LABELS}, g AS (SELECT d, avg(ret_20d) AS m FROM labels WHERE ret_20d IS NOT NULL GROUP BY d) SELECT count(*) AS dates, round(avg(m), 8) + 0.0 AS mean_of_means FROM g")
@@ -165,7 +166,8 @@ def a17(spark, sf):
     ahead = F.lead("bench_close", 20).over(Window.partitionBy("k").orderBy("d"))
     b = benchmark(spark, sf).withColumn("k", F.lit(1)).select("d", (ahead / F.col("bench_close") - 1).alias("bret"))
     x = _labels(spark, sf, (20,)).join(b, "d").where("ret_20d is not null and bret is not null").select((F.col("ret_20d") - F.col("bret")).alias("e"))
-    return x.agg(F.count(F.lit(1)).alias("n"), r8(F.avg("e")).alias("mean"), r8(F.median("e")).alias("median"), F.round(F.stddev_samp("e"), 8).alias("std"), F.round(F.avg((F.col("e") > 0).cast("double")), 8).alias("up_rate"))
+    out = statistics.with_median(x, "e", [], F.count(F.lit(1)).alias("n"), r8(F.avg("e")).alias("mean"), F.round(F.stddev_samp("e"), 8).alias("std"), F.round(F.avg((F.col("e") > 0).cast("double")), 8).alias("up_rate"))
+    return out.withColumn("median", r8("median"))
 
 
 _DATES = f"{_PANEL}, t AS (SELECT d, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, avg(CASE WHEN hit THEN 1.0 ELSE 0 END) AS hit_share, avg(ret_20d) AS mean_ret, median(ret_20d) AS median_ret, avg(CASE WHEN ret_20d > 0 THEN 1.0 ELSE 0 END) AS up_share FROM p GROUP BY d HAVING count(*) >= 20)"
