@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import labels
+from tidemark.operators import labels, statistics
 
 # Branches of the days of each class; the others have none.
 GOOD, BAD = (0, 2, 3, 6, 7, 9), (1, 4, 5, 8, 10)
@@ -25,10 +25,10 @@ def class_labels(bars: DataFrame, as_of: Column, horizon: int) -> DataFrame:
 def class_performance(labelled: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window (name, start, end: a few rows) and class: labels, mean, median, share of gains, and the labels dropped as incomplete."""
     inside = labelled.join(F.broadcast(windows), F.col("d").between(F.col("start"), F.col("end")))  # a row a window
-    return inside.groupBy("window", "class").agg(
-        F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.median("ret").alias("median_ret"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("double"))).alias("win_rate"),
+    return statistics.with_median(
+        inside.select("window", "class", "ret", "d", "end_d"), "ret", ["window", "class"], F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.avg(F.when(F.col("ret").isNotNull(), (F.col("ret") > 0).cast("double"))).alias("win_rate"),
         F.count_if(F.col("ret").isNull()).alias("dropped"), F.min(F.when(F.col("ret").isNotNull(), F.col("d"))).alias("first_d"), F.max("end_d").alias("label_cutoff"),
-    )
+    ).withColumnRenamed("median", "median_ret")
 
 
 def expanding_means(labelled: DataFrame) -> DataFrame:
