@@ -163,13 +163,19 @@ c AS (SELECT *, CASE WHEN code IS DISTINCT FROM lag(code) OVER (PARTITION BY sec
 r AS (SELECT *, sum(chg) OVER (PARTITION BY sec ORDER BY d) AS run FROM c)
 SELECT sec, min(d) AS start_date, max(d) AS end_date, code, count(*) AS n FROM r GROUP BY sec, run, code""")
 def w19(spark, sf):
-    """Gaps and islands over the calendar: runs of days with and without a bar, for every security."""
-    b = bars(spark, sf).select("sec", "d")
-    grid = b.select("sec").distinct().crossJoin(F.broadcast(trading_days(spark, sf)))  # securities by the calendar, a small dimension
-    status = grid.join(b.withColumn("has", F.lit(0)), ["sec", "d"], "left").select("sec", "d", F.coalesce("has", F.lit(1)).alias("code"))
-    changed = (~F.col("code").eqNullSafe(F.lag("code").over(_by_sec()))).cast("int")
-    runs = status.withColumn("chg", changed).withColumn("run", F.sum("chg").over(_by_sec()))
-    return runs.groupBy("sec", "run", "code").agg(F.min("d").alias("start_date"), F.max("d").alias("end_date"), F.count(F.lit(1)).alias("n")).drop("run")
+    """Gaps and islands over the calendar: runs of days with and without a bar, for every security; days without one are told by the numbers of those around them."""
+    days = trading_days(spark, sf).withColumn("k", F.lit(1)).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("d"))).select("d", "i")
+    b = bars(spark, sf).select("sec", "d").join(F.broadcast(days), "d")  # a row a date
+    own = Window.partitionBy("sec").orderBy("i")
+    begins = b.withColumn("chg", (F.col("i") - F.lag("i", 1, -1).over(own) > 1).cast("int")).withColumn("run", F.sum("chg").over(own))
+    with_bars = begins.groupBy("sec", "run").agg(F.min("i").alias("a"), F.max("i").alias("z"))
+    by_start = Window.partitionBy("sec").orderBy("a")
+    before, after = F.lag("z", 1, 0).over(by_start) + 1, F.lead("a").over(by_start)
+    around = with_bars.crossJoin(F.broadcast(days.agg(F.max("i").alias("last")))).select("sec", "a", "z", "last", before.alias("before"), after.alias("after"))  # one row
+    run = lambda a, z, code: F.struct(a.alias("a"), z.alias("z"), F.lit(code).alias("code"))
+    runs = around.select("sec", F.inline(F.array(run(F.col("a"), F.col("z"), 0), run(F.col("before"), F.col("a") - 1, 1), F.when(F.col("after").isNull(), run(F.col("z") + 1, F.col("last"), 1)).otherwise(run(F.lit(1), F.lit(0), 1))))).where("a <= z")
+    day = lambda n, name: F.broadcast(days.select(F.col("i").alias(n), F.col("d").alias(name)))  # noqa: E731  a row a date
+    return runs.join(day("a", "start_date"), "a").join(day("z", "end_date"), "z").select("sec", "start_date", "end_date", "code", (F.col("z") - F.col("a") + 1).cast("long").alias("n"))
 
 
 @query("w20_max_gap", f"{with_sql('bars')}, g AS (SELECT sec, d - lag(d) OVER (PARTITION BY sec ORDER BY d) AS gap FROM bars) SELECT sec, CAST(max(gap) AS BIGINT) AS max_gap FROM g GROUP BY sec")
