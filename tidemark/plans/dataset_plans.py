@@ -157,11 +157,13 @@ def j15(spark, sf):
 
 @query("j16_exposures_full_outer", f"{with_sql('bars', 'adj')} SELECT count(*) AS n, count(x.sec) AS price_side, count(y.sec) AS value_side FROM (SELECT sec, d FROM bars WHERE volume > 10) x FULL OUTER JOIN (SELECT sec, d FROM adj WHERE factor > 1.02) y ON x.sec = y.sec AND x.d = y.d")
 def j16(spark, sf):
+    """A full outer join of two sides with a row a key, as one grouping of their union: no task sorts or holds both sides."""
     from tidemark.sources.market import adjustment
 
-    x = bars(spark, sf).where("volume > 10").select("sec", "d", F.lit(1).alias("x"))
-    y = adjustment(spark, sf).where("factor > 1.02").select("sec", "d", F.lit(1).alias("y"))
-    return x.join(y, ["sec", "d"], "full_outer").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("price_side"), F.count("y").alias("value_side"))
+    none = F.lit(None).cast("int")
+    x = bars(spark, sf).where("volume > 10").select("sec", "d", F.lit(1).alias("x"), none.alias("y"))
+    y = adjustment(spark, sf).where("factor > 1.02").select("sec", "d", none.alias("x"), F.lit(1).alias("y"))
+    return x.unionByName(y).groupBy("sec", "d").agg(F.max("x").alias("x"), F.max("y").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("price_side"), F.count("y").alias("value_side"))
 
 
 @query("j19_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
