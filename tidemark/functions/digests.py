@@ -78,7 +78,9 @@ def shard_digests(df: DataFrame, *keys: str) -> DataFrame:
     A row's SHA-256 is taken as eight numbers of 32 bits; a shard's digest is
     that of their sums, so that rows are combined before they are shuffled.
     """
-    rows = df.select(*keys, digest(df, *df.columns).alias("row"))
-    piece = [F.sum(F.conv(F.substring("row", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{k}") for k in range(8)]
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *piece)
-    return sums.select(*keys, F.sha2(F.concat_ws(":", "n", *[f"p{k}" for k in range(8)]), 256).alias("digest"))
+    return df.select(*keys, digest(df, *df.columns).alias("row")).groupBy(*keys).agg(combined(F.col("row")).alias("digest"))
+
+
+def combined(row: Column) -> Column:
+    """The digest of a group of rows by those of the rows: sums of 32 bits, which a long holds for two billion rows."""
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)), *[F.sum(F.conv(F.substring(row, 8 * k + 1, 8), 16, 10).cast("long")) for k in range(8)]), 256)
