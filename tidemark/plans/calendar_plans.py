@@ -105,11 +105,11 @@ def s04(spark, sf):
 
 @query("s08_write_through", f"{with_sql('bars')} SELECT sec, count(*) AS n FROM bars GROUP BY 1")
 def s08(spark, sf):
-    """Cache partitions replaced one by one: dynamic partition overwrite."""
+    """Cache partitions replaced one by one: dynamic partition overwrite.  A partition is a bucket of securities, as many whatever their number."""
     path = store.scratch(spark, "cache")
-    b = bars(spark, sf).select("sec", "d", "close").repartition("sec")  # a security's files come from one task
-    b.where("sec < 4").limit(10).write.partitionBy("sec").parquet(path)
-    b.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("sec").parquet(path)
+    b = bars(spark, sf).select("sec", "d", "close", F.pmod(F.xxhash64("sec"), F.lit(64)).alias("bucket")).repartition("bucket", F.pmod(F.hash("sec"), F.lit(8)))  # a security's rows come from one task
+    b.where("sec < 4").limit(10).write.partitionBy("bucket").parquet(path)
+    b.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
     return spark.read.parquet(path).groupBy(F.col("sec").cast("long").alias("sec")).agg(F.count(F.lit(1)).alias("n"))
 
 
