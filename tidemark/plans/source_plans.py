@@ -290,15 +290,15 @@ def p16(spark, sf):
 @query("w05_label_maturation", f"""{with_sql('bars')}, ll AS (SELECT sec, d, {', '.join(f"CASE WHEN count(*) FILTER (WHERE close > 0) OVER (PARTITION BY sec ORDER BY d ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING) = {h + 1} THEN lead(close, {h}) OVER (PARTITION BY sec ORDER BY d) / close - 1 END AS r{h}" for h in (5, 20))} FROM bars)
 SELECT sec, d, round(r5, 8) + 0.0 AS ret_5d, r5 IS NOT NULL AS horizon_available_5d, round(r20, 8) + 0.0 AS ret_20d, r20 IS NOT NULL AS horizon_available_20d FROM ll""")
 def w05_maturation(spark, sf):
-    """The bars as a stream of files, in three batches of which the last is a year that comes late: labels ripen as their bars arrive."""
-    b = bars(spark, sf).select("sec", "d", "close")
+    """The bars as a stream of files, in three deliveries of which the last is a year that comes late: labels ripen as their bars arrive."""
+    b = store.stored(bars(spark, sf).select("sec", "d", "close"), "bars")
     folder = store.scratch(spark, "stream")
     year = F.year("d")
-    for part in (year < 1997, year > 1997, year == 1997):
-        b.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/bars")
     stored_bars = keyed.KeyedTable(spark, f"{folder}/stored", maturation.BARS, ["sec", "d"])
     kept = keyed.KeyedTable(spark, f"{folder}/labels", maturation.label_schema((5, 20)), ["sec", "d"])
-    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/bars")
-    maturation.mature(stream, stored_bars, kept, f"{folder}/progress", (5, 20)).awaitTermination()
+    for part in (year < 1997, year > 1997, year == 1997):  # each as many files as tasks wrote; the stream's progress is kept between them
+        b.where(part).write.mode("append").parquet(f"{folder}/bars")
+        stream = spark.readStream.schema(b.schema).parquet(f"{folder}/bars")
+        maturation.mature(stream, stored_bars, kept, f"{folder}/progress", (5, 20)).awaitTermination()
     out = kept.read()
     return out.select("sec", "d", *[x for h in (5, 20) for x in ((F.round(f"ret_{h}d", 8) + F.lit(0.0)).alias(f"ret_{h}d"), F.col(f"horizon_available_{h}d"))])

@@ -29,6 +29,11 @@ class KeyedTable:
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` by bucket, a bucket among several tasks where there are more tasks than buckets."""
+        parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return rows.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.hash(*self.keys), F.lit(parts)))
+
     def _scan(self, kind: str, *added: StructField) -> DataFrame:
         schema = StructType([*self.schema.fields, StructField("bucket", IntegerType()), *added])
         if not folders.exists(self.spark, f"{self.folder}/{kind}"):
@@ -45,7 +50,7 @@ class KeyedTable:
         number = max(folders.numbers(self.spark, f"{self.folder}/commits"), default=0) + 1
         # files first, then the commit: deltas without one are never read
         name = f"{number:08d}-{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).withColumn("bucket", self._bucket()).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/deltas/delta={name}")
+        self._dealt(rows.select(*self.schema.names)).write.partitionBy("bucket").parquet(f"{self.folder}/deltas/delta={name}")
         staged = f"{self.folder}/_staged/{name}"
         self.spark.createDataFrame([(number, name)], "seq long, delta string").coalesce(1).write.parquet(staged)
         folders.rename(self.spark, staged, f"{self.folder}/commits/{number:08d}")
@@ -82,8 +87,8 @@ class KeyedTable:
         if not touched:
             return 0
         version = uuid.uuid4().hex
-        rows = self._latest(layers.where(F.col("bucket").isin(touched) & (F.col("seq") <= last))).withColumn("bucket", self._bucket())
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/base/version={version}")
+        rows = self._latest(layers.where(F.col("bucket").isin(touched) & (F.col("seq") <= last)))
+        self._dealt(rows).write.partitionBy("bucket").parquet(f"{self.folder}/base/version={version}")
         kept = state.where(~F.col("bucket").isin(touched))
         fresh = self.spark.createDataFrame([(b, version, last) for b in touched], _STATE)
         number = max(folders.numbers(self.spark, f"{self.folder}/state"), default=0) + 1
