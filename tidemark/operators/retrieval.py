@@ -23,7 +23,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 class TermIndex:
-    """An inverted index below ``folder``: postings (term, doc_id, tf, dl), sorted by ranges of the term, and a row of corpus statistics.
+    """An inverted index below ``folder``: postings (term, doc_id, tf, dl), sorted by the term in each file, and a row of corpus statistics.
 
     A query reads the row groups of its terms and the one row; ``dl`` is the
     document's number of tokens.
@@ -35,14 +35,20 @@ class TermIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str) -> TermIndex:
-        """Texts are split once; a document's tokens are counted where they are read, before they are dealt to ranges of terms."""
+        """Texts are split once; a document's tokens are sorted and counted where they are read, so that postings are shuffled once, to where they are written.
+
+        A term's postings lie in an eighth of the files at most, so a frequent term is not one task's.
+        """
         spark = docs.sparkSession
-        words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN)).alias("words")
-        split = docs.select("doc_id", words).select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("at", "term"))
-        counted = split.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"), (F.min("at") == 0).alias("first"))
+        words = F.array_sort(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))).alias("words")
+        at = lambda i: F.get("words", i)
+        begins = F.when(F.size("words") > 0, F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))).alias("begins")
+        ends = lambda k: F.coalesce(F.get("begins", k + 1), F.size("words"))
+        each = F.transform("begins", lambda i, k: F.struct(at(i).alias("term"), (ends(k) - i).cast("long").alias("tf"), (i == 0).alias("first")))
+        counted = docs.select("doc_id", words).select("doc_id", "words", begins).select("doc_id", F.size("words").alias("dl"), F.inline(each))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = counted.select("term", "doc_id", "tf", "dl", "first").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-        ranged.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/postings")
+        dealt = counted.select("term", "doc_id", "tf", "dl", "first").repartition(n, "term", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // 8)))).sortWithinPartitions("term", "doc_id")
+        dealt.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/postings")
         each = spark.read.parquet(f"{folder}/postings").where("first")  # one posting of each document
         each.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{folder}/statistics")
         return cls(spark, folder)
