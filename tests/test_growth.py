@@ -9,8 +9,8 @@ import pytest
 
 import __spark_entry__
 from tests.test_oracle import SF
-from tidemark.operators import families, retrieval
-from tidemark.plans import outlook_plans, source_plans
+from tidemark.operators import families, retrieval, statistics
+from tidemark.plans import gate_plans, outlook_plans, source_plans
 from tidemark.sources import store, zips
 
 MORE = SF.replace("0.001", "0.01")
@@ -83,3 +83,14 @@ def test_members_are_parsed_at_once_and_others_one_by_one(spark, tmp_path, monke
     monkeypatch.setattr(zips.pcsv, "read_csv", lambda *a, **k: (calls.append(1), read(*a, **k))[1])
     (name,) = [f for f in os.listdir(path) if f.startswith("2000-0-")]
     assert sum(len(b) for b in zips.ZipReader(path, 256).read(zips.Members(name, 0, 30))) == 600 and len(calls) == 1
+
+
+def test_cells_meet_means_of_dates_without_a_shuffle(spark, monkeypatch):
+    residuals = statistics.residuals
+    monkeypatch.setattr(gate_plans.statistics, "residuals", lambda *a: (_ for _ in ()).throw(AssertionError("windows by date")))
+    assert gate_plans.cells(spark, SF).where("ex is not null").count() > 0
+    panel = spark.range(200).selectExpr("id as sec", "date_add(date'2000-01-01', cast(id % 3 as int)) as d", "if(id = 5, null, sin(id)) as x", "cos(id * 3) as y")
+    want = {r.sec: r.residual for r in residuals(panel, "y", "x").collect()}
+    days = statistics.day_moments(panel, "y", "x")
+    got = {r.sec: r.v for r in panel.join(days, "d").selectExpr("sec", "if(x is null, null, y - my - slope * (x - mx)) as v").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) if want[k] is not None else got[k] is None for k in want)

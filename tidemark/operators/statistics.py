@@ -87,6 +87,16 @@ def residuals(panel: DataFrame, y: str, x: str, min_rows: int = 20) -> DataFrame
     return panel.withColumn("residual", F.when(ok, F.col(y) - my - slope * (F.col(x) - mx)))
 
 
+def day_moments(panel: DataFrame, y: str, x: str, min_rows: int = 20) -> DataFrame:
+    """d, mean, and the fit of :func:`residuals` (my, mx, slope): a row a date, so that a panel meets it without being shuffled."""
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xx, yy = F.when(ok, F.col(x)), F.when(ok, F.col(y))
+    each = panel.groupBy("d").agg(F.avg(y).alias("mean"), F.count(F.when(ok, 1)).alias("n"), F.avg(yy).alias("my"), F.avg(xx).alias("mx"), F.avg(xx * yy).alias("xy"), F.avg(xx * xx).alias("xx"))
+    var = F.col("xx") - F.col("mx") * F.col("mx")
+    slope = F.when((F.col("n") >= min_rows) & (var > 1e-12), (F.col("xy") - F.col("mx") * F.col("my")) / var)
+    return each.select("d", "mean", "my", "mx", slope.alias("slope"))
+
+
 def welch(groups: DataFrame, group: str, value: str) -> DataFrame:
     """One row: Welch's t of value between group true and false."""
     agg = lambda flag: [f(F.when(F.col(group) == flag, F.col(value))) for f in (F.count, F.avg, F.var_samp)]
