@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__
 from tests.test_oracle import SF
-from tidemark.operators import families, retrieval, statistics
+from tidemark.operators import charts, families, retrieval, statistics
 from tidemark.plans import gate_plans, outlook_plans, source_plans
 from tidemark.sources import store, zips
 
@@ -94,3 +94,13 @@ def test_cells_meet_means_of_dates_without_a_shuffle(spark, monkeypatch):
     days = statistics.day_moments(panel, "y", "x")
     got = {r.sec: r.v for r in panel.join(days, "d").selectExpr("sec", "if(x is null, null, y - my - slope * (x - mx)) as v").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) if want[k] is not None else got[k] is None for k in want)
+
+
+@pytest.mark.parametrize("name", ["f15_calendar_factors", "c26_relation_factors"])
+def test_securities_by_days_are_many_tasks(spark, monkeypatch, name):
+    keys = []
+    for step in ("against_pillars", "matrix_row"):
+        told = getattr(charts, step)
+        monkeypatch.setattr(charts, step, lambda df, key, told=told: (keys.append(key), told(df, key))[1])
+    df = __spark_entry__.queries()[name](spark, SF)
+    assert keys == ["list_date"] and df.rdd.getNumPartitions() == 4

@@ -62,7 +62,7 @@ _NAMED_ROLE = lambda e: f"CASE WHEN {e} = use THEN 'use' WHEN list_contains(like
 
 def _day_roles(spark, sf):
     """Every security on every trading day with the value of the day stem's element to its chart, and the listing date."""
-    return _placed(spark, sf, universe(spark, sf).select("sec", "list_date")).select("sec", "d", F.element_at("outer", F.col("di") + 1)["stem_role"].alias("value"), "list_date")
+    return _placed(spark, sf).select("sec", "d", F.element_at("outer", F.col("di") + 1)["stem_role"].alias("value"), "list_date")
 
 
 @query("f10_day_verdict", f"{_DAY_STEMS} SELECT f.sec, d, CASE WHEN d >= list_date THEN {_NAMED_ROLE(_STEM_ELEMENT('s'))} END AS role FROM ds, f JOIN universe u ON u.sec = f.sec")
