@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from tests.test_oracle import SF
 from tidemark.operators import families, gates, studies
 
 START = dt.date(2000, 1, 3)
@@ -148,3 +149,16 @@ def test_fold_control_pools_are_drawn_from_the_fold_only_and_repeat(spark):
     assert (row.draws, row.n) == (1000, hits) and 0 < hits < n and row.observed == pytest.approx(of_hits)
     assert abs(row.null_mean - mean) < 5 * row.null_sd / np.sqrt(1000)  # of the fold, not of the panel
     assert row == x14(spark, sf).first()
+
+
+def test_isolated_comparisons_shuffle_lines_once_and_merge_flags(spark):
+    told = __spark_entry__.queries()["d11_label_end_isolation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("parquet") == 1 and "Join" not in told
+    rows = [("A", k % 2 == 0, k % 3 == 0 if k % 5 else None, k % 7 == 0, 1e6 + k * k % 11) for k in range(60)] + [("B", True, False, True, 1.0)]
+    got = {(r.f, r.direction): r for r in studies.isolated(spark.createDataFrame(rows, "f string, up boolean, down boolean, crossing boolean, x double"), "x", "f").collect()}
+    assert len(got) == 4 and (got["B", 1].crossing, got["B", 1].n1, got["B", 1].n0, got["B", 1].m1, got["B", 1].t) == (1, 0, 0, None, None)
+    for way, at in ((1, 1), (-1, 2)):
+        one, other = ([r[4] for r in rows if r[0] == "A" and not r[3] and r[at] is flag] for flag in (True, False))
+        r = got["A", way]
+        assert (r.crossing, r.n1, r.n0) == (9, len(one), len(other)) and (r.m1, r.m0) == (pytest.approx(np.mean(one), rel=1e-14), pytest.approx(np.mean(other), rel=1e-14))
+        assert r.t == pytest.approx((np.mean(one) - np.mean(other)) / np.sqrt(np.var(one, ddof=1) / len(one) + np.var(other, ddof=1) / len(other)), rel=1e-6)

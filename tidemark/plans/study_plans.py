@@ -10,7 +10,7 @@ from tidemark.plans.gate_plans import _CELLS, _DRAWN, _TAIL, DRAWS, _tail, cells
 from tidemark.plans.label_plans import r8
 from tidemark.plans.registry import query
 from tidemark.plans.statistics_plans import _PART, partition_of
-from tidemark.sources.market import bars, observations, universe, with_sql
+from tidemark.sources.market import bars, observations, observed_bars, universe, with_sql
 from tidemark.sources.store import stored
 
 HORIZONS, PARTITIONS = (5, 10, 20, 60), ("TRAIN", "VALIDATION", "OOS")
@@ -57,13 +57,11 @@ w AS (SELECT *, CASE WHEN n1 > 1 AND n0 > 1 AND sqrt(v1 / n1 + v0 / n0) > 1e-12
 
 
 def _isolated(spark, sf):
-    """Factor, direction, horizon and partition: events and the factor's other days, less those whose label ends beyond the partition."""
-    seen = observations(spark, sf).where("factor_id is not null").groupBy("sec", "d", "factor_id").agg(F.array_sort(F.collect_set("direction")).alias("directions"))
-    rows = _long(spark, sf).where("part <> 'OUT_OF_SCOPE'").join(seen, ["sec", "d"]).withColumn("crossing", _crossing())
-    rows = rows.withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("matched", F.expr("array_contains(directions, direction)"))
+    """Factor, direction, horizon and partition: events and the factor's other days, less those whose label ends beyond the partition, whose number is ``crossing``."""
+    rows = studies.long_labels(observed_bars(spark, sf), HORIZONS).withColumn("part", partition_of()).where("part <> 'OUT_OF_SCOPE'")
+    rows = rows.select("horizon", "part", "ret", _crossing().alias("crossing"), F.inline("seen"))
     keys = ("factor_id", "direction", "horizon", "part")
-    rows = rows.withColumn("kept", F.when(~F.col("crossing"), F.col("ret")))
-    return studies.compared(rows, F.col("matched"), "kept", *keys), rows, keys
+    return studies.isolated(rows, "ret", "factor_id", "horizon", "part"), keys
 
 
 @query("d11_label_end_isolation", f"""{_ISOLATED}, p AS (SELECT *, least(1.0, 2 * {_TAIL('abs(t)')}) AS p FROM w),
@@ -72,9 +70,8 @@ SELECT factor_id, direction, horizon, part, crossing, n1 AS matched, n0 AS compl
 round(CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / rk) OVER (PARTITION BY factor_id, p IS NOT NULL ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) END, 7) AS q FROM r""")
 def d11(spark, sf):
     """Registered comparisons of every factor, direction, horizon and partition on rows whose labels end inside it; false discovery by factor."""
-    stats, rows, keys = _isolated(spark, sf)
-    out = stats.join(rows.groupBy(*keys).agg(F.count_if("crossing").alias("crossing")), list(keys))
-    out = statistics.benjamini_hochberg(out.withColumn("p", F.least(F.lit(1.0), 2 * _tail(F.abs("t")))), "factor_id", "p")
+    stats, keys = _isolated(spark, sf)
+    out = statistics.benjamini_hochberg(stats.withColumn("p", F.least(F.lit(1.0), 2 * _tail(F.abs("t")))), "factor_id", "p")
     return out.select(*keys, "crossing", F.col("n1").alias("matched"), F.col("n0").alias("complement"), r8("m1").alias("matched_mean"), r8(F.col("m1") - F.col("m0")).alias("difference"), (F.round("t", 5) + F.lit(0.0)).alias("t"), F.round("q", 7).alias("q"))
 
 
@@ -101,7 +98,7 @@ def d09(spark, sf):
     sound = factors.withColumn("horizon", F.explode(F.array(F.lit(5), F.lit(20)))).withColumn("control", F.explode(F.array(F.lit("complement"), F.lit("shifted"))))
     sound = sound.select(F.concat_ws("/", "factor_id", "horizon", "control").alias("hypothesis_id"), "factor_id", F.lit(1).alias("direction"), "horizon", F.lit("OOS").alias("partition"), "control", F.lit(30).alias("min_events"))
     registry = studies.checked_registry(sound.unionByName(spark.createDataFrame(_BROKEN, columns)), factors, HORIZONS, PARTITIONS)
-    stats, _, keys = _isolated(spark, sf)
+    stats, keys = _isolated(spark, sf)
     moved = obs.where("direction in (-1, 1)").select("sec", F.date_add("d", 7).alias("d"), "factor_id", "direction").distinct()
     there = _long(spark, sf).where("part <> 'OUT_OF_SCOPE'").where(~_crossing()).join(moved, ["sec", "d"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("k0"), F.avg("ret").alias("s0"))
     run = stats.join(there, list(keys), "left").withColumnRenamed("part", "partition")
