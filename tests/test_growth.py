@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from tests.test_oracle import SF
+from tidemark.functions import digests
 from tidemark.operators import charts, families, retrieval, statistics
 from tidemark.plans import gate_plans, outlook_plans, source_plans
 from tidemark.sources import store, zips
@@ -104,3 +105,14 @@ def test_securities_by_days_are_many_tasks(spark, monkeypatch, name):
         monkeypatch.setattr(charts, step, lambda df, key, told=told: (keys.append(key), told(df, key))[1])
     df = __spark_entry__.queries()[name](spark, SF)
     assert keys == ["list_date"] and df.rdd.getNumPartitions() == 4
+
+
+def test_leaves_are_made_of_differing_artifacts_only(spark):
+    told = plan(spark, "c08_reference_audit").optimizedPlan().toString()
+    assert "map_from_entries" in told and "map_from_entries" not in told[told.index("Join ") :]
+
+
+def test_numbers_have_one_text(spark):
+    want = {0.0: "0", 100.0: "100", -20.0: "-20", 0.5: "0.5", 1e-9: "0.000000001", -1e-10: "0", 1234567.125: "1234567.125", 1e27: "1" + "0" * 27, 1e28: "1.0E28", float("inf"): "Infinity"}
+    df = spark.createDataFrame([(x, w) for x, w in [*want.items(), (-0.0, "0"), (float("nan"), "NaN"), (None, "null")]], "x double, want string")
+    assert all(r[0] == r[1] for r in df.select(digests.canonical(df.x, df.schema["x"].dataType), "want").collect())

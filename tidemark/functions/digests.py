@@ -22,8 +22,8 @@ def canonical(value: Column, kind: DataType) -> Column:
         entry = lambda e: F.concat(canonical(e["key"], kind.keyType), F.lit(":"), canonical(e["value"], kind.valueType))
         text = F.concat(F.lit("{"), F.array_join(F.array_sort(F.transform(F.map_entries(value), entry)), ","), F.lit("}"))
     elif isinstance(kind, (DoubleType, FloatType)):
-        plain = F.regexp_replace(F.regexp_replace(value.cast(DecimalType(38, 9)).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-        text = F.when(F.isnan(value) | (F.abs(value) >= 1e28), value.cast("string")).otherwise(F.when(plain == "-0", "0").otherwise(plain))
+        plain = F.rtrim(F.rtrim(value.cast(DecimalType(38, 9)).cast("string"), F.lit("0")), F.lit("."))  # nine decimals, and decimals have no -0
+        text = F.when(F.isnan(value) | (F.abs(value) >= 1e28), value.cast("string")).otherwise(plain)
     elif isinstance(kind, DecimalType):
         plain = value.cast("string")
         text = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(plain)
@@ -64,12 +64,28 @@ def audited(referenced: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
     ``leaves`` names the paths whose values differ, in order; it is empty for missing ones.
     """
-    both = referenced.join(found, key, "left")
+    return _named(_differing(referenced.join(found, key, "left")), key)
+
+
+def audit(referenced: DataFrame, held: DataFrame, key: str, *columns: str) -> DataFrame:
+    """As :func:`audited`, of two tables of ``key`` and ``columns``: digests are compared first, and leaves made of those that differ only."""
+    said = referenced.select(key, digest(referenced, *columns).alias("digest"), F.struct(*columns).alias("_said"))
+    there = held.select(key, digest(held, *columns).alias("found"), F.struct(*columns).alias("_holds"))
+    odd = _differing(said.join(there, key, "left"))
+    told = lambda side, df: F.map_from_entries(F.concat(*[_leaves(F.col(side)[c], df.schema[c].dataType, F.lit(c)) for c in columns]))
+    return _named(odd.select(key, "found", told("_said", referenced).alias("leaves"), told("_holds", held).alias("held")), key)
+
+
+def _differing(both: DataFrame) -> DataFrame:
+    return both.where(F.col("found").isNull() | (F.col("digest") != F.col("found")))
+
+
+def _named(odd: DataFrame, key: str) -> DataFrame:
     lost = F.col("found").isNull()
     paths = F.array_sort(F.array_union(F.map_keys("leaves"), F.map_keys("held")))
-    odd = F.filter(paths, lambda p: ~F.try_element_at(F.col("leaves"), p).eqNullSafe(F.try_element_at(F.col("held"), p)))
-    named = F.when(lost, "").otherwise(F.array_join(odd, ", "))
-    return both.where(lost | (F.col("digest") != F.col("found"))).select(key, F.when(lost, "missing").otherwise("digest").alias("problem"), named.alias("leaves"))
+    changed = F.filter(paths, lambda p: ~F.try_element_at(F.col("leaves"), p).eqNullSafe(F.try_element_at(F.col("held"), p)))
+    named = F.when(lost, "").otherwise(F.array_join(changed, ", "))
+    return odd.select(key, F.when(lost, "missing").otherwise("digest").alias("problem"), named.alias("leaves"))
 
 
 def shard_digests(df: DataFrame, *keys: str) -> DataFrame:
