@@ -116,3 +116,10 @@ def test_numbers_have_one_text(spark):
     want = {0.0: "0", 100.0: "100", -20.0: "-20", 0.5: "0.5", 1e-9: "0.000000001", -1e-10: "0", 1234567.125: "1234567.125", 1e27: "1" + "0" * 27, 1e28: "1.0E28", float("inf"): "Infinity"}
     df = spark.createDataFrame([(x, w) for x, w in [*want.items(), (-0.0, "0"), (float("nan"), "NaN"), (None, "null")]], "x double, want string")
     assert all(r[0] == r[1] for r in df.select(digests.canonical(df.x, df.schema["x"].dataType), "want").collect())
+
+
+def test_temporal_factors_are_picked_not_computed_for_each_row(spark):
+    df = __spark_entry__.queries()["f14_temporal_factors"](spark, SF)
+    told = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in told and "round(" not in told[: told.index("Join ")]
+    assert df.rdd.getNumPartitions() == 4
